@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from streamledger.llm import decontamination
+from streamledger.llm import bpe, decontamination
 
 QUERIES = {
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
+    "op7_bpe_encoding": bpe.op7_bpe_encoding,
 }
 
 SQL = {

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from streamledger.llm import bpe, decontamination
+from streamledger.llm import bpe, decontamination, jaccard
 
 QUERIES = {
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op7_bpe_encoding": bpe.op7_bpe_encoding,
+    "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 
 SQL = {
     "op5_benchmark_decontamination": decontamination.OP5_SQL,
+    "op10_ngram_jaccard_join": jaccard.SQL,
 }

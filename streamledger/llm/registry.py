@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from streamledger.llm import bpe, decontamination, jaccard
+from streamledger.llm import bpe, chat, decontamination, jaccard, media
 
 QUERIES = {
+    "op2_media_columns": media.op2_media_columns,
+    "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op7_bpe_encoding": bpe.op7_bpe_encoding,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 
 SQL = {
+    "op3_chat_formatting": chat.OP3_SQL,
     "op5_benchmark_decontamination": decontamination.OP5_SQL,
     "op10_ngram_jaccard_join": jaccard.SQL,
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from streamledger.llm import bpe, chat, decontamination, jaccard, media
+from streamledger.llm import bpe, chat, decontamination, jaccard, langid, media, toxicity
 
 QUERIES = {
     "op2_media_columns": media.op2_media_columns,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe_encoding": bpe.op7_bpe_encoding,
+    "op8_language_id": langid.op8_language_id,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from streamledger.llm import bpe, chat, decontamination, jaccard, langid, media, toxicity
+from streamledger.llm import bpe, chat, decontamination, jaccard, langid, media, toxicity, warc
 
 QUERIES = {
     "op2_media_columns": media.op2_media_columns,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_warc": warc.op4_warc,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe_encoding": bpe.op7_bpe_encoding,
@@ -16,6 +17,7 @@ QUERIES = {
 
 SQL = {
     "op3_chat_formatting": chat.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op5_benchmark_decontamination": decontamination.OP5_SQL,
     "op10_ngram_jaccard_join": jaccard.SQL,
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from streamledger.llm import bpe, chat, decontamination, jaccard, langid, media, toxicity, warc
+from streamledger.llm import bpe, chat, decontamination, html_extraction, jaccard, langid, licences, media, toxicity, warc
 
 QUERIES = {
+    "op1_license_scans": licences.op1_license_scans,
     "op2_media_columns": media.op2_media_columns,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_warc": warc.op4_warc,
@@ -12,10 +13,12 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe_encoding": bpe.op7_bpe_encoding,
     "op8_language_id": langid.op8_language_id,
+    "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 
 SQL = {
+    "op1_license_scans": licences.SQL,
     "op3_chat_formatting": chat.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
     "op5_benchmark_decontamination": decontamination.OP5_SQL,

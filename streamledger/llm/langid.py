@@ -50,13 +50,33 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def features(word: str, lexicon: dict[str, str]) -> np.ndarray:
-    """Slots of a word: itself, prefixes and suffixes of 1 to 4 letters, letter trigrams, and the language that its lexicon entry names."""
-    n, edged = len(word), f"<{word[:40]}>"
-    names = ["bias", f"w{word}", *(f"p{word[:k]}" for k in range(1, min(5, n + 1))), *(f"s{word[-k:]}" for k in range(1, min(5, n + 1))), *(f"g{edged[k : k + 3]}" for k in range(len(edged) - 2))]
+class Slots(dict):
+    """Parts of words of one kind to their slots, computed once; bounded, as there are few short parts."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def __missing__(self, part: str) -> int:
+        slot = zlib.crc32((self.kind + part).encode("utf-8", "surrogatepass")) & (SLOTS - 1)
+        if len(self) < WORD_CACHE:
+            self[part] = slot
+        return slot
+
+
+PREFIX, SUFFIX, GRAM, LEXICON = Slots("p"), Slots("s"), Slots("g"), Slots("l")
+
+
+def features(word: str, lexicon: dict[str, str]) -> list[int]:
+    """Slots of a word: bias, itself, prefixes and suffixes of 1 to 4 letters, letter trigrams, and the language that its lexicon entry names."""
+    edged = f"<{word[:40]}>"
+    n = min(5, len(word) + 1)
+    slots = [0, zlib.crc32(word.encode("utf-8", "surrogatepass")) & (SLOTS - 1)]
+    slots += [PREFIX[word[:k]] for k in range(1, n)]
+    slots += [SUFFIX[word[-k:]] for k in range(1, n)]
+    slots += [GRAM[edged[k : k + 3]] for k in range(len(edged) - 2)]
     if word in lexicon:
-        names.append(f"l{lexicon[word]}")
-    return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & (SLOTS - 1) for x in names], np.int32)
+        slots.append(LEXICON[lexicon[word]])
+    return slots
 
 
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
@@ -82,39 +102,55 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     for k in range(0, len(pieces), 2):
         other = pieces[int(rng.integers(len(pieces)))]
         for chain in ([pieces[k]], [pieces[k], other]):
-            sequences.append(([features(w, lexicon) for ws, _ in chain for w in ws], [lang for ws, lang in chain for _ in ws]))
+            sequences.append(([np.array(features(w, lexicon), np.int32) for ws, _ in chain for w in ws], [lang for ws, lang in chain for _ in ws]))
     if not sequences:
         return Model(crf.Crf([UND], np.zeros((SLOTS, 1)), np.zeros((1, 1)), np.zeros(1)), {})
     return Model(crf.train(sequences, labels, SLOTS, epochs=4), lexicon)
 
 
+class Rows(dict):
+    """Words to their row numbers; a new word gets the next row and waits in `fresh` for its scores. Without a letter: -1."""
+
+    def __init__(self):
+        self.used, self.fresh = 0, []
+
+    def __missing__(self, word: str) -> int:
+        if not any(map(str.isalpha, word)):
+            self[word] = -1
+            return -1
+        k = self[word] = self.used
+        self.used += 1
+        self.fresh.append(word)
+        return k
+
+
 class Tagger:
     """Scores of words are computed once and kept, in bounded memory."""
 
     def __init__(self, model: Model):
-        self.model, self.index = model, {}
+        self.model, self.index = model, Rows()
         self.rows = np.empty((1 << 14, len(model.chain.labels)))
 
-    def _row(self, word: str) -> int:
-        if not any(map(str.isalpha, word)):
-            self.index[word] = -1
-            return -1
-        k = self.used = getattr(self, "used", -1) + 1
-        if k >= len(self.rows):
+    def _score_fresh(self) -> None:
+        fresh, used = self.index.fresh, self.index.used
+        while used > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[k] = self.model.chain.weights[features(word, self.model.lexicon)].sum(axis=0)
-        self.index[word] = k
-        return k
+        for a in range(0, len(fresh), 4096):
+            slots = [features(w, self.model.lexicon) for w in fresh[a : a + 4096]]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in slots])])
+            at = used - len(fresh) + a
+            self.rows[at : at + len(slots)] = crf.scores_of(self.model.chain.weights, np.array([s for x in slots for s in x], np.int64), offsets)
+        fresh.clear()
 
     def tag(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
         """For each text the row numbers of its words, and the posteriors of all words one after the other."""
         if len(self.index) > WORD_CACHE:
-            self.index, self.used = {}, -1
-        index, found = self.index, []
+            self.index = Rows()
+        row, found = self.index.__getitem__, []
         for text in texts:
-            at = [k if (k := index.get(w)) is not None else self._row(w) for w in words_of(text)]
-            at = np.array(at, np.int64)
-            found.append(at[at >= 0])
+            at = np.array(list(map(row, words_of(text))), np.int64)
+            found.append(at[at >= 0] if len(at) and at.min() < 0 else at)
+        self._score_fresh()
         lengths = np.array([len(x) for x in found], np.int64)
         flat = np.concatenate(found) if found else np.empty(0, np.int64)
         return found, crf.posteriors(self.model.chain, self.rows[flat], lengths[lengths > 0])
@@ -131,7 +167,7 @@ class Tagger:
             at += len(x)
             best = int(total.argmax())
             names.append(labels[best])
-            shares.append(float(min(1.0, total[best] / len(x))))
+            shares.append(round(float(min(1.0, total[best] / len(x))), 9))
         return names, shares
 
 

@@ -60,9 +60,9 @@ def store_batch(ledger: Ledger, subscription: str, result: DrainResult):
         try:
             told = parsed.where(F.size("errors") > 0).select("topic", reason().alias("reason")).collect()  # at most max rows
             good = parsed.where(F.size("errors") == 0).select(F.lit(subscription).alias("subscription"), "arrival", "event.*")
-            before = ledger.rows().where(F.col("subscription") == subscription).count()
-            ledger.append(good, f"{subscription}-{number:012d}")
-            result.stored += ledger.rows().where(F.col("subscription") == subscription).count() - before
+            name = f"{subscription}-{number:012d}"
+            ledger.append(good, name)
+            result.stored += ledger.rows().where(F.col("batch") == name).count()
             result.consumed += parsed.count()
             result.skipped += [r.asDict() for r in told]
         finally:
@@ -86,10 +86,11 @@ def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0
         stream = spark.readStream.format("event_backlog").options(path=source, filter=sub.filter, created=created, max=max).load()
         run = stream.writeStream.foreachBatch(store_batch(ledger, name, result)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         try:
-            ended = run.awaitTermination(timeout)
-            if not ended:
-                run.stop()
+            if not run.awaitTermination(timeout):
                 result.stopped = "timeout"
+                while run.isActive and run.status["isTriggerActive"]:  # a batch that has begun is stored and committed
+                    run.awaitTermination(1)
+                run.stop()
         except Exception as e:
             raise BrokerUnavailable(f"the drain of {name} failed: {e}") from e
     last = ledger.rows().where(F.col("subscription") == name).agg(F.max("seq")).first()[0] or 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from streamledger.errors import CorruptLedger, InvalidName
 from streamledger.functions.times import now
-from streamledger.functions.wire import parse_payloads, typed_problems
+from streamledger.functions.wire import parse_payloads, to_wire_json, typed_problems
 from streamledger.operators import pages, sequencing
 from streamledger.schema import FIELDS, LEDGER, STORE_FORMAT_VERSION
 from streamledger.sources.committed import CommittedTable
@@ -87,6 +87,12 @@ class Ledger:
             raise CorruptLedger(f"{first[0]['subscription']} {first[0]['seq']}: {first[0]['why']}", f"restore {self.root}")
 
 
+def stored_lines(rows: DataFrame) -> DataFrame:
+    """Ledger rows in their stored form, a JSON line each."""
+    head = F.to_json(F.struct(F.col("store_format_version").alias("storeFormatVersion"), "seq", "subscription", F.col("recorded_at").alias("recordedAt")))
+    return rows.select("subscription", "seq", F.concat(F.regexp_replace(head, r"\}\z", ""), F.lit(',"event":'), to_wire_json(), F.lit("}")).alias("value"))
+
+
 def import_lines(spark: SparkSession, path: str) -> DataFrame:
     """Stored records from JSON lines (seq, subscription, recordedAt, storeFormatVersion, event). A torn last line of a file is dropped; any other bad line is an error naming its file."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamledger.functions import fields, ids, times, topics, wire
-from streamledger.operators import backlog, drains, matching, pages, sequencing
+from streamledger.operators import backlog, drains, pages, sequencing
+from streamledger.operators.ledger import Ledger, stored_lines
 from streamledger.plans import adapter
 from streamledger.plans.adapter import with_envelopes, with_ledger
+from streamledger.session import scratch
+from streamledger.streaming import drain as streams
+from streamledger.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -349,3 +353,49 @@ def correlation_rollup(spark, sf_dir):
     """An extension: events of one correlation in a subscription."""
     rows = adapter.ledger(spark, sf_dir).where("subscription = 'all-plain'")
     return rows.groupBy("correlation_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+@query(with_ledger("""SELECT subscription, seq, '{"storeFormatVersion":"1","seq":' || seq || ',"subscription":"' || subscription || '","recordedAt":"' || recorded_at || '","event":{"id":"' || id || '","type":"' || type || '","source":"' || source || '","time":"' || time || '","schemaVersion":"1.0","correlationId":"' || correlation_id || '","deliveryAttempt":' || delivery_attempt || ',"data":' || data || '}}' AS value FROM ledger"""))
+def record_projection(spark, sf_dir):
+    """Ledger rows in their stored form."""
+    return stored_lines(adapter.ledger(spark, sf_dir).withColumn("store_format_version", F.lit("1")))
+
+
+# Streams
+
+
+@query(with_ledger("SELECT subscription, seq, id FROM ledger"))
+def stream_seq_state(spark, sf_dir):
+    """Numbers from keyed state equal those of the batch form."""
+    root = scratch(spark, "sequencer")
+    rows = adapter.matched(spark, sf_dir).select("subscription", "arrival", "id")
+    rows.coalesce(1).write.parquet(f"{root}/in")
+    stateful.use_rocksdb(spark)
+    stream = stateful.sequenced(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
+    run = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def _drained_ledger(spark: SparkSession, sf_dir: str, bounds: list[int]) -> DataFrame:
+    """The ledger after the first 300 events were emitted and drains with these bounds ran, one after the other."""
+    root = scratch(spark, "drain")
+    streams.add_subscription(spark, root, "clicks", "click.*")
+    streams.emit(spark, root, _envelopes(spark, sf_dir).where("arrival <= 300"), "arrival")
+    for bound in bounds:
+        streams.drain_subscription(spark, root, "clicks", max=bound, timeout=600)
+    return Ledger(spark, root).rows().select("subscription", "seq", "id")
+
+
+CLICKS_SQL = "SELECT 'clicks' AS subscription, row_number() OVER (ORDER BY arrival) AS seq, id FROM envelopes WHERE arrival <= 300 AND regexp_full_match(type, 'click\\.[^.]+')"
+
+
+@query(with_envelopes(CLICKS_SQL))
+def stream_drain_available_now(spark, sf_dir):
+    return _drained_ledger(spark, sf_dir, [1000])
+
+
+@query(with_envelopes(f"SELECT * FROM ({CLICKS_SQL}) WHERE seq <= 25"))
+def stream_resume(spark, sf_dir):
+    """A second drain goes on where the first stopped."""
+    return _drained_ledger(spark, sf_dir, [10, 15])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -25,3 +27,9 @@ def session(name: str = "streamledger", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return reachable(builder.getOrCreate())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/streamledger"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

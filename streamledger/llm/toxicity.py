@@ -29,9 +29,9 @@ from streamledger.llm.common import bucket_of, table, unit_hash
 
 PER_CLASS = 1500
 SLOTS, WORD_CACHE = 1 << 18, 400_000
-EPOCHS, BATCH, RATE, L2, BIAS = 30, 64, 0.1, 1e-5, -6.0
+EPOCHS, BATCH, RATE, PRIOR, BIAS = 30, 64, 0.1, 0.2, -6.0
 #: Words and stems of fewer sampled documents teach nothing: else chance words of toxic documents share the weight.
-MIN_DOCS = 5
+MIN_DOCS = 3
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W_]+")
 
@@ -96,7 +96,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> np.nda
             pull = np.where(y > 0, -q / np.maximum(1 - q, 1e-6), 1.0)
             g = pull[bag] * p
             grad = np.append(np.bincount(slots, g[sentence], SLOTS), g.sum()) / len(held)
-            grad[:-1] += L2 * w[:-1]
+            grad[:-1] += PRIOR / len(bags) * w[:-1]
             step += 1
             m1 += 0.1 * (grad - m1)
             m2 += 0.001 * (grad * grad - m2)

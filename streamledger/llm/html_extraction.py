@@ -269,9 +269,8 @@ def labelled_pages(n: int, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
         inner += body()
         if tag == "article" and r.random() < 0.2:
             inner.append((f"<footer>{words(1, 5)}</footer>", [OTHER]))
-        parts.append((f"<{tag}{names}>", []))
-        parts += inner
-        parts.append((f"</{tag}>", []))
+        bare = r.random() < 0.1  # text stands in the body itself
+        parts += inner if bare else [(f"<{tag}{names}>", []), *inner, (f"</{tag}>", [])]
         parts += [f() for f, p in ((comments, 0.4), (related, 0.3), (advert, 0.2), (sidebar, 0.3), (form, 0.2), (notice, 0.1), (footer, 0.8)) if r.random() < p]
         yield "<html><head><title>x</title></head><body>" + "".join(s for s, _ in parts) + "</body></html>", [x for _, labels in parts for x in labels]
 

@@ -20,13 +20,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from streamledger.llm.common import record, table
+from streamledger.llm.common import materialise, table
 
 WIDTH = 10
 SHARD_CHARS = 8_000_000
@@ -112,19 +112,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     spark = documents.sparkSession
     id_type = documents.schema[id_col].dataType.simpleString()
     item_type = benchmark.schema[item_col].dataType.simpleString()
+    arrow_type = to_arrow_type(benchmark.schema[item_col].dataType)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shards = list(shards_of(benchmark, item_col, item_text_col, shard_chars))
     schema = f"id {id_type}, n_words bigint, n_hit bigint, items array<{item_type}>, spans array<struct<start:bigint,end:bigint>>"
     if len(shards) == 1:
-        out = docs.mapInArrow(_scanner(spark.sparkContext.broadcast(shards[0]), width, spans), schema)
+        out = docs.mapInArrow(_scanner(spark.sparkContext.broadcast(shards[0]), arrow_type, width, spans), schema)
     else:
         keyed = docs.withColumn("row", F.monotonically_increasing_id())
-        from streamledger.llm.common import materialise
-
         keyed = materialise(keyed, "decontamination")
         parts = None
         for items in shards:
-            one = keyed.mapInArrow(_scanner(spark.sparkContext.broadcast(items), width, spans, ranges=True), f"row bigint, ranges array<struct<start:bigint,end:bigint>>, {schema}")
+            one = keyed.mapInArrow(_scanner(spark.sparkContext.broadcast(items), arrow_type, width, spans, ranges=True), f"row bigint, ranges array<struct<start:bigint,end:bigint>>, {schema}")
             parts = one if parts is None else parts.unionByName(one)
         out = _merge(parts)
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.array_sort(F.col("items"), lambda a, b: F.when(a.cast("string") < b.cast("string"), -1).when(a.cast("string") > b.cast("string"), 1).otherwise(0)).alias("items"), "spans", (F.col("n_hit") > 0).alias("contaminated"))
@@ -138,7 +137,7 @@ def _merge(parts: DataFrame) -> DataFrame:
     return g.select("id", "n_words", F.aggregate("r", start, step)["hit"].alias("n_hit"), "items", "spans")
 
 
-def _scanner(items, width: int, spans: bool, ranges: bool = False):
+def _scanner(items, item_type: pa.DataType, width: int, spans: bool, ranges: bool = False):
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +153,6 @@ def _scanner(items, width: int, spans: bool, ranges: bool = False):
                 found.append(ids)
                 ran.append([{"start": a, "end": b} for a, b in hit])
                 where.append([{"start": a, "end": b} for a, b in original_spans(text, hit)] if spans else [])
-            item_type = pa.array([i for i, _ in items.value[:1]]).type if items.value else pa.int64()
             cols = [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(item_type)), pa.array(where, pair)]
             names = ["id", "n_words", "n_hit", "items", "spans"]
             if ranges:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from streamledger.llm.common import bucket_of, table, unit_hash
 
-PER_CLASS = 1500
+PER_CLASS = 2500
 SLOTS, WORD_CACHE = 1 << 18, 400_000
 EPOCHS, BATCH, RATE, PRIOR, BIAS = 30, 64, 0.1, 0.2, -6.0
 #: Words and stems of fewer sampled documents teach nothing: else chance words of toxic documents share the weight.

@@ -58,7 +58,7 @@ def type_to_topic(spark, sf_dir):
 
 
 #: Topics of the events, and by their ids some that lie outside the lane or are malformed.
-TOPICS_SQL = "CASE arrival % 7 WHEN 1 THEN 'reachy/' || type WHEN 2 THEN 'events/' || replace(type, '.', '//') WHEN 3 THEN 'events/' || upper(type) ELSE 'events/' || replace(type, '.', '/') END"
+TOPICS_SQL = "CASE arrival % 7 WHEN 1 THEN 'sensors/' || type WHEN 2 THEN 'events/' || replace(type, '.', '//') WHEN 3 THEN 'events/' || upper(type) ELSE 'events/' || replace(type, '.', '/') END"
 
 
 @query(with_envelopes(f"SELECT id, topic, CASE WHEN arrival % 7 NOT IN (1, 2, 3) THEN type END AS type, CASE WHEN arrival % 7 IN (1, 2, 3) THEN 'malformed' END AS code FROM (SELECT *, {TOPICS_SQL} AS topic FROM envelopes)"))
@@ -76,7 +76,7 @@ def pattern_to_filter(spark, sf_dir):
     return rows.select("pattern", topics.pattern_to_filter(F.col("pattern")).alias("filter"), F.array_join(topics.pattern_problems(F.col("pattern")), ",").alias("codes"))
 
 
-FILTERS = ["#", "events/#", "events/+/+", "events/click/#", "reachy/#", "events/+", "+/click/high", "events/#/high", "events/click/high"]
+FILTERS = ["#", "events/#", "events/+/+", "events/click/#", "sensors/#", "events/+", "+/click/high", "events/#/high", "events/click/high"]
 
 
 @query(with_envelopes(f"""SELECT f AS filter, topic, CASE WHEN f LIKE '%#/%' THEN false ELSE regexp_full_match(topic, CASE WHEN f = '#' THEN '.*' WHEN f LIKE '%/#' THEN replace(f[:-3], '+', '[^/]*') || '(/.*)?' ELSE replace(f, '+', '[^/]*') END) END AS matches

@@ -98,8 +98,8 @@ def test_backlog(spark):
 def test_drain_and_cli(spark, tmp_path, capsys):
     root = str(tmp_path)
     run = lambda *a: (main(["--root", root, *a], spark), capsys.readouterr())
-    assert run("sub", "add", "robot", "task.*")[0] == 0
-    code, out = run("sub", "add", "robot", "task.*", "--json")
+    assert run("sub", "add", "worker", "task.*")[0] == 0
+    code, out = run("sub", "add", "worker", "task.*", "--json")
     assert code == 1 and json.loads(out.err)["error"] == "SubscriptionExists"
     assert run("sub", "add", "bad", "a/#")[0] == 1
     data = tmp_path / "d.json"
@@ -110,18 +110,18 @@ def test_drain_and_cli(spark, tmp_path, capsys):
     from streamledger.sources.broker import Broker
 
     Broker(spark, root).publish(spark.createDataFrame([("events/task/x", "{bad", 0)], "topic string, payload string, k int"), "k")
-    first = drain.drain_subscription(spark, root, "robot", max=2)
+    first = drain.drain_subscription(spark, root, "worker", max=2)
     assert (first.consumed, first.stored, first.cursor, first.has_more) == (2, 2, 2, True)
-    code, out = run("watch", "robot", "--json", "--timeout", "120")
+    code, out = run("watch", "worker", "--json", "--timeout", "120")
     got = json.loads(out.out)
     assert code == 0 and [r["seq"] for r in got["records"]] == [1, 2, 3] and len(got["skipped"]) == 1
-    again = drain.drain_subscription(spark, root, "robot")
+    again = drain.drain_subscription(spark, root, "worker")
     assert (again.consumed, again.stored, again.cursor) == (0, 0, 3)
     id_ = got["records"][0]["event"]["id"]
     assert run("get", id_)[0] == 0 and run("get", "evt_none")[0] == 1
     assert json.loads(run("list", "--json", "--max", "2")[1].out)["events"][0]["seq"] == 3
     assert run("list", "--max", "0")[0] == 1 and run("watch", "nobody")[0] == 1
-    assert run("sub", "show", "robot")[0] == 0 and run("sub", "remove", "robot")[0] == 0 and run("sub", "list")[1].out.strip() == ""
+    assert run("sub", "show", "worker")[0] == 0 and run("sub", "remove", "worker")[0] == 0 and run("sub", "list")[1].out.strip() == ""
 
 
 def test_stream_sequence_equals_batch(spark, tmp_path):

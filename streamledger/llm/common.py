@@ -30,11 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Spark's own setting: the files of a query's shuffles go when it ends, as what it wrote replaces them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: cuts lineage, survives lost executors, prunes columns."""
+    """Write df as Parquet under the shared folder and read it back: cuts lineage, survives lost executors, prunes columns, frees shuffles."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

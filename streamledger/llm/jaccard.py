@@ -15,15 +15,19 @@ shingle). Two sets A and B link when |A & B| >= t * |A | B|. The steps:
    Empty groups would meet everywhere; G has room for some of them, and only sets
    with more empty groups than that sign them (any linked pair then still has an
    equal group that both sign).
-3. Every class is first compared with one partner: the smallest class of a bucket,
-   from the bucket shape that it shares most often. Verified edges form a forest,
-   which pointer jumping turns into components. A group of near copies, however
-   large, is reduced to one component here with one comparison for each member.
+3. Every class is first compared with one partner: the hub of a bucket (the member
+   that meets others most often) with which it shares most buckets. Verified edges
+   give components by labels that spread and jump. A group of near copies, however
+   large, is mostly one component here, with one comparison for each member.
 4. Buckets whose members still lie in several components go through the R-tree.
    Points are the counts of `DIMS` groups of tokens; a node keeps the largest count
    of each coordinate and the smallest size below it; the sum over coordinates of
    min(query, node) bounds the overlap, and subtrees below the needed overlap are
-   cut. Surviving pairs of different components are verified on the sets.
+   cut. Among the points left, parities of the counts of many more groups bound the
+   difference. Pairs are verified on the sets in two rounds: first a spanning
+   forest of each bucket's surviving pairs, fewer than it has members; then, in
+   buckets of which an edge proved wrong, every surviving pair that still spans two
+   components.
 5. Components of both kinds of edges give each document the smallest id reachable.
 
 Verification compares 64-bit hashes of shingles; fingerprints are 64 bits as well.
@@ -47,8 +51,12 @@ from streamledger.llm.common import materialise, table
 
 WIDTH, THRESHOLD = 4, (85, 100)
 #: Coordinates of a point, entries of a tree node, words kept with their hash in a task.
-DIMS, FANOUT, WORD_CACHE = 64, 16, 500_000
-#: Up to so many ids of candidate documents are broadcast to fetch their texts; beyond, the join shuffles.
+DIMS, FANOUT, WORD_CACHE = 32, 16, 500_000
+#: Counts are stored as bytes; this one and larger ones stand for no bound at all.
+FULL, UNBOUNDED = 255, 1 << 24
+#: Sets that a task remembers so as not to sign them again; forgetting costs repeats, not results.
+SEEN = 500_000
+#: Up to so many ids of candidate documents, pairs of sets, or sets in components are counted and broadcast to the rows they ask for; beyond, the joins shuffle.
 BROADCAST_IDS = 1_000_000
 
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -56,42 +64,61 @@ P = np.uint64(0x9E3779B97F4A7C15)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+class WordIndex(dict):
+    """Words to their numbers; a new word's hash is noted once."""
+
+    def __init__(self):
+        self.hashes = []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return k
 
 
 class Shingler:
     """Texts to sorted arrays of distinct shingle hashes; hashes of words are kept, in bounded memory."""
 
     def __init__(self, width: int):
-        self.width, self.index, self.hashes = width, {}, np.empty(1 << 16, np.uint64)
+        self.width, self.index, self.hashes = width, WordIndex(), np.empty(0, np.uint64)
 
     def words(self, text: str | None) -> list[bytes]:
         """A-Z in lower case, cut at the six ASCII white-space characters: exactly what these bytes methods do."""
         return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        if len(self.index) > WORD_CACHE:
+            self.index, self.hashes = WordIndex(), np.empty(0, np.uint64)
+        at = np.array(list(map(self.index.__getitem__, words)), np.int64)
+        if self.index.hashes:
+            first = len(self.index) - len(self.index.hashes)
+            if len(self.index) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes[:first], np.empty(max(1 << 15, 2 * len(self.index)) - first, np.uint64)])
+            self.hashes[first : len(self.index)] = self.index.hashes
+            self.index.hashes.clear()
+        return self.hashes[at]
+
     def shingles(self, text: str | None) -> np.ndarray:
         words = self.words(text)
         if not words:
             return np.empty(0, np.uint64)
-        index, at = self.index, []
-        if len(index) > WORD_CACHE:
-            index.clear()
-        for w in words:
-            k = index.get(w)
-            if k is None:
-                k = index[w] = len(index)
-                if k >= len(self.hashes):
-                    self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)])
-                self.hashes[k] = xxhash.xxh3_64_intdigest(w)
-            at.append(k)
-        h = self.hashes[np.array(at, np.int64)]
+        h = self.hashed(words)
         n = min(self.width, len(h))
         s = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
-            s = s * P + h[k : len(h) - n + 1 + k]
-        return np.unique(mix(s))
+            s *= P
+            s += h[k : len(h) - n + 1 + k]
+        s = mix(s)
+        s.sort()
+        return s[np.append(True, s[1:] != s[:-1])]
 
 
 class Families:
@@ -139,60 +166,72 @@ def list_array(parts: list[np.ndarray | None], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def packed_counts(u: np.ndarray) -> bytes:
+    """The point of a set: how many of its tokens fall in each of DIMS groups."""
+    return np.minimum(np.bincount((u >> np.uint64(59)).astype(np.int64), minlength=DIMS), FULL).astype(np.uint8).tobytes()
+
+
+def points_of(counts: list[bytes]) -> np.ndarray:
+    points = np.frombuffer(b"".join(counts), np.uint8).reshape(len(counts), DIMS).astype(np.int64)
+    points[points == FULL] = UNBOUNDED
+    return points
+
+
+def sketch(u: np.ndarray) -> bytes:
+    """Parities of the counts of about 2n to 4n groups, packed: the number of odd groups of A xor B is at most the number of tokens that differ."""
+    bits = max(8, int(2 * len(u) - 1).bit_length())
+    return np.packbits((np.bincount((u >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
+
+
 def _profiles(width: int, num: int, den: int):
-    """id, text to id, n, set, counts, signatures; the last two once for each set in a task."""
+    """id, text to id, n, set, counts, sketch, signatures; the last three once for each set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, families, seen = Shingler(width), Families(num, den), set()
         for batch in batches:
             texts = batch.column("text")
             for a in range(0, len(texts), 256):
-                n, key, counts, signed = [], [], [], []
+                n, key, counts, parities, signed = [], [], [], [], []
                 for text in texts.slice(a, 256).to_pylist():
                     u = shingler.shingles(text)
                     f = fingerprint(u) if len(u) else None
                     first = f is not None and f not in seen
                     if first:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(f)
                     n.append(len(u))
                     key.append(f)
-                    counts.append(np.bincount((u >> np.uint64(58)).astype(np.int64), minlength=DIMS).astype(np.int32) if first else None)
+                    counts.append(packed_counts(u) if first else None)
+                    parities.append(sketch(u) if first else None)
                     signed.append(signatures(u, families).view(np.int64) if first else None)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, 256), pa.array(n, pa.int64()), pa.array(key, pa.int64()), list_array(counts, pa.int32()), list_array(signed, pa.int64())], names=["id", "n", "set", "counts", "signatures"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, 256), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(counts, pa.binary()), pa.array(parities, pa.binary()), list_array(signed, pa.int64())], names=["id", "n", "set", "counts", "sketch", "signatures"])
 
     return run
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (signature, set) in order to (signature, set, pivot), where a signature has several sets; pivot is its smallest."""
-    held = None  # signature, pivot and last set of the run that may go on, and whether its pivot is out
+    """Rows (signature, set) in order to those whose signature has several sets, each once."""
+    held = None  # the last row so far, and whether a row of its signature is out
     for batch in batches:
         s, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if held:
-            s, f = np.concatenate([[held[0]], s]), np.concatenate([[held[2]], f])
+            s, f = np.append(held[0], s), np.append(held[1], f)
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (f[1:] != f[:-1])
         s, f = s[new], f[new]
         if not len(s):
             continue
-        if held:
-            f[0] = held[1]
-        start = np.ones(len(s), bool)
-        start[1:] = s[1:] != s[:-1]
-        at = np.flatnonzero(start)
-        length = np.diff(np.append(at, len(s)))
-        pivot = np.repeat(f[at], length)
-        out = np.repeat(length > 1, length)
-        last = at[-1]
-        over = length[-1] > 1 or bool(held and last == 0 and held[3])
-        if held and held[3]:
-            out[0] = False
-            if held[0] == s[0]:
-                out[1 : length[0]] = True
-        tail = held[2] if held and len(s) == 1 else f[-1]
-        held = (s[-1], f[last], tail, over)
+        several = np.zeros(len(s), bool)
+        several[1:] = s[1:] == s[:-1]
+        several[:-1] |= several[1:]
+        several[-1] |= bool(held and held[2] and s[-1] == held[0])
+        out = several.copy()
+        if held and held[2]:
+            out[0] = False  # the held row went out with its predecessor
+        held = (s[-1], f[-1], several[-1])
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(s[out]), pa.array(f[out]), pa.array(pivot[out])], names=["signature", "set", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array(s[out]), pa.array(f[out])], names=["signature", "set"])
 
 
 class CountTree:
@@ -223,40 +262,90 @@ class CountTree:
         return self.order[nodes]
 
 
-def _candidates(num: int, den: int):
-    """Rows (signature, set, part, n, counts) in order of signature to pairs of sets, smaller first, of different parts."""
-
-    def pairs(sets, parts, sizes, counts):
-        tree = CountTree(counts, sizes, num, den)
-        for k in range(len(sets)):
-            near = tree.query(counts[k], sizes[k])
-            near = near[(sets[near] > sets[k]) & (parts[near] != parts[k])]
-            if len(near):
-                yield np.full(len(near), sets[k]), sets[near]
+def words_of_sketches(sketches: list[bytes]) -> np.ndarray:
+    """Sketches folded to the narrowest of them (neighbouring groups merge), as rows of 64-bit words."""
+    narrow = min(map(len, sketches))
+    rows = np.empty((len(sketches), narrow), np.uint8)
+    for k, x in enumerate(sketches):
+        bits = np.frombuffer(x, np.uint8)
+        if len(bits) > narrow:
+            bits = np.packbits(np.bitwise_xor.reduce(np.unpackbits(bits).reshape(narrow * 8, -1), axis=1))
+        rows[k] = bits
+    return rows.view(np.uint64)
+
+
+def near_pairs(parts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, sketches: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of positions of different parts that may link, and how many tokens differ at least. The tree cuts by overlap, sketches by difference."""
+    if (parts == parts[0]).all():
+        none = np.empty(0, np.int64)
+        return none, none, none
+    words, tree, found = words_of_sketches(sketches), CountTree(counts, sizes, num, den), []
+    for k in range(len(parts)):
+        near = tree.query(counts[k], sizes[k])
+        near = near[(near > k) & (parts[near] != parts[k])]
+        if len(near):
+            differ = np.bitwise_count(words[near] ^ words[k]).sum(axis=1, dtype=np.int64)
+            total = sizes[near] + sizes[k]
+            ok = differ <= total - 2 * -(-num * total // (num + den))
+            found.append((np.full(ok.sum(), k), near[ok], differ[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+
+
+def forest(parts: np.ndarray, a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Of the pairs, nearest first, those that join parts not joined before: fewer than there are members."""
+    root = {p: p for p in parts.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = []
+    for k in np.argsort(differ, kind="stable"):
+        x, y = find(int(parts[a[k]])), find(int(parts[b[k]]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _candidates(num: int, den: int, spanning: bool):
+    """Rows (signature, set, part, n, counts, sketch) in order of signature to (signature, a, b): pairs of sets of different parts, smaller first; spanning: only those of a bucket's forest."""
+
+    def close(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        s, f, p, n, c, k = (np.concatenate(x) for x in zip(*held, strict=True))
+        cut = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        found = []
+        for x, y in zip(cut, np.append(cut[1:], len(s)), strict=True):
+            if (p[x:y] == p[x]).all():
+                continue
+            a, b, differ = near_pairs(p[x:y], n[x:y], points_of(c[x:y].tolist()), k[x:y].tolist(), num, den)
+            if spanning and len(a):
+                keep = forest(p[x:y], a, b, differ)
+                a, b = a[keep], b[keep]
+            if len(a):
+                found.append((np.full(len(a), s[x]), *np.sort([f[x:y][a], f[x:y][b]], axis=0)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["signature", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[list[np.ndarray]] = []
-
-        def close(held):
-            s, f, p, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            got = [pair for a, b in zip(cut, np.append(cut[1:], len(s)), strict=True) for pair in pairs(f[a:b], p[a:b], n[a:b], c[a:b])]
-            if got:
-                a, b = (np.concatenate(x) for x in zip(*got, strict=True))
-                both = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
         for batch in batches:
             s, f, p, n = (batch.column(k).to_numpy() for k in range(4))
-            c = batch.column(4).flatten().to_numpy().reshape(len(s), DIMS)
             if not len(s):
                 continue
-            rest.append([s, f, p, n, c])
-            last = np.searchsorted(s, s[-1])  # where the run that may go on begins
+            c, k = np.empty(len(s), object), np.empty(len(s), object)
+            c[:], k[:] = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            rows = [s, f, p, n, c, k]
+            last = int(np.searchsorted(s, s[-1]))  # where the run that may go on begins
             if last:
-                rest[-1] = [x[:last] for x in (s, f, p, n, c)]
+                yield from close([*rest, [x[:last] for x in rows]])
+                rest = []
+            elif rest and rest[-1][0][-1] != s[0]:
                 yield from close(rest)
-                rest = [[x[last:] for x in (s, f, p, n, c)]]
+                rest = []
+            rest.append([x[last:] for x in rows])
         if rest:
             yield from close(rest)
 
@@ -264,12 +353,15 @@ def _candidates(num: int, den: int):
 
 
 def _sets(width: int):
+    """Rows (text, set) to (set, tokens); a text of another set (its id is not unique) is left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            texts, keys = batch.column("text"), batch.column("set")
+            texts, keys = batch.column("text"), batch.column("set").to_pylist()
             for a in range(0, len(texts), 256):
-                yield pa.RecordBatch.from_arrays([keys.slice(a, 256), list_array([shingler.shingles(t).view(np.int64) for t in texts.slice(a, 256).to_pylist()], pa.int64())], names=["set", "tokens"])
+                found = [(k, u.view(np.int64)) for k, t in zip(keys[a : a + 256], texts.slice(a, 256).to_pylist(), strict=True) if len(u := shingler.shingles(t)) and fingerprint(u) == k]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), list_array([u for _, u in found], pa.int64())], names=["set", "tokens"])
 
     return run
 
@@ -289,50 +381,78 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    a = sets.select(F.col("set").alias("a"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("set").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    met = pairs.join(b, "b").join(a, "a").select("a", "b", both.alias("both"), (F.size("ta") + F.size("tb")).alias("total"))
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, broadcast_pairs: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. Up to broadcast_pairs of them go to the sets, so that only sets in pairs shuffle; beyond, pairs and sets shuffle."""
+    side = lambda key, name: sets.select(F.col("set").alias(key), F.col("tokens").alias(name))
+    if pairs.count() <= broadcast_pairs:
+        met = side("a", "ta").join(F.broadcast(pairs), "a").join(side("b", "tb").join(F.broadcast(pairs), "b"), ["a", "b"])
+    else:
+        met = pairs.join(side("b", "tb"), "b").join(side("a", "ta"), "a")
+    met = met.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("both"), (F.size("ta") + F.size("tb")).alias("total"))
     return met.where(F.col("both") * F.lit(num + den).cast("bigint") >= F.col("total") * F.lit(num).cast("bigint")).select("a", "b")
 
 
+def fitting(df: DataFrame, limit: int) -> DataFrame:
+    """df, a stored table, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def merged(parts: DataFrame, links: DataFrame, name: str, broadcast_parts: int) -> DataFrame:
+    """Parts (node, part) with the parts of linked nodes joined; nodes without a part so far are their own."""
+    near = fitting(parts, broadcast_parts)
+    part = lambda col, as_: near.select(F.col("node").alias(col), F.col("part").alias(as_))
+    bridges = links.join(part("a", "p"), "a", "left").join(part("b", "q"), "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))
+    joined = components(bridges, name)
+    wider = joined.select(F.col("node").alias("part"), F.col("part").alias("wider"))
+    whole = parts.join(wider, "part", "left").select("node", F.coalesce("wider", "part").alias("part"))
+    alone = joined.join(parts, "node", "left_anti").select("node", "part")
+    return materialise(whole.unionByName(alone), f"{name}-parts")
+
+
 def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row per document: its id, n_shingles and component_id, the smallest id that links reach. threshold is a fraction (numerator, denominator)."""
     num, den = threshold
     kind = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    profiles = materialise(docs.mapInArrow(_profiles(width, num, den), f"id {kind}, n bigint, set bigint, counts array<int>, signatures array<bigint>"), "profiles")
+    profiles = materialise(docs.mapInArrow(_profiles(width, num, den), f"id {kind}, n bigint, set bigint, counts binary, sketch binary, signatures array<bigint>"), "profiles")
     classes = profiles.where("set is not null").groupBy("set").agg(F.min("id").alias("first"))
 
     signed = profiles.select(F.explode("signatures").alias("signature"), "set")
-    met = materialise(signed.repartition("signature").sortWithinPartitions("signature", "set").mapInArrow(_meetings, "signature bigint, set bigint, pivot bigint"), "meetings")
-    best = met.where("set != pivot").groupBy("set", "pivot").count().groupBy("set").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
-
-    nodes = met.select("set").distinct()
-    wanted = materialise(classes.join(nodes, "set"), "wanted")
+    met = materialise(signed.repartition("signature").sortWithinPartitions("signature", "set").mapInArrow(_meetings, "signature bigint, set bigint"), "meetings")
+    # The hub of a bucket is the member that meets others most often: of copies with edits, the one they were made from.
+    ranked = met.join(met.groupBy("set").agg(F.count("*").alias("degree")), "set")
+    hubs = ranked.groupBy("signature").agg(F.max_by("set", F.struct("degree", "set")).alias("hub"))
+    met = materialise(met.join(hubs, "signature"), "hubs")
+    best = met.where("set != hub").groupBy("set", "hub").count().groupBy("set").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+
+    wanted = materialise(classes.join(met.select("set").distinct(), "set"), "wanted")
     small = wanted.count() <= broadcast_ids
     fetched = docs.join(F.broadcast(wanted) if small else wanted, docs["id"] == wanted["first"]).select("set", "text")
-    sets = materialise(fetched.mapInArrow(_sets(width), "set bigint, tokens array<bigint>").dropDuplicates(["set"]), "sets")
-
-    parts = components(_verified(best.select(F.col("set").alias("a"), F.col("pivot").alias("b")), sets, num, den), "forest")
-    part = lambda col, name: parts.select(F.col("node").alias(col), F.col("part").alias(name))
-    open_ = met.where("set != pivot").join(part("set", "p"), "set", "left").join(part("pivot", "q"), "pivot", "left")
-    open_ = open_.where(F.coalesce("p", "set") != F.coalesce("q", "pivot")).select("signature").distinct()
-    points = profiles.where(F.size("counts") > 0).select("set", "n", "counts").dropDuplicates(["set"])
-    rows = met.join(open_, "signature", "left_semi").join(part("set", "p"), "set", "left").join(points, "set")
-    rows = rows.select("signature", "set", F.coalesce("p", "set").alias("part"), "n", "counts")
-    pairs = rows.repartition("signature").sortWithinPartitions("signature").mapInArrow(_candidates(num, den), "a bigint, b bigint").distinct()
-    more = _verified(pairs, sets, num, den)
-    bridges = more.join(part("a", "p"), "a", "left").join(part("b", "q"), "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))
-    joined = components(bridges, "bridges")
-
-    whole = parts.join(joined.select(F.col("node").alias("part"), F.col("part").alias("wider")), "part", "left").select(F.col("node").alias("set"), F.coalesce("wider", "part").alias("part"))
-    alone = joined.join(parts, "node", "left_anti").select(F.col("node").alias("set"), "part")
-    grouped = classes.join(whole.unionByName(alone), "set")
+    sets = materialise(fetched.mapInArrow(_sets(width), "set bigint, tokens array<bigint>"), "sets")
+    stars = materialise(best.select(F.col("set").alias("a"), F.col("hub").alias("b")), "stars")
+    parts = components(_verified(stars, sets, num, den, broadcast_ids), "forest")
+
+    points = materialise(profiles.where("sketch is not null").join(met.select("set").distinct(), "set", "left_semi").select("set", "n", "counts", "sketch").dropDuplicates(["set"]), "points")
+    near = fitting(parts, broadcast_ids)
+    part = lambda table, col, as_: table.select(F.col("node").alias(col), F.col("part").alias(as_))
+    of = met.join(part(near, "set", "p"), "set", "left").join(part(near, "hub", "q"), "hub", "left").where(F.coalesce("p", "set") != F.coalesce("q", "hub"))
+    open_ = of.select("signature").distinct()
+    for name in ("spanning", "rest"):
+        rows = met.join(open_, "signature", "left_semi").join(part(near, "set", "p"), "set", "left").join(points, "set")
+        rows = rows.select("signature", "set", F.coalesce("p", "set").alias("part"), "n", "counts", "sketch")
+        found = materialise(rows.repartition("signature").sortWithinPartitions("signature").mapInArrow(_candidates(num, den, name == "spanning"), "signature bigint, a bigint, b bigint"), f"{name}-pairs")
+        pairs = materialise(found.select("a", "b").distinct(), f"{name}-distinct")
+        links = materialise(_verified(pairs, sets, num, den, broadcast_ids), f"{name}-links")
+        parts = merged(parts, links, name, broadcast_ids)
+        near = fitting(parts, broadcast_ids)
+        # A bucket whose whole forest holds has its surviving pairs within one component each; the others give all of them.
+        if name == "spanning":
+            open_ = materialise(found.join(links, ["a", "b"], "left_anti").select("signature").distinct(), "open")
+
+    grouped = classes.join(parts.withColumnRenamed("node", "set"), "set")
     smallest = grouped.groupBy("part").agg(F.min("first").alias("component"))
     of = grouped.join(smallest, "part").select("set", "component")
-    of = classes.join(of, "set", "left").select("set", F.coalesce("component", "first").alias("component"))
+    of = materialise(classes.join(of, "set", "left").select("set", F.coalesce("component", "first").alias("component")), "placed")
     known = profiles.where("set is not null").join(of, "set").select("id", "n", "component")
     empty = profiles.where("set is null").select("id", "n", F.col("id").alias("component"))
     return known.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

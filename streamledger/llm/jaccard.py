@@ -183,29 +183,45 @@ def sketch(u: np.ndarray) -> bytes:
     return np.packbits((np.bincount((u >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _profiles(width: int, num: int, den: int):
-    """id, text to id, n, set, counts, sketch, signatures; the last three once for each set in a task."""
+def _profiles(width: int):
+    """id, text to id, n, set: the size of the text's set and its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in batches:
+            texts = batch.column("text")
+            for a in range(0, len(texts), 256):
+                n, key = [], []
+                for text in texts.slice(a, 256).to_pylist():
+                    u = shingler.shingles(text)
+                    n.append(len(u))
+                    key.append(fingerprint(u) if len(u) else None)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, 256), pa.array(n, pa.int64()), pa.array(key, pa.int64())], names=["id", "n", "set"])
+
+    return run
+
+
+def _signed(width: int, num: int, den: int):
+    """Texts to rows (signature, set), once for each set in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, families, seen = Shingler(width), Families(num, den), set()
         for batch in batches:
             texts = batch.column("text")
             for a in range(0, len(texts), 256):
-                n, key, counts, parities, signed = [], [], [], [], []
+                keys, signed = [], []
                 for text in texts.slice(a, 256).to_pylist():
                     u = shingler.shingles(text)
                     f = fingerprint(u) if len(u) else None
-                    first = f is not None and f not in seen
-                    if first:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(f)
-                    n.append(len(u))
-                    key.append(f)
-                    counts.append(packed_counts(u) if first else None)
-                    parities.append(sketch(u) if first else None)
-                    signed.append(signatures(u, families).view(np.int64) if first else None)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, 256), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(counts, pa.binary()), pa.array(parities, pa.binary()), list_array(signed, pa.int64())], names=["id", "n", "set", "counts", "sketch", "signatures"])
+                    if f is None or f in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(f)
+                    keys.append(f)
+                    signed.append(signatures(u, families).view(np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signed)), pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in signed]))], names=["signature", "set"])
 
     return run
 
@@ -353,15 +369,19 @@ def _candidates(num: int, den: int, spanning: bool):
 
 
 def _sets(width: int):
-    """Rows (text, set) to (set, tokens); a text of another set (its id is not unique) is left out."""
+    """Rows (text, set) to (set, n, counts, sketch, tokens); a text of another set (its id is not unique) is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
             texts, keys = batch.column("text"), batch.column("set").to_pylist()
             for a in range(0, len(texts), 256):
-                found = [(k, u.view(np.int64)) for k, t in zip(keys[a : a + 256], texts.slice(a, 256).to_pylist(), strict=True) if len(u := shingler.shingles(t)) and fingerprint(u) == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), list_array([u for _, u in found], pa.int64())], names=["set", "tokens"])
+                found = [(k, u) for k, t in zip(keys[a : a + 256], texts.slice(a, 256).to_pylist(), strict=True) if len(u := shingler.shingles(t)) and fingerprint(u) == k]
+                sets = [u for _, u in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in found], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(packed_counts, sets)), pa.binary()), pa.array(list(map(sketch, sets)), pa.binary()), list_array([u.view(np.int64) for u in sets], pa.int64())],
+                    names=["set", "n", "counts", "sketch", "tokens"],
+                )
 
     return run
 
@@ -414,10 +434,11 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     num, den = threshold
     kind = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    profiles = materialise(docs.mapInArrow(_profiles(width, num, den), f"id {kind}, n bigint, set bigint, counts binary, sketch binary, signatures array<bigint>"), "profiles")
+    # Texts are cut into shingles three times (for all sizes, all signatures, the sets that meet): cheaper on disk than to store what all of them hold.
+    profiles = materialise(docs.mapInArrow(_profiles(width), f"id {kind}, n bigint, set bigint"), "profiles")
     classes = profiles.where("set is not null").groupBy("set").agg(F.min("id").alias("first"))
 
-    signed = profiles.select(F.explode("signatures").alias("signature"), "set")
+    signed = docs.select("text").mapInArrow(_signed(width, num, den), "signature bigint, set bigint")
     met = materialise(signed.repartition("signature").sortWithinPartitions("signature", "set").mapInArrow(_meetings, "signature bigint, set bigint"), "meetings")
     # The hub of a bucket is the member that meets others most often: of copies with edits, the one they were made from.
     ranked = met.join(met.groupBy("set").agg(F.count("*").alias("degree")), "set")
@@ -428,11 +449,11 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     wanted = materialise(classes.join(met.select("set").distinct(), "set"), "wanted")
     small = wanted.count() <= broadcast_ids
     fetched = docs.join(F.broadcast(wanted) if small else wanted, docs["id"] == wanted["first"]).select("set", "text")
-    sets = materialise(fetched.mapInArrow(_sets(width), "set bigint, tokens array<bigint>"), "sets")
+    sets = materialise(fetched.mapInArrow(_sets(width), "set bigint, n bigint, counts binary, sketch binary, tokens array<bigint>"), "sets")
     stars = materialise(best.select(F.col("set").alias("a"), F.col("hub").alias("b")), "stars")
     parts = components(_verified(stars, sets, num, den, broadcast_ids), "forest")
 
-    points = materialise(profiles.where("sketch is not null").join(met.select("set").distinct(), "set", "left_semi").select("set", "n", "counts", "sketch").dropDuplicates(["set"]), "points")
+    points = materialise(sets.select("set", "n", "counts", "sketch").dropDuplicates(["set"]), "points")
     near = fitting(parts, broadcast_ids)
     part = lambda table, col, as_: table.select(F.col("node").alias(col), F.col("part").alias(as_))
     of = met.join(part(near, "set", "p"), "set", "left").join(part(near, "hub", "q"), "hub", "left").where(F.coalesce("p", "set") != F.coalesce("q", "hub"))

@@ -12,9 +12,11 @@ usual parts of web pages: articles in several wrappers with headings, lists,
 quotes and tables, and menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments around and inside them.
 
-Scripts, styles, templates and comments never become blocks. Unclosed tags, cut-off
+Scripts, styles, templates, drawings (svg) and comments never become blocks; names
+that only begin like theirs, as svg-icon, are other elements. Unclosed tags, cut-off
 pages and stray end tags are read as browsers do in the main: an unfinished tag at
-the end is dropped, an end tag without its start is ignored. A null or empty page,
+the end is dropped, an end tag without its start is ignored, HTML ends an unclosed
+drawing, and an unclosed template lasts as long as what it stands in. A null or empty page,
 and one without main blocks, gives the empty text.
 """
 
@@ -38,15 +40,20 @@ SLOTS, CONTEXT_CACHE, TRAINING_PAGES = 1 << 14, 50_000, 1200
 MAIN, OTHER = "main", "other"
 #: Names of HTML elements by their kind.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+#: What ends a drawing that is still open.
+BREAKS = BLOCKS | frozenset("b big br code em embed i img meta nobr ruby s small span strike strong sub sup tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|title|textarea|svg|math|iframe|object|noframes"
+RAW = "script|style|noscript|title|textarea|iframe|noframes"
+#: Elements without text of the page, and those in a drawing that hold HTML again.
+UNSEEN, HTML_AGAIN = ("svg", "template"), ("foreignobject", "desc")
 #: What an opening tag ends that is still open, up to the nearest of the second names.
 ENDS = {t: (frozenset(a.split()), frozenset(b.split())) for ts, a, b in (("li", "li", "ul ol menu dir"), ("dt dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td th", "td th", "table tr"), ("option", "option", "select")) for t in ts.split()}
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*+>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""",
+    rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*+(?:(?<=/)>|>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""",
     re.S | re.I,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+UNSEEN_START = re.compile(rf"<(?:{'|'.join(UNSEEN)})[\s/>]", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -57,6 +64,28 @@ class Block:
         self.text, self.context, self.linked = text, context, linked
 
 
+def unseen(page: str) -> dict[int, int]:
+    """Where each drawing and template that has an end tag begins and ends; HTML inside a drawing ends it before that."""
+    out: dict[int, int] = {}
+    if not UNSEEN_START.search(page):
+        return out
+    stack: list[tuple[str, int]] = []
+    for m in TOKEN.finditer(page):
+        tag = (m.group(3) or m.group(6) or "").lower()
+        if m.group(2) or m.group(5):
+            last = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (tag, "template")), -1)  # nothing inside a template ends what is outside
+            if last >= 0 and stack[last][0] == tag:
+                if tag in UNSEEN:
+                    out[stack[last][1]] = m.end()
+                del stack[last:]
+        elif tag in BREAKS:
+            while stack and stack[-1][0] == "svg":
+                stack.pop()
+        elif (tag in UNSEEN or stack and tag in HTML_AGAIN) and not (m.group(4) or m.group(7) or "").endswith("/"):
+            stack.append((tag, m.start()))
+    return out
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; a context is the chain of (tag, words of its class, id and role)."""
     out: list[Block] = []
@@ -65,7 +94,7 @@ def leaf_blocks(page: str) -> list[Block]:
     linked = [0, 0]  # characters inside links, all characters
 
     def text(piece: str) -> None:
-        if piece:
+        if piece and not any(t in UNSEEN for t, _ in stack):
             piece = html.unescape(piece) if "&" in piece else piece
             parts.append(piece)
             n = len(piece.strip())
@@ -87,8 +116,10 @@ def leaf_blocks(page: str) -> list[Block]:
                 del stack[k:]
                 return
 
-    at = 0
+    at, skipped = 0, unseen(page)
     for m in TOKEN.finditer(page):
+        if m.start() < at:
+            continue
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
@@ -109,6 +140,12 @@ def leaf_blocks(page: str) -> list[Block]:
                 if k >= 0 and stack[k][0] == tag:
                     del stack[k]
             continue
+        if m.start() in skipped:
+            at = skipped[m.start()]
+            continue
+        if tag in BREAKS:
+            while any(t == "svg" for t, _ in stack):
+                stack.pop()
         if tag == "br":
             parts.append(" ")
             continue

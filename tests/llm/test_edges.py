@@ -97,6 +97,18 @@ def test_html(spark):
     assert html_extraction.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_html_drops_nothing_else():
+    blocks = lambda page: [b.text for b in html_extraction.leaf_blocks(page)]
+    for name in ("svg-icon", "title-bar", "template-card", "style-guide", "math-field", "object-view"):
+        assert blocks(f"<article><{name} a='b'>x</{name}><p>one<p>two</article>") == ["x", "one", "two"]
+    assert blocks("<div><svg><path d='m'>skip</div><p>one") == ["one"]
+    assert blocks("<article><p>a <svg><path> <span>b</span> c<p>one") == ["a b c", "one"]
+    assert blocks("<article><object data='x'><p>one<p>two") == ["one", "two"] and blocks("<div><template><li>skip</div><p>one") == ["one"]
+    assert blocks("<article><p>so <math><mi>x</mi></math> holds<p>two") == ["so x holds", "two"] and blocks("<p>so <math><mi>x<p>two") == ["so x", "two"]
+    assert blocks("<p>a <svg><title>t</title><svg></svg><text>no</text><foreignObject><p>no</p></foreignObject></svg> b") == ["a b"]
+    assert blocks("<p>a <template><p>no</p></div><template></template>no</template> b") == ["a b"] and blocks("<p>a</p><script>no</script x><p>b<script>no") == ["a", "b"]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", None), (1, None, None, "x"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (None, 0, "assistant", "n"), (2, 0, "user", "only")]
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"conv": F.lit(1), "start": F.lit(2)})

@@ -377,25 +377,41 @@ def stream_seq_state(spark, sf_dir):
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def _drained_ledger(spark: SparkSession, sf_dir: str, bounds: list[int]) -> DataFrame:
-    """The ledger after the first 300 events were emitted and drains with these bounds ran, one after the other."""
+def _published(spark: SparkSession, events: DataFrame) -> str:
+    """The root of a new ledger whose broker holds these events for the subscription `clicks`."""
     root = scratch(spark, "drain")
     streams.add_subscription(spark, root, "clicks", "click.*")
-    streams.emit(spark, root, _envelopes(spark, sf_dir).where("arrival <= 300"), "arrival")
-    for bound in bounds:
-        streams.drain_subscription(spark, root, "clicks", max=bound, timeout=600)
+    streams.emit(spark, root, events, "arrival")
+    return root
+
+
+def _ledger_ids(spark: SparkSession, root: str) -> DataFrame:
     return Ledger(spark, root).rows().select("subscription", "seq", "id")
 
 
+@query(with_envelopes("SELECT 'clicks' AS subscription, row_number() OVER (ORDER BY arrival) AS seq, id FROM envelopes WHERE regexp_full_match(type, 'click\\.[^.]+')"))
+def stream_drain_whole(spark, sf_dir):
+    """The whole table is emitted, and bounded drains run until the backlog is empty."""
+    root = _published(spark, _envelopes(spark, sf_dir))
+    streams.drain_all(spark, root, "clicks", max=1000, timeout=600)
+    return _ledger_ids(spark, root)
+
+
 CLICKS_SQL = "SELECT 'clicks' AS subscription, row_number() OVER (ORDER BY arrival) AS seq, id FROM envelopes WHERE arrival <= 300 AND regexp_full_match(type, 'click\\.[^.]+')"
 
 
 @query(with_envelopes(CLICKS_SQL))
 def stream_drain_available_now(spark, sf_dir):
-    return _drained_ledger(spark, sf_dir, [1000])
+    """One drain. Its SQL asks for the first 300 arrivals only; stream_drain_whole takes all."""
+    root = _published(spark, _envelopes(spark, sf_dir).where("arrival <= 300"))
+    streams.drain_subscription(spark, root, "clicks", max=1000, timeout=600)
+    return _ledger_ids(spark, root)
 
 
 @query(with_envelopes(f"SELECT * FROM ({CLICKS_SQL}) WHERE seq <= 25"))
 def stream_resume(spark, sf_dir):
-    """A second drain goes on where the first stopped."""
-    return _drained_ledger(spark, sf_dir, [10, 15])
+    """The whole table is emitted; a second drain goes on where the first stopped."""
+    root = _published(spark, _envelopes(spark, sf_dir))
+    for bound in (10, 15):
+        streams.drain_subscription(spark, root, "clicks", max=bound, timeout=600)
+    return _ledger_ids(spark, root)

@@ -4,7 +4,7 @@ The source `event_backlog` hands a subscription's messages to Structured
 Streaming: one read takes at most `max` of them, after the offset that the
 checkpoint holds, and a commit notes how far the subscription was drained. With
 `availableNow` one run is one bounded drain. Where a broker is remote, its client
-takes the place of `BacklogReader.pending`; the rest stays. Nothing is dropped here
+takes the place of `BacklogReader.captured`; the rest stays. Nothing is dropped here
 when a backlog grows; `kept_on_overflow` says what a bounded queue would keep.
 """
 
@@ -12,13 +12,16 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pyarrow.dataset as ds
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from streamledger.functions.topics import in_lane
 from streamledger.operators.backlog import retained
@@ -27,6 +30,10 @@ from streamledger.sources.committed import CommittedTable
 
 MESSAGES = T.StructType([T.StructField("arrival", T.LongType()), T.StructField("topic", T.StringType()), T.StructField("payload", T.StringType()), T.StructField("qos", T.IntegerType()), T.StructField("retain", T.BooleanType()), T.StructField("batch", T.StringType())])
 
+#: What the source hands out, and how many rows of a file are looked at at once.
+READ = pa.schema([("arrival", pa.int64()), ("topic", pa.string()), ("payload", pa.string()), ("qos", pa.int32()), ("retain", pa.bool_())])
+ROWS = 1 << 14
+
 
 class Broker:
     def __init__(self, spark: SparkSession, root: str):
@@ -64,37 +71,82 @@ def matches(filter_: str, topic: str) -> bool:
     return len(want) == len(have) and all(w in ("+", h) for w, h in zip(want, have, strict=True))
 
 
-class BacklogReader(SimpleDataSourceStreamReader):
+@dataclass
+class Group(InputPartition):
+    """A row group of a batch's file, and the arrivals that are wanted of it; one task reads it."""
+
+    file: str
+    group: int
+    after: int
+    upto: int
+
+
+class BacklogReader(DataSourceStreamReader):
+    """The driver finds where the next `max` messages end, from arrivals and topics alone and a piece at a time; tasks read the messages."""
+
     def __init__(self, options: dict):
         self.root, self.filter = options["path"].rstrip("/"), options["filter"]
         self.created, self.max = int(options.get("created", 0)), int(options.get("max", 100))
+        self.after: int | None = None
+
+    def files(self) -> tuple[pafs.FileSystem, str]:
+        return pafs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith(("/", "file:")) else (pafs.LocalFileSystem(), self.root)
 
     def initialOffset(self) -> dict:
         return {"arrival": self.created}
 
-    def pending(self, after: int, upto: int | None = None) -> Iterator[tuple]:
-        """Captured messages in order of arrival: batches are folders in that order, each read only when it is needed."""
-        fs, root = pafs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith(("/", "file:")) else (pafs.LocalFileSystem(), self.root)
+    def groups(self, after: int, upto: int | None = None) -> Iterator[Group]:
+        """Row groups with arrivals in (after, upto] in order of arrival: batches are folders in that order, each looked at only when it is needed."""
+        fs, root = self.files()
         marks = fs.get_file_info(pafs.FileSelector(posixpath.join(root, "batches"), allow_not_found=True))
         for batch in sorted(posixpath.basename(m.path) for m in marks if m.is_file and not posixpath.basename(m.path).startswith(".")):
-            table = ds.dataset(posixpath.join(root, "data", f"batch={batch}"), filesystem=fs, format="parquet", exclude_invalid_files=True)
-            keep = (ds.field("arrival") > after) & (ds.field("qos") >= 1)
-            if upto is not None:
-                keep &= ds.field("arrival") <= upto
-            for row in table.to_table(columns=["arrival", "topic", "payload", "qos", "retain"], filter=keep).sort_by("arrival").to_pylist():
-                if matches(self.filter, row["topic"]):
-                    yield (row["arrival"], row["topic"], row["payload"], row["qos"], row["retain"])
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        taken = []
-        for row in self.pending(start["arrival"]):
-            if len(taken) == self.max:
-                break
-            taken.append(row)
-        return iter(taken), {"arrival": taken[-1][0] if taken else start["arrival"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self.pending(start["arrival"], end["arrival"])
+            found = []
+            for f in fs.get_file_info(pafs.FileSelector(posixpath.join(root, "data", f"batch={batch}"), allow_not_found=True)):
+                if f.is_file and f.path.endswith(".parquet") and not posixpath.basename(f.path).startswith((".", "_")):
+                    with fs.open_input_file(f.path) as file:
+                        meta = pq.ParquetFile(file).metadata
+                    column = meta.schema.to_arrow_schema().get_field_index("arrival")
+                    for k in range(meta.num_row_groups):
+                        if meta.row_group(k).num_rows:
+                            held = meta.row_group(k).column(column).statistics  # Spark always writes them for a bigint
+                            found.append((held.min, held.max, f.path, k))
+            found.sort()
+            if upto is not None and found and found[0][0] > upto:
+                return
+            yield from (Group(file, k, after, -1 if upto is None else upto) for least, most, file, k in found if most > after and (upto is None or least <= upto))
+
+    def captured(self, group: Group, columns: list[str]) -> Iterator[pa.Table]:
+        """The subscription's messages of a row group in order of arrival (the order in which they are written)."""
+        with self.files()[0].open_input_file(group.file) as file:
+            for batch in pq.ParquetFile(file).iter_batches(ROWS, [group.group], [*dict.fromkeys([*columns, "arrival", "topic", "qos"])]):
+                rows = pa.Table.from_batches([batch])
+                keep = pc.and_(pc.greater(rows["arrival"], group.after), pc.greater_equal(rows["qos"], 1))
+                if group.upto >= 0:
+                    keep = pc.and_(keep, pc.less_equal(rows["arrival"], group.upto))
+                rows = rows.filter(keep)
+                topics = [t for t in pc.unique(rows["topic"]).to_pylist() if t is not None and matches(self.filter, t)]
+                yield rows.filter(pc.is_in(rows["topic"], pa.array(topics, pa.string()))).select(columns)
+
+    def latestOffset(self) -> dict:
+        after = self.created if self.after is None else self.after
+        last, left = after, self.max
+        for group in self.groups(after):
+            for rows in self.captured(group, ["arrival"]):
+                if rows.num_rows:
+                    last = rows["arrival"][min(left, rows.num_rows) - 1].as_py()
+                    left -= rows.num_rows
+                if left <= 0:
+                    return {"arrival": last}
+        return {"arrival": last}
+
+    def partitions(self, start: dict, end: dict) -> list[Group]:
+        """On a restart Spark asks for the batch planned last or for the empty range after it, so this is where the next batch begins."""
+        self.after = end["arrival"]
+        return list(self.groups(start["arrival"], end["arrival"])) if start["arrival"] < end["arrival"] else []
+
+    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
+        for rows in self.captured(partition, READ.names):
+            yield from rows.cast(READ).to_batches()
 
     def commit(self, end: dict) -> None:
         """Offsets live in the checkpoint; a remote broker's messages up to here would be acknowledged now."""
@@ -108,7 +160,7 @@ class BacklogSource(DataSource):
     def schema(self) -> str:
         return "arrival bigint, topic string, payload string, qos int, retain boolean"
 
-    def simpleStreamReader(self, schema: T.StructType) -> BacklogReader:
+    def streamReader(self, schema: T.StructType) -> BacklogReader:
         return BacklogReader(self.options)
 
 

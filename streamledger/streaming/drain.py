@@ -58,7 +58,7 @@ def store_batch(ledger: Ledger, subscription: str, result: DrainResult):
     def store(batch: DataFrame, number: int) -> None:
         parsed = parse_payloads(batch).persist()
         try:
-            told = parsed.where(F.size("errors") > 0).select("topic", reason().alias("reason")).collect()  # at most max rows
+            told = parsed.where(F.size("errors") > 0).orderBy("arrival").select("topic", reason().alias("reason")).collect()  # at most max rows
             good = parsed.where(F.size("errors") == 0).select(F.lit(subscription).alias("subscription"), "arrival", "event.*")
             name = f"{subscription}-{number:012d}"
             ledger.append(good, name)
@@ -101,6 +101,19 @@ def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0
     return result
 
 
+def drain_all(spark: SparkSession, root: str, name: str, max: int = 1000, timeout: float = DEFAULT_TIMEOUT) -> DrainResult:
+    """Bounded drains one after the other until the backlog is empty; what they did together."""
+    total = DrainResult(name)
+    while True:
+        result = drain_subscription(spark, root, name, max=max, timeout=timeout)
+        total.consumed, total.stored, total.skipped = total.consumed + result.consumed, total.stored + result.stored, total.skipped + result.skipped
+        total.cursor, total.stopped = result.cursor, result.stopped
+        if not result.has_more and result.stopped == "idle":
+            return total
+        if result.stopped == "timeout" and not result.consumed:
+            raise BrokerUnavailable(f"a drain of {name} took nothing in {timeout} s")
+
+
 def add_subscription(spark: SparkSession, root: str, name: str, pattern: str, owner: str | None = None):
     """The point from which messages are captured is noted first, the record second."""
     files = Files(spark, root)

@@ -124,6 +124,25 @@ def test_drain_and_cli(spark, tmp_path, capsys):
     assert run("sub", "show", "worker")[0] == 0 and run("sub", "remove", "worker")[0] == 0 and run("sub", "list")[1].out.strip() == ""
 
 
+def test_repeated_drains_take_the_whole_backlog(spark, tmp_path):
+    from pyspark.sql.datasource import InputPartition
+
+    from streamledger.sources.broker import BacklogReader
+
+    root, rows = str(tmp_path), adapter.envelopes(adapter.events(spark, SF))
+    drain.add_subscription(spark, root, "clicks", "click.*")
+    drain.emit(spark, root, rows.where("arrival <= 600"), "arrival")
+    drain.emit(spark, root, rows.where("arrival > 600"), "arrival")
+    reader = BacklogReader({"path": f"{root}/broker", "filter": "events/click/+", "max": "70"})
+    parts = reader.partitions({"arrival": 0}, {"arrival": 10**9})
+    assert len(parts) >= 2 and all(isinstance(p, InputPartition) for p in parts)  # tasks read, not the driver
+    want = [r["id"] for r in rows.where("type rlike '^click[.][^.]+$'").orderBy("arrival").collect()]
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == len(want) > 140
+    total = drain.drain_all(spark, root, "clicks", max=70, timeout=120)
+    assert (total.consumed, total.stored, total.cursor, total.has_more) == (len(want), len(want), len(want), False)
+    assert [(r["seq"], r["id"]) for r in drain.Ledger(spark, root).rows().orderBy("seq").collect()] == list(enumerate(want, 1))
+
+
 def test_stream_sequence_equals_batch(spark, tmp_path):
     stateful.use_rocksdb(spark)
     rows = adapter.matched(spark, SF).where("subscription in ('clicks', 'retries')").select("subscription", "arrival", "id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one is set, on one machine only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = held.get() if held.isDefined() else None
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -34,6 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's own setting: how much text one Arrow batch may hold; and its default, which stands for not set.
+BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: cuts lineage, survives lost executors, prunes columns, frees shuffles."""
     spark = df.sparkSession
@@ -44,7 +51,24 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` wrote; nothing that is still to run may read them."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with batches of few megabytes: rows go to and fro several times over, so that large ones fill an executor."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == BATCH_DEFAULT:
+        conf.set(BATCH_BYTES, "4m")
+    return df.mapInArrow(function, schema)
 
 
 def bucket_of(id_col: Column, modulus: int) -> Column:

@@ -5,40 +5,49 @@ shingle). Two sets A and B link when |A & B| >= t * |A | B|. The steps:
 
 1. Each text becomes a sorted array of 64-bit shingle hashes. Equal sets share a
    fingerprint and are one class from here on, so copies cost nothing more.
-2. Routing. Between random documents of one length an R-tree over counts prunes
-   nothing (their points lie closer together than the search radius), so pairs
-   meet by an exact rule first. Sets that link differ in at most D tokens, D
-   following from t and the larger size. Tokens are hashed into G > D groups by
-   ranges of their hashes; then at least G - D groups are equal, and a signature
-   of each group's tokens makes the pair meet. G depends on a band of sizes; a set
-   signs for its own band and for each one above in which a partner may lie.
-   Empty groups would meet everywhere; G has room for some of them, and only sets
-   with more empty groups than that sign them (any linked pair then still has an
-   equal group that both sign).
-3. Every class is first compared with one partner: the hub of a bucket (the member
-   that meets others most often) with which it shares most buckets. Verified edges
-   give components by labels that spread and jump. A group of near copies, however
-   large, is mostly one component here, with one comparison for each member.
-4. Buckets whose members still lie in several components go through the R-tree.
-   Points are the counts of `DIMS` groups of tokens; a node keeps the largest count
-   of each coordinate and the smallest size below it; the sum over coordinates of
-   min(query, node) bounds the overlap, and subtrees below the needed overlap are
-   cut. Among the points left, parities of the counts of many more groups bound the
-   difference. Pairs are verified on the sets in two rounds: first a spanning
-   forest of each bucket's surviving pairs, fewer than it has members; then, in
-   buckets of which an edge proved wrong, every surviving pair that still spans two
-   components.
-5. Components of both kinds of edges give each document the smallest id reachable.
-
-Verification compares 64-bit hashes of shingles; fingerprints are 64 bits as well.
+2. Regions. Between random documents of one length the boxes of an R-tree over counts
+   cover each other (the points lie closer together than nodes are wide), so one
+   tree over all sets prunes nothing above its leaves. Sets are dealt out to regions
+   first, by an exact rule: sets that link differ in at most D tokens, D following
+   from t and the larger size. Tokens are hashed into G > D groups by ranges of
+   their hashes; then at least G - D groups are equal, and a signature of each
+   group's tokens brings the pair into one region. G depends on a band of sizes; a
+   set signs for its own band and for each one above in which a partner may lie.
+   Empty groups would meet everywhere; G has room for those that a set of the band
+   leaves empty by chance, and only sets with more than that sign them (any linked
+   pair then still has an equal group that both sign).
+3. Trees. In each region an R-tree over the counts of `DIMS` groups of tokens gives the
+   pairs: a node keeps the largest count of each coordinate and the smallest size
+   below it; the sum over coordinates of min(query, node) bounds the overlap, and
+   subtrees below the needed overlap are cut. Among the points left, parities of the
+   counts of many more groups bound the difference. No pair reaches verification
+   but through a tree.
+4. Not all pairs of a region are told, but a spanning forest of them, nearest first:
+   fewer than it has members, however alike they are. The first round has cells in
+   place of regions: each set with the hub (the member of a bucket that meets others
+   most often) with which it shares most buckets, so that copies are mostly one
+   component after one comparison each. Verified edges give components by labels
+   that spread and jump. Then come the regions whose members still lie in several
+   components; a region of which an edge proved wrong gives 4, 16, 64, ... forests,
+   edge-disjoint, until all its pairs are given or lie within components.
+   A region of more than `BLOCK` sets is cut into blocks: its largest component, which
+   need not meet itself, is dealt out, and each two blocks of the rest meet in a
+   group of their own.
+5. Components of the edges give each document the smallest id reachable.
+
+Verification compares 64-bit hashes of shingles; fingerprints of whole sets are 64 bits
+as well and are not verified, so that among 10^9 different sets one false merger is
+to be expected about once in 37 runs.
 
 Null, empty and wordless texts have an empty set, link with nothing and are their
 own component. Rows that repeat an id are placed by their own text each; a null id
-is nobody's smallest id. Extra columns are ignored.
+links like any other but is nobody's smallest id (a component of null ids only has
+a null one). Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,15 +56,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import materialise, table
+from streamledger.llm.common import discard, mapped, materialise, slices, table
 
 WIDTH, THRESHOLD = 4, (85, 100)
 #: Coordinates of a point, entries of a tree node, words kept with their hash in a task.
-DIMS, FANOUT, WORD_CACHE = 32, 16, 500_000
-#: Counts are stored as bytes; this one and larger ones stand for no bound at all.
-FULL, UNBOUNDED = 255, 1 << 24
+DIMS, FANOUT, WORD_CACHE = 32, 16, 200_000
+#: Points in a block of a large bucket or cell; and characters of the texts whose signatures or sets go out together.
+BLOCK, SIGNED_CHARS = 1024, 500_000
 #: Sets that a task remembers so as not to sign them again; forgetting costs repeats, not results.
-SEEN = 500_000
+SEEN = 200_000
 #: Up to so many ids of candidate documents, pairs of sets, or sets in components are counted and broadcast to the rows they ask for; beyond, the joins shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -131,7 +140,14 @@ class Families:
         low = self.low[-1]
         high = max(low, low * self.den * self.den // (self.num * self.num))
         differ = 2 * high * (self.den - self.num) // (self.den + self.num)
-        spare = differ // 12 + 1
+        # Tokens of the smallest set that may sign here leave so many groups empty, by chance hardly ever more.
+        least, spare = self.num * low // self.den or 1, 0
+        while differ and spare < least:
+            groups = differ + 1 + spare
+            empty = math.exp(-least / groups)
+            if spare >= groups * empty + 2 * math.sqrt(groups * empty * (1 - empty)):
+                break
+            spare += 1 + spare // 16
         self.shape.append((differ + 1 + spare, spare) if differ else None)
         self.low.append(high + 1)
 
@@ -167,14 +183,17 @@ def list_array(parts: list[np.ndarray | None], kind) -> pa.Array:
 
 
 def packed_counts(u: np.ndarray) -> bytes:
-    """The point of a set: how many of its tokens fall in each of DIMS groups."""
-    return np.minimum(np.bincount((u >> np.uint64(59)).astype(np.int64), minlength=DIMS), FULL).astype(np.uint8).tobytes()
+    """The point of a set: how many of its tokens fall in each of DIMS groups, as bytes or, where one is over 255, as 32-bit integers."""
+    counts = np.bincount((u >> np.uint64(59)).astype(np.int64), minlength=DIMS)
+    return counts.astype(np.uint8 if counts.max() <= 255 else np.uint32).tobytes()
 
 
 def points_of(counts: list[bytes]) -> np.ndarray:
-    points = np.frombuffer(b"".join(counts), np.uint8).reshape(len(counts), DIMS).astype(np.int64)
-    points[points == FULL] = UNBOUNDED
-    return points
+    out = np.empty((len(counts), DIMS), np.int64)
+    wide = np.array([len(c) > DIMS for c in counts])
+    for kind, rows in ((np.uint8, ~wide), (np.uint32, wide)):
+        out[rows] = np.frombuffer(b"".join(c for c, w in zip(counts, rows, strict=True) if w), kind).reshape(-1, DIMS)
+    return out
 
 
 def sketch(u: np.ndarray) -> bytes:
@@ -184,19 +203,17 @@ def sketch(u: np.ndarray) -> bytes:
 
 
 def _profiles(width: int):
-    """id, text to id, n, set: the size of the text's set and its fingerprint."""
+    """id, text to id, n, set: the size of the text's set and its fingerprint; text_hash finds the text again, as an id may stand on several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            texts = batch.column("text")
-            for a in range(0, len(texts), 256):
-                n, key = [], []
-                for text in texts.slice(a, 256).to_pylist():
-                    u = shingler.shingles(text)
-                    n.append(len(u))
-                    key.append(fingerprint(u) if len(u) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, 256), pa.array(n, pa.int64()), pa.array(key, pa.int64())], names=["id", "n", "set"])
+            n, key = [], []
+            for text in batch.column("text").to_pylist():
+                u = shingler.shingles(text)
+                n.append(len(u))
+                key.append(fingerprint(u) if len(u) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(key, pa.int64())], names=["id", "text_hash", "n", "set"])
 
     return run
 
@@ -207,10 +224,10 @@ def _signed(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, families, seen = Shingler(width), Families(num, den), set()
         for batch in batches:
-            texts = batch.column("text")
-            for a in range(0, len(texts), 256):
+            texts = batch.column("text").to_pylist()
+            for a, b in slices(texts, SIGNED_CHARS):
                 keys, signed = [], []
-                for text in texts.slice(a, 256).to_pylist():
+                for text in texts[a:b]:
                     u = shingler.shingles(text)
                     f = fingerprint(u) if len(u) else None
                     if f is None or f in seen:
@@ -278,105 +295,146 @@ class CountTree:
         return self.order[nodes]
 
 
-def words_of_sketches(sketches: list[bytes]) -> np.ndarray:
-    """Sketches folded to the narrowest of them (neighbouring groups merge), as rows of 64-bit words."""
-    narrow = min(map(len, sketches))
-    rows = np.empty((len(sketches), narrow), np.uint8)
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches folded to width bytes (neighbouring groups merge), as rows of bytes."""
+    rows = np.empty((len(sketches), width), np.uint8)
     for k, x in enumerate(sketches):
         bits = np.frombuffer(x, np.uint8)
-        if len(bits) > narrow:
-            bits = np.packbits(np.bitwise_xor.reduce(np.unpackbits(bits).reshape(narrow * 8, -1), axis=1))
+        if len(bits) > width:
+            bits = np.packbits(np.bitwise_xor.reduce(np.unpackbits(bits).reshape(width * 8, -1), axis=1))
         rows[k] = bits
-    return rows.view(np.uint64)
-
-
-def near_pairs(parts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, sketches: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of positions of different parts that may link, and how many tokens differ at least. The tree cuts by overlap, sketches by difference."""
-    if (parts == parts[0]).all():
-        none = np.empty(0, np.int64)
-        return none, none, none
-    words, tree, found = words_of_sketches(sketches), CountTree(counts, sizes, num, den), []
-    for k in range(len(parts)):
-        near = tree.query(counts[k], sizes[k])
-        near = near[(near > k) & (parts[near] != parts[k])]
-        if len(near):
-            differ = np.bitwise_count(words[near] ^ words[k]).sum(axis=1, dtype=np.int64)
-            total = sizes[near] + sizes[k]
-            ok = differ <= total - 2 * -(-num * total // (num + den))
-            found.append((np.full(ok.sum(), k), near[ok], differ[ok]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-
-
-def forest(parts: np.ndarray, a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> np.ndarray:
-    """Of the pairs, nearest first, those that join parts not joined before: fewer than there are members."""
-    root = {p: p for p in parts.tolist()}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    keep = []
-    for k in np.argsort(differ, kind="stable"):
-        x, y = find(int(parts[a[k]])), find(int(parts[b[k]]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(k)
-    return np.array(keep, np.int64)
-
-
-def _candidates(num: int, den: int, spanning: bool):
-    """Rows (signature, set, part, n, counts, sketch) in order of signature to (signature, a, b): pairs of sets of different parts, smaller first; spanning: only those of a bucket's forest."""
-
-    def close(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        s, f, p, n, c, k = (np.concatenate(x) for x in zip(*held, strict=True))
-        cut = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        found = []
-        for x, y in zip(cut, np.append(cut[1:], len(s)), strict=True):
-            if (p[x:y] == p[x]).all():
+    return rows
+
+
+def leaf_pairs(group: np.ndarray, parts: np.ndarray, sizes: np.ndarray, points: np.ndarray, sketches: np.ndarray, num: int, den: int) -> list[tuple[int, int, int]]:
+    """Trees of one leaf, many at a time: (tokens that differ at least, position, position) of the pairs of one group and different parts that pass both bounds."""
+    found = []
+    for step in range(1, FANOUT):
+        a = np.flatnonzero((group[step:] == group[:-step]) & (parts[step:] != parts[:-step]))
+        if not len(a) and not (group[step:] == group[:-step]).any():
+            break
+        b = a + step
+        total = sizes[a] + sizes[b]
+        need = -(-num * total // (num + den))
+        ok = np.minimum(points[a], points[b]).sum(axis=1) >= need
+        a, b, most = a[ok], b[ok], (total - 2 * need)[ok]
+        for x, y, m in zip(a.tolist(), b.tolist(), most.tolist(), strict=True):
+            pair = folded([sketches[x], sketches[y]], min(len(sketches[x]), len(sketches[y])))
+            differ = int(np.bitwise_count(pair[0] ^ pair[1]).sum(dtype=np.int64))
+            if differ <= m:
+                found.append((differ, x, y))
+    return found
+
+
+def forests(parts: np.ndarray, pairs: list[tuple[int, int, int]], passes: int) -> list[tuple[int, int, int]]:
+    """(position, position, pass): each pass takes, nearest first, those of the pairs left that join parts not joined in it before, fewer than there are parts."""
+    roots: list[dict[int, int]] = [{} for _ in range(passes)]
+    out = []
+    for _, a, b in sorted(pairs):
+        for k, root in enumerate(roots):
+            x, y = int(parts[a]), int(parts[b])
+            while root.get(x, x) != x:
+                x = root[x]
+            while root.get(y, y) != y:
+                y = root[y]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((a, b, k))
+                break
+    return out
+
+
+def tree_forests(parts: np.ndarray, sizes: np.ndarray, points: np.ndarray, sketches: list[bytes], num: int, den: int, passes: int) -> list[tuple[int, int, int]]:
+    """The same for groups of several leaves, without a list of all pairs: forests grow a point at a time to the nearest, one tree query for each."""
+    tree, out = CountTree(points, sizes, num, den), []
+    words = folded(sketches, min(map(len, sketches)))
+    taken: list[list[int]] = [[] for _ in parts]
+    far = np.int64(1) << 60
+    for k in range(passes):
+        key, source, left = np.full(len(parts), far), np.zeros(len(parts), np.int64), np.ones(len(parts), bool)
+        began = len(out)
+        for _ in range(len(parts)):
+            x = int(np.where(left, key, far + 1).argmin())
+            if 0 <= key[x] < far:
+                y = int(source[x])
+                out.append((y, x, k))
+                taken[x].append(y)
+                taken[y].append(x)
+            left[x] = False
+            key[left & (parts == parts[x])] = -1  # parts are joined already, at no cost
+            near = tree.query(points[x], sizes[x])
+            near = near[left[near] & (key[near] >= 0)]
+            if taken[x] and len(near):
+                near = near[~np.isin(near, taken[x])]
+            if not len(near):
                 continue
-            a, b, differ = near_pairs(p[x:y], n[x:y], points_of(c[x:y].tolist()), k[x:y].tolist(), num, den)
-            if spanning and len(a):
-                keep = forest(p[x:y], a, b, differ)
-                a, b = a[keep], b[keep]
-            if len(a):
-                found.append((np.full(len(a), s[x]), *np.sort([f[x:y][a], f[x:y][b]], axis=0)))
+            differ = np.bitwise_count(words[near] ^ words[x]).sum(axis=1, dtype=np.int64)
+            total = sizes[near] + sizes[x]
+            ok = (differ <= total - 2 * -(-num * total // (num + den))) & (differ < key[near])
+            key[near[ok]], source[near[ok]] = differ[ok], x
+        if len(out) == began:
+            break
+    return out
+
+
+def _trees(num: int, den: int, passes: int):
+    """Rows (cell, i, j, set, part, n, counts, sketch) in order of the first three to (cell, a, b, pass): pairs of sets of different parts, smaller first, that `passes` forests of each group take."""
+
+    def close(rows: list) -> Iterator[pa.RecordBatch]:
+        cell, i, j, f, p, n, c, sketches = rows
+        new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        starts = np.flatnonzero(new)
+        lengths = np.diff(np.append(starts, len(cell)))
+        group = np.cumsum(new) - 1
+        found: list[tuple[int, int, int]] = []
+        small = np.flatnonzero(lengths[group] <= FANOUT)
+        if len(small):
+            pairs = leaf_pairs(group[small], p[small], n[small], points_of(c[small].tolist()), sketches[small], num, den)
+            by_group: dict[int, list] = {}
+            for differ, a, b in pairs:
+                by_group.setdefault(int(group[small[a]]), []).append((differ, int(small[a]), int(small[b])))
+            for held in by_group.values():
+                found += forests(p, held, passes)
+        for k in np.flatnonzero(lengths > FANOUT).tolist():
+            x, y = int(starts[k]), int(starts[k] + lengths[k])
+            if (p[x:y] != p[x]).any():
+                found += [(x + a, x + b, at) for a, b, at in tree_forests(p[x:y], n[x:y], points_of(c[x:y].tolist()), sketches[x:y].tolist(), num, den, passes)]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["signature", "a", "b"])
+            a, b, at = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(cell[a]), pa.array(np.minimum(f[a], f[b])), pa.array(np.maximum(f[a], f[b])), pa.array(at.astype(np.int32))], names=["cell", "a", "b", "pass"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[list[np.ndarray]] = []
         for batch in batches:
-            s, f, p, n = (batch.column(k).to_numpy() for k in range(4))
-            if not len(s):
+            if not batch.num_rows:
                 continue
-            c, k = np.empty(len(s), object), np.empty(len(s), object)
-            c[:], k[:] = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            rows = [s, f, p, n, c, k]
-            last = int(np.searchsorted(s, s[-1]))  # where the run that may go on begins
-            if last:
-                yield from close([*rest, [x[:last] for x in rows]])
-                rest = []
-            elif rest and rest[-1][0][-1] != s[0]:
-                yield from close(rest)
-                rest = []
-            rest.append([x[last:] for x in rows])
+            rows = [batch.column(k).to_numpy() for k in range(6)]
+            for k in (6, 7):
+                held = np.empty(batch.num_rows, object)
+                held[:] = batch.column(k).to_pylist()
+                rows.append(held)
+            rest.append(rows)
+            whole = [np.concatenate(x) for x in zip(*rest, strict=True)]
+            going_on = (whole[0] == whole[0][-1]) & (whole[1] == whole[1][-1]) & (whole[2] == whole[2][-1])
+            cut = int(going_on.argmax())  # where the group that may go on begins
+            if cut:
+                yield from close([x[:cut] for x in whole])
+            rest = [[x[cut:] for x in whole]]
         if rest:
-            yield from close(rest)
+            yield from close(rest[0])
 
     return run
 
 
 def _sets(width: int):
-    """Rows (text, set) to (set, n, counts, sketch, tokens); a text of another set (its id is not unique) is left out."""
+    """Rows (text, set) to (set, n, counts, sketch, tokens); a text of another set is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            texts, keys = batch.column("text"), batch.column("set").to_pylist()
-            for a in range(0, len(texts), 256):
-                found = [(k, u) for k, t in zip(keys[a : a + 256], texts.slice(a, 256).to_pylist(), strict=True) if len(u := shingler.shingles(t)) and fingerprint(u) == k]
+            texts, keys = batch.column("text").to_pylist(), batch.column("set").to_pylist()
+            for a, b in slices(texts, SIGNED_CHARS):
+                found = [(k, u) for k, t in zip(keys[a:b], texts[a:b], strict=True) if len(u := shingler.shingles(t)) and fingerprint(u) == k]
                 sets = [u for _, u in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in found], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(packed_counts, sets)), pa.binary()), pa.array(list(map(sketch, sets)), pa.binary()), list_array([u.view(np.int64) for u in sets], pa.int64())],
@@ -389,6 +447,8 @@ def _sets(width: int):
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Edges (a, b) to (node, part): part is the smallest node reachable. Labels spread along edges and jump along labels, so long chains take few rounds."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{name}-edges")
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("part"))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("part"))
     labels = materialise(labels, f"{name}-0")
     while True:
@@ -429,46 +489,99 @@ def merged(parts: DataFrame, links: DataFrame, name: str, broadcast_parts: int)
     return materialise(whole.unionByName(alone), f"{name}-parts")
 
 
-def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def in_cells(best: DataFrame, block: int) -> DataFrame:
+    """Rows (set, hub), a set's best hub, to (cell, i, j, set, part): the members of a hub's cell and the hub; a cell of more than `block` members is dealt out by their hashes, the hub to all."""
+    sizes = best.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = best.join(sizes, "hub").select(F.col("hub").alias("cell"), F.pmod(F.xxhash64("set"), "blocks").cast("int").alias("i"), "set")
+    hubs = sizes.select(F.col("hub").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("hub").alias("set"))
+    return members.unionByName(hubs).select("cell", "i", F.lit(0).alias("j"), "set", F.col("set").alias("part"))
+
+
+def in_blocks(rows: DataFrame, block: int, broadcast_ids: int) -> DataFrame:
+    """Rows (cell, set, part), as stored, to (cell, i, j, set, part), so that each two sets of a cell and of different parts share a group (cell, i, j), which has about 2 * block rows at most.
+
+    A cell of more than `block` rows is cut into blocks: those of its largest part,
+    which need not meet each other, and those of the rest, which meet all.
+    """
+    parts = rows.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    cells = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("big"), F.max("n").alias("most")).where(F.col("n") > block)
+    large = materialise(cells.select("cell", "big", F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("rest"), F.ceil(F.col("most") / block).cast("int").alias("bigs")).where("rest > 0"), "large-cells")
+    of = rows.join(fitting(large, broadcast_ids), "cell", "left")
+    hash_ = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own, rests = hash_("rest"), F.sequence(F.lit(0), F.col("rest") - 1)
+    with_rest = F.transform(F.filter(rests, lambda y: y != own), lambda y: pair(F.least(own, y), F.greatest(own, y)))
+    with_big = F.transform(F.sequence(F.lit(0), F.col("bigs") - 1), lambda g: pair(own, F.col("rest") + g))
+    to_rest = F.transform(rests, lambda x: pair(x, F.col("rest") + hash_("bigs")))
+    at = F.when(F.col("rest").isNull(), F.array(pair(F.lit(0), F.lit(0)))).when(F.col("part") == F.col("big"), to_rest).otherwise(F.concat(with_rest, with_big))
+    return of.select("cell", F.explode(at).alias("at"), "set", "part").select("cell", "at.i", "at.j", "set", "part")
+
+
+def tree_pairs(grouped: DataFrame, points: DataFrame, num: int, den: int, passes: int, name: str) -> DataFrame:
+    """Stored pairs (cell, a, b, pass) that the trees of all groups (cell, i, j) let through."""
+    rows = grouped.join(points, "set").select("cell", "i", "j", "set", "part", "n", "counts", "sketch")
+    rows = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "set")
+    return materialise(mapped(rows, _trees(num, den, passes), "cell bigint, a bigint, b bigint, pass int"), name)
+
+
+def ngram_jaccard_links(docs: DataFrame, wanted: DataFrame, met: DataFrame, best: DataFrame, width: int, num: int, den: int, broadcast_ids: int, block: int) -> DataFrame:
+    """Parts (node, part) of all sets that link: rounds of tree queries, verification and merging."""
+    small = wanted.count() <= broadcast_ids
+    same = docs["id"].eqNullSafe(wanted["first"]) & (docs["text_hash"] == wanted["hash"])
+    fetched = docs.join(F.broadcast(wanted) if small else wanted, same).select("set", "text")
+    sets = materialise(mapped(fetched, _sets(width), "set bigint, n bigint, counts binary, sketch binary, tokens array<bigint>"), "sets")
+    points = materialise(sets.select("set", "n", "counts", "sketch").dropDuplicates(["set"]), "points")
+
+    found = tree_pairs(in_cells(best, block), points, num, den, 1, "cell-pairs")
+    links = materialise(_verified(materialise(found.select("a", "b").distinct(), "cell-distinct"), sets, num, den, broadcast_ids), "cell-links")
+    parts = components(links, "cells")
+    open_, passes = None, 1
+    while True:
+        near = fitting(parts, broadcast_ids)
+        part = lambda col, as_, near=near: near.select(F.col("node").alias(col), F.col("part").alias(as_))
+        if open_ is None:
+            of = met.join(part("set", "p"), "set", "left").join(part("hub", "q"), "hub", "left").where(F.coalesce("p", "set") != F.coalesce("q", "hub"))
+            open_ = materialise(of.select("signature").distinct(), "open")
+        rows = met.join(fitting(open_, broadcast_ids), "signature", "left_semi").join(part("set", "p"), "set", "left")
+        rows = materialise(rows.select(F.col("signature").alias("cell"), "set", F.coalesce("p", "set").alias("part")), "open-rows")
+        found = tree_pairs(in_blocks(rows, block, broadcast_ids), points, num, den, passes, "pairs")
+        links = materialise(_verified(materialise(found.select("a", "b").distinct(), "distinct"), sets, num, den, broadcast_ids), "links")
+        parts = merged(parts, links, "merged", broadcast_ids)
+        # Done is a bucket that gave all it has, or whose pairs all lie within one part each by now; the others give more.
+        near = fitting(parts, broadcast_ids)
+        last = found.where(F.col("pass") == passes - 1).select("cell").distinct()
+        of = found.join(near.select(F.col("node").alias("a"), F.col("part").alias("p")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("part").alias("q")), "b", "left")
+        of = of.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("cell").distinct()
+        open_ = materialise(of.join(last, "cell", "left_semi").select(F.col("cell").alias("signature")), "open")
+        discard(rows, found)
+        if open_.isEmpty():
+            discard(points, sets)
+            return parts
+        passes *= 4
+
+
+def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, broadcast_ids: int = BROADCAST_IDS, block: int = BLOCK) -> DataFrame:
     """One row per document: its id, n_shingles and component_id, the smallest id that links reach. threshold is a fraction (numerator, denominator)."""
     num, den = threshold
     kind = documents.schema[id_col].dataType.simpleString()
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("text_hash"))
     # Texts are cut into shingles three times (for all sizes, all signatures, the sets that meet): cheaper on disk than to store what all of them hold.
-    profiles = materialise(docs.mapInArrow(_profiles(width), f"id {kind}, n bigint, set bigint"), "profiles")
-    classes = profiles.where("set is not null").groupBy("set").agg(F.min("id").alias("first"))
+    profiles = materialise(mapped(docs, _profiles(width), f"id {kind}, text_hash bigint, n bigint, set bigint"), "profiles")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
+    classes = profiles.where("set is not null").groupBy("set").agg(least.alias("least")).select("set", F.col("least.id").alias("first"), F.col("least.text_hash").alias("hash"))
 
-    signed = docs.select("text").mapInArrow(_signed(width, num, den), "signature bigint, set bigint")
-    met = materialise(signed.repartition("signature").sortWithinPartitions("signature", "set").mapInArrow(_meetings, "signature bigint, set bigint"), "meetings")
+    signed = mapped(docs.select("text"), _signed(width, num, den), "signature bigint, set bigint")
+    pairs = materialise(mapped(signed.repartition("signature").sortWithinPartitions("signature", "set"), _meetings, "signature bigint, set bigint"), "meetings")
     # The hub of a bucket is the member that meets others most often: of copies with edits, the one they were made from.
-    ranked = met.join(met.groupBy("set").agg(F.count("*").alias("degree")), "set")
+    ranked = pairs.join(pairs.groupBy("set").agg(F.count("*").alias("degree")), "set")
     hubs = ranked.groupBy("signature").agg(F.max_by("set", F.struct("degree", "set")).alias("hub"))
-    met = materialise(met.join(hubs, "signature"), "hubs")
+    met = materialise(pairs.join(hubs, "signature"), "hubs")
+    discard(pairs)
     best = met.where("set != hub").groupBy("set", "hub").count().groupBy("set").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-
+    best = materialise(best, "best")
     wanted = materialise(classes.join(met.select("set").distinct(), "set"), "wanted")
-    small = wanted.count() <= broadcast_ids
-    fetched = docs.join(F.broadcast(wanted) if small else wanted, docs["id"] == wanted["first"]).select("set", "text")
-    sets = materialise(fetched.mapInArrow(_sets(width), "set bigint, n bigint, counts binary, sketch binary, tokens array<bigint>"), "sets")
-    stars = materialise(best.select(F.col("set").alias("a"), F.col("hub").alias("b")), "stars")
-    parts = components(_verified(stars, sets, num, den, broadcast_ids), "forest")
-
-    points = materialise(sets.select("set", "n", "counts", "sketch").dropDuplicates(["set"]), "points")
-    near = fitting(parts, broadcast_ids)
-    part = lambda table, col, as_: table.select(F.col("node").alias(col), F.col("part").alias(as_))
-    of = met.join(part(near, "set", "p"), "set", "left").join(part(near, "hub", "q"), "hub", "left").where(F.coalesce("p", "set") != F.coalesce("q", "hub"))
-    open_ = of.select("signature").distinct()
-    for name in ("spanning", "rest"):
-        rows = met.join(open_, "signature", "left_semi").join(part(near, "set", "p"), "set", "left").join(points, "set")
-        rows = rows.select("signature", "set", F.coalesce("p", "set").alias("part"), "n", "counts", "sketch")
-        found = materialise(rows.repartition("signature").sortWithinPartitions("signature").mapInArrow(_candidates(num, den, name == "spanning"), "signature bigint, a bigint, b bigint"), f"{name}-pairs")
-        pairs = materialise(found.select("a", "b").distinct(), f"{name}-distinct")
-        links = materialise(_verified(pairs, sets, num, den, broadcast_ids), f"{name}-links")
-        parts = merged(parts, links, name, broadcast_ids)
-        near = fitting(parts, broadcast_ids)
-        # A bucket whose whole forest holds has its surviving pairs within one component each; the others give all of them.
-        if name == "spanning":
-            open_ = materialise(found.join(links, ["a", "b"], "left_anti").select("signature").distinct(), "open")
+    parts = ngram_jaccard_links(docs, wanted, met, best, width, num, den, broadcast_ids, block)
+    discard(met, best, wanted)
 
     grouped = classes.join(parts.withColumnRenamed("node", "set"), "set")
     smallest = grouped.groupBy("part").agg(F.min("first").alias("component"))

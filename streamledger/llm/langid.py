@@ -5,39 +5,44 @@ learned transitions connect neighbouring words, and forward-backward gives every
 word a distribution over languages. A text's language is the one with the largest
 sum over its words (ties: the first by name), its score that sum's share.
 
-Training uses a bounded sample: `per_language` documents expected for each
-language, drawn by a hash of the id among the rows that may be learned from, and
-`PIECES` runs of words from all over each text. Document labels hold for all
-words of a text; half of the training sequences join pieces of different texts, so
-that transitions learn both to stay and to switch. One half of the sampled
-documents gives the lexicons, the other half the sequences.
-
-Null texts and texts without a letter are `und` with score 0. Languages are the
-non-null values of the label column. At most `MAX_LANGUAGES` are expected; more
-is an error, not a silent cut. Nothing but the text is looked at in prediction.
+Training uses a bounded sample: `per_language` documents of each language, drawn
+by a hash of id and text among the rows that may be learned from, so that rows
+that repeat an id, or have none, are drawn each by itself. Executors take what is
+needed from them: of one half the distinct words, whose counts by language give
+the lexicons; of the other `PIECES` runs of words from all over each text. Document
+labels hold for all words of a text; half of the training sequences join pieces of
+different texts, so that transitions learn both to stay and to switch.
+
+A run of more than `RUN` letters (as in scripts without spaces) is cut into
+consecutive words, so that all its letters count. Null texts and texts without a
+letter are `und` with score 0. Languages are the non-null values of the label
+column, however many. Rows that repeat are each predicted; extra columns are
+ignored; without rows to learn from every text is `und`. Nothing but the text is
+looked at in prediction.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamledger.llm import crf
-from streamledger.llm.common import bucket_of, slices, table, unit_hash
+from streamledger.llm.common import bucket_of, discard, mapped, materialise, slices, table, unit_hash
 
-PER_LANGUAGE, PIECES, PIECE_WORDS, MAX_LANGUAGES = 400, 6, 12, 64
-SLOTS, WORD_CACHE = 1 << 16, 300_000
-LEXICON_COUNT, LEXICON_SHARE = 3, 0.9
+PER_LANGUAGE, PIECES, PIECE_WORDS, RUN = 400, 6, 12, 40
+#: Parts of words and scores of words (numbers, not rows) that a task keeps.
+SLOTS, PART_CACHE, SCORE_CACHE = 1 << 16, 50_000, 2_000_000
+#: A word names a language if so many documents of the sample hold it, and this share of them in that language; the most frequent of each are kept.
+LEXICON_COUNT, LEXICON_SHARE, LEXICON_WORDS = 3, 0.9, 20_000
 UND = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(rf"[^\W\d_]{{1,{RUN}}}")
 
 
 @dataclass
@@ -58,7 +63,7 @@ class Slots(dict):
 
     def __missing__(self, part: str) -> int:
         slot = zlib.crc32((self.kind + part).encode("utf-8", "surrogatepass")) & (SLOTS - 1)
-        if len(self) < WORD_CACHE:
+        if len(self) < PART_CACHE:
             self[part] = slot
         return slot
 
@@ -68,7 +73,7 @@ PREFIX, SUFFIX, GRAM, LEXICON = Slots("p"), Slots("s"), Slots("g"), Slots("l")
 
 def features(word: str, lexicon: dict[str, str]) -> list[int]:
     """Slots of a word: bias, itself, prefixes and suffixes of 1 to 4 letters, letter trigrams, and the language that its lexicon entry names."""
-    edged = f"<{word[:40]}>"
+    edged = f"<{word}>"
     n = min(5, len(word) + 1)
     slots = [0, zlib.crc32(word.encode("utf-8", "surrogatepass")) & (SLOTS - 1)]
     slots += [PREFIX[word[:k]] for k in range(1, n)]
@@ -79,30 +84,24 @@ def features(word: str, lexicon: dict[str, str]) -> list[int]:
     return slots
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """rows: (text, language)."""
+def pieces_of(words: list[str], seed: int) -> list[list[str]]:
+    """PIECES runs of words from all over a text."""
     rng = np.random.default_rng(seed)
-    rows = sorted(rows)
-    order = rng.permutation(len(rows))
-    labels = sorted({lang for _, lang in rows})
+    return [words[at : at + PIECE_WORDS] for at in sorted(rng.integers(0, max(1, len(words) - PIECE_WORDS + 1), PIECES))] if words else []
+
+
+def fit(pieces: list[tuple[list[str], str]], lexicon: dict[str, str], seed: int = 7) -> Model:
+    """pieces: (words, language)."""
+    rng = np.random.default_rng(seed)
+    pieces = sorted(p for p in pieces if p[0])
+    labels = sorted({lang for _, lang in pieces})
     number = {x: k for k, x in enumerate(labels)}
-    counts: dict[str, Counter] = {x: Counter() for x in labels}
-    for k in order[::2]:
-        counts[rows[k][1]].update(set(words_of(rows[k][0])))
-    total: Counter = sum(counts.values(), Counter())
-    lexicon = {w: x for x in labels for w, c in counts[x].items() if c >= LEXICON_COUNT and c >= LEXICON_SHARE * total[w]}
-    pieces: list[tuple[list[str], int]] = []
-    learned = order[1::2] if len(order) > 1 else order
-    for k in learned:
-        text, lang = rows[k]
-        words = words_of(text)
-        for at in sorted(rng.integers(0, max(1, len(words) - PIECE_WORDS + 1), PIECES)) if words else ():
-            pieces.append((words[at : at + PIECE_WORDS], number[lang]))
+    order = rng.permutation(len(pieces))
     sequences = []
-    for k in range(0, len(pieces), 2):
+    for k in order[::2]:
         other = pieces[int(rng.integers(len(pieces)))]
         for chain in ([pieces[k]], [pieces[k], other]):
-            sequences.append(([np.array(features(w, lexicon), np.int32) for ws, _ in chain for w in ws], [lang for ws, lang in chain for _ in ws]))
+            sequences.append(([np.array(features(w, lexicon), np.int32) for ws, _ in chain for w in ws], [number[lang] for ws, lang in chain for _ in ws]))
     if not sequences:
         return Model(crf.Crf([UND], np.zeros((SLOTS, 1)), np.zeros((1, 1)), np.zeros(1)), {})
     return Model(crf.train(sequences, labels, SLOTS, epochs=4), lexicon)
@@ -144,7 +143,7 @@ class Tagger:
 
     def tag(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
         """For each text the row numbers of its words, and the posteriors of all words one after the other."""
-        if len(self.index) > WORD_CACHE:
+        if self.index.used * len(self.model.chain.labels) > SCORE_CACHE:
             self.index = Rows()
         row, found = self.index.__getitem__, []
         for text in texts:
@@ -171,17 +170,36 @@ class Tagger:
         return names, shares
 
 
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sampled texts to their distinct words (one half) or to pieces (the other)."""
+    for batch in batches:
+        for text, lang, draw in zip(*(batch.column(k).to_pylist() for k in ("text", "lang", "draw")), strict=True):
+            words = words_of(text)
+            lexical = draw & 1 == 0
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([sorted(set(words)) if lexical else []], pa.list_(pa.string())), pa.array([[] if lexical else pieces_of(words, draw & 0x7FFFFFFF)], pa.list_(pa.list_(pa.string())))], names=["lang", "words", "pieces"])
+
+
 def train(documents: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from a bounded sample of the rows where `learn` holds and the language is known."""
-    known = documents.where(learn & F.col(lang_col).isNotNull())
-    counts = known.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{lang_col} has over {MAX_LANGUAGES} values")
+    known = documents.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = known.groupBy("lang").count().collect()
     if not counts:
-        return fit([])
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], per_language / r["count"])])
-    drawn = known.where(unit_hash(F.col(id_col), "language") < share[F.col(lang_col)])
-    return fit([(r[0] or "", r[1]) for r in drawn.select(text_col, lang_col).collect()])
+        return fit([], {})
+    # About twice as many as needed pass the hash, and of these the first are taken.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 2 * per_language / r["count"])])
+    drawn = known.withColumn("draw", F.xxhash64("id", "text", F.lit("language"))).where(unit_hash(F.col("draw"), "language") < share[F.col("lang")])
+    first = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("rank") <= per_language)
+    # Halves follow the rank, so that both have rows wherever there are two.
+    first = first.select("text", "lang", (F.shiftleft(F.col("draw"), 1) + F.when((F.col("rank") > 1) & (F.col("rank") % 2 == 1), 0).otherwise(1)).alias("draw"))
+    sample = materialise(mapped(first, _samples, "lang string, words array<string>, pieces array<array<string>>"), "language-sample")
+    by_lang = sample.select("lang", F.explode("words").alias("word")).groupBy("word", "lang").count()
+    total = by_lang.groupBy("word").agg(F.max_by("lang", F.struct("count", "lang")).alias("lang"), F.max("count").alias("most"), F.sum("count").alias("all"))
+    named = total.where((F.col("most") >= LEXICON_COUNT) & (F.col("most") >= LEXICON_SHARE * F.col("all")))
+    named = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("most"), "word"))).where(F.col("rank") <= LEXICON_WORDS)
+    lexicon = {r["word"]: r["lang"] for r in named.select("word", "lang").collect()}
+    pieces = [(r["piece"], r["lang"]) for r in sample.select("lang", F.explode("pieces").alias("piece")).collect()]
+    discard(sample)
+    return fit(pieces, lexicon)
 
 
 def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +215,7 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=["id", "lang_pred", "score"])
 
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    out = mapped(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -216,7 +234,7 @@ def code_switches(documents: DataFrame, model: Model, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k].as_py()] * len(words), ids.type), pa.array(range(len(words)), pa.int64()), pa.array(words, pa.string()), pa.array([held.value.chain.labels[x] for x in best], pa.string()), pa.array(post[np.arange(len(best)), best], pa.float64())], names=["id", "position", "word", "lang", "probability"])
 
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, position bigint, word string, lang string, probability double")
+    out = mapped(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, position bigint, word string, lang string, probability double")
     return out.withColumnRenamed("id", id_col)
 
 

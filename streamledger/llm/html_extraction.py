@@ -12,12 +12,16 @@ usual parts of web pages: articles in several wrappers with headings, lists,
 quotes and tables, and menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments around and inside them.
 
-Scripts, styles, templates, drawings (svg) and comments never become blocks; names
-that only begin like theirs, as svg-icon, are other elements. Unclosed tags, cut-off
+Scripts, styles, titles, frames, templates, drawings (svg) and comments never become
+blocks, and their text is not the page's; the text of noscript, math and object is
+for the chain to judge. Names that only begin like theirs, as svg-icon, are other
+elements. Unclosed tags, cut-off
 pages and stray end tags are read as browsers do in the main: an unfinished tag at
 the end is dropped, an end tag without its start is ignored, HTML ends an unclosed
-drawing, and an unclosed template lasts as long as what it stands in. A null or empty page,
-and one without main blocks, gives the empty text.
+drawing, and an unclosed template lasts as long as what it stands in. Work and memory
+follow a page's length, however deep its elements nest. A null or empty page, and one
+without main blocks, gives the empty text; pages that repeat are each read, and extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,20 +38,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamledger.llm import crf
-from streamledger.llm.common import slices, table
+from streamledger.llm.common import mapped, slices, table
 
-SLOTS, CONTEXT_CACHE, TRAINING_PAGES = 1 << 14, 50_000, 1200
+SLOTS, SCORE_CACHE, TRAINING_PAGES = 1 << 14, 50_000, 1200
 MAIN, OTHER = "main", "other"
 #: Names of HTML elements by their kind.
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 #: What ends a drawing that is still open.
 BREAKS = BLOCKS | frozenset("b big br code em embed i img meta nobr ruby s small span strike strong sub sup tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|title|textarea|iframe|noframes"
+RAW = "script|style|title|textarea|iframe|noframes"
 #: Elements without text of the page, and those in a drawing that hold HTML again.
 UNSEEN, HTML_AGAIN = ("svg", "template"), ("foreignobject", "desc")
-#: What an opening tag ends that is still open, up to the nearest of the second names.
-ENDS = {t: (frozenset(a.split()), frozenset(b.split())) for ts, a, b in (("li", "li", "ul ol menu dir"), ("dt dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td th", "td th", "table tr"), ("option", "option", "select")) for t in ts.split()}
+#: What an opening tag ends that is still open, up to the nearest of the third names.
+GROUPS = [tuple(frozenset(x.split()) for x in g) for g in (("li", "li", "ul ol menu dir"), ("dt dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td th", "td th", "table tr"), ("option", "option", "select"))]
+GROUP_OF = {t: k for k, (tags, _, _) in enumerate(GROUPS) for t in tags}
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*+(?:(?<=/)>|>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""",
     re.S | re.I,
@@ -57,10 +62,28 @@ UNSEEN_START = re.compile(rf"<(?:{'|'.join(UNSEEN)})[\s/>]", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Element:
+    """An open block element: what it adds to what stands above it, so that a chain of elements is never copied."""
+
+    __slots__ = ("inline", "nearest", "new_words", "parent", "scores", "tag", "tags", "words")
+
+    def __init__(self, tag: str, words: frozenset, new_words: tuple, parent: Element | None, at: int):
+        self.tag, self.words, self.new_words, self.parent = tag, words, new_words, parent
+        above = parent.tags if parent else frozenset()
+        self.tags = above if tag in above or tag in ("html", "body") else above | {tag}
+        self.inline: dict[str, int] = {}  # elements within its text that are open
+        self.nearest = [at if tag in close or tag in stop else parent.nearest[k] if parent else -1 for k, (_, close, stop) in enumerate(GROUPS)]
+        self.scores: np.ndarray | None = None
+
+    @property
+    def inside(self) -> str:
+        return "article" if "article" in self.tags else "main" if "main" in self.tags else "none"
+
+
 class Block:
     __slots__ = ("context", "linked", "text")
 
-    def __init__(self, text: str, context: tuple, linked: float):
+    def __init__(self, text: str, context: Element, linked: float):
         self.text, self.context, self.linked = text, context, linked
 
 
@@ -70,51 +93,78 @@ def unseen(page: str) -> dict[int, int]:
     if not UNSEEN_START.search(page):
         return out
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {t: [] for t in (*UNSEEN, *HTML_AGAIN)}
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+
     for m in TOKEN.finditer(page):
         tag = (m.group(3) or m.group(6) or "").lower()
         if m.group(2) or m.group(5):
-            last = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (tag, "template")), -1)  # nothing inside a template ends what is outside
-            if last >= 0 and stack[last][0] == tag:
+            last = places[tag][-1] if places.get(tag) else -1
+            if last >= 0 and (tag == "template" or not places["template"] or places["template"][-1] < last):  # nothing inside a template ends what is outside
                 if tag in UNSEEN:
                     out[stack[last][1]] = m.end()
-                del stack[last:]
+                cut(last)
         elif tag in BREAKS:
             while stack and stack[-1][0] == "svg":
-                stack.pop()
+                cut(len(stack) - 1)
         elif (tag in UNSEEN or stack and tag in HTML_AGAIN) and not (m.group(4) or m.group(7) or "").endswith("/"):
+            places[tag].append(len(stack))
             stack.append((tag, m.start()))
     return out
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; a context is the chain of (tag, words of its class, id and role)."""
+    """The text blocks of a page in order, each with the innermost block element that it stands in."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    root = Element("", frozenset(), (), None, 0)
+    stack = [root]
+    places: dict[str, list[int]] = {}  # where the open elements of a name stand
+    words_open: dict[str, int] = {}
+    inline_open: dict[str, int] = {}
+    before_drawing: list[dict[str, int]] = []  # what was open in the text when an unclosed drawing began
     parts: list[str] = []
     linked = [0, 0]  # characters inside links, all characters
 
     def text(piece: str) -> None:
-        if piece and not any(t in UNSEEN for t, _ in stack):
+        if piece and not any(inline_open.get(t) for t in UNSEEN):
             piece = html.unescape(piece) if "&" in piece else piece
             parts.append(piece)
             n = len(piece.strip())
             linked[1] += n
-            if any(t == "a" for t, _ in stack):
+            if inline_open.get("a"):
                 linked[0] += n
 
     def flush() -> None:
         if parts:
             clean = " ".join("".join(parts).split())
             if clean:
-                out.append(Block(clean, tuple(x for x in stack if x[0] in BLOCKS), linked[0] / max(1, linked[1])))
+                out.append(Block(clean, stack[-1], linked[0] / max(1, linked[1])))
             parts.clear()
         linked[0] = linked[1] = 0
 
-    def end(tag: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
+    def set_inline(held: dict[str, int], tag: str, n: int) -> None:
+        inline_open[tag] = inline_open.get(tag, 0) + n - held.get(tag, 0)
+        held[tag] = n
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            gone = stack.pop()
+            places[gone.tag].pop()
+            for w in gone.words:
+                words_open[w] -= 1
+            for t in gone.inline:
+                inline_open[t] -= gone.inline[t]
+
+    def push(tag: str, attributes: str) -> None:
+        words = frozenset(w.lower() for g in NAMES.findall(attributes) for w in PART.findall(" ".join(g))) if "=" in attributes else frozenset()
+        new = tuple(w for w in words if not words_open.get(w))
+        for w in words:
+            words_open[w] = words_open.get(w, 0) + 1
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Element(tag, words, new, stack[-1], len(stack)))
 
     at, skipped = 0, unseen(page)
     for m in TOKEN.finditer(page):
@@ -126,68 +176,67 @@ def leaf_blocks(page: str) -> list[Block]:
         tag = (m.group(3) or m.group(6) or "").lower()
         if not tag:
             continue
-        block = tag in BLOCKS
+        block, held = tag in BLOCKS, stack[-1].inline
         if m.group(2) or m.group(5):
-            if block and any(t == tag for t, _ in stack):
+            if block and places.get(tag):
                 flush()
-                end(tag)
-            elif not block and stack and not any(t == tag for t, _ in stack):
-                continue
-            elif not block:
-                k = len(stack) - 1
-                while k >= 0 and stack[k][0] != tag and stack[k][0] not in BLOCKS:
-                    k -= 1
-                if k >= 0 and stack[k][0] == tag:
-                    del stack[k]
+                cut(places[tag][-1])
+            elif not block and held.get(tag):
+                set_inline(held, tag, held[tag] - 1)
             continue
         if m.start() in skipped:
             at = skipped[m.start()]
             continue
-        if tag in BREAKS:
-            while any(t == "svg" for t, _ in stack):
-                stack.pop()
+        if tag in BREAKS and held.get("svg"):
+            kept = before_drawing.pop()
+            before_drawing.clear()
+            for t in list(held):
+                set_inline(held, t, min(held[t], kept.get(t, 0)))
         if tag == "br":
             parts.append(" ")
             continue
         if block:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-            if tag in ENDS:
-                close, stop = ENDS[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in close:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in stop:
-                        break
+            if stack[-1].tag == "p":
+                cut(len(stack) - 1)
+            if tag in GROUP_OF:
+                near = stack[-1].nearest[GROUP_OF[tag]]
+                if near >= 0 and stack[near].tag in GROUPS[GROUP_OF[tag]][1]:
+                    cut(near)
         if tag in VOID:
             continue
         attributes = m.group(4) or m.group(7) or ""
         if block:
-            words = tuple(sorted({w.lower() for g in NAMES.findall(attributes) for w in PART.findall(" ".join(g))})) if "=" in attributes else ()
-            stack.append((tag, words))
+            push(tag, attributes)
         elif not attributes.endswith("/"):
-            stack.append((tag, ()))
+            if tag == "svg" and not held.get("svg"):
+                before_drawing[:] = [dict(held)]
+            set_inline(held, tag, held.get(tag, 0) + 1)
     if at < len(page):
         text(page[at:])
     flush()
     return out
 
 
-def context_names(context: tuple) -> list[str]:
-    tags = [t for t, _ in context]
-    inside = "article" if "article" in tags else "main" if "main" in tags else "none"
-    names = ["bias", f"own:{tags[-1] if tags else ''}", f"in:{inside}", f"own:{tags[-1] if tags else ''}:{inside}"]
-    for t in sorted(set(tags) - {"html", "body"}):
-        names += [f"tag:{t}", f"tag:{t}:{inside}"]
-    for depth, (_, words) in enumerate(reversed(context)):
-        names += [f"word:{w}" for w in words] + ([f"near:{w}" for w in words] if depth < 2 else [])
-    return sorted(set(names))
+def own_names(element: Element) -> list[str]:
+    """Names of what an element is and stands in, but for the words of its chain."""
+    own, inside = element.tag, element.inside
+    names = ["bias", f"own:{own}", f"in:{inside}", f"own:{own}:{inside}"]
+    for t in sorted(element.tags):
+        names += [f"tag:{t}", f"tag:{t}:{inside}"] if t else []
+    return names
+
+
+def near_words(element: Element) -> frozenset:
+    return element.words | element.parent.words if element.parent else element.words
+
+
+def context_names(element: Element) -> list[str]:
+    words, e = [], element
+    while e:
+        words += e.new_words
+        e = e.parent
+    return own_names(element) + sorted([f"word:{w}" for w in words] + [f"near:{w}" for w in near_words(element)])
 
 
 def text_names(block: Block) -> tuple:
@@ -295,7 +344,7 @@ def labelled_pages(n: int, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
     def junk_inside() -> tuple[str, list[str]]:
         return r.choice((advert, advert, form, notice, related, sidebar, comments))()
 
-    for _ in range(n):
+    for page in range(n):
         parts = [f() for f, p in ((notice, 0.3), (header, 0.5), (menu, 0.7), (advert, 0.5), (form, 0.2), (sidebar, 0.2), (related, 0.15)) if r.random() < p]
         if r.random() < 0.5:
             r.shuffle(parts)
@@ -306,6 +355,8 @@ def labelled_pages(n: int, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
         inner += body()
         if tag == "article" and r.random() < 0.2:
             inner.append((f"<footer>{words(1, 5)}</footer>", [OTHER]))
+        if page % 6 == 0:  # of what stands beside scripts, half within the article
+            (inner if page % 12 else parts).insert(0, (f"<noscript>{sentence()}</noscript>", [OTHER]))
         bare = r.random() < 0.1  # text stands in the body itself
         parts += inner if bare else [(f"<{tag}{names}>", []), *inner, (f"</{tag}>", [])]
         parts += [f() for f, p in ((comments, 0.4), (related, 0.3), (advert, 0.2), (sidebar, 0.3), (form, 0.2), (notice, 0.1), (footer, 0.8)) if r.random() < p]
@@ -323,22 +374,41 @@ def train(pages: int = TRAINING_PAGES) -> crf.Crf:
 
 
 class Extractor:
-    """Scores of contexts and of kinds of text are computed once and kept, in bounded memory."""
+    """Scores of names and of kinds of text are computed once and kept, in bounded memory; an element's words add to its parent's."""
 
     def __init__(self, model: crf.Crf):
-        self.model, self.contexts, self.kinds = model, {}, {}
+        self.model, self.kept = model, {}
+
+    def held(self, key, names) -> np.ndarray:
+        found = self.kept.get(key)
+        if found is None:
+            if len(self.kept) > SCORE_CACHE:
+                self.kept.clear()
+            found = self.kept[key] = self.model.weights[names()].sum(axis=0)
+        return found
+
+    def word(self, name: str) -> np.ndarray:
+        return self.held(name, lambda: slots_of([name]))
+
+    def words(self, element: Element) -> np.ndarray:
+        """Scores of the words of a whole chain."""
+        chain = []
+        while element.scores is None:
+            chain.append(element)
+            if element.parent is None:
+                break
+            element = element.parent
+        total = element.scores if element.scores is not None else np.zeros(2)
+        for e in reversed(chain):
+            e.scores = total = sum((self.word(f"word:{w}") for w in e.new_words), total)
+        return total
 
     def scores(self, block: Block) -> np.ndarray:
-        if len(self.contexts) > CONTEXT_CACHE:
-            self.contexts.clear()
-        c = self.contexts.get(block.context)
-        if c is None:
-            c = self.contexts[block.context] = self.model.weights[slots_of(context_names(block.context))].sum(axis=0)
+        e = block.context
+        own = self.held((e.tag, e.tags), lambda: slots_of(own_names(e)))
+        near = sum((self.word(f"near:{w}") for w in near_words(e)), np.zeros(2))
         kind = text_names(block)
-        t = self.kinds.get(kind)
-        if t is None:
-            t = self.kinds[kind] = self.model.weights[text_slots(kind)].sum(axis=0)
-        return c + t
+        return own + self.words(e) + near + self.held(kind, lambda: text_slots(kind))
 
     def extract(self, pages: list[str | None]) -> list[str]:
         found = [leaf_blocks(p) if p else [] for p in pages]
@@ -363,7 +433,7 @@ def extract_main_text(pages: DataFrame, model: crf.Crf | None = None, id_col: st
             for a, b in slices(pages):
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("url").slice(a, b - a), pa.array(extractor.extract(pages[a:b]), pa.string())], names=["id", "url", "text"])
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string")
+    out = mapped(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
 

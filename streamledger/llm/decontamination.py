@@ -7,10 +7,11 @@ All windows form one automaton over " word word ... ", and one scan of a
 document's normalised text reports every window that occurs in it. Matches are
 word ranges, and word ranges map back to character spans of the original.
 
-Benchmarks are small next to a corpus, but their size is checked: at most
-`shard_chars` characters of items go into one automaton (and one broadcast).
-A larger benchmark is dealt into that many shards, each scanned in its own
-pass, and the shards' word ranges are merged by document.
+Benchmarks are small next to a corpus, but their size is checked: items of about
+`shard_chars` characters go into one automaton (and one broadcast), which takes
+some 500 bytes a character and is built once in a worker. A larger benchmark is
+dealt into that many shards, each brought to the driver by itself and scanned in its
+own pass, and the shards' word ranges are merged by document.
 
 Null, empty and wordless texts have no words and no hits; an item without
 words has no windows; repeated items and repeated documents are each reported.
@@ -19,6 +20,7 @@ words has no windows; repeated items and repeated documents are each reported.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -26,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from streamledger.llm.common import materialise, table
+from streamledger.llm.common import mapped, materialise, table
 
 WIDTH = 10
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 400_000
 #: Byte to byte: A-Z to a-z; digits, a-z and all bytes of non-ASCII characters stay; the rest separates.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -99,7 +101,7 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
 
 def shards_of(benchmark: DataFrame, id_col: str, text_col: str, shard_chars: int) -> Iterator[list[tuple[object, str | None]]]:
     """The items in blocks of about shard_chars characters, brought to the driver one block at a time."""
-    cols = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
+    cols = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).distinct()
     chars = cols.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-chars // shard_chars))
     for k in range(n):
@@ -114,16 +116,17 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     item_type = benchmark.schema[item_col].dataType.simpleString()
     arrow_type = to_arrow_type(benchmark.schema[item_col].dataType)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shards = list(shards_of(benchmark, item_col, item_text_col, shard_chars))
+    shards = (spark.sparkContext.broadcast(items) for items in shards_of(benchmark, item_col, item_text_col, shard_chars))
+    first, second = next(shards), next(shards, None)
     schema = f"id {id_type}, n_words bigint, n_hit bigint, items array<{item_type}>, spans array<struct<start:bigint,end:bigint>>"
-    if len(shards) == 1:
-        out = docs.mapInArrow(_scanner(spark.sparkContext.broadcast(shards[0]), arrow_type, width, spans), schema)
+    if second is None:
+        out = mapped(docs, _scanner(first, arrow_type, width, spans), schema)
     else:
         keyed = docs.withColumn("row", F.monotonically_increasing_id())
         keyed = materialise(keyed, "decontamination")
         parts = None
-        for items in shards:
-            one = keyed.mapInArrow(_scanner(spark.sparkContext.broadcast(items), arrow_type, width, spans, ranges=True), f"row bigint, ranges array<struct<start:bigint,end:bigint>>, {schema}")
+        for items in chain([first, second], shards):
+            one = mapped(keyed, _scanner(items, arrow_type, width, spans, ranges=True), f"row bigint, ranges array<struct<start:bigint,end:bigint>>, {schema}")
             parts = one if parts is None else parts.unionByName(one)
         out = _merge(parts)
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.array_sort(F.col("items"), lambda a, b: F.when(a.cast("string") < b.cast("string"), -1).when(a.cast("string") > b.cast("string"), 1).otherwise(0)).alias("items"), "spans", (F.col("n_hit") > 0).alias("contaminated"))
@@ -137,11 +140,22 @@ def _merge(parts: DataFrame) -> DataFrame:
     return g.select("id", "n_words", F.aggregate("r", start, step)["hit"].alias("n_hit"), "items", "spans")
 
 
+#: The items of which a worker built an automaton last, and that automaton.
+BUILT: list = []
+
+
+def built(items: list, width: int) -> ahocorasick.Automaton | None:
+    """The automaton of broadcast items, built once in a worker."""
+    if not BUILT or BUILT[0] is not items or BUILT[1] != width:
+        BUILT[:] = [items, width, automaton_of(items, width)]
+    return BUILT[2]
+
+
 def _scanner(items, item_type: pa.DataType, width: int, spans: bool, ranges: bool = False):
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton_of(items.value, width)
+        auto = built(items.value, width)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n_words, n_hit, found, where, ran = [], [], [], [], []

@@ -5,12 +5,15 @@ module, so a media column holds complete WAV files. The reader's samples are cut
 into frames of `FRAME` samples, each half overlapping the next; a Hann window and
 a real FFT give magnitudes. A frame's peaks are its local maxima over frequency
 that stand above the frame's mean, strongest first, `PEAKS` a frame (equal
-magnitudes: the lower frequency first). Every peak is paired with the peaks of
-the next `REACH` frames; a pair is the code f1 | f2 | dt, stored with the number
-of its first frame. That array of (time, code) is the fingerprint.
+magnitudes: the lower frequency first). Every peak is paired with the weaker peaks
+of its own frame and with the peaks of the next `REACH` frames; a pair is the code
+f1 | f2 | dt, stored with the number of its first frame. That array of (time, code)
+is the fingerprint; pairs within a frame give one to inputs of a single frame too.
 
 Null and empty inputs give one frame of padding; silence has no peaks and an
-empty fingerprint. Equal inputs give equal files and fingerprints.
+empty fingerprint. Equal inputs give equal files and fingerprints; rows that repeat
+are each stored, ids may be null, and extra columns are ignored. Very long inputs
+are transformed `BLOCK` frames at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import slices, table
+from streamledger.llm.common import mapped, slices, table
 
 UNIT, FRAME, HOP, PEAKS, REACH, RATE = 576, 576, 288, 3, 3, 8000
 #: Frames transformed at once: bounds a task's memory for very long inputs.
@@ -84,7 +87,7 @@ def fingerprint(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     times, codes = [], []
     for step in range(1, REACH * PEAKS + PEAKS):  # peaks are in order of frames, so partners stand at most that far on
         near = frame[step:] - frame[:-step]
-        ok = (near > 0) & (near <= REACH)
+        ok = near <= REACH
         times.append(frame[:-step][ok])
         codes.append(freq[:-step][ok] << 13 | freq[step:][ok] << 3 | near[ok])
     t, c = np.concatenate(times), np.concatenate(codes)
@@ -111,7 +114,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_columns(rows: DataFrame, id_col: str, data_col: str) -> DataFrame:
     """One row for each of rows: its id, n_bytes (unpadded), payload_bytes, payload_sha256 and tail_crc32 (read back from the file), media (a WAV file) and fingerprint. data_col is binary."""
     picked = rows.select(F.col(id_col).alias("id"), F.col(data_col).alias("data"))
-    out = picked.mapInArrow(_store, f"id {picked.schema['id'].dataType.simpleString()}, {SCHEMA}")
+    out = mapped(picked, _store, f"id {picked.schema['id'].dataType.simpleString()}, {SCHEMA}")
     return out.withColumnRenamed("id", id_col)
 
 

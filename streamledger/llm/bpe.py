@@ -28,12 +28,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import slices, table
+from streamledger.llm.common import mapped, slices, table
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-PIECE_CACHE = 400_000
-PAIR_CACHE = 1_000_000
+PIECE_CACHE = 150_000
+PAIR_CACHE = 300_000
 #: Longer pieces are not kept.
 CACHED_CHARS = 64
 
@@ -169,7 +169,7 @@ def encode_decode(documents: DataFrame, tokenizer: str, id_col: str = "doc_id",
                 text = [v.decode(x) for x in ids] if decode else [None] * len(ids)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(ids, pa.binary()), pa.array(text, pa.string())], names=schema.names)
 
-    out = docs.mapInArrow(run, f"id {documents.schema[id_col].dataType.simpleString()}, ids binary, decoded string")
+    out = mapped(docs, run, f"id {documents.schema[id_col].dataType.simpleString()}, ids binary, decoded string")
     return out.select(F.col("id").alias(id_col), "ids", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), "decoded")
 
 

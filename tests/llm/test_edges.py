@@ -111,11 +111,11 @@ def test_html_drops_nothing_else():
 
 def test_chat(spark):
     rows = [(1, 0, "user", None), (1, None, None, "x"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (None, 0, "assistant", "n"), (2, 0, "user", "only")]
-    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"conv": F.lit(1), "start": F.lit(2)})
-    got = {r["conv"]: r for r in chat.read_back(chat.format_turns(frame)).collect()}
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"conv": F.lit(1), "start": F.lit(2), "turns": F.lit(3), "replies": F.lit(4)})
+    got = {r["conv"]: r for r in chat.read_back(chat.expand(chat.format_turns(frame))).collect()}
     assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("", "x"), ("user", ""), ("assistant", "a"), ("assistant", "a")]
     assert got[1]["trained"] == ["a", "a"] and got[None]["trained"] == ["n"] and got[2]["trained"] == []
-    assert chat.read_back(chat.format_turns(frame.limit(0))).count() == 0
+    assert chat.read_back(chat.expand(chat.format_turns(frame.limit(0)))).count() == 0
 
 
 def test_warc(spark, tmp_path):

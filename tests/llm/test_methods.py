@@ -54,16 +54,31 @@ def test_chat_expansion_and_escapes(spark):
     parts = ["\\", "#", "###", "</turn>", "\n", ":", " ", "### Assistant: ", "a", "\\###", "\\</turn>"]
     r = random.Random(5)
     rows = [(c, t, r.choice(["user", "assistant", "system", "odd: ###"]), "".join(r.choice(parts) for _ in range(r.randint(0, 12)))) for c in range(12) for t in range(r.randint(1, 9))]
-    turns = chat.format_turns(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).cache()
-    back = {x["conv"]: x for x in chat.read_back(turns).collect()}
+    frame = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    examples = chat.expand(chat.format_turns(frame)).cache()
+    back = {x["conv"]: x for x in chat.read_back(examples).collect()}
     for c in range(12):
         own = [(role, text) for k, _, role, text in rows if k == c]
         assert [(t["role"], t["text"]) for t in back[c]["turns"]] == own
         assert back[c]["trained"] == [text for role, text in own if role == "assistant"]
-    spans = chat.examples(turns)
-    for e in chat.expand(turns, spans).collect():
-        assert back[e["conv"]]["text"].startswith(e["text"]) and e["text"].endswith("</turn>\n")
-        assert chat_unescape(e["text"][e["loss_start"] : e["loss_end"]]) == [t for k, n, _, t in rows if k == e["conv"]][e["target"]]
+    # One example for each reply, its context all that stands before it, and the reply alone is trainable.
+    replies = {(e["conv"], e["target"]): e for e in chat.written(examples.where("reply is not null")).collect()}
+    assert set(replies) == {(c, t) for c, t, role, _ in rows if role == "assistant"}
+    for (c, t), e in replies.items():
+        assert e["text"].count("</turn>\n") >= t + 1 and e["text"].endswith("</turn>\n")
+        assert chat_unescape(e["text"][e["loss_start"] : e["loss_end"]]) == [x for k, n, _, x in rows if (k, n) == (c, t)][0]
+    held = {(e["conv"], e["target"]): (e["context"], e["reply"]) for e in examples.collect()}
+    for (c, t), (context, reply) in held.items():
+        assert len(context) == t and all(context[: k + 1] == [*other[0], other[1]] for (d, k), other in held.items() if d == c and k < t)
+
+
+def test_chat_of_many_turns(spark):
+    n = 3000
+    frame = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("x" * 50), F.col("id").cast("string")).alias("text"))
+    examples = chat.expand(chat.format_turns(frame))
+    assert examples.agg(F.count("*"), F.sum(F.size("context"))).first() == (n // 2, sum(range(1, n, 2)))
+    got = chat.read_back(examples).first()
+    assert len(got["turns"]) == n and got["trained"] == ["x" * 50 + str(k) for k in range(1, n, 2)]
 
 
 def chat_unescape(text):
@@ -297,7 +312,7 @@ def corpus(seed, n):
 @pytest.mark.parametrize("seed, width, threshold", [(1, 4, (85, 100)), (2, 5, (80, 100)), (3, 2, (60, 100))])
 def test_jaccard_brute_force(spark, seed, width, threshold):
     docs = corpus(seed, 250)
-    got = jaccard.ngram_jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string"), width=width, threshold=threshold, broadcast_ids=0 if seed == 2 else 1000)
+    got = jaccard.ngram_jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string"), width=width, threshold=threshold, broadcast_ids=0 if seed == 2 else 1000, block=1024 if seed == 1 else 3)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(docs, width, *threshold)
 
 
@@ -319,13 +334,82 @@ def test_tree_and_sketch_lose_no_pair():
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
     sets = [np.unique(np.concatenate([rng.permutation(base)[int(rng.integers(0, 90)) :], rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64)])) for _ in range(120)]
     sizes = np.array([len(x) for x in sets])
-    a, b, _ = jaccard.near_pairs(np.arange(120), sizes, jaccard.points_of([jaccard.packed_counts(x) for x in sets]), [jaccard.sketch(x) for x in sets], 85, 100)
-    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    points, sketches = jaccard.points_of([jaccard.packed_counts(x) for x in sets]), [jaccard.sketch(x) for x in sets]
+    tree, found = jaccard.CountTree(points, sizes, 85, 100), set()
+    for k in range(120):
+        words = jaccard.folded(sketches, min(map(len, sketches)))
+        near = tree.query(points[k], sizes[k])
+        differ = np.bitwise_count(words[near] ^ words[k]).sum(axis=1, dtype=np.int64)
+        total = sizes[near] + sizes[k]
+        found |= {(k, int(x)) for x in near[differ <= total - 2 * -(-85 * total // 185)] if x > k}
+    held = np.empty(120, object)
+    held[:] = sketches
+    leaves = {(a, b) for _, a, b in jaccard.leaf_pairs(np.arange(120) // 12, np.arange(120), sizes, points, held, 85, 100)}
+    assert leaves <= {(a, b) for a, b in found if a // 12 == b // 12}  # a pair's own sketches are at least as wide as all of them folded to one width
     for i in range(120):
         for j in range(i + 1, 120):
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 85 * (sizes[i] + sizes[j] - both):
-                assert (i, j) in found
+                assert (i, j) in found and (i // 12 != j // 12 or (i, j) in leaves)
+
+
+@pytest.mark.parametrize("passes", [1, 4])
+def test_forests_span_what_the_tree_finds(passes):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[int(rng.integers(0, 60)) :], rng.integers(0, 2**63, int(rng.integers(0, 30))).astype(np.uint64)])) for _ in range(60)]
+    sizes, parts = np.array([len(x) for x in sets]), np.arange(60) // 2
+    points, sketches = jaccard.points_of([jaccard.packed_counts(x) for x in sets]), [jaccard.sketch(x) for x in sets]
+    held = np.empty(60, object)
+    held[:] = sketches
+    one = jaccard.tree_forests(parts, sizes, points, sketches, 85, 100, passes)
+    fan = jaccard.FANOUT
+    jaccard.FANOUT = 64
+    pairs = jaccard.leaf_pairs(np.zeros(60, np.int64), parts, sizes, points, held, 85, 100)
+    jaccard.FANOUT = fan
+    two = jaccard.forests(parts, pairs, passes)
+
+    def reach(edges):
+        root = list(range(30))
+        for a, b, _ in edges:
+            x, y = root[parts[a]], root[parts[b]]
+            root = [x if r == y else r for r in root]
+        return [[root[a] == root[b] for b in range(30)] for a in range(30)]
+
+    assert reach(one) == reach(two) == reach([(a, b, 0) for _, a, b in pairs]) and max(k for *_, k in one) < passes
+    assert all(sum(k == at for *_, k in one) < 30 for at in range(passes)) and all(parts[a] != parts[b] for a, b, _ in one)
+
+
+def test_every_link_comes_from_a_tree(spark, monkeypatch):
+    made = []
+    real = jaccard._trees
+    monkeypatch.setattr(jaccard, "_trees", lambda *a: made.append(a) or real(*a))
+    seen, verified = [], jaccard._verified
+
+    def watched(pairs, sets, *rest):
+        links = verified(pairs, sets, *rest)
+        seen.append(links)
+        return links
+
+    monkeypatch.setattr(jaccard, "_verified", watched)
+    docs = corpus(4, 150)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.ngram_jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()} == {k: c for k, (_, c) in brute_components(docs, 4, 85, 100).items()}
+    assert len(made) == len(seen) >= 2  # pairs are verified only where trees gave them
+
+
+def test_jaccard_of_long_texts_and_null_ids(spark):
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(30_000)]
+    base = r.choices(words, k=12_000)
+    near = list(base)
+    for k in range(0, 12_000, 200):
+        near[k] = "new"
+    short = r.choices(words, k=100)
+    bridge = [*short[:-4], *r.choices(words, k=4)]
+    far = [*r.choices(words, k=4), *bridge[4:]]  # linked with the bridge only
+    docs = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(words[:11_000])), (None, " ".join(bridge)), (5, " ".join(short)), (5, "one"), (6, " ".join(far)), (7, "one")]
+    got = jaccard.ngram_jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(x["doc_id"], x["component_id"]) for x in got} == {(1, 1), (2, 1), (3, 3), (None, 5), (5, 5), (6, 5), (7, 5)}
 
 
 def test_components_of_a_long_chain(spark):

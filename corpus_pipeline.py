@@ -2,8 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the stage
 before it kept, and returns a DataFrame; all but the last return the columns of
-documents. Documents without an id pass the near-duplicate stage untouched, and
-rows that repeat an id stay or go together there.
+documents. Texts are whole, however long; columns besides doc_id, text and lang are
+handed on untouched, whatever their names; empty tables give empty tables.
+
+Null and empty texts are in no language and go in the first stage; the others keep
+them. Documents without an id pass the near-duplicate stage untouched, and rows
+that repeat an id stay or go together there; ties are settled by the smallest id.
 """
 
 from __future__ import annotations
@@ -42,8 +46,8 @@ def toxic_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the smallest id."""
     placed = jaccard.ngram_jaccard_components(docs, width=SHINGLE_WORDS, threshold=SIMILARITY)
-    gone = placed.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(placed.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
+    return docs.join(jaccard.fitting(gone, jaccard.BROADCAST_IDS), F.col("doc_id") == F.col("gone"), "left_anti")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

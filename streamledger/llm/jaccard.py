@@ -28,8 +28,8 @@ shingle). Two sets A and B link when |A & B| >= t * |A | B|. The steps:
    most often) with which it shares most buckets, so that copies are mostly one
    component after one comparison each. Verified edges give components by labels
    that spread and jump. Then come the regions whose members still lie in several
-   components; a region of which an edge proved wrong gives 4, 16, 64, ... forests,
-   edge-disjoint, until all its pairs are given or lie within components.
+   components; a region of which an edge proved wrong and that has more pairs gives 64, then 4096, ...
+   edge-disjoint forests, until all its pairs are given or lie within components.
    A region of more than `BLOCK` sets is cut into blocks: its largest component, which
    need not meet itself, is dealt out, and each two blocks of the rest meet in a
    group of their own.
@@ -326,59 +326,90 @@ def leaf_pairs(group: np.ndarray, parts: np.ndarray, sizes: np.ndarray, points:
     return found
 
 
-def forests(parts: np.ndarray, pairs: list[tuple[int, int, int]], passes: int) -> list[tuple[int, int, int]]:
-    """(position, position, pass): each pass takes, nearest first, those of the pairs left that join parts not joined in it before, fewer than there are parts."""
-    roots: list[dict[int, int]] = [{} for _ in range(passes)]
-    out = []
+def joined_pairs(tree: CountTree, parts: np.ndarray, sizes: np.ndarray, points: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int, int]]:
+    """The same for a tree of several leaves, joined with itself: leaves whose boxes can't meet are cut, of the others all points are compared."""
+    num, den, order = tree.num, tree.den, tree.order
+    words = folded(sketches, min(map(len, sketches)))
+    top, low = tree.levels[1] if len(tree.levels) > 1 else (points.max(axis=0)[None], np.array([sizes.min()]))
+    found = []
+    for x in range(len(low)):
+        near = x + np.flatnonzero((den + num) * np.minimum(top[x:], top[x]).sum(axis=1) >= num * (low[x] + low[x:]))
+        own, others = order[x * FANOUT : (x + 1) * FANOUT], (near[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+        others = others[others < len(order)]
+        at, b = np.nonzero(parts[own][:, None] != parts[order[others]])
+        ok = others[b] > x * FANOUT + at  # each pair once
+        a, b = own[at[ok]], order[others[b[ok]]]
+        total = sizes[a] + sizes[b]
+        need = -(-num * total // (num + den))
+        ok = np.minimum(points[a], points[b]).sum(axis=1) >= need
+        a, b, most = a[ok], b[ok], (total - 2 * need)[ok]
+        differ = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+        ok = differ <= most
+        found += zip(differ[ok].tolist(), a[ok].tolist(), b[ok].tolist(), strict=True)
+    return found
+
+
+def forests(parts: np.ndarray, pairs: list[tuple[int, int, int]], passes: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of positions, and whether some are left: each of `passes` forests takes, nearest first, those of the pairs left that join parts not joined in it before, fewer than there are parts.
+
+    Parts joined in a forest are joined in all before it, so the first that can take a pair is found by halving.
+    """
+    roots: list[dict[int, int]] = [{}]
+    out, more = [], False
+
+    def find(root: dict[int, int], x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
     for _, a, b in sorted(pairs):
-        for k, root in enumerate(roots):
-            x, y = int(parts[a]), int(parts[b])
-            while root.get(x, x) != x:
-                x = root[x]
-            while root.get(y, y) != y:
-                y = root[y]
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((a, b, k))
-                break
-    return out
+        p, q = int(parts[a]), int(parts[b])
+        low, high = 0, len(roots)
+        while low < high:
+            mid = (low + high) // 2
+            if find(roots[mid], p) == find(roots[mid], q):
+                low = mid + 1
+            else:
+                high = mid
+        if low == passes:
+            more = True
+            continue
+        if low == len(roots):
+            roots.append({})
+        x, y = find(roots[low], p), find(roots[low], q)
+        roots[low][max(x, y)] = min(x, y)
+        out.append((a, b))
+    return out, more
 
 
-def tree_forests(parts: np.ndarray, sizes: np.ndarray, points: np.ndarray, sketches: list[bytes], num: int, den: int, passes: int) -> list[tuple[int, int, int]]:
-    """The same for groups of several leaves, without a list of all pairs: forests grow a point at a time to the nearest, one tree query for each."""
-    tree, out = CountTree(points, sizes, num, den), []
+def tree_forest(tree: CountTree, parts: np.ndarray, sizes: np.ndarray, points: np.ndarray, sketches: list[bytes]) -> tuple[list[tuple[int, int]], bool]:
+    """One forest without a list of all pairs: it grows a point at a time to the nearest, one tree query for each; and whether there may be pairs that it left out."""
+    num, den, out, more = tree.num, tree.den, [], False
     words = folded(sketches, min(map(len, sketches)))
-    taken: list[list[int]] = [[] for _ in parts]
     far = np.int64(1) << 60
-    for k in range(passes):
-        key, source, left = np.full(len(parts), far), np.zeros(len(parts), np.int64), np.ones(len(parts), bool)
-        began = len(out)
-        for _ in range(len(parts)):
-            x = int(np.where(left, key, far + 1).argmin())
-            if 0 <= key[x] < far:
-                y = int(source[x])
-                out.append((y, x, k))
-                taken[x].append(y)
-                taken[y].append(x)
-            left[x] = False
-            key[left & (parts == parts[x])] = -1  # parts are joined already, at no cost
-            near = tree.query(points[x], sizes[x])
-            near = near[left[near] & (key[near] >= 0)]
-            if taken[x] and len(near):
-                near = near[~np.isin(near, taken[x])]
-            if not len(near):
-                continue
+    key, source, left = np.full(len(parts), far), np.zeros(len(parts), np.int64), np.ones(len(parts), bool)
+    for _ in range(len(parts)):
+        x = int(np.where(left, key, far + 1).argmin())
+        if 0 <= key[x] < far:
+            out.append((int(source[x]), x))
+        left[x] = False
+        key[left & (parts == parts[x])] = -1  # parts are joined already, at no cost
+        near = tree.query(points[x], sizes[x])
+        near = near[left[near] & (parts[near] != parts[x])]
+        if len(near):
             differ = np.bitwise_count(words[near] ^ words[x]).sum(axis=1, dtype=np.int64)
             total = sizes[near] + sizes[x]
-            ok = (differ <= total - 2 * -(-num * total // (num + den))) & (differ < key[near])
+            ok = differ <= total - 2 * -(-num * total // (num + den))
+            near, differ = near[ok], differ[ok]
+            more = more or bool((key[near] < far).any())  # such a pair closes a circle
+            ok = differ < key[near]
             key[near[ok]], source[near[ok]] = differ[ok], x
-        if len(out) == began:
-            break
-    return out
+    return out, more
 
 
 def _trees(num: int, den: int, passes: int):
-    """Rows (cell, i, j, set, part, n, counts, sketch) in order of the first three to (cell, a, b, pass): pairs of sets of different parts, smaller first, that `passes` forests of each group take."""
+    """Rows (cell, i, j, set, part, n, counts, sketch) in order of the first three to (cell, a, b, more): pairs of sets of different parts, smaller first, that `passes` forests of each group take, and whether the group has more."""
 
     def close(rows: list) -> Iterator[pa.RecordBatch]:
         cell, i, j, f, p, n, c, sketches = rows
@@ -386,22 +417,25 @@ def _trees(num: int, den: int, passes: int):
         starts = np.flatnonzero(new)
         lengths = np.diff(np.append(starts, len(cell)))
         group = np.cumsum(new) - 1
-        found: list[tuple[int, int, int]] = []
+        found: list[tuple[int, int, bool]] = []
         small = np.flatnonzero(lengths[group] <= FANOUT)
         if len(small):
-            pairs = leaf_pairs(group[small], p[small], n[small], points_of(c[small].tolist()), sketches[small], num, den)
             by_group: dict[int, list] = {}
-            for differ, a, b in pairs:
+            for differ, a, b in leaf_pairs(group[small], p[small], n[small], points_of(c[small].tolist()), sketches[small], num, den):
                 by_group.setdefault(int(group[small[a]]), []).append((differ, int(small[a]), int(small[b])))
             for held in by_group.values():
-                found += forests(p, held, passes)
+                edges, more = forests(p, held, passes)
+                found += [(a, b, more) for a, b in edges]
         for k in np.flatnonzero(lengths > FANOUT).tolist():
             x, y = int(starts[k]), int(starts[k] + lengths[k])
             if (p[x:y] != p[x]).any():
-                found += [(x + a, x + b, at) for a, b, at in tree_forests(p[x:y], n[x:y], points_of(c[x:y].tolist()), sketches[x:y].tolist(), num, den, passes)]
+                args = p[x:y], n[x:y], points_of(c[x:y].tolist()), sketches[x:y].tolist()
+                tree = CountTree(args[2], args[1], num, den)
+                edges, more = tree_forest(tree, *args) if passes == 1 else forests(args[0], joined_pairs(tree, *args), passes)
+                found += [(x + a, x + b, more) for a, b in edges]
         if found:
-            a, b, at = np.array(found).T
-            yield pa.RecordBatch.from_arrays([pa.array(cell[a]), pa.array(np.minimum(f[a], f[b])), pa.array(np.maximum(f[a], f[b])), pa.array(at.astype(np.int32))], names=["cell", "a", "b", "pass"])
+            a, b, more = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(cell[a]), pa.array(np.minimum(f[a], f[b])), pa.array(np.maximum(f[a], f[b])), pa.array(more.astype(bool))], names=["cell", "a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[list[np.ndarray]] = []
@@ -518,10 +552,12 @@ def in_blocks(rows: DataFrame, block: int, broadcast_ids: int) -> DataFrame:
 
 
 def tree_pairs(grouped: DataFrame, points: DataFrame, num: int, den: int, passes: int, name: str) -> DataFrame:
-    """Stored pairs (cell, a, b, pass) that the trees of all groups (cell, i, j) let through."""
+    """Stored pairs (cell, a, b, more) that the trees of all groups (cell, i, j) let through."""
     rows = grouped.join(points, "set").select("cell", "i", "j", "set", "part", "n", "counts", "sketch")
-    rows = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "set")
-    return materialise(mapped(rows, _trees(num, den, passes), "cell bigint, a bigint, b bigint, pass int"), name)
+    # The work goes by rows and not by bytes, so partitions must not be put together by their size.
+    tasks = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "set")
+    return materialise(mapped(rows, _trees(num, den, passes), "cell bigint, a bigint, b bigint, more boolean"), name)
 
 
 def ngram_jaccard_links(docs: DataFrame, wanted: DataFrame, met: DataFrame, best: DataFrame, width: int, num: int, den: int, broadcast_ids: int, block: int) -> DataFrame:
@@ -549,15 +585,14 @@ def ngram_jaccard_links(docs: DataFrame, wanted: DataFrame, met: DataFrame, best
         parts = merged(parts, links, "merged", broadcast_ids)
         # Done is a bucket that gave all it has, or whose pairs all lie within one part each by now; the others give more.
         near = fitting(parts, broadcast_ids)
-        last = found.where(F.col("pass") == passes - 1).select("cell").distinct()
-        of = found.join(near.select(F.col("node").alias("a"), F.col("part").alias("p")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("part").alias("q")), "b", "left")
+        of = found.where("more").join(near.select(F.col("node").alias("a"), F.col("part").alias("p")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("part").alias("q")), "b", "left")
         of = of.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("cell").distinct()
-        open_ = materialise(of.join(last, "cell", "left_semi").select(F.col("cell").alias("signature")), "open")
+        open_ = materialise(of.select(F.col("cell").alias("signature")), "open")
         discard(rows, found)
         if open_.isEmpty():
             discard(points, sets)
             return parts
-        passes *= 4
+        passes *= 64
 
 
 def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, broadcast_ids: int = BROADCAST_IDS, block: int = BLOCK) -> DataFrame:

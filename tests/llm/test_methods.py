@@ -362,22 +362,26 @@ def test_forests_span_what_the_tree_finds(passes):
     points, sketches = jaccard.points_of([jaccard.packed_counts(x) for x in sets]), [jaccard.sketch(x) for x in sets]
     held = np.empty(60, object)
     held[:] = sketches
-    one = jaccard.tree_forests(parts, sizes, points, sketches, 85, 100, passes)
-    fan = jaccard.FANOUT
+    tree, fan = jaccard.CountTree(points, sizes, 85, 100), jaccard.FANOUT
+    joined = jaccard.joined_pairs(tree, parts, sizes, points, sketches)
     jaccard.FANOUT = 64
     pairs = jaccard.leaf_pairs(np.zeros(60, np.int64), parts, sizes, points, held, 85, 100)
     jaccard.FANOUT = fan
-    two = jaccard.forests(parts, pairs, passes)
+    both = lambda found: {(min(a, b), max(a, b)) for *_, a, b in found}
+    assert both(pairs) <= both(joined) and len(both(joined)) == len(joined)
+    (one, more), (two, more_two) = jaccard.tree_forest(tree, parts, sizes, points, sketches), jaccard.forests(parts, joined, passes)
 
     def reach(edges):
         root = list(range(30))
-        for a, b, _ in edges:
+        for a, b in edges:
             x, y = root[parts[a]], root[parts[b]]
             root = [x if r == y else r for r in root]
         return [[root[a] == root[b] for b in range(30)] for a in range(30)]
 
-    assert reach(one) == reach(two) == reach([(a, b, 0) for _, a, b in pairs]) and max(k for *_, k in one) < passes
-    assert all(sum(k == at for *_, k in one) < 30 for at in range(passes)) and all(parts[a] != parts[b] for a, b, _ in one)
+    assert reach(one) == reach(two) == reach(both(joined)) and len(one) < 30 and more and all(parts[a] != parts[b] for a, b in one)
+    assert len(set(two)) == len(two) <= passes * 29 and more_two == (len(two) < len(joined))
+    everything, more = jaccard.forests(parts, joined, 4096)
+    assert both(everything) == both(joined) and not more
 
 
 def test_every_link_comes_from_a_tree(spark, monkeypatch):

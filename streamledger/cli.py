@@ -33,8 +33,16 @@ def whole(text: str) -> int:
         raise InvalidBound(f"no whole number: {text!r}") from e
 
 
+class Parser(argparse.ArgumentParser):
+    """A wrong call is the caller's to mend: exit 1."""
+
+    def error(self, message: str):
+        self.print_usage(sys.stderr)
+        self.exit(1, f"error: {message}\n")
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="streamledger", description="A durable event ledger.")
+    p = Parser(prog="streamledger", description="A durable event ledger.")
     p.add_argument("--root", default=default_root(), help="where ledger, broker and subscriptions are kept")
     verbs = p.add_subparsers(dest="verb", required=True)
 
@@ -113,8 +121,8 @@ def run(args: argparse.Namespace, spark) -> tuple[dict | list, list[str]]:
             return {"published": True, "event": wire}, [f"published {wire['id']}"]
         case "watch", _:
             rows, told = drain.watch(spark, args.root, args.name, check_bound(whole(args.since), "since", 0), check_bound(whole(args.max)), float(args.timeout), args.distinct)
-            records = [record(r) for r in rows.collect()]
-            return {"subscription": args.name, "records": records, "servedFrom": told["served_from"], "cursor": told["cursor"], "hasMore": told["has_more"], "skipped": told["skipped"]}, [line(r) for r in records]
+            records = [record(r) for r in rows]
+            return {"subscription": args.name, "records": records, "cursor": told["cursor"], "hasMore": told["has_more"], "servedFrom": told["served_from"], "sessionPresent": told["session_present"], "consumed": told["consumed"], "skipped": told["skipped"], "stopped": told["stopped"]}, [line(r) for r in records]
         case "get", _:
             found = Ledger(spark, args.root).get(args.id).collect()
             if not found:

@@ -16,10 +16,11 @@ MAX_REASON = 200
 
 @dataclass
 class Drained:
-    """consumed: the messages taken; stored: new ledger rows; skipped: topic and reason of malformed ones, which count as consumed."""
+    """parsed: the messages taken, in order, with what was wrong with them; stored: new ledger rows; records: the valid messages taken, redelivered ones too, with the seq under which each is stored; skipped: topic and reason of malformed ones, which count as consumed."""
 
-    consumed: DataFrame
+    parsed: DataFrame
     stored: DataFrame
+    records: DataFrame
     skipped: DataFrame
 
 
@@ -30,19 +31,24 @@ def reason() -> Column:
 
 
 def drain(messages: DataFrame, ledger: DataFrame, max: int = 100) -> Drained:
-    """Takes the oldest max messages (subscription, arrival, topic, payload) of the backlog."""
+    """Takes the oldest max messages (subscription, arrival, topic, payload) of the backlog; equal arrivals are taken by subscription, topic and payload. What was taken is kept, as it is at most max rows, and parsed once."""
     check_bound(max)
-    consumed = messages.orderBy("arrival").limit(max)
-    parsed = parse_payloads(consumed)
+    parsed = parse_payloads(messages.orderBy("arrival", "subscription", "topic", "payload").limit(max)).persist()
     good = parsed.where(F.size("errors") == 0).select("subscription", "arrival", "event.*")
+    stored = appended(good, ledger).persist()
+    known = ledger.select("subscription", "id", "seq").unionByName(stored.select("subscription", "id", "seq"))
+    records = good.join(known, ["subscription", "id"])
     skipped = parsed.where(F.size("errors") > 0).select("topic", reason().alias("reason"))
-    return Drained(consumed, appended(good, ledger), skipped)
-
-
-def summary(drained: Drained, ledger: DataFrame, since: int = 0, max: int = 100) -> DataFrame:
-    """One row: consumed, stored, skipped, cursor and has_more (the drain stopped at max)."""
-    counted = drained.consumed.agg(F.count("*").alias("consumed"))
-    stored = drained.stored.agg(F.count("*").alias("stored"), F.max("seq").alias("last"))
-    skipped = drained.skipped.agg(F.count("*").alias("skipped"))
-    both = counted.join(stored).join(skipped)
-    return both.select("consumed", "stored", "skipped", F.greatest(F.lit(since).cast("bigint"), F.coalesce("last", F.lit(since).cast("bigint"))).alias("cursor"), (F.col("consumed") >= max).alias("has_more"))
+    return Drained(parsed, stored, records, skipped)
+
+
+def summary(drained: Drained, since: int = 0, max: int = 100) -> DataFrame:
+    """One row: consumed, stored, skipped, cursor (the largest seq of the records, at least since) and has_more (the drain stopped at max)."""
+    bit = lambda x: F.lit(x).cast("int")
+    none = F.lit(None).cast("bigint").alias("seq")
+    told = drained.parsed.select(bit(1).alias("consumed"), bit(0).alias("stored"), (F.size("errors") > 0).cast("int").alias("skipped"), none)
+    told = told.unionByName(drained.stored.select(bit(0).alias("consumed"), bit(1).alias("stored"), bit(0).alias("skipped"), none))
+    told = told.unionByName(drained.records.select(bit(0).alias("consumed"), bit(0).alias("stored"), bit(0).alias("skipped"), "seq"))
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name)
+    one = told.agg(total("consumed"), total("stored"), total("skipped"), F.greatest(F.lit(since).cast("bigint"), F.max("seq")).alias("cursor"))
+    return one.withColumn("has_more", F.col("consumed") >= max)

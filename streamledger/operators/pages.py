@@ -26,9 +26,10 @@ def page_after(ledger: DataFrame, subscription: str, since: int = 0, max: int =
 
 def page_summary(ledger: DataFrame, subscription: str, since: int = 0, max: int = DEFAULT_MAX) -> DataFrame:
     """One row: n, cursor (since itself for an empty page) and has_more, which is exact."""
-    page = page_after(ledger, subscription, since, max).agg(F.count("*").alias("n"), F.coalesce(F.max("seq"), F.lit(since).cast("bigint")).alias("cursor"))
-    last = ledger.where(F.col("subscription") == subscription).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    return page.join(last).select("n", "cursor", (F.col("last") > F.col("cursor")).alias("has_more"))
+    page = page_after(ledger, subscription, since, max).select("seq", F.lit(True).alias("paged"))
+    last = ledger.where(F.col("subscription") == subscription).agg(F.max("seq").alias("seq")).withColumn("paged", F.lit(False))
+    cursor = F.coalesce(F.max(F.when(F.col("paged"), F.col("seq"))), F.lit(since).cast("bigint"))
+    return page.unionByName(last).agg(F.count_if("paged").alias("n"), cursor.alias("cursor"), F.coalesce(F.max("seq") > cursor, F.lit(False)).alias("has_more"))
 
 
 def newest(ledger: DataFrame, type: str | None = None, max: int = DEFAULT_MAX) -> DataFrame:

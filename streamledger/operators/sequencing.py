@@ -52,8 +52,11 @@ def stored_at(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
     return incoming.join(ledger.select("subscription", "id", "seq"), ["subscription", "id"], "left")
 
 
-def gaps(ledger: DataFrame) -> DataFrame:
-    """Where a subscription's numbers do not run 1, 2, 3, ...: the number before (0 at the start) and the one found."""
-    order = Window.partitionBy("subscription").orderBy("seq")
-    rows = ledger.select("subscription", "seq", F.coalesce(F.lag("seq").over(order), F.lit(0)).alias("before"))
-    return rows.where(F.col("seq") != F.col("before") + 1)
+def gaps(ledger: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Where a subscription's numbers do not run 1, 2, 3, ...: the number before (0 at the start) and the one found. Blocks of numbers are looked at by themselves; the first of each follows the last of the block before."""
+    rows = ledger.select("subscription", "seq", F.floor(F.col("seq") / block).alias("block"))
+    last = rows.groupBy("subscription", "block").agg(F.max("seq").alias("last"))
+    edges = last.select("subscription", "block", F.coalesce(F.lag("last").over(Window.partitionBy("subscription").orderBy("block")), F.lit(0)).alias("edge"))
+    within = rows.withColumn("before", F.lag("seq").over(Window.partitionBy("subscription", "block").orderBy("seq")))
+    odd = within.where(F.col("before").isNull() | (F.col("seq") != F.col("before") + 1)).join(edges, ["subscription", "block"])
+    return odd.select("subscription", "seq", F.coalesce("before", "edge").alias("before")).where(F.col("seq") != F.col("before") + 1)

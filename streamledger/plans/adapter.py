@@ -13,6 +13,7 @@ from streamledger.functions.times import format_time
 from streamledger.functions.topics import type_to_topic
 from streamledger.operators.matching import compiled, fan_out
 from streamledger.operators.sequencing import appended
+from streamledger.session import scratch
 
 #: Name and pattern of the subscriptions that the queries use.
 SUBSCRIPTIONS = [("all-plain", "*.*"), ("clicks", "click.*"), ("high-retries", "*.high.retry"), ("purchases-low", "purchase.low"), ("retries", "*.*.retry")]
@@ -66,6 +67,14 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appended(matched(spark, sf_dir)).withColumn("recorded_at", F.col("time"))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledger written by subscription and read back, as a reader of it has it: filters on the subscription prune folders, others reach the scan."""
+    rows = ledger(spark, sf_dir)
+    root = scratch(spark, "ledger")
+    rows.repartition("subscription", F.floor(F.col("seq") / (1 << 20))).sortWithinPartitions("subscription", "seq").write.partitionBy("subscription").parquet(root)
+    return spark.read.schema(rows.schema).parquet(root)
+
+
 ENVELOPES_SQL = """
 envelopes AS (SELECT event_id AS arrival, ts, 'evt_' || lpad(event_id::VARCHAR, 26, '0') AS id,
   event_type || CASE WHEN value >= 50 THEN '.high' ELSE '.low' END || CASE WHEN user_id % 5 = 0 THEN '.retry' ELSE '' END AS type,

@@ -181,7 +181,7 @@ def append_dedupe_seq(spark, sf_dir):
 @query(with_ledger("SELECT subscription, count(*) AS n, max(seq) AS last FROM ledger GROUP BY subscription"))
 def append_idempotent(spark, sf_dir):
     """The same deliveries appended a second time add nothing."""
-    once = adapter.ledger(spark, sf_dir)
+    once = adapter.stored(spark, sf_dir)
     again = sequencing.appended(adapter.matched(spark, sf_dir), once)
     return once.select("subscription", "seq").unionByName(again.select("subscription", "seq")).groupBy("subscription").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
@@ -202,17 +202,17 @@ def same_ms_append_order(spark, sf_dir):
 def append_returns_seq(spark, sf_dir):
     """Redelivered events give the numbers under which they are stored."""
     again = adapter.matched(spark, sf_dir).where("delivery_attempt = 2").select("subscription", "id").distinct()
-    return sequencing.stored_at(again, adapter.ledger(spark, sf_dir)).select("subscription", "id", "seq")
+    return sequencing.stored_at(again, adapter.stored(spark, sf_dir)).select("subscription", "id", "seq")
 
 
 @query(with_ledger("SELECT seq, id FROM ledger WHERE subscription = 'clicks' AND seq > 40 ORDER BY seq LIMIT 100"))
 def read_since_page(spark, sf_dir):
-    return pages.page_after(adapter.ledger(spark, sf_dir), "clicks", 40).select("seq", "id")
+    return pages.page_after(adapter.stored(spark, sf_dir), "clicks", 40).select("seq", "id")
 
 
 @query(with_ledger("SELECT seq, id FROM ledger WHERE subscription = 'clicks' AND seq > (SELECT max(seq) - 7 FROM ledger WHERE subscription = 'clicks') ORDER BY seq LIMIT 100"))
 def read_last_page(spark, sf_dir):
-    rows = adapter.ledger(spark, sf_dir)
+    rows = adapter.stored(spark, sf_dir)
     last = rows.where("subscription = 'clicks'").agg(F.max("seq")).first()[0] or 0
     return pages.page_after(rows, "clicks", max(0, last - 7)).select("seq", "id")
 
@@ -224,12 +224,12 @@ def read_past_end(spark, sf_dir):
 
 @query(with_ledger("SELECT least(25, count(*)) AS n, least(35, max(seq)) AS cursor, max(seq) > 35 AS has_more FROM ledger WHERE subscription = 'clicks' AND seq > 10"))
 def page_summary(spark, sf_dir):
-    return pages.page_summary(adapter.ledger(spark, sf_dir), "clicks", 10, 25)
+    return pages.page_summary(adapter.stored(spark, sf_dir), "clicks", 10, 25)
 
 
 @query(with_ledger("SELECT id, subscription, seq, type FROM ledger WHERE id = (SELECT min(id) FROM ledger) ORDER BY subscription LIMIT 1"))
 def get_by_id(spark, sf_dir):
-    rows = adapter.ledger(spark, sf_dir)
+    rows = adapter.stored(spark, sf_dir)
     first = rows.agg(F.min("id")).first()[0]
     return pages.by_id(rows, first or "").select("id", "subscription", "seq", "type")
 
@@ -241,17 +241,17 @@ SELECT id, type, subscription, seq FROM once ORDER BY recorded_at DESC, subscrip
 
 @query(with_ledger(LIST_SQL.format(src="ledger", n=100)))
 def list_newest(spark, sf_dir):
-    return pages.newest(adapter.ledger(spark, sf_dir)).select("id", "type", "subscription", "seq")
+    return pages.newest(adapter.stored(spark, sf_dir)).select("id", "type", "subscription", "seq")
 
 
 @query(with_ledger(", typed AS (SELECT * FROM ledger WHERE type = 'click.high')" + LIST_SQL.format(src="typed", n=20)))
 def list_by_type(spark, sf_dir):
-    return pages.newest(adapter.ledger(spark, sf_dir), "click.high", 20).select("id", "type", "subscription", "seq")
+    return pages.newest(adapter.stored(spark, sf_dir), "click.high", 20).select("id", "type", "subscription", "seq")
 
 
 @query(with_ledger(LIST_SQL.format(src="ledger", n=7) .replace("SELECT id, type, subscription, seq FROM", "SELECT id, count(*) OVER (PARTITION BY id) AS copies FROM")))
 def list_distinct_events(spark, sf_dir):
-    rows = pages.newest(adapter.ledger(spark, sf_dir), max=7)
+    rows = pages.newest(adapter.stored(spark, sf_dir), max=7)
     return rows.join(rows.groupBy("id").agg(F.count("*").alias("copies")), "id").select("id", "copies")
 
 
@@ -262,13 +262,13 @@ def subscriptions_sorted(spark, sf_dir):
 
 @query(with_ledger("SELECT subscription, seq, seq AS before FROM ledger WHERE false"))
 def ledger_gap_check(spark, sf_dir):
-    return sequencing.gaps(adapter.ledger(spark, sf_dir))
+    return sequencing.gaps(adapter.stored(spark, sf_dir))
 
 
 @query(with_ledger("SELECT subscription, seq, seq - 2 AS before FROM ledger WHERE seq % 100 = 1 AND seq > 1"))
 def ledger_gap_found(spark, sf_dir):
     """With every number divisible by 100 taken out, the check finds each hole."""
-    return sequencing.gaps(adapter.ledger(spark, sf_dir).where("seq % 100 != 0"))
+    return sequencing.gaps(adapter.stored(spark, sf_dir).where("seq % 100 != 0"))
 
 
 # Backlogs and drains
@@ -310,11 +310,12 @@ def redelivery_ordinal(spark, sf_dir):
     return backlog.with_attempt(rows).select("id", "arrival", "delivery_attempt")
 
 
-#: A drain of the subscription `retries` after its first 40 arrivals were stored.
+#: A drain of the subscription `retries` after its first 40 arrivals were stored: each valid message taken gives a record, a known id that of its first copy.
 DRAIN_SQL = MESSAGES_SQL + f""", queue AS (SELECT *, {CODES_SQL} AS codes FROM messages WHERE subscription = 'retries'),
 taken AS (SELECT * FROM queue ORDER BY arrival LIMIT 150),
 before AS (SELECT id, row_number() OVER (ORDER BY arrival) AS seq FROM (SELECT * FROM (SELECT * FROM queue ORDER BY arrival LIMIT 40) WHERE codes = '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival) = 1)),
-added AS (SELECT id, (SELECT count(*) FROM before) + row_number() OVER (ORDER BY arrival) AS seq FROM (SELECT * FROM taken WHERE codes = '' AND id NOT IN (SELECT id FROM before) QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival) = 1))"""
+added AS (SELECT id, (SELECT count(*) FROM before) + row_number() OVER (ORDER BY arrival) AS seq FROM (SELECT * FROM taken WHERE codes = '' AND id NOT IN (SELECT id FROM before) QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival) = 1)),
+records AS (SELECT t.arrival, t.id, k.seq FROM taken t JOIN (SELECT * FROM before UNION ALL SELECT * FROM added) k USING (id) WHERE t.codes = '')"""
 
 
 def _drained(spark: SparkSession, sf_dir: str) -> tuple[drains.Drained, DataFrame]:
@@ -324,15 +325,14 @@ def _drained(spark: SparkSession, sf_dir: str) -> tuple[drains.Drained, DataFram
     return drains.drain(queue, before, 150), before
 
 
-@query(with_envelopes(f"{DRAIN_SQL} SELECT id, seq FROM added"))
+@query(with_envelopes(f"{DRAIN_SQL} SELECT arrival, id, seq FROM records"))
 def drain_batch(spark, sf_dir):
-    return _drained(spark, sf_dir)[0].stored.select("id", "seq")
+    return _drained(spark, sf_dir)[0].records.select("arrival", "id", "seq")
 
 
-@query(with_envelopes(f"{DRAIN_SQL} SELECT (SELECT count(*) FROM taken) AS consumed, (SELECT count(*) FROM added) AS stored, (SELECT count(*) FROM taken WHERE codes <> '') AS skipped, coalesce((SELECT max(seq) FROM added), 0)::BIGINT AS cursor, (SELECT count(*) FROM taken) >= 150 AS has_more"))
+@query(with_envelopes(f"{DRAIN_SQL} SELECT (SELECT count(*) FROM taken) AS consumed, (SELECT count(*) FROM added) AS stored, (SELECT count(*) FROM taken WHERE codes <> '') AS skipped, coalesce((SELECT max(seq) FROM records), 0)::BIGINT AS cursor, (SELECT count(*) FROM taken) >= 150 AS has_more"))
 def drain_summary(spark, sf_dir):
-    drained, before = _drained(spark, sf_dir)
-    return drains.summary(drained, before, 0, 150)
+    return drains.summary(_drained(spark, sf_dir)[0], 0, 150)
 
 
 @query(with_ledger("SELECT seq, id, 'history' AS half FROM ledger WHERE subscription = 'all-plain' ORDER BY seq LIMIT 100"))
@@ -341,11 +341,11 @@ def watch_history_only(spark, sf_dir):
     return pages.page_after(adapter.ledger(spark, sf_dir), "all-plain").select("seq", "id", F.lit("history").alias("half"))
 
 
-@query(with_envelopes(f"{DRAIN_SQL} SELECT seq, id, 0 AS half FROM before WHERE seq > 10 UNION ALL SELECT seq, id, 1 FROM added"))
+@query(with_envelopes(f"{DRAIN_SQL} SELECT seq, id, 0 AS half FROM before WHERE seq > 10 UNION ALL SELECT seq, id, 1 FROM records"))
 def watch_history_plus_broker(spark, sf_dir):
     drained, before = _drained(spark, sf_dir)
     page = pages.page_after(before, "retries", 10).select("seq", "id")
-    return pages.history_then(page, drained.stored.select("seq", "id")).select("seq", "id", "half")
+    return pages.history_then(page, drained.records.select("seq", "id")).select("seq", "id", "half")
 
 
 @query(with_ledger("SELECT correlation_id, count(*) AS n, min(seq) AS first, max(seq) AS last FROM ledger WHERE subscription = 'all-plain' GROUP BY correlation_id"))

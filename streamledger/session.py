@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -31,5 +32,9 @@ def session(name: str = "streamledger", **conf: str) -> SparkSession:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/streamledger"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/streamledger"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

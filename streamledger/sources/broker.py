@@ -11,6 +11,7 @@ when a backlog grows; `kept_on_overflow` says what a bounded queue would keep.
 from __future__ import annotations
 
 import posixpath
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,7 +55,7 @@ class Broker:
         rows = messages.withColumns({"subscription": F.lit(""), "id": F.concat("topic", F.lit(" "), "payload"), "arrival": F.col(order).cast("bigint")})
         last = self.last_arrival()
         placed = numbered(rows).withColumn("arrival", F.col("seq") + last)
-        batch = f"{len(self.table.batches()):012d}"
+        batch = f"{len(self.table.batches()):012d}-{uuid.uuid4().hex}"  # a second publisher at the same time overwrites nothing
         self.table.append(placed, batch, ("arrival",))
         return self.table.read().where(F.col("batch") == batch).count()
 

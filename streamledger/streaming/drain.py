@@ -1,20 +1,25 @@
 """Bounded drains and watches over Structured Streaming: persist first, then commit the offset.
 
 A drain is one `availableNow` run. Each micro-batch is parsed and stored under a
-name made from the subscription and the batch's number before its offset is
-committed; a crash in between replays the batch, and the ledger leaves a batch or
-an id that it holds as it is. A drain ends when it has taken `max` messages, when
-the backlog is empty, or when its time is up.
+name made from the subscription, the incarnation of its checkpoint and the batch's
+number before its offset is committed; a crash in between replays the batch, and the
+ledger leaves a batch or an id that it holds as it is. Numbers begin anew with a
+checkpoint that was lost or removed, and so does the incarnation, which lies in it.
+A drain ends when it has taken `max` messages, when the backlog is empty, or when
+its time is up. Its lock is a lease: one that a crashed drain left behind is taken
+over when it has run out.
 """
 
 from __future__ import annotations
 
+import builtins
 import contextlib
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from streamledger.errors import BrokerUnavailable, SubscriptionBusy
@@ -31,39 +36,64 @@ DEFAULT_TIMEOUT = 30.0
 
 @dataclass
 class DrainResult:
+    """records: the ledger's rows of all valid messages taken, redelivered ones too, in order. stopped: max, or timeout where no more came in time. emptied: whether the backlog was seen to be empty."""
+
     subscription: str
     consumed: int = 0
     stored: int = 0
     cursor: int = 0
     has_more: bool = False
-    stopped: str = "idle"
+    stopped: str = "timeout"
     session_present: bool = False
+    emptied: bool = True
+    records: list[Row] = field(default_factory=list)
     skipped: list[dict] = field(default_factory=list)
 
 
+#: Seconds beyond a drain's time after which its lock no longer holds.
+GRACE = 300.0
+
+
 @contextlib.contextmanager
-def only_drainer(files: Files, name: str) -> Iterator[None]:
+def only_drainer(files: Files, name: str, timeout: float) -> Iterator[None]:
     """One drain of a subscription at a time."""
-    if not files.create(f"locks/{name}", str(time.time())):
-        raise SubscriptionBusy(f"{name} is being drained; if no drain runs, remove {files.root}/locks/{name}")
+    lock = f"locks/{name}"
+    mine = f"{time.time() + timeout + GRACE} {uuid.uuid4().hex}"
+    if not files.create(lock, mine):
+        with contextlib.suppress(Exception):  # the other drain may end meanwhile
+            if float(files.read(lock).split()[0]) < time.time():
+                files.delete(lock)
+        if not files.create(lock, mine):
+            raise SubscriptionBusy(f"{name} is being drained")
     try:
         yield
     finally:
-        files.delete(f"locks/{name}")
+        if files.exists(lock) and files.read(lock) == mine:
+            files.delete(lock)
+
+
+def incarnation(files: Files, name: str) -> str:
+    """What tells this checkpoint from others of the same subscription, before and after."""
+    place = f"checkpoints/{name}/incarnation"
+    files.create(place, uuid.uuid4().hex)
+    return files.read(place)
 
 
-def store_batch(ledger: Ledger, subscription: str, result: DrainResult):
+def store_batch(ledger: Ledger, subscription: str, own: str, result: DrainResult):
     """A foreachBatch function: valid messages go to the ledger, malformed ones are told and count as consumed."""
 
     def store(batch: DataFrame, number: int) -> None:
-        parsed = parse_payloads(batch).persist()
+        parsed = parse_payloads(batch).persist()  # at most max rows, as all that is collected here
         try:
-            told = parsed.where(F.size("errors") > 0).orderBy("arrival").select("topic", reason().alias("reason")).collect()  # at most max rows
+            told = parsed.where(F.size("errors") > 0).orderBy("arrival").select("topic", reason().alias("reason")).collect()
             good = parsed.where(F.size("errors") == 0).select(F.lit(subscription).alias("subscription"), "arrival", "event.*")
-            name = f"{subscription}-{number:012d}"
+            name = f"{subscription}-{own}-{number:012d}"
             ledger.append(good, name)
-            result.stored += ledger.rows().where(F.col("batch") == name).count()
+            held = ledger.rows().where(F.col("subscription") == subscription)
+            records = held.join(F.broadcast(good.select("id", "arrival")), "id").orderBy("arrival").collect()
+            result.stored += len({r["seq"] for r in records if r["batch"] == name})
             result.consumed += parsed.count()
+            result.records += records
             result.skipped += [r.asDict() for r in told]
         finally:
             parsed.unpersist()
@@ -72,7 +102,7 @@ def store_batch(ledger: Ledger, subscription: str, result: DrainResult):
 
 
 def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0, max: int = 100, timeout: float = DEFAULT_TIMEOUT) -> DrainResult:
-    """Moves at most max messages of a subscription's backlog into the ledger."""
+    """Moves at most max messages of a subscription's backlog into the ledger. The cursor is the largest seq of its records, or since."""
     check_bound(max)
     check_bound(since, "since", 0)
     sub = Registry(spark, root).require(name)
@@ -82,22 +112,22 @@ def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0
     created = int(files.read(f"created/{name}")) if files.exists(f"created/{name}") else 0
     broker.register(spark)
     source = f"{root.rstrip('/')}/broker"
-    with only_drainer(files, name):
+    with only_drainer(files, name, timeout):
         stream = spark.readStream.format("event_backlog").options(path=source, filter=sub.filter, created=created, max=max).load()
-        run = stream.writeStream.foreachBatch(store_batch(ledger, name, result)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        store = store_batch(ledger, name, incarnation(files, name), result)
+        run = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         try:
             if not run.awaitTermination(timeout):
-                result.stopped = "timeout"
+                result.emptied = False
                 while run.isActive and run.status["isTriggerActive"]:  # a batch that has begun is stored and committed
                     run.awaitTermination(1)
                 run.stop()
         except Exception as e:
             raise BrokerUnavailable(f"the drain of {name} failed: {e}") from e
-    last = ledger.rows().where(F.col("subscription") == name).agg(F.max("seq")).first()[0] or 0
-    result.cursor = since if last < since else last
+    result.cursor = builtins.max([since, *(r["seq"] for r in result.records)])
     result.has_more = result.consumed >= max
     if result.has_more:
-        result.stopped = "max"
+        result.stopped, result.emptied = "max", False
     return result
 
 
@@ -107,10 +137,10 @@ def drain_all(spark: SparkSession, root: str, name: str, max: int = 1000, timeou
     while True:
         result = drain_subscription(spark, root, name, max=max, timeout=timeout)
         total.consumed, total.stored, total.skipped = total.consumed + result.consumed, total.stored + result.stored, total.skipped + result.skipped
-        total.cursor, total.stopped = result.cursor, result.stopped
-        if not result.has_more and result.stopped == "idle":
+        total.cursor, total.stopped = builtins.max(total.cursor, result.cursor), result.stopped
+        if result.emptied:
             return total
-        if result.stopped == "timeout" and not result.consumed:
+        if not result.consumed:
             raise BrokerUnavailable(f"a drain of {name} took nothing in {timeout} s")
 
 
@@ -138,19 +168,20 @@ def remove_subscription(spark: SparkSession, root: str, name: str, force: bool =
     return found
 
 
-def watch(spark: SparkSession, root: str, name: str, since: int = 0, max: int = 100, timeout: float = DEFAULT_TIMEOUT, distinct: bool = False) -> tuple[DataFrame, dict]:
-    """History after the cursor, and where that is short of max, what a drain brings. An event stored before but delivered again is in history only if it lies after the cursor; distinct keeps each id once."""
+def watch(spark: SparkSession, root: str, name: str, since: int = 0, max: int = 100, timeout: float = DEFAULT_TIMEOUT, distinct: bool = False) -> tuple[list[Row], dict]:
+    """History after the cursor, and where that is short of max, the records of a drain; max rows at most. An event that was delivered again comes again, unless distinct keeps each id once."""
     ledger = Ledger(spark, root)
     Registry(spark, root).require(name)
     page = ledger.page(name, since, max).first()
-    if page["n"] >= max:
-        rows = ledger.read(name, since, max)
-        return rows, {"served_from": "history", "cursor": page["cursor"], "has_more": page["has_more"], "skipped": []}
-    drained = drain_subscription(spark, root, name, page["cursor"], max - page["n"], timeout)
-    rows = ledger.read(name, since, max)
+    rows = ledger.read(name, since, max).collect()
+    told = {"served_from": "history", "cursor": page["cursor"], "has_more": page["has_more"], "session_present": None, "consumed": 0, "skipped": [], "stopped": "max"}
+    if len(rows) < max:
+        drained = drain_subscription(spark, root, name, page["cursor"], max - len(rows), timeout)
+        told = {"served_from": "history+broker" if rows else "broker", "cursor": drained.cursor, "has_more": drained.has_more, "session_present": drained.session_present, "consumed": drained.consumed, "skipped": drained.skipped, "stopped": drained.stopped}
+        rows += drained.records
     if distinct:
-        rows = rows.dropDuplicates(["id"]).orderBy("seq")
-    return rows, {"served_from": "history+broker" if page["n"] else "broker", "cursor": drained.cursor, "has_more": drained.has_more, "skipped": drained.skipped}
+        rows = list({r["id"]: r for r in reversed(rows)}.values())[::-1]
+    return rows, told
 
 
 def emit(spark: SparkSession, root: str, envelopes: DataFrame, order: str = "time_order") -> int:

@@ -116,7 +116,9 @@ def test_drain_and_cli(spark, tmp_path, capsys):
     got = json.loads(out.out)
     assert code == 0 and [r["seq"] for r in got["records"]] == [1, 2, 3] and len(got["skipped"]) == 1
     again = drain.drain_subscription(spark, root, "worker")
-    assert (again.consumed, again.stored, again.cursor) == (0, 0, 3)
+    assert (again.consumed, again.stored, again.cursor, again.stopped) == (0, 0, 0, "timeout")  # nothing taken: the cursor is the caller's own
+    assert drain.drain_subscription(spark, root, "worker", since=2).cursor == 2
+    assert (got["cursor"], got["consumed"], got["stopped"], got["sessionPresent"]) == (3, 2, "timeout", True)
     id_ = got["records"][0]["event"]["id"]
     assert run("get", id_)[0] == 0 and run("get", "evt_none")[0] == 1
     assert json.loads(run("list", "--json", "--max", "2")[1].out)["events"][0]["seq"] == 3
@@ -124,6 +126,57 @@ def test_drain_and_cli(spark, tmp_path, capsys):
     assert run("sub", "show", "worker")[0] == 0 and run("sub", "remove", "worker")[0] == 0 and run("sub", "list")[1].out.strip() == ""
 
 
+def test_events_survive_lost_checkpoints_and_new_subscriptions(spark, tmp_path):
+    root, rows = str(tmp_path), adapter.envelopes(adapter.events(spark, SF)).where("type rlike '^click[.][^.]+$'")
+    first, second = rows.orderBy("arrival").limit(4), rows.orderBy(F.desc("arrival")).limit(3)
+    files = drain.Files(spark, root)
+    drain.add_subscription(spark, root, "clicks", "click.*")
+    drain.emit(spark, root, first, "arrival")
+    one = drain.drain_subscription(spark, root, "clicks", timeout=120)
+    assert (one.consumed, one.stored, one.cursor, [r["seq"] for r in one.records]) == (4, 4, 4, [1, 2, 3, 4])
+    # The checkpoint is lost: messages come again, nothing is stored twice, and each is told with its number.
+    files.delete("checkpoints/clicks")
+    again = drain.drain_subscription(spark, root, "clicks", timeout=120)
+    assert (again.consumed, again.stored, again.cursor, [r["seq"] for r in again.records], again.session_present) == (4, 0, 4, [1, 2, 3, 4], False)
+    # Removed and added again: what is published from then on is stored.
+    drain.remove_subscription(spark, root, "clicks")
+    drain.add_subscription(spark, root, "clicks", "click.*")
+    drain.emit(spark, root, second, "arrival")
+    new = drain.drain_subscription(spark, root, "clicks", timeout=120)
+    assert (new.consumed, new.stored, new.cursor) == (3, 3, 7) and drain.Ledger(spark, root).rows().count() == 7
+
+
+def test_stale_locks_are_taken_over(spark, tmp_path):
+    files = drain.Files(spark, str(tmp_path))
+    with drain.only_drainer(files, "a", 10), pytest.raises(errors.SubscriptionBusy), drain.only_drainer(files, "a", 10):
+        pass
+    files.create("locks/a", "5.0 crashed")
+    with drain.only_drainer(files, "a", 10):
+        assert files.exists("locks/a")
+    assert not files.exists("locks/a")
+
+
+def test_wrong_calls_are_the_callers(capsys):
+    for call in (["nothing"], ["watch"], ["sub", "add", "x"]):
+        with pytest.raises(SystemExit) as stopped:
+            main(call)
+        assert stopped.value.code == 1 and "error" in capsys.readouterr().err
+
+
+def test_gaps_across_blocks(spark):
+    held = [1, 2, 4, 5, 8, 9, 10, 20, 21]
+    rows = spark.createDataFrame([("s", k) for k in held] + [("t", 3)], "subscription string, seq bigint")
+    for block in (1, 3, 4, 1000):
+        assert {tuple(r) for r in sequencing.gaps(rows, block).collect()} == {("s", 4, 2), ("s", 8, 5), ("s", 20, 10), ("t", 3, 0)}
+
+
+def test_reads_prune_and_push_down(spark):
+    rows = adapter.stored(spark, SF)
+    plan = pages.page_after(rows, "clicks", 40)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(seq,40)" in plan and "PartitionFilters: [isnotnull(subscription" in plan and "clicks" in plan
+    assert "EqualTo(id,x)" in pages.by_id(rows, "x")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_repeated_drains_take_the_whole_backlog(spark, tmp_path):
     from pyspark.sql.datasource import InputPartition
 
@@ -160,9 +213,12 @@ def test_import_lines(spark, tmp_path):
     f = tmp_path / "s.jsonl"
     f.write_text(line(1, event) + "\n" + line(2, event | {"id": "e2"}) + "\n" + '{"storeFormat')
     assert sorted((r["seq"], r["id"]) for r in import_lines(spark, str(f)).collect()) == [(1, "e1"), (2, "e2")]
-    f.write_text('{"storeFormat\n' + line(2, event) + "\n")
-    with pytest.raises(Exception, match="corrupt record"):
-        import_lines(spark, str(f)).collect()
+    good = json.loads(line(2, event))
+    bad = ['{"storeFormat', line(0, event), line("x", event), line(2, event | {"type": "A"}), *(json.dumps({k: v for k, v in good.items() if k != gone}) for gone in good), json.dumps(good | {"storeFormatVersion": "9"})]
+    for text in bad:
+        f.write_text(text + "\n" + line(2, event) + "\n")
+        with pytest.raises(Exception, match="corrupt record"):
+            import_lines(spark, str(f)).collect()
 
 
 def test_liveness_batch_form(spark):

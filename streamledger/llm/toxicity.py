@@ -7,8 +7,9 @@ bag's likelihood trains the sentence model, which then also locates the sentence
 that made a text toxic.
 
 Training uses a bounded sample: at most `per_class` labelled documents of each class
-of at most `SAMPLE_CHARS` characters each, drawn by a hash of id and text among the
-rows that may be learned from.
+with `SAMPLE_CHARS` characters together, none over `LONGEST`, drawn by a hash of id and
+text among the rows that may be learned from. Long texts belong in it: a model that
+never saw many clean sentences in a row takes long texts for toxic.
 
 Null and empty texts have no sentences and score 0. Labels that are null or neither
 0 nor 1, and null ids, are not learned from; an id labelled both ways is learned
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from streamledger.llm.common import bucket_of, mapped, table, unit_hash
 
-PER_CLASS, SAMPLE_CHARS = 2500, 30_000
+PER_CLASS, SAMPLE_CHARS, LONGEST = 2500, 20_000_000, 200_000
 SLOTS, WORD_CACHE = 1 << 18, 400_000
 EPOCHS, BATCH, RATE, PRIOR, BIAS = 30, 64, 0.1, 0.2, -6.0
 #: Words and stems of fewer sampled documents teach nothing: else chance words of toxic documents share the weight.
@@ -145,9 +146,11 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str =
     # About twice as many as needed pass the hash of their ids, and of their texts the first by another hash are taken.
     share = F.when(F.col("label") == 1, 2 * per_class / counts[1]).otherwise(2 * per_class / counts[0])
     drawn = known.where(unit_hash(F.col("id"), "toxicity") < share)
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= LONGEST)
     rows = texts.join(F.broadcast(drawn), "id").withColumn("draw", F.xxhash64("id", "text", F.lit("toxicity")))
-    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("draw"))).where(F.col("rank") <= per_class)
+    order = Window.partitionBy("label").orderBy("draw")
+    first = rows.withColumns({"rank": F.row_number().over(order), "chars": F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    first = first.where((F.col("rank") <= per_class) & (F.col("chars") <= SAMPLE_CHARS))
     bags = mapped(first.select("text", "label", "draw"), _bags, "label int, draw bigint, slots array<int>, sizes array<int>").toArrow()
     columns = {name: bags.column(name).combine_chunks() for name in bags.column_names}
     held = [(columns["draw"][k].as_py(), columns["label"][k].as_py(), columns["slots"][k].values.to_numpy(), columns["sizes"][k].values.to_numpy()) for k in range(len(bags))]

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeats, empty tables, and extra columns with clashing names, for every operator."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,13 @@ def test_warc(spark, tmp_path):
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_many_languages_repeated_ids_and_long_words(spark):
+    r = random.Random(4)
+    word = lambda k: "".join(r.choice("aeiou") + chr(97 + (k + r.randint(0, 2)) % 26) for _ in range(3)) + chr(0x3B1 + k % 24) + chr(0x430 + k // 4)
+    rows = [(None if k % 2 else 7, " ".join(word(k) for _ in range(12)), f"l{k:03d}") for k in range(80) for _ in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert len(model.chain.labels) == 80  # no cap, and rows without an id or with one id are drawn each by itself
+    words = langid.words_of("x" * 1000 + "y" * 3)
+    assert "".join(words) == "x" * 1000 + "yyy" and max(map(len, words)) == langid.RUN

@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamledger.functions.fields import MESSAGES, RULES
-from streamledger.schema import FIELDS, WIRE_NAMES
+from streamledger.schema import FIELDS, STORE_FORMAT_VERSION, WIRE_NAMES
 
 MAX_DEPTH = 32
 TAKEN_APART = "problem string, unknown array<string>, kinds map<string,string>, texts map<string,string>, inside array<struct<field:string,code:string>>"
+RECORD = f"problem string, seq bigint, subscription string, recorded_at string, event struct<{TAKEN_APART}>"
+#: The one problem of a stored line that a crash in the middle of a write can make.
+NOT_JSON = "not JSON"
 FOLDED = {w.lower(): w for w in WIRE_NAMES}
 
 
@@ -63,6 +66,10 @@ def take_apart(payload: str | None) -> dict:
         whole = json.loads(payload if payload is not None else "")
     except (ValueError, RecursionError):
         return {"problem": "not_json"}
+    return fields_apart(whole)
+
+
+def fields_apart(whole: object) -> dict:
     if not isinstance(whole, dict):
         return {"problem": "not_an_object"}
     known = {k: v for k, v in whole.items() if k in WIRE_NAMES}
@@ -75,11 +82,39 @@ def take_apart(payload: str | None) -> dict:
     return {"problem": None, "unknown": [k for k in whole if k not in known], "kinds": {k: kind_of(v) for k, v in known.items()}, "texts": texts, "inside": found}
 
 
+def record_apart(line: str | None) -> dict:
+    """A stored record taken apart: what is wrong with it as a record, its own fields, and its event as `fields_apart` has it."""
+    try:
+        whole = json.loads(line if line is not None else "")
+    except ValueError:
+        return {"problem": NOT_JSON}
+    except RecursionError:
+        return {"problem": "nested too deeply"}
+    if not isinstance(whole, dict):
+        return {"problem": "not an object"}
+    if whole.get("storeFormatVersion") != STORE_FORMAT_VERSION:
+        return {"problem": "unknown store format"}
+    gone = [k for k in ("seq", "subscription", "recordedAt", "event") if whole.get(k) is None]
+    if gone:
+        return {"problem": f"no {gone[0]}"}
+    seq = whole["seq"]
+    if kind_of(seq) != "integer" or not 1 <= seq < 1 << 63:
+        return {"problem": "no number of 1 or more"}
+    text = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    return {"problem": None, "seq": seq, "subscription": text(whole["subscription"]), "recorded_at": text(whole["recordedAt"]), "event": fields_apart(whole["event"])}
+
+
+_TEXTS = pa.map_(pa.string(), pa.string())
+_APART = pa.struct([("problem", pa.string()), ("unknown", pa.list_(pa.string())), ("kinds", _TEXTS), ("texts", _TEXTS), ("inside", pa.list_(pa.struct([("field", pa.string()), ("code", pa.string())])))])
+_RECORD = pa.struct([("problem", pa.string()), ("seq", pa.int64()), ("subscription", pa.string()), ("recorded_at", pa.string()), ("event", _APART)])
+
+
 def _taken_apart(payloads: pa.Array) -> pa.Array:
-    text = pa.map_(pa.string(), pa.string())
-    problems = pa.list_(pa.struct([("field", pa.string()), ("code", pa.string())]))
-    kinds = pa.struct([("problem", pa.string()), ("unknown", pa.list_(pa.string())), ("kinds", text), ("texts", text), ("inside", problems)])
-    return pa.array([take_apart(p) for p in payloads.to_pylist()], kinds)
+    return pa.array([take_apart(p) for p in payloads.to_pylist()], _APART)
+
+
+def _records_apart(lines: pa.Array) -> pa.Array:
+    return pa.array([record_apart(x) for x in lines.to_pylist()], _RECORD)
 
 
 def problem(field: Column, code: Column, message: Column | None = None) -> Column:
@@ -118,7 +153,16 @@ def payload_problems(apart: Column) -> Column:
 
 def parse_payloads(messages: DataFrame, payload_col: str = "payload") -> DataFrame:
     """messages with `event` (the envelope's fields as a struct, null if invalid) and `errors`."""
-    apart = messages.withColumn("apart", F.arrow_udf(_taken_apart, TAKEN_APART)(F.col(payload_col)))
+    return _judged(messages.withColumn("apart", F.arrow_udf(_taken_apart, TAKEN_APART)(F.col(payload_col))))
+
+
+def parse_records(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """Stored lines with `record` (problem, seq, subscription, recorded_at), and `event` and `errors` of the event inside, read from the line itself."""
+    taken = lines.withColumn("record", F.arrow_udf(_records_apart, RECORD)(F.col(line_col)))
+    return _judged(taken.withColumn("apart", F.col("record.event"))).withColumn("record", F.col("record").dropFields("event"))
+
+
+def _judged(apart: DataFrame) -> DataFrame:
     text = lambda name, wire: F.col("apart")["texts"][wire].try_cast("bigint") if name == "delivery_attempt" else F.col("apart")["texts"][wire]
     event = F.struct(*[text(name, wire).alias(name) for name, wire, _ in FIELDS])
     out = apart.withColumn("errors", payload_problems(F.col("apart")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from streamledger.errors import CorruptLedger, InvalidName
 from streamledger.functions.times import now
-from streamledger.functions.wire import parse_payloads, to_wire_json, typed_problems
+from streamledger.functions.wire import NOT_JSON, parse_records, to_wire_json, typed_problems
 from streamledger.operators import pages, sequencing
 from streamledger.schema import FIELDS, LEDGER, STORE_FORMAT_VERSION
 from streamledger.sources.committed import CommittedTable
@@ -96,14 +96,9 @@ def stored_lines(rows: DataFrame) -> DataFrame:
 def import_lines(spark: SparkSession, path: str) -> DataFrame:
     """Stored records from JSON lines (seq, subscription, recordedAt, storeFormatVersion, event). A torn last line of a file is dropped; any other line that is no JSON, lacks a key, has another format, a number below 1 or an invalid envelope is an error naming its file."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    event = F.get_json_object("value", "$.event")
-    rows = parse_payloads(lines.withColumns({"payload": event, "whole": F.try_parse_json("value").isNotNull()}))
-    last = rows.groupBy("file").agg(F.max("line").alias("last"))
-    rows = rows.join(last, "file").where(F.col("whole") | (F.col("line") != F.col("last")))
-    field = lambda name: F.get_json_object("value", f"$.{name}")
-    why = F.when(~F.col("whole"), "not JSON").when(~field("storeFormatVersion").eqNullSafe(F.lit(STORE_FORMAT_VERSION)), "unknown store format")
-    for name in ("seq", "subscription", "recordedAt", "event"):
-        why = why.when(field(name).isNull(), f"no {name}")
-    why = why.when(~field("seq").rlike(r"\A[1-9][0-9]{0,17}\z"), "no number of 1 or more").when(F.size("errors") > 0, "invalid envelope")
+    rows = parse_records(lines)
+    last = lines.groupBy("file").agg(F.max("line").alias("last"))
+    rows = rows.join(last, "file").where(~F.col("record.problem").eqNullSafe(F.lit(NOT_JSON)) | (F.col("line") != F.col("last")))
+    why = F.coalesce(F.col("record.problem"), F.when(F.size("errors") > 0, "invalid envelope"))
     stop = F.when(why.isNotNull(), F.raise_error(F.concat(F.lit("corrupt record in "), F.col("file"), F.lit(": "), why)))
-    return rows.select(F.coalesce(stop, field("seq").cast("bigint")).alias("seq"), field("recordedAt").alias("recorded_at"), field("storeFormatVersion").alias("store_format_version"), *[F.col(f"event.{n}").alias(n) for n, _, _ in FIELDS], field("subscription").alias("subscription"))
+    return rows.select(F.coalesce(stop, F.col("record.seq")).alias("seq"), "record.recorded_at", F.lit(STORE_FORMAT_VERSION).alias("store_format_version"), *[F.col(f"event.{n}").alias(n) for n, _, _ in FIELDS], "record.subscription")

@@ -5,13 +5,15 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from streamledger import errors
+from streamledger import errors, history
 from streamledger.cli import address, main
+from streamledger.functions.wire import parse_payloads
 from streamledger.operators import backlog, pages, sequencing
 from streamledger.operators.ledger import Ledger, import_lines
 from streamledger.operators.registry import NAME as REGISTERED
 from streamledger.operators.ledger import NAME as STORED
 from streamledger.plans import adapter
+from streamledger.schema import ENVELOPE
 from streamledger.streaming import drain, stateful
 
 from .conftest import SF
@@ -35,6 +37,17 @@ def test_append_numbers_and_dedupes(spark, tmp_path):
     assert ledger.stored_at(incoming(spark, 2).select("subscription", "id")).agg(F.max("seq")).first()[0] == 2
 
 
+def test_one_call_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("STREAMLEDGER_ROOT", str(tmp_path / "default"))
+    assert history.append(incoming(spark, 6), "b0") and not history.append(incoming(spark, 6), "b0")
+    assert history.append(incoming(spark, 2), "b0", root=str(tmp_path / "other"))
+    rows = history.read(spark, "s", since=2, max=3).orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == [3, 4, 5]
+    assert history.get(spark, rows[0]["id"]).count() == 1 and history.get(spark, rows[0]["id"], root=str(tmp_path / "other")).count() == 0
+    assert history.list_events(spark, max=4).count() == 4
+    assert history.open_store(spark).root == str(tmp_path / "default")
+
+
 def test_half_written_batch_stays_unseen(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path))
     ledger.append(incoming(spark, 5), "b0")
@@ -215,12 +228,23 @@ def test_import_lines(spark, tmp_path):
     assert sorted((r["seq"], r["id"]) for r in import_lines(spark, str(f)).collect()) == [(1, "e1"), (2, "e2")]
     good = json.loads(line(2, event))
     bad = ['{"storeFormat', line(0, event), line("x", event), line(2, event | {"type": "A"}), *(json.dumps({k: v for k, v in good.items() if k != gone}) for gone in good), json.dumps(good | {"storeFormatVersion": "9"})]
+    bad += [json.dumps(good | {"seq": x}) for x in ("2", True, 2.0, 1 << 63)] + ["[1]", line(2, event | {"data": {"x": float("nan")}})]
     for text in bad:
         f.write_text(text + "\n" + line(2, event) + "\n")
         with pytest.raises(Exception, match="corrupt record"):
             import_lines(spark, str(f)).collect()
 
 
+def test_import_keeps_what_the_line_says(spark, tmp_path):
+    odd = '{"id":"gone","id":"e1","type":"a.b","source":"x:y","time":"2026-01-01T00:00:00Z","schemaVersion":"1","data":{"n":123456789012345678901234567890,"x":1.0,"s":"a\\u00e9\\/","x":2.50}}'
+    f = tmp_path / "s.jsonl"
+    f.write_text('{"storeFormatVersion":"1","seq":1,"subscription":"s","recordedAt":"t","event":' + odd + "}\n" + '{"storeFormatVersion":"1","seq":2,"subscription":"s","recordedAt":"t","event":' + odd.replace("e1", "e2") + "}")
+    rows = import_lines(spark, str(f)).orderBy("seq")
+    want = parse_payloads(spark.createDataFrame([(odd,)], "payload string")).select("event.data").first()["data"]
+    assert [(r["seq"], r["id"], r["data"]) for r in rows.collect()] == [(1, "e1", want), (2, "e2", want)]
+    assert "123456789012345678901234567890" in want and set(rows.columns) == {"seq", "recorded_at", "store_format_version", "subscription", *ENVELOPE.names}
+
+
 def test_liveness_batch_form(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 9), ("b", 2)], "producer string, at bigint")
     assert {r["producer"]: r["online"] for r in stateful.last_seen(rows, 10, 3).collect()} == {"a": True, "b": False}

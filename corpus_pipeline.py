@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamledger.llm import bpe, decontamination, jaccard, langid, toxicity
-from streamledger.llm.common import bucket_of, materialise, table
+from streamledger.llm.common import bucket_of, discard, materialise, named, table
 
 #: A text in which no language holds this share of the words is in no language.
 MIN_LANGUAGE_SHARE = 0.35
@@ -27,7 +27,7 @@ TOXIC = 0.5
 
 def _rows(docs: DataFrame) -> DataFrame:
     """Whole rows as one column beside their text, so that a mapped operator hands them on without a join."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    return docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.col("text"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +44,12 @@ def toxic_content(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id."""
-    placed = jaccard.ngram_jaccard_components(docs, width=SHINGLE_WORDS, threshold=SIMILARITY)
-    gone = materialise(placed.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near-duplicates")
-    return docs.join(jaccard.fitting(gone, jaccard.BROADCAST_IDS), F.col("doc_id") == F.col("gone"), "left_anti")
+    """One document of each group of linked ones: that with the smallest id and, where this id stands on several texts, of these that with the smallest hash. Rows are told apart by id and text."""
+    placed = jaccard.placed_rows(docs, width=SHINGLE_WORDS, threshold=SIMILARITY)
+    gone = materialise(placed.where(~F.col("stays")).select(F.col("id").alias("gone"), F.col("text_hash").alias("gone_hash")).distinct(), "near-duplicates")
+    rows = _rows(docs).select("row", F.col("row.doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+    same = F.col("id").eqNullSafe(F.col("gone")) & (F.col("text_hash") == F.col("gone_hash"))
+    return rows.join(jaccard.fitting(gone, jaccard.BROADCAST_IDS), same, "left_anti").select("row.*")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,6 +80,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts handed to one vectorised step hold about this many characters, whatever the Arrow batch holds.
 SLICE_CHARS = 2_000_000
@@ -63,7 +64,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+def with_id(kind: T.DataType, rest: str, name: str = "id") -> T.StructType:
+    """A schema whose first field has a given type, which may be a struct with fields of any name; the rest as DDL."""
+    return T.StructType([T.StructField(name, kind), *T.StructType.fromDDL(rest).fields])
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def mapped(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """mapInArrow with batches of few megabytes: rows go to and fro several times over, so that large ones fill an executor."""
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES) == BATCH_DEFAULT:

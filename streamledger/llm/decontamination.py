@@ -26,9 +26,10 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from streamledger.llm.common import mapped, materialise, table
+from streamledger.llm.common import mapped, materialise, table, with_id
 
 WIDTH = 10
 SHARD_CHARS = 400_000
@@ -112,13 +113,13 @@ def shards_of(benchmark: DataFrame, id_col: str, text_col: str, shard_chars: int
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, shard_chars: int = SHARD_CHARS, spans: bool = True) -> DataFrame:
     """One row per document: its id, n_words, n_hit, items (array, ascending as text), spans (original characters) and contaminated."""
     spark = documents.sparkSession
-    id_type = documents.schema[id_col].dataType.simpleString()
     item_type = benchmark.schema[item_col].dataType.simpleString()
     arrow_type = to_arrow_type(benchmark.schema[item_col].dataType)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shards = (spark.sparkContext.broadcast(items) for items in shards_of(benchmark, item_col, item_text_col, shard_chars))
     first, second = next(shards), next(shards, None)
-    schema = f"id {id_type}, n_words bigint, n_hit bigint, items array<{item_type}>, spans array<struct<start:bigint,end:bigint>>"
+    rest = f"n_words bigint, n_hit bigint, items array<{item_type}>, spans array<struct<start:bigint,end:bigint>>"
+    schema = with_id(documents.schema[id_col].dataType, rest)
     if second is None:
         out = mapped(docs, _scanner(first, arrow_type, width, spans), schema)
     else:
@@ -126,7 +127,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
         keyed = materialise(keyed, "decontamination")
         parts = None
         for items in chain([first, second], shards):
-            one = mapped(keyed, _scanner(items, arrow_type, width, spans, ranges=True), f"row bigint, ranges array<struct<start:bigint,end:bigint>>, {schema}")
+            one = mapped(keyed, _scanner(items, arrow_type, width, spans, ranges=True), T.StructType([*T.StructType.fromDDL("row bigint, ranges array<struct<start:bigint,end:bigint>>").fields, *schema.fields]))
             parts = one if parts is None else parts.unionByName(one)
         out = _merge(parts)
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.array_sort(F.col("items"), lambda a, b: F.when(a.cast("string") < b.cast("string"), -1).when(a.cast("string") > b.cast("string"), 1).otherwise(0)).alias("items"), "spans", (F.col("n_hit") > 0).alias("contaminated"))

@@ -54,7 +54,7 @@ UNSEEN, HTML_AGAIN = ("svg", "template"), ("foreignobject", "desc")
 GROUPS = [tuple(frozenset(x.split()) for x in g) for g in (("li", "li", "ul ol menu dir"), ("dt dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td th", "td th", "table tr"), ("option", "option", "select"))]
 GROUP_OF = {t: k for k, (tags, _, _) in enumerate(GROUPS) for t in tags}
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*+(?:(?<=/)>|>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""",
+    rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*+(?:(?<=/)>|>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z""",
     re.S | re.I,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

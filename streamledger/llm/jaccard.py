@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import discard, mapped, materialise, slices, table
+from streamledger.llm.common import discard, mapped, materialise, named, slices, table, with_id
 
 WIDTH, THRESHOLD = 4, (85, 100)
 #: Coordinates of a point, entries of a tree node, words kept with their hash in a task.
@@ -560,12 +560,24 @@ def tree_pairs(grouped: DataFrame, points: DataFrame, num: int, den: int, passes
     return materialise(mapped(rows, _trees(num, den, passes), "cell bigint, a bigint, b bigint, more boolean"), name)
 
 
+def once(sets: DataFrame) -> DataFrame:
+    """Stored sets, each one time: rows that repeat an id and its text give a set again and again, and links among repeats would grow with their square."""
+    again = materialise(sets.groupBy("set").agg(F.count("*").alias("n")).where("n > 1").select("set"), "repeated-sets")
+    if again.isEmpty():
+        discard(again)
+        return sets
+    one = sets.join(again, "set", "left_semi").dropDuplicates(["set"])
+    out = materialise(sets.join(again, "set", "left_anti").unionByName(one), "sets")
+    discard(sets, again)
+    return out
+
+
 def ngram_jaccard_links(docs: DataFrame, wanted: DataFrame, met: DataFrame, best: DataFrame, width: int, num: int, den: int, broadcast_ids: int, block: int) -> DataFrame:
     """Parts (node, part) of all sets that link: rounds of tree queries, verification and merging."""
     small = wanted.count() <= broadcast_ids
     same = docs["id"].eqNullSafe(wanted["first"]) & (docs["text_hash"] == wanted["hash"])
     fetched = docs.join(F.broadcast(wanted) if small else wanted, same).select("set", "text")
-    sets = materialise(mapped(fetched, _sets(width), "set bigint, n bigint, counts binary, sketch binary, tokens array<bigint>"), "sets")
+    sets = once(materialise(mapped(fetched, _sets(width), "set bigint, n bigint, counts binary, sketch binary, tokens array<bigint>"), "sets"))
     points = materialise(sets.select("set", "n", "counts", "sketch").dropDuplicates(["set"]), "points")
 
     found = tree_pairs(in_cells(best, block), points, num, den, 1, "cell-pairs")
@@ -595,15 +607,14 @@ def ngram_jaccard_links(docs: DataFrame, wanted: DataFrame, met: DataFrame, best
         passes *= 64
 
 
-def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, broadcast_ids: int = BROADCAST_IDS, block: int = BLOCK) -> DataFrame:
-    """One row per document: its id, n_shingles and component_id, the smallest id that links reach. threshold is a fraction (numerator, denominator)."""
+def placed_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, broadcast_ids: int = BROADCAST_IDS, block: int = BLOCK) -> DataFrame:
+    """One row per document: id, text_hash (xxhash64 of the text), n (the size of its set), component (the smallest id that links reach), and stays: whether it is the document of its component that has this id and, of several such, the smallest hash."""
     num, den = threshold
-    kind = documents.schema[id_col].dataType.simpleString()
-    docs = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("text_hash"))
+    docs = documents.select(named(id_col).alias("id"), named(text_col).alias("text"), F.xxhash64(named(text_col)).alias("text_hash"))
     # Texts are cut into shingles three times (for all sizes, all signatures, the sets that meet): cheaper on disk than to store what all of them hold.
-    profiles = materialise(mapped(docs, _profiles(width), f"id {kind}, text_hash bigint, n bigint, set bigint"), "profiles")
+    profiles = materialise(mapped(docs, _profiles(width), with_id(docs.schema["id"].dataType, "text_hash bigint, n bigint, set bigint")), "profiles")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
-    classes = profiles.where("set is not null").groupBy("set").agg(least.alias("least")).select("set", F.col("least.id").alias("first"), F.col("least.text_hash").alias("hash"))
+    classes = profiles.where("set is not null").groupBy("set").agg(least.alias("least")).select("set", "least", F.col("least.id").alias("first"), F.col("least.text_hash").alias("hash"))
 
     signed = mapped(docs.select("text"), _signed(width, num, den), "signature bigint, set bigint")
     pairs = materialise(mapped(signed.repartition("signature").sortWithinPartitions("signature", "set"), _meetings, "signature bigint, set bigint"), "meetings")
@@ -614,17 +625,25 @@ def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_
     discard(pairs)
     best = met.where("set != hub").groupBy("set", "hub").count().groupBy("set").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
     best = materialise(best, "best")
-    wanted = materialise(classes.join(met.select("set").distinct(), "set"), "wanted")
+    wanted = materialise(classes.drop("least").join(met.select("set").distinct(), "set"), "wanted")
     parts = ngram_jaccard_links(docs, wanted, met, best, width, num, den, broadcast_ids, block)
     discard(met, best, wanted)
 
     grouped = classes.join(parts.withColumnRenamed("node", "set"), "set")
-    smallest = grouped.groupBy("part").agg(F.min("first").alias("component"))
-    of = grouped.join(smallest, "part").select("set", "component")
-    of = materialise(classes.join(of, "set", "left").select("set", F.coalesce("component", "first").alias("component")), "placed")
-    known = profiles.where("set is not null").join(of, "set").select("id", "n", "component")
-    empty = profiles.where("set is null").select("id", "n", F.col("id").alias("component"))
-    return known.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    smallest = grouped.groupBy("part").agg(F.min("least").alias("stay"))
+    of = grouped.join(smallest, "part").select("set", "stay")
+    of = materialise(classes.join(of, "set", "left").select("set", F.coalesce("stay", "least").alias("stay")), "placed")
+    discard(parts)
+    own = F.col("id").eqNullSafe(F.col("stay.id")) & (F.col("text_hash") == F.col("stay.text_hash"))
+    known = profiles.where("set is not null").join(of, "set").select("id", "text_hash", "n", F.col("stay.id").alias("component"), own.alias("stays"))
+    empty = profiles.where("set is null").select("id", "text_hash", "n", F.col("id").alias("component"), F.lit(True).alias("stays"))
+    return known.unionByName(empty)
+
+
+def ngram_jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, broadcast_ids: int = BROADCAST_IDS, block: int = BLOCK) -> DataFrame:
+    """One row per document: its id, n_shingles and component_id, the smallest id that links reach. threshold is a fraction (numerator, denominator)."""
+    placed = placed_rows(documents, id_col, text_col, width, threshold, broadcast_ids, block)
+    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamledger.llm import crf
-from streamledger.llm.common import bucket_of, discard, mapped, materialise, slices, table, unit_hash
+from streamledger.llm.common import bucket_of, discard, mapped, materialise, slices, table, unit_hash, with_id
 
 PER_LANGUAGE, PIECES, PIECE_WORDS, RUN = 400, 6, 12, 40
 #: Parts of words and scores of words (numbers, not rows) that a task keeps.
@@ -215,7 +215,7 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=["id", "lang_pred", "score"])
 
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = mapped(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    out = mapped(docs, run, with_id(docs.schema["id"].dataType, "lang_pred string, score double"))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -234,7 +234,7 @@ def code_switches(documents: DataFrame, model: Model, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k].as_py()] * len(words), ids.type), pa.array(range(len(words)), pa.int64()), pa.array(words, pa.string()), pa.array([held.value.chain.labels[x] for x in best], pa.string()), pa.array(post[np.arange(len(best)), best], pa.float64())], names=["id", "position", "word", "lang", "probability"])
 
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = mapped(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, position bigint, word string, lang string, probability double")
+    out = mapped(docs, run, with_id(docs.schema["id"].dataType, "position bigint, word string, lang string, probability double"))
     return out.withColumnRenamed("id", id_col)
 
 

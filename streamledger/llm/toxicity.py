@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import bucket_of, mapped, table, unit_hash
+from streamledger.llm.common import bucket_of, mapped, table, unit_hash, with_id
 
 PER_CLASS, SAMPLE_CHARS, LONGEST = 2500, 20_000_000, 200_000
 SLOTS, WORD_CACHE = 1 << 18, 400_000
+#: Texts that score so much are predicted to be toxic.
+TOXIC = 0.5
 EPOCHS, BATCH, RATE, PRIOR, BIAS = 30, 64, 0.1, 0.2, -6.0
 #: Words and stems of fewer sampled documents teach nothing: else chance words of toxic documents share the weight.
 MIN_DOCS = 3
@@ -127,14 +129,16 @@ class Scorer:
         return out
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
-        """Noisy-or over the sentences, and those that are more likely toxic than not."""
+        """Noisy-or over the sentences, and those that are more likely toxic than not; of a text that is so by many weak ones, the strongest (all, if several are)."""
         found = self.sentences(text)
         if not found:
             return 0.0, []
         z = np.array([x for _, _, x in found])
         order = np.sort(z)  # sums do not hang on the order of words or sentences
         score = float(-np.expm1(-np.logaddexp(0.0, order).sum()))
-        return round(min(1.0, max(0.0, score)), 12), [{"start": a, "end": b, "score": float(1 / (1 + np.exp(-min(x, 700.0))))} for a, b, x in found if x >= 0]
+        score = round(min(1.0, max(0.0, score)), 12)
+        least = min(0.0, z.max()) if score >= TOXIC else 0.0
+        return score, [{"start": a, "end": b, "score": float(1 / (1 + np.exp(-min(x, 700.0))))} for a, b, x in found if x >= least]
 
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> np.ndarray:
@@ -169,11 +173,11 @@ def score_toxicity(documents: DataFrame, weights: np.ndarray, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s for s, _ in found], pa.float64()), pa.array([o for _, o in found], span)], names=["id", "score", "offending"])
 
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = mapped(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, score double, offending array<struct<start:bigint,end:bigint,score:double>>")
+    out = mapped(docs, run, with_id(docs.schema["id"].dataType, "score double, offending array<struct<start:bigint,end:bigint,score:double>>"))
     return out.withColumnRenamed("id", id_col)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket_of(F.col("doc_id"), 5) == 0
     out = score_toxicity(docs, train(docs, labels, ~held_out))
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "offending")

@@ -87,3 +87,26 @@ def test_edges(spark):
     assert cp.benchmark_free(spark, rows, SF).count() == 6 and cp.benchmark_free(spark, rows.limit(0), SF).count() == 0
     assert {r["doc_id"] for r in cp.language_id(spark, rows, SF).collect()} <= {None, 3, 4}
     assert cp.encoded(spark, rows, SF).count() == 6
+
+
+def test_rows_with_any_columns(spark):
+    """Columns named like those the stages use inside, with dots and quotes in them, come out as they went in."""
+    text = "the quick brown fox jumps over the lazy dog near the river bank today"
+    other = "an altogether different text about the weather in the mountains this week"
+    rows = [(1, text), (2, text), (2, other), (3, other + " again"), (None, text), (None, None), (4, ""), (5, "w " * 60_000)]
+    odd = ("gone", "a.b", "row", "id", "text_hash", "gone_hash", "x`y", "stays", "n", "set")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text")})
+    docs = docs.select("*", *[F.lit(c).alias(c) for c in odd])
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and all(r[c] == c for r in out.collect() for c in odd)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    kept = sorted(((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in cp.near_duplicates(spark, docs, SF).collect()))
+    # (2, other) is alone although id 2 stands on a copy as well; the copy without an id goes
+    assert kept == [(0, ""), (1, "the q"), (2, "an al"), (4, ""), (5, "w w w")]
+
+
+def test_one_of_two_texts_of_one_id_stays(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(7, text), (7, text + " more"), (8, text), (8, text)], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in cp.near_duplicates(spark, docs, SF).collect()] == [7]

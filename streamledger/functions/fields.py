@@ -6,28 +6,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from streamledger.functions.times import time_problem
-from streamledger.functions.topics import text_problem, type_problem
+from streamledger.functions.topics import MAX_TYPE, TYPE, text_problem, type_problem
 
+#: Grammars of the envelope's fields, and white space that no source may have.
 IDENTIFIER = r"\A[A-Za-z0-9][A-Za-z0-9._:+/=@-]*\z"
 SCHEMA_VERSION = r"\A[0-9]+(\.[0-9]+)*\z"
 SOURCE = r"\A[A-Za-z][A-Za-z0-9+.-]*:"
 TRACEPARENT = r"\A(?!ff)[0-9a-f]{2}-(?!0{32})[0-9a-f]{32}-(?!0{16})[0-9a-f]{16}-[0-9a-f]{2}\z"
+WHITE_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+#: Length and grammar of each field with text; None for no limit. Columns and single events take their rules from here.
+TEXTS: dict[str, tuple[int | None, str]] = {
+    "id": (128, IDENTIFIER),
+    "type": (MAX_TYPE, TYPE),
+    "source": (512, SOURCE),
+    "schema_version": (32, SCHEMA_VERSION),
+    "correlation_id": (128, IDENTIFIER),
+    "causation_id": (128, IDENTIFIER),
+    "run_id": (128, IDENTIFIER),
+    "traceparent": (None, TRACEPARENT),
+    "producer": (128, IDENTIFIER),
+}
 
 
 def identifier_problem(value: Column) -> Column:
-    return text_problem(value, 128, IDENTIFIER)
+    return text_problem(value, *TEXTS["id"])
 
 
 def source_problem(value: Column) -> Column:
-    return F.coalesce(text_problem(value, 512, SOURCE), F.when(value.rlike(r"[\s\x1c-\x1f\x85\p{Z}]"), "malformed"))
+    return F.coalesce(text_problem(value, *TEXTS["source"]), F.when(value.rlike(WHITE_SPACE), "malformed"))
 
 
 def schema_version_problem(value: Column) -> Column:
-    return text_problem(value, 32, SCHEMA_VERSION)
+    return text_problem(value, *TEXTS["schema_version"])
 
 
 def traceparent_problem(value: Column) -> Column:
-    return F.when(value == "", "empty").when(~value.rlike(TRACEPARENT), "malformed")
+    return text_problem(value, *TEXTS["traceparent"])
 
 
 def delivery_attempt_problem(value: Column) -> Column:

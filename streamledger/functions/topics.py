@@ -15,9 +15,10 @@ MAX_TYPE = 128
 TYPE = r"\A[a-z0-9]+([._-][a-z0-9]+)*\z"
 
 
-def text_problem(value: Column, limit: int, grammar: str) -> Column:
+def text_problem(value: Column, limit: int | None, grammar: str) -> Column:
     """Code of what is wrong with a text, null if nothing: empty, too_long or malformed."""
-    return F.when(value == "", "empty").when(F.char_length(value) > limit, "too_long").when(~value.rlike(grammar), "malformed")
+    long = F.lit(False) if limit is None else F.char_length(value) > limit
+    return F.when(value == "", "empty").when(long, "too_long").when(~value.rlike(grammar), "malformed")
 
 
 def type_problem(value: Column) -> Column:

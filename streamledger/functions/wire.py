@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,10 @@ NOT_JSON = "not JSON"
 FOLDED = {w.lower(): w for w in WIRE_NAMES}
 
 
+class Key:
+    """Stands for a key that is no text."""
+
+
 def kind_of(value: object) -> str:
     """The JSON kind of a parsed value; a whole number written with a point or an exponent is a number, not an integer."""
     match value:
@@ -39,25 +44,31 @@ def kind_of(value: object) -> str:
             return "number"
         case str():
             return "string"
-        case list():
+        case list() | tuple():
             return "array"
-        case _:
+        case Mapping():
             return "object"
+        case _:
+            return "unsupported"
 
 
 def inside(path: str, value: object) -> list[dict]:
-    """Problems within data, with their paths, in document order; a stack, so that depth costs no recursion."""
+    """Problems within data, with their paths, in document order; a stack, so that depth costs no recursion. Values and keys that no JSON text gives occur in events made in Python."""
     found, todo = [], [(path, value, 0)]
     while todo:
         at, v, depth = todo.pop()
-        if isinstance(v, float) and not math.isfinite(v):
-            found.append({"field": at, "code": "malformed"})
-        elif isinstance(v, (dict, list)):
-            if depth >= MAX_DEPTH:
+        match kind_of(v):
+            case "number" if not math.isfinite(v):
+                found.append({"field": at, "code": "malformed"})
+            case "unsupported":
+                found.append({"field": at, "code": "unsupported_type"})
+            case "object" | "array" if depth >= MAX_DEPTH:
                 found.append({"field": at, "code": "too_deep"})
-            else:
-                below = [(f"{at}.{k}", x) for k, x in v.items()] if isinstance(v, dict) else [(f"{at}[{k}]", x) for k, x in enumerate(v)]
+            case "object":
+                below = [(f"{at}.{k}", x) if isinstance(k, str) else (at, Key) for k, x in v.items()]
                 todo.extend((p, x, depth + 1) for p, x in reversed(below))
+            case "array":
+                todo.extend((f"{at}[{k}]", x, depth + 1) for k, x in reversed(list(enumerate(v))))
     return found
 
 
@@ -70,16 +81,16 @@ def take_apart(payload: str | None) -> dict:
 
 
 def fields_apart(whole: object) -> dict:
-    if not isinstance(whole, dict):
+    if not isinstance(whole, Mapping):
         return {"problem": "not_an_object"}
     known = {k: v for k, v in whole.items() if k in WIRE_NAMES}
     plain = lambda v: v if isinstance(v, str) else str(v) if kind_of(v) == "integer" else None
     texts = {k: plain(v) for k, v in known.items() if k != "data"}
     data = known.get("data")
-    found = inside("data", data) if isinstance(data, dict) else []
-    if isinstance(data, dict) and not found:
+    found = inside("data", data) if isinstance(data, Mapping) else []
+    if isinstance(data, Mapping) and not found:
         texts["data"] = json.dumps(data, ensure_ascii=False, separators=(",", ":"))
-    return {"problem": None, "unknown": [k for k in whole if k not in known], "kinds": {k: kind_of(v) for k, v in known.items()}, "texts": texts, "inside": found}
+    return {"problem": None, "unknown": [str(k) for k in whole if k not in known], "kinds": {k: kind_of(v) for k, v in known.items()}, "texts": texts, "inside": found}
 
 
 def record_apart(line: str | None) -> dict:

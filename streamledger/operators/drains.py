@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamledger.functions.wire import parse_payloads
 from streamledger.operators.pages import check_bound
-from streamledger.operators.sequencing import appended
+from streamledger.operators.sequencing import first_copies, placed_in_time, unseen
 
 MAX_REASON = 200
 
@@ -31,13 +31,25 @@ def reason() -> Column:
 
 
 def drain(messages: DataFrame, ledger: DataFrame, max: int = 100) -> Drained:
-    """Takes the oldest max messages (subscription, arrival, topic, payload) of the backlog; equal arrivals are taken by subscription, topic and payload. What was taken is kept, as it is at most max rows, and parsed once."""
+    """Takes the oldest max messages (subscription, arrival, topic, payload) of the backlog; equal arrivals are taken by subscription, topic and payload.
+
+    The backlog is read once: what was taken, at most max rows, is held by the driver from then on, and the ledger is asked for these ids and their subscriptions' last numbers only.
+    """
     check_bound(max)
-    parsed = parse_payloads(messages.orderBy("arrival", "subscription", "topic", "payload").limit(max)).persist()
+    spark = messages.sparkSession
+    taken = parse_payloads(placed_in_time(messages).orderBy("arrival", "subscription", "topic", "payload").limit(max))
+    parsed = spark.createDataFrame(taken.collect(), taken.schema)
     good = parsed.where(F.size("errors") == 0).select("subscription", "arrival", "event.*")
-    stored = appended(good, ledger).persist()
-    known = ledger.select("subscription", "id", "seq").unionByName(stored.select("subscription", "id", "seq"))
-    records = good.join(known, ["subscription", "id"])
+    wanted = F.broadcast(good.select("subscription", "id").distinct())
+    held = ledger.select("subscription", "id", "seq")
+    known = held.join(wanted, ["subscription", "id"], "left_semi")
+    known = spark.createDataFrame(known.collect(), known.schema)
+    last = held.join(F.broadcast(good.select("subscription").distinct()), "subscription", "left_semi").groupBy("subscription").agg(F.max("seq").alias("last"))
+    place = F.row_number().over(Window.partitionBy("subscription").orderBy("arrival", "id"))
+    new = unseen(first_copies(good), known).join(F.broadcast(last), "subscription", "left")
+    stored = new.withColumn("seq", (place + F.coalesce("last", F.lit(0))).cast("bigint")).drop("last")
+    stored = spark.createDataFrame(stored.collect(), stored.schema)
+    records = good.join(known.unionByName(stored.select("subscription", "id", "seq")), ["subscription", "id"])
     skipped = parsed.where(F.size("errors") > 0).select("topic", reason().alias("reason"))
     return Drained(parsed, stored, records, skipped)
 

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamledger.errors import CorruptLedger, InvalidName
 from streamledger.functions.times import now
 from streamledger.functions.wire import NOT_JSON, parse_records, to_wire_json, typed_problems
 from streamledger.operators import pages, sequencing
-from streamledger.schema import FIELDS, LEDGER, STORE_FORMAT_VERSION
-from streamledger.sources.committed import CommittedTable
+from streamledger.schema import FIELDS, STORE_FORMAT_VERSION
+from streamledger.sources.ledger_table import LedgerTable, tails
 
 NAME = re.compile(r"[a-z0-9][a-z0-9._-]{0,63}")
 
@@ -26,59 +27,98 @@ def check_name(name: object) -> str:
 
 
 class LedgerBackend(Protocol):
-    """What stands behind a ledger: the rows, and appending a named batch of them once."""
+    """What stands behind a ledger: the rows, their ids and last numbers, and appending a named batch of them once."""
 
     def read(self) -> DataFrame: ...
 
+    def seen(self, within: tuple[str, str] | None = None) -> DataFrame: ...
+
+    def last(self) -> list[Row]: ...
+
     def holds(self, batch: str) -> bool: ...
 
-    def append(self, rows: DataFrame, batch: str, sort: tuple[str, ...] = ()) -> bool: ...
+    def append(self, rows: DataFrame, batch: str, sort: tuple[str, ...] = (), guard: Callable[[], None] | None = None) -> bool: ...
+
+
+#: Up to so many subscriptions, the newest records are read from the ends of their logs; beyond, all are ranked.
+TAILS = 1000
+
+
+def record_problem() -> Column:
+    """Why a stored record can't be right, null if nothing: its format, number or envelope."""
+    return F.when(~F.col("store_format_version").eqNullSafe(F.lit(STORE_FORMAT_VERSION)), "unknown store format").when(F.coalesce(F.col("seq") < 1, F.lit(True)), "number below 1").when(F.size(typed_problems()) > 0, "invalid envelope")
+
+
+def verified(rows: DataFrame, after: int | None = None) -> DataFrame:
+    """rows, each of which is an error if it is no valid record. after: they are to be a subscription's numbers from there on, without a hole."""
+    why = record_problem()
+    if after is not None:
+        place = F.row_number().over(Window.partitionBy("subscription").orderBy("seq"))
+        rows = rows.withColumn("place", place)
+        why = F.coalesce(why, F.when(F.col("seq") != F.col("place") + after, "hole before it"))
+    told = F.concat(F.lit("corrupt record "), F.coalesce("subscription", F.lit("")), F.lit(" "), F.coalesce(F.col("seq").cast("string"), F.lit("without a number")), F.lit(": "), why)
+    return rows.where(F.when(why.isNotNull(), F.raise_error(told).cast("boolean")).otherwise(True)).drop("place")
 
 
 class Ledger:
-    """Reads are lazy DataFrames; appends are jobs. Bounds and names are checked before either."""
+    """Reads are lazy DataFrames; appends are jobs. Bounds and names are checked before either. What is read is verified in the same job: a corrupt record is an error that names it, never skipped."""
 
     def __init__(self, spark: SparkSession, root: str, backend: LedgerBackend | None = None):
         self.spark, self.root = spark, root.rstrip("/")
-        self.backend = backend or CommittedTable(spark, f"{self.root}/ledger", LEDGER, ("subscription",))
+        self.backend = backend or LedgerTable(spark, f"{self.root}/ledger")
 
     def rows(self) -> DataFrame:
         return self.backend.read()
 
-    def append(self, events: DataFrame, batch: str) -> bool:
-        """Stores valid envelopes (subscription, arrival and the envelope's columns); known ids stay as they are. False if the batch was stored before."""
+    def append(self, events: DataFrame, batch: str, within: tuple[str, str] | None = None, guard: Callable[[], None] | None = None) -> bool:
+        """Stores valid envelopes (subscription, arrival and the envelope's columns); known ids stay as they are. False if the batch was stored before. within: the least and the largest id among the events, if they are known; guard is called before the batch counts."""
         if self.backend.holds(batch):
             return False
         bad = F.size(typed_problems()) > 0
         checked = events.withColumn("id", F.when(bad, F.raise_error(F.concat(F.lit("invalid envelope "), F.coalesce("id", F.lit("without id"))))).otherwise(F.col("id")))
-        new = sequencing.appended(checked, self.rows())
+        last = self.spark.createDataFrame([(r["subscription"], r["seq"]) for r in self.backend.last()], "subscription string, seq bigint")
+        new = sequencing.numbered(sequencing.unseen(sequencing.first_copies(checked), self.backend.seen(within)), last)
         new = new.withColumns({"recorded_at": now(), "store_format_version": F.lit(STORE_FORMAT_VERSION)})
-        return self.backend.append(new, batch, ("subscription", "seq"))
+        return self.backend.append(new, batch, ("subscription", "seq"), guard)
 
     def read(self, subscription: str, since: int = 0, max: int = pages.DEFAULT_MAX) -> DataFrame:
-        return pages.page_after(self.rows(), check_name(subscription), since, max)
+        return verified(pages.page_after(self.rows(), check_name(subscription), since, max), since)
 
     def page(self, subscription: str, since: int = 0, max: int = pages.DEFAULT_MAX) -> DataFrame:
         return pages.page_summary(self.rows(), check_name(subscription), since, max)
 
     def get(self, id: str) -> DataFrame:
-        return pages.by_id(self.rows(), id)
+        """Row groups whose bloom filter rules the id out are not read."""
+        return verified(pages.by_id(self.rows(), id))
 
     def list(self, type: str | None = None, max: int = pages.DEFAULT_MAX) -> DataFrame:
-        return pages.newest(self.rows(), type, max)
+        """Newest first. Read from the ends of the subscriptions' logs, further back where these hold too few of the type, so that what is read does not grow with history."""
+        pages.check_bound(max)
+        last, per = self.backend.last(), {}
+        if len(last) > TAILS:
+            return verified(pages.newest(self.rows(), type, max))
+        per, short = dict.fromkeys((r["subscription"] for r in last), max), last
+        while type is not None:
+            short = [r for r in short if r["seq"] > per[r["subscription"]]]
+            held = self.rows().where(tails(short, per)).where(F.col("type") == type).groupBy("subscription").count()
+            found = {r["subscription"]: r["count"] for r in held.collect()} if short else {}
+            short = [r for r in short if found.get(r["subscription"], 0) < max]
+            if not short:
+                break
+            per |= {r["subscription"]: per[r["subscription"]] * 8 for r in short}
+        return verified(pages.newest(self.rows().where(tails(last, per)), type, max))
 
     def subscriptions(self) -> DataFrame:
         return pages.subscriptions(self.rows())
 
     def stored_at(self, events: DataFrame) -> DataFrame:
         """The seq of each (subscription, id), null if it is not stored."""
-        return sequencing.stored_at(events, self.rows())
+        return sequencing.stored_at(events, self.backend.seen())
 
     def problems(self) -> DataFrame:
         """Records that can't be right: unknown format, number below 1, invalid fields, or a hole in the numbers."""
         rows = self.rows()
-        why = F.when(~F.col("store_format_version").eqNullSafe(F.lit(STORE_FORMAT_VERSION)), "unknown store format").when(F.coalesce(F.col("seq") < 1, F.lit(True)), "number below 1").when(F.size(typed_problems()) > 0, "invalid envelope")
-        wrong = rows.withColumn("why", why).where(F.col("why").isNotNull()).select("subscription", "seq", "why")
+        wrong = rows.withColumn("why", record_problem()).where(F.col("why").isNotNull()).select("subscription", "seq", "why")
         return wrong.unionByName(sequencing.gaps(rows).select("subscription", "seq", F.lit("hole before it").alias("why")))
 
     def verify(self) -> None:

@@ -25,9 +25,16 @@ def unseen(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     return rows.join(ledger.select("subscription", "id"), ["subscription", "id"], "left_anti")
 
 
+def placed_in_time(rows: DataFrame) -> DataFrame:
+    """rows, none of which may lack a subscription or an arrival: a row without has no place, and would be lost."""
+    gone = F.when(F.col("subscription").isNull(), "subscription").when(F.col("arrival").isNull(), "arrival")
+    stop = F.raise_error(F.concat(F.lit("a row has no "), gone)).cast(rows.schema["arrival"].dataType)
+    return rows.withColumn("arrival", F.when(gone.isNotNull(), stop).otherwise(F.col("arrival")))
+
+
 def numbered(rows: DataFrame, last: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """rows with seq: 1, 2, ... per subscription in order of arrival (ties by id), after `last` (subscription, seq)."""
-    blocks = rows.withColumn("block", F.floor(F.col("arrival") / block))
+    """rows with seq: 1, 2, ... per subscription in order of arrival (ties by id), after `last` (subscription, seq). A row without subscription or arrival is an error."""
+    blocks = placed_in_time(rows).withColumn("block", F.floor(F.col("arrival") / block))
     sizes = blocks.groupBy("subscription", "block").count()
     before = Window.partitionBy("subscription").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("subscription", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))

@@ -4,13 +4,20 @@ The source `event_backlog` hands a subscription's messages to Structured
 Streaming: one read takes at most `max` of them, after the offset that the
 checkpoint holds, and a commit notes how far the subscription was drained. With
 `availableNow` one run is one bounded drain. Where a broker is remote, its client
-takes the place of `BacklogReader.captured`; the rest stays. Nothing is dropped here
-when a backlog grows; `kept_on_overflow` says what a bounded queue would keep.
+takes the place of `BacklogReader.captured`; the rest stays.
+
+Any number of publishers may write at once. A batch is written under a name of its own and
+is published by its claim of the next number, which only one publisher can create;
+what a claim says (folder, arrivals before it, messages) gives its messages their
+arrivals, so that a drain which has passed an arrival has seen all before it.
 """
 
 from __future__ import annotations
 
+import bisect
 import posixpath
+import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from streamledger.errors import BrokerUnavailable, InvalidBound
 from streamledger.functions.topics import in_lane
 from streamledger.operators.backlog import retained
 from streamledger.operators.sequencing import numbered
@@ -36,28 +44,75 @@ READ = pa.schema([("arrival", pa.int64()), ("topic", pa.string()), ("payload", p
 ROWS = 1 << 14
 
 
+#: Seconds that a claim which another publisher is just writing is waited for.
+PATIENCE = 10.0
+
+
+@dataclass(frozen=True)
+class Claim:
+    """A published batch: its folder, the arrivals before it, and how many messages it has."""
+
+    batch: str
+    base: int
+    count: int
+
+    @property
+    def last(self) -> int:
+        return self.base + self.count
+
+    @classmethod
+    def parse(cls, text: str) -> Claim | None:
+        parts = text.split()
+        return cls(parts[0], int(parts[1]), int(parts[2])) if len(parts) == 3 and text.endswith("\n") else None
+
+    def text(self) -> str:
+        return f"{self.batch} {self.base} {self.count}\n"
+
+
 class Broker:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, f"{root.rstrip('/')}/broker"
         self.table = CommittedTable(spark, self.root, MESSAGES)
+        self.files = self.table.files
+
+    def claim(self, number: int) -> Claim:
+        """The claim of a number that is taken. One that stays empty is an error, as its messages would be lost by going on."""
+        name, until = f"batches/{number:012d}", time.monotonic() + PATIENCE
+        while (found := Claim.parse(self.files.read(name))) is None:
+            if time.monotonic() > until:
+                raise BrokerUnavailable(f"{self.root}/{name} is incomplete", "remove it if its publisher is gone; its messages were not published")
+            time.sleep(0.05)
+        return found
+
+    def claims(self) -> list[Claim]:
+        return [self.claim(int(n)) for n in self.table.batches()]
 
     def messages(self) -> DataFrame:
-        return self.table.read()
+        """All messages with their arrivals, 1, 2, 3, ..."""
+        claims = self.claims()
+        if not claims:
+            return self.spark.createDataFrame([], self.table.schema)
+        bases = self.spark.createDataFrame([(c.batch, c.base) for c in claims], "batch string, base bigint")
+        rows = self.spark.read.schema(self.table.schema).parquet(f"{self.root}/data").join(F.broadcast(bases), "batch")
+        return rows.withColumn("arrival", F.col("arrival") + F.col("base")).select(*self.table.schema.names)
 
     def last_arrival(self) -> int:
-        return self.messages().agg(F.max("arrival")).first()[0] or 0
+        names = self.table.batches()
+        return self.claim(int(names[-1])).last if names else 0
 
     def publish(self, messages: DataFrame, order: str, qos: int = 1, retain: bool = False) -> int:
-        """Appends messages (topic, payload; qos and retain if they have them) in the order of a column; returns how many arrived."""
+        """Appends messages (topic, payload; qos and retain if they have them) in the order of a column, in which none may be null; returns how many arrived."""
         for name, value in (("qos", qos), ("retain", retain)):
             if name not in messages.columns:
                 messages = messages.withColumn(name, F.lit(value))
         rows = messages.withColumns({"subscription": F.lit(""), "id": F.concat("topic", F.lit(" "), "payload"), "arrival": F.col(order).cast("bigint")})
-        last = self.last_arrival()
-        placed = numbered(rows).withColumn("arrival", F.col("seq") + last)
-        batch = f"{len(self.table.batches()):012d}-{uuid.uuid4().hex}"  # a second publisher at the same time overwrites nothing
-        self.table.append(placed, batch, ("arrival",))
-        return self.table.read().where(F.col("batch") == batch).count()
+        batch = uuid.uuid4().hex
+        count = self.table.write(numbered(rows).withColumn("arrival", F.col("seq")), batch, ("arrival",)).count()
+        while True:
+            names = self.table.batches()
+            number, base = (int(names[-1]) + 1, self.claim(int(names[-1])).last) if names else (1, 0)
+            if self.files.create(f"batches/{number:012d}", Claim(batch, base, count).text()):
+                return count
 
     def retained(self) -> DataFrame:
         return retained(self.messages())
@@ -66,6 +121,14 @@ class Broker:
         return self.messages().where(in_lane(F.col("topic")))
 
 
+def whole_option(options: dict, name: str, default: int, least: int) -> int:
+    """A whole number among a source's options; anything else is an error before a message is read."""
+    text = str(options.get(name, default))
+    if not re.fullmatch(r"[0-9]+", text) or int(text) < least:
+        raise InvalidBound(f"{name} must be a whole number of {least} or more, not {text!r}")
+    return int(text)
+
+
 def matches(filter_: str, topic: str) -> bool:
     """The rule of topic_matches for filters of subscriptions, which have no #: as many levels, each the same or +."""
     want, have = filter_.split("/"), topic.split("/")
@@ -74,10 +137,11 @@ def matches(filter_: str, topic: str) -> bool:
 
 @dataclass
 class Group(InputPartition):
-    """A row group of a batch's file, and the arrivals that are wanted of it; one task reads it."""
+    """A row group of a batch's file, the arrivals before the batch, and the arrivals that are wanted; one task reads it."""
 
     file: str
     group: int
+    base: int
     after: int
     upto: int
 
@@ -87,7 +151,9 @@ class BacklogReader(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.root, self.filter = options["path"].rstrip("/"), options["filter"]
-        self.created, self.max = int(options.get("created", 0)), int(options.get("max", 100))
+        self.created, self.max = whole_option(options, "created", 0, 0), whole_option(options, "max", 100, 1)
+        if not self.filter or "#" in self.filter:
+            raise InvalidBound(f"filter: no filter of a subscription: {self.filter!r}")
         self.after: int | None = None
 
     def files(self) -> tuple[pafs.FileSystem, str]:
@@ -96,13 +162,31 @@ class BacklogReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"arrival": self.created}
 
-    def groups(self, after: int, upto: int | None = None) -> Iterator[Group]:
-        """Row groups with arrivals in (after, upto] in order of arrival: batches are folders in that order, each looked at only when it is needed."""
+    def claims(self, after: int) -> Iterator[Claim]:
+        """Claims with arrivals beyond `after`, in order. One that is just being written ends them: it comes with the next read."""
         fs, root = self.files()
         marks = fs.get_file_info(pafs.FileSelector(posixpath.join(root, "batches"), allow_not_found=True))
-        for batch in sorted(posixpath.basename(m.path) for m in marks if m.is_file and not posixpath.basename(m.path).startswith(".")):
+        names = sorted(m.path for m in marks if m.is_file and not posixpath.basename(m.path).startswith("."))
+
+        def claim(path: str) -> Claim | None:
+            with fs.open_input_file(path) as f:
+                return Claim.parse(f.read().decode())
+
+        first = bisect.bisect_right(names, after, key=lambda p: c.last if (c := claim(p)) else 1 << 62)
+        for path in names[first:]:
+            found = claim(path)
+            if found is None:
+                return
+            yield found
+
+    def groups(self, after: int, upto: int | None = None) -> Iterator[Group]:
+        """Row groups with arrivals in (after, upto] in order of arrival; batches are looked at only when they are needed."""
+        fs, root = self.files()
+        for claim in self.claims(after):
+            if upto is not None and claim.base >= upto:
+                return
             found = []
-            for f in fs.get_file_info(pafs.FileSelector(posixpath.join(root, "data", f"batch={batch}"), allow_not_found=True)):
+            for f in fs.get_file_info(pafs.FileSelector(posixpath.join(root, "data", f"batch={claim.batch}"), allow_not_found=True)):
                 if f.is_file and f.path.endswith(".parquet") and not posixpath.basename(f.path).startswith((".", "_")):
                     with fs.open_input_file(f.path) as file:
                         meta = pq.ParquetFile(file).metadata
@@ -110,17 +194,16 @@ class BacklogReader(DataSourceStreamReader):
                     for k in range(meta.num_row_groups):
                         if meta.row_group(k).num_rows:
                             held = meta.row_group(k).column(column).statistics  # Spark always writes them for a bigint
-                            found.append((held.min, held.max, f.path, k))
+                            found.append((held.min + claim.base, held.max + claim.base, f.path, k))
             found.sort()
-            if upto is not None and found and found[0][0] > upto:
-                return
-            yield from (Group(file, k, after, -1 if upto is None else upto) for least, most, file, k in found if most > after and (upto is None or least <= upto))
+            yield from (Group(file, k, claim.base, after, -1 if upto is None else upto) for least, most, file, k in found if most > after and (upto is None or least <= upto))
 
     def captured(self, group: Group, columns: list[str]) -> Iterator[pa.Table]:
         """The subscription's messages of a row group in order of arrival (the order in which they are written)."""
         with self.files()[0].open_input_file(group.file) as file:
             for batch in pq.ParquetFile(file).iter_batches(ROWS, [group.group], [*dict.fromkeys([*columns, "arrival", "topic", "qos"])]):
                 rows = pa.Table.from_batches([batch])
+                rows = rows.set_column(rows.column_names.index("arrival"), "arrival", pc.add(rows["arrival"], group.base))
                 keep = pc.and_(pc.greater(rows["arrival"], group.after), pc.greater_equal(rows["qos"], 1))
                 if group.upto >= 0:
                     keep = pc.and_(keep, pc.less_equal(rows["arrival"], group.upto))
@@ -167,5 +250,3 @@ class BacklogSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BacklogSource)
-
-

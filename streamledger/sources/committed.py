@@ -8,7 +8,10 @@ of the batch overwrites. One writer for a table at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +37,11 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at(folder)) if s.isFile() and not s.getPath().getName().startswith("."))
 
+    def folders(self, folder: str) -> list[str]:
+        if not self.fs.exists(self.at(folder)):
+            return []
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at(folder)) if s.isDirectory() and not s.getPath().getName().startswith((".", "_")))
+
     def create(self, name: str, text: str) -> bool:
         """Whether the file is new; an existing one stays as it is."""
         try:
@@ -46,6 +54,12 @@ class Files:
         out.close()
         return True
 
+    def replace(self, name: str, text: str) -> None:
+        """Writes a file, also over one that is there."""
+        out = self.fs.create(self.at(name), True)
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+
     def read(self, name: str) -> str:
         f = self.fs.open(self.at(name))
         try:
@@ -57,9 +71,25 @@ class Files:
         return self.fs.delete(self.at(name), True)
 
 
+@contextlib.contextmanager
+def set_for(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Settings of Spark's for the jobs within, and what they were after."""
+    names = {k: k.replace("__", ".") for k in conf}
+    before = {k: spark.conf.get(n, None) for k, n in names.items()}
+    for k, n in names.items():
+        spark.conf.set(n, conf[k])
+    try:
+        yield
+    finally:
+        for k, n in names.items():
+            spark.conf.unset(n) if before[k] is None else spark.conf.set(n, before[k])
+
+
 class CommittedTable:
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, partitions: tuple[str, ...] = ()):
-        self.spark, self.root, self.partitions = spark, root.rstrip("/"), partitions
+    """look_up: a column by which rows are looked up; its files get Parquet bloom filters, so that row groups without a value are skipped."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, partitions: tuple[str, ...] = (), look_up: str | None = None):
+        self.spark, self.root, self.partitions, self.look_up = spark, root.rstrip("/"), partitions, look_up
         inner = [f for f in schema.fields if f.name != "batch"]
         self.schema = T.StructType([*inner, T.StructField("batch", T.StringType())])
         self.files = Files(spark, self.root)
@@ -70,19 +100,43 @@ class CommittedTable:
     def holds(self, batch: str) -> bool:
         return self.files.exists(f"batches/{batch}")
 
+    def unfinished(self) -> list[str]:
+        """Batches that were begun and do not count: few, unlike those that do."""
+        return sorted({f.removeprefix("batch=") for f in self.files.folders("data")} - set(self.batches()))
+
+    def write(self, rows: DataFrame, batch: str, sort: tuple[str, ...] = ()) -> DataFrame:
+        """Writes a batch without making it count, and reads it back."""
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields if f.name != "batch"])
+        if sort:
+            rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
+        out = rows.write.mode("overwrite").partitionBy(*self.partitions)
+        if self.look_up:
+            out = out.option(f"parquet.bloom.filter.enabled#{self.look_up}", "true")
+        at = f"{self.root}/data/batch={batch}"
+        out.parquet(at)
+        return self.spark.read.schema(T.StructType([f for f in self.schema.fields if f.name != "batch"])).parquet(at)
+
+    def commit(self, batch: str, text: str = "") -> bool:
+        return self.files.create(f"batches/{batch}", text)
+
     def append(self, rows: DataFrame, batch: str, sort: tuple[str, ...] = ()) -> bool:
         """Whether the batch was new; one that stands already is left alone, so replays change nothing."""
         if self.holds(batch):
             return False
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields if f.name != "batch"])
-        if sort:
-            rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
-        rows.write.mode("overwrite").partitionBy(*self.partitions).parquet(f"{self.root}/data/batch={batch}")
-        return self.files.create(f"batches/{batch}", "")
+        self.write(rows, batch, sort)
+        return self.commit(batch)
 
     def read(self) -> DataFrame:
         """Rows of the batches that stand; partition columns are read as the text they are."""
-        held = self.batches()
-        if not held:
+        if not self.batches():
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/data").where(F.col("batch").isin(held))
+        rows, gone = self.spark.read.schema(self.schema).parquet(f"{self.root}/data"), self.unfinished()
+        return rows.where(~F.col("batch").isin(gone)) if gone else rows
+
+    def largest(self, column: str) -> list[Row]:
+        """The largest value of a column for each value of the partition columns, from the statistics in the files' footers: no rows are read."""
+        if not self.batches():
+            return []
+        with set_for(self.spark, spark__sql__sources__useV1SourceList="", spark__sql__parquet__aggregatePushdown="true"):
+            each = self.read().groupBy("batch", *self.partitions).agg(F.max(column).alias(column))
+            return each.groupBy(*self.partitions).agg(F.max(column).alias(column)).collect()

@@ -6,14 +6,16 @@ number before its offset is committed; a crash in between replays the batch, and
 ledger leaves a batch or an id that it holds as it is. Numbers begin anew with a
 checkpoint that was lost or removed, and so does the incarnation, which lies in it.
 A drain ends when it has taken `max` messages, when the backlog is empty, or when
-its time is up. Its lock is a lease: one that a crashed drain left behind is taken
-over when it has run out.
+its time is up. Its lock is a lease that it renews: one that a crashed drain left behind
+is taken over when it has run out. Who takes it gets the next number of the fence, and
+a drain whose number is not the last can't make a batch count.
 """
 
 from __future__ import annotations
 
 import builtins
 import contextlib
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -50,26 +52,69 @@ class DrainResult:
     skipped: list[dict] = field(default_factory=list)
 
 
-#: Seconds beyond a drain's time after which its lock no longer holds.
-GRACE = 300.0
+#: Seconds that a drain's lock holds unless it is renewed, which a drain does several times within.
+LEASE = 60.0
+
+
+class Fence:
+    """The right to drain a subscription, numbered: a later number ends it, whatever its holder believes."""
+
+    def __init__(self, files: Files, name: str):
+        self.files, self.name, self.number, self.own = files, name, 0, uuid.uuid4().hex
+        self.lock, self.numbers = f"locks/{name}", f"fences/{name}"
+
+    def last(self) -> int:
+        return builtins.max([0, *map(int, self.files.names(self.numbers))])
+
+    def take(self) -> None:
+        """Takes the next number, which only one can create, if no lease holds."""
+        before = self.last()
+        if self.files.exists(self.lock):
+            told = self.files.read(self.lock).split()
+            if not told or float(told[0]) >= time.time():
+                raise SubscriptionBusy(f"{self.name} is being drained")
+        if not self.files.create(f"{self.numbers}/{before + 1:012d}", self.own):
+            raise SubscriptionBusy(f"{self.name} is being drained")
+        self.number = before + 1
+        self.check()
+        self.renew()
+        for old in self.files.names(self.numbers):
+            if int(old) < self.number:
+                self.files.delete(f"{self.numbers}/{old}")
+
+    def check(self) -> None:
+        """An error once another drain has taken over: what this one has under way must not count."""
+        if self.last() != self.number or self.files.read(f"{self.numbers}/{self.number:012d}") != self.own:
+            raise SubscriptionBusy(f"another drain of {self.name} has taken over")
+
+    def renew(self) -> None:
+        self.files.replace(self.lock, f"{time.time() + LEASE} {self.own}")
+
+    def give_back(self) -> None:
+        if self.files.exists(self.lock) and self.files.read(self.lock).endswith(self.own):
+            self.files.delete(self.lock)
 
 
 @contextlib.contextmanager
-def only_drainer(files: Files, name: str, timeout: float) -> Iterator[None]:
-    """One drain of a subscription at a time."""
-    lock = f"locks/{name}"
-    mine = f"{time.time() + timeout + GRACE} {uuid.uuid4().hex}"
-    if not files.create(lock, mine):
-        with contextlib.suppress(Exception):  # the other drain may end meanwhile
-            if float(files.read(lock).split()[0]) < time.time():
-                files.delete(lock)
-        if not files.create(lock, mine):
-            raise SubscriptionBusy(f"{name} is being drained")
+def only_drainer(files: Files, name: str, timeout: float | None = None) -> Iterator[Fence]:
+    """One drain of a subscription at a time; its lease is renewed while it runs."""
+    fence, done = Fence(files, name), threading.Event()
+    fence.take()
+
+    def keep() -> None:
+        while not done.wait(LEASE / 4):
+            with contextlib.suppress(Exception):  # the fence is what counts
+                if fence.last() == fence.number:
+                    fence.renew()
+
+    keeper = threading.Thread(target=keep, daemon=True)
+    keeper.start()
     try:
-        yield
+        yield fence
     finally:
-        if files.exists(lock) and files.read(lock) == mine:
-            files.delete(lock)
+        done.set()
+        keeper.join()
+        fence.give_back()
 
 
 def incarnation(files: Files, name: str) -> str:
@@ -79,8 +124,8 @@ def incarnation(files: Files, name: str) -> str:
     return files.read(place)
 
 
-def store_batch(ledger: Ledger, subscription: str, own: str, result: DrainResult):
-    """A foreachBatch function: valid messages go to the ledger, malformed ones are told and count as consumed."""
+def store_batch(ledger: Ledger, subscription: str, own: str, result: DrainResult, fence: Fence):
+    """A foreachBatch function: valid messages go to the ledger, malformed ones are told and count as consumed. It fails before anything counts once another drain has taken over."""
 
     def store(batch: DataFrame, number: int) -> None:
         parsed = parse_payloads(batch).persist()  # at most max rows, as all that is collected here
@@ -88,9 +133,13 @@ def store_batch(ledger: Ledger, subscription: str, own: str, result: DrainResult
             told = parsed.where(F.size("errors") > 0).orderBy("arrival").select("topic", reason().alias("reason")).collect()
             good = parsed.where(F.size("errors") == 0).select(F.lit(subscription).alias("subscription"), "arrival", "event.*")
             name = f"{subscription}-{own}-{number:012d}"
-            ledger.append(good, name)
-            held = ledger.rows().where(F.col("subscription") == subscription)
-            records = held.join(F.broadcast(good.select("id", "arrival")), "id").orderBy("arrival").collect()
+            ids = good.agg(F.min("id"), F.max("id")).first()
+            records = []
+            if ids[0] is not None:
+                ledger.append(good, name, (ids[0], ids[1]), fence.check)
+                held = ledger.rows().where((F.col("subscription") == subscription) & F.col("id").between(ids[0], ids[1]))
+                records = held.join(F.broadcast(good.select("id", "arrival")), "id").orderBy("arrival").collect()
+            fence.check()
             result.stored += len({r["seq"] for r in records if r["batch"] == name})
             result.consumed += parsed.count()
             result.records += records
@@ -112,9 +161,9 @@ def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0
     created = int(files.read(f"created/{name}")) if files.exists(f"created/{name}") else 0
     broker.register(spark)
     source = f"{root.rstrip('/')}/broker"
-    with only_drainer(files, name, timeout):
+    with only_drainer(files, name) as fence:
         stream = spark.readStream.format("event_backlog").options(path=source, filter=sub.filter, created=created, max=max).load()
-        store = store_batch(ledger, name, incarnation(files, name), result)
+        store = store_batch(ledger, name, incarnation(files, name), result, fence)
         run = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         try:
             if not run.awaitTermination(timeout):
@@ -155,16 +204,19 @@ def add_subscription(spark: SparkSession, root: str, name: str, pattern: str, ow
 
 
 def remove_subscription(spark: SparkSession, root: str, name: str, force: bool = False):
-    """Drops the checkpoint, then the record; force drops the record where the checkpoint can't go."""
+    """Drops the checkpoint, then the record, while no drain runs; force drops the record where the checkpoint can't go or a drain holds it, which then fails before it stores any more."""
     files, registry = Files(spark, root), Registry(spark, root)
     found = registry.require(name)
-    try:
-        for place in ("checkpoints", "created"):
-            files.delete(f"{place}/{name}")
-    except Exception:
-        if not force:
-            raise
-    registry.remove(name)
+    if force:
+        files.delete(f"locks/{name}")
+    with only_drainer(files, name):
+        try:
+            for place in ("checkpoints", "created"):
+                files.delete(f"{place}/{name}")
+        except Exception:
+            if not force:
+                raise
+        registry.remove(name)
     return found
 
 

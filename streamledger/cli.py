@@ -7,9 +7,10 @@ import json
 import os
 import sys
 
-from streamledger.errors import FieldProblem, InvalidAddress, InvalidBound, InvalidEnvelope, LedgerError, UnknownEvent
+from streamledger.errors import InvalidAddress, InvalidBound, InvalidEnvelope, LedgerError, UnknownEvent, UnreadableInput
 
 ROOT = "STREAMLEDGER_ROOT"
+DEFAULT_SOURCE = "app://streamledger"
 
 
 def default_root() -> str:
@@ -53,7 +54,7 @@ def parser() -> argparse.ArgumentParser:
 
     emit = verb("emit", help="publish one event")
     emit.add_argument("type")
-    emit.add_argument("--data", default="-", help="file with the data object, - for stdin")
+    emit.add_argument("--data", help="file with the data object, - for stdin; without it data is {}")
     emit.add_argument("--source")
     for name in ("correlation-id", "causation-id", "run-id", "producer", "traceparent"):
         emit.add_argument(f"--{name}")
@@ -95,30 +96,21 @@ def run(args: argparse.Namespace, spark) -> tuple[dict | list, list[str]]:
 
     from pyspark.sql import functions as F
 
-    from streamledger.functions.ids import new_ids
-    from streamledger.functions.times import now
+    from streamledger.functions.envelope import Envelope
     from streamledger.operators.ledger import Ledger
     from streamledger.operators.pages import check_bound
     from streamledger.operators.registry import Registry
-    from streamledger.schema import ENVELOPE, FIELDS
+    from streamledger.schema import ENVELOPE
     from streamledger.streaming import drain
 
     line = lambda r: f"{r['subscription']} {r['seq']} {r['event']['id']} {r['event']['type']}"
     match args.verb, getattr(args, "what", None):
         case "emit", _:
-            text = sys.stdin.read() if args.data == "-" else open(args.data, encoding="utf-8").read()
-            minted = spark.range(1).select(new_ids().alias("id"), now().alias("time")).first()
-            data = json.loads(text) if _is_json(text) else None
-            if not isinstance(data, dict):
-                raise InvalidEnvelope([FieldProblem("data", "not_an_object", "must be a JSON object")])
-            values = {"id": minted["id"], "time": minted["time"], "type": args.type, "source": args.source or "app://streamledger", "schema_version": "1", "data": json.dumps(data, ensure_ascii=False, separators=(",", ":")), "delivery_attempt": None} | {k: getattr(args, k) for k in ("correlation_id", "causation_id", "run_id", "producer", "traceparent")}
-            wire = {w: (data if n == "data" else values[n]) for n, w, _ in FIELDS if values[n] is not None}
-            errors = problems(spark, json.dumps(wire))
-            if errors:
-                raise InvalidEnvelope(errors)
-            row = spark.createDataFrame([tuple(values[n] for n, _, _ in FIELDS)], ENVELOPE).withColumn("time_order", F.lit(0))
+            optional = {k: getattr(args, k) for k in ("correlation_id", "causation_id", "run_id", "producer", "traceparent")}
+            made = Envelope.new(args.type, args.source or DEFAULT_SOURCE, read_data(args.data), **optional)
+            row = spark.createDataFrame([made.row()], ENVELOPE).withColumn("time_order", F.lit(0))
             drain.emit(spark, args.root, row)
-            return {"published": True, "event": wire}, [f"published {wire['id']}"]
+            return {"published": True, "event": made.to_dict()}, [f"published {made.id}"]
         case "watch", _:
             rows, told = drain.watch(spark, args.root, args.name, check_bound(whole(args.since), "since", 0), check_bound(whole(args.max)), float(args.timeout), args.distinct)
             records = [record(r) for r in rows]
@@ -146,20 +138,17 @@ def run(args: argparse.Namespace, spark) -> tuple[dict | list, list[str]]:
             return {"removed": gone["name"]}, [f"removed {gone['name']}"]
 
 
-def _is_json(text: str) -> bool:
+def read_data(source: str | None) -> object:
+    """The data of an event: {} where no source is named, stdin for -, else a file. What can't be read, or is no JSON, is the caller's to mend."""
+    if source is None:
+        return {}
     try:
-        json.loads(text)
-    except ValueError:
-        return False
-    return True
-
-
-def problems(spark, payload: str) -> list[FieldProblem]:
-    """What is wrong with one payload: the trust boundary of the wire, for one event."""
-    from streamledger.functions.wire import parse_payloads
-
-    row = parse_payloads(spark.createDataFrame([(payload,)], "payload string")).select("errors").first()
-    return [FieldProblem(e["field"], e["code"], e["message"]) for e in row["errors"]]
+        if source == "-":
+            return json.loads(sys.stdin.read())
+        with open(source, encoding="utf-8") as f:
+            return json.loads(f.read())
+    except (OSError, ValueError) as e:
+        raise UnreadableInput(f"data {source!r} can't be read as JSON: {e}") from e
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:

@@ -46,6 +46,10 @@ class InvalidBound(LedgerError):
     remedy = "limits are whole numbers of 1 or more, cursors of 0 or more"
 
 
+class UnreadableInput(LedgerError):
+    remedy = "give a file with a JSON document in UTF-8, or - for stdin"
+
+
 class InvalidName(LedgerError):
     remedy = "names have 1 to 64 lower-case letters, digits, dots, dashes and underscores, and begin with a letter or digit"
 

@@ -14,7 +14,7 @@ from streamledger.functions.times import now
 from streamledger.functions.wire import NOT_JSON, parse_records, to_wire_json, typed_problems
 from streamledger.operators import pages, sequencing
 from streamledger.schema import FIELDS, STORE_FORMAT_VERSION
-from streamledger.sources.ledger_table import LedgerTable, tails
+from streamledger.sources.ledger_table import LedgerTable
 
 NAME = re.compile(r"[a-z0-9][a-z0-9._-]{0,63}")
 
@@ -35,6 +35,8 @@ class LedgerBackend(Protocol):
 
     def last(self) -> list[Row]: ...
 
+    def ends(self, per: dict[str, int], last: dict[str, int]) -> DataFrame: ...
+
     def holds(self, batch: str) -> bool: ...
 
     def append(self, rows: DataFrame, batch: str, sort: tuple[str, ...] = (), guard: Callable[[], None] | None = None) -> bool: ...
@@ -94,19 +96,18 @@ class Ledger:
     def list(self, type: str | None = None, max: int = pages.DEFAULT_MAX) -> DataFrame:
         """Newest first. Read from the ends of the subscriptions' logs, further back where these hold too few of the type, so that what is read does not grow with history."""
         pages.check_bound(max)
-        last, per = self.backend.last(), {}
+        last = {r["subscription"]: r["seq"] for r in self.backend.last()}
         if len(last) > TAILS:
             return verified(pages.newest(self.rows(), type, max))
-        per, short = dict.fromkeys((r["subscription"] for r in last), max), last
+        per, short = dict.fromkeys(last, max), set(last)
         while type is not None:
-            short = [r for r in short if r["seq"] > per[r["subscription"]]]
-            held = self.rows().where(tails(short, per)).where(F.col("type") == type).groupBy("subscription").count()
-            found = {r["subscription"]: r["count"] for r in held.collect()} if short else {}
-            short = [r for r in short if found.get(r["subscription"], 0) < max]
+            short = {s for s in short if last[s] > per[s]}
             if not short:
                 break
-            per |= {r["subscription"]: per[r["subscription"]] * 8 for r in short}
-        return verified(pages.newest(self.rows().where(tails(last, per)), type, max))
+            held = self.backend.ends({s: per[s] for s in short}, last).where(F.col("type") == type).groupBy("subscription").count()
+            short -= {r["subscription"] for r in held.collect() if r["count"] >= max}
+            per |= {s: per[s] * 8 for s in short}
+        return verified(pages.newest(self.backend.ends(per, last), type, max))
 
     def subscriptions(self) -> DataFrame:
         return pages.subscriptions(self.rows())

@@ -7,7 +7,7 @@ block its offset.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Arrivals in a block.
@@ -20,16 +20,24 @@ def first_copies(rows: DataFrame) -> DataFrame:
     return rows.withColumn("copy", F.row_number().over(order)).where("copy = 1").drop("copy")
 
 
+def event_key() -> Column:
+    """Subscription and id in one text; names have no spaces."""
+    return F.concat("subscription", F.lit(" "), "id")
+
+
 def unseen(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Rows whose (subscription, id) the ledger does not hold."""
+    """Rows whose (subscription, id) the ledger does not hold. By the key, where the ledger has one: its buckets are not shuffled."""
+    if "key" in ledger.columns:
+        return rows.withColumn("key", event_key()).join(ledger.select("key"), "key", "left_anti").drop("key")
     return rows.join(ledger.select("subscription", "id"), ["subscription", "id"], "left_anti")
 
 
 def placed_in_time(rows: DataFrame) -> DataFrame:
     """rows, none of which may lack a subscription or an arrival: a row without has no place, and would be lost."""
     gone = F.when(F.col("subscription").isNull(), "subscription").when(F.col("arrival").isNull(), "arrival")
-    stop = F.raise_error(F.concat(F.lit("a row has no "), gone)).cast(rows.schema["arrival"].dataType)
-    return rows.withColumn("arrival", F.when(gone.isNotNull(), stop).otherwise(F.col("arrival")))
+    stop = F.raise_error(F.concat(F.lit("a row has no "), gone))
+    held = lambda name: F.when(gone.isNotNull(), stop.cast(rows.schema[name].dataType)).otherwise(F.col(name)).alias(name)
+    return rows.withColumns({name: held(name) for name in ("subscription", "arrival")})  # in both, as a join may drop nulls of either first
 
 
 def numbered(rows: DataFrame, last: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -56,6 +64,8 @@ def appended(incoming: DataFrame, ledger: DataFrame | None = None, block: int =
 
 def stored_at(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
     """The seq under which each incoming (subscription, id) is stored, null if it is not."""
+    if "key" in ledger.columns:
+        return incoming.withColumn("key", event_key()).join(ledger.select("key", "seq"), "key", "left").drop("key")
     return incoming.join(ledger.select("subscription", "id", "seq"), ["subscription", "id"], "left")
 
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from streamledger.functions.times import format_time
 from streamledger.functions.topics import type_to_topic
+from streamledger.operators.ledger import Ledger
 from streamledger.operators.matching import compiled, fan_out
 from streamledger.operators.sequencing import appended
+from streamledger.schema import STORE_FORMAT_VERSION
 from streamledger.session import scratch
 
 #: Name and pattern of the subscriptions that the queries use.
@@ -67,12 +69,40 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return appended(matched(spark, sf_dir)).withColumn("recorded_at", F.col("time"))
 
 
+#: Ledgers that this process has written, by application and folder of the tables.
+WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def stored_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The same ledger, written once for each session and data folder, as its readers have it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in WRITTEN:
+        root = scratch(spark, "ledger")
+        rows = ledger(spark, sf_dir).withColumn("store_format_version", F.lit(STORE_FORMAT_VERSION))
+        Ledger(spark, root).backend.append(rows, "all", ("subscription", "seq"))
+        WRITTEN[key] = root
+    return Ledger(spark, WRITTEN[key])
+
+
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ledger written by subscription and read back, as a reader of it has it: filters on the subscription prune folders, others reach the scan."""
-    rows = ledger(spark, sf_dir)
-    root = scratch(spark, "ledger")
-    rows.repartition("subscription", F.floor(F.col("seq") / (1 << 20))).sortWithinPartitions("subscription", "seq").write.partitionBy("subscription").parquet(root)
-    return spark.read.schema(rows.schema).parquet(root)
+    """Its rows: filters on the subscription prune folders, others reach the scan."""
+    return stored_ledger(spark, sf_dir).rows()
+
+
+def device_events(raw: DataFrame) -> DataFrame:
+    """id and topic of the events with types of four segments, the last two a user and one of fifty channels."""
+    kind = F.when(F.col("value") >= 50, "high").otherwise("low")
+    segments = F.concat_ws("/", F.lit("events"), "event_type", kind, F.concat(F.lit("u"), "user_id"), F.concat(F.lit("k"), F.col("event_id") % 50))
+    return raw.select("event_id", segments.alias("topic"))
+
+
+#: A pattern for every user and event type, in four shapes.
+DEVICE_PATTERN = "CASE user_id % 4 WHEN 0 THEN event_type || '.*.u' || user_id || '.*' WHEN 1 THEN '*.high.u' || user_id || '.*' WHEN 2 THEN '*.*.u' || user_id || '.k' || (user_id % 50) ELSE event_type || '.low.u' || user_id || '.k' || (user_id % 50) END"
+
+
+def device_subscriptions(raw: DataFrame) -> DataFrame:
+    pairs = raw.select("event_type", "user_id").distinct()
+    return compiled(pairs.select(F.concat("event_type", F.lit("-u"), "user_id").alias("name"), F.expr(DEVICE_PATTERN).alias("pattern")))
 
 
 ENVELOPES_SQL = """

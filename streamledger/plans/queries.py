@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamledger.functions import fields, ids, times, topics, wire
-from streamledger.operators import backlog, drains, pages, sequencing
-from streamledger.operators.ledger import Ledger, stored_lines
+from streamledger.operators import backlog, chains, drains, pages, sequencing
+from streamledger.operators.ledger import Ledger, import_lines, record_problem, stored_lines
+from streamledger.operators.matching import fan_out
+from streamledger.operators.registry import Registry
 from streamledger.plans import adapter
 from streamledger.plans.adapter import with_envelopes, with_ledger
 from streamledger.session import scratch
@@ -67,13 +69,15 @@ def topic_to_type(spark, sf_dir):
     return rows.select("id", "topic", topics.topic_to_type(F.col("topic")).alias("type"), topics.topic_problem(F.col("topic")).alias("code"))
 
 
-PATTERNS = ["*.*", "click.*", "*.high.retry", "purchase.low", "*", "a.b-c_d.9", "click.#", "events/+", "Click.*", "a..b", "", ".a", "task.*x"]
+#: Patterns made of the events' types: good ones, and by the arrival such as can't be compiled.
+PATTERN_SQL = "CASE arrival % 9 WHEN 1 THEN '*.' || split_part(type, '.', 2) WHEN 2 THEN split_part(type, '.', 1) || '.#' WHEN 3 THEN upper(type) WHEN 4 THEN replace(type, '.', '..') WHEN 5 THEN '.' || type WHEN 6 THEN type || '*' WHEN 7 THEN 'events/' || type WHEN 8 THEN '' ELSE type || '.*' END"
 
 
-@query("SELECT * FROM (VALUES ('*.*', 'events/+/+', ''), ('click.*', 'events/click/+', ''), ('*.high.retry', 'events/+/high/retry', ''), ('purchase.low', 'events/purchase/low', ''), ('*', 'events/+', ''), ('a.b-c_d.9', 'events/a/b-c_d/9', ''), ('click.#', NULL, 'reserved_mqtt_char'), ('events/+', NULL, 'reserved_mqtt_char'), ('Click.*', NULL, 'malformed'), ('a..b', NULL, 'empty'), ('', NULL, 'empty'), ('.a', NULL, 'empty'), ('task.*x', NULL, 'malformed')) AS t(pattern, filter, codes)")
+@query(with_envelopes(f"""SELECT id, pattern, CASE WHEN arrival % 9 IN (0, 1) THEN 'events/' || replace(replace(pattern, '*', '+'), '.', '/') END AS filter,
+CASE arrival % 9 WHEN 2 THEN 'reserved_mqtt_char' WHEN 3 THEN array_to_string(list_transform(string_split(type, '.'), lambda x: 'malformed'), ',') WHEN 4 THEN array_to_string(list_transform(string_split(type, '.')[2:], lambda x: 'empty'), ',') WHEN 5 THEN 'empty' WHEN 6 THEN 'malformed' WHEN 7 THEN 'reserved_mqtt_char' WHEN 8 THEN 'empty' ELSE '' END AS codes FROM (SELECT *, {PATTERN_SQL} AS pattern FROM envelopes)"""))
 def pattern_to_filter(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
-    return rows.select("pattern", topics.pattern_to_filter(F.col("pattern")).alias("filter"), F.array_join(topics.pattern_problems(F.col("pattern")), ",").alias("codes"))
+    rows = _envelopes(spark, sf_dir).withColumn("pattern", F.expr(PATTERN_SQL))
+    return rows.select("id", "pattern", topics.pattern_to_filter(F.col("pattern")).alias("filter"), F.array_join(topics.pattern_problems(F.col("pattern")), ",").alias("codes"))
 
 
 FILTERS = ["#", "events/#", "events/+/+", "events/click/#", "sensors/#", "events/+", "+/click/high", "events/#/high", "events/click/high"]
@@ -93,6 +97,15 @@ def subscription_fanout(spark, sf_dir):
     return adapter.matched(spark, sf_dir).select("id", "subscription", "arrival")
 
 
+@query(f"""WITH devices AS (SELECT event_id, event_type AS t1, CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS t2, 'u' || user_id AS t3, 'k' || (event_id % 50) AS t4 FROM events),
+subs AS (SELECT event_type || '-u' || user_id AS subscription, string_split({adapter.DEVICE_PATTERN}, '.') AS p FROM (SELECT DISTINCT event_type, user_id FROM events))
+SELECT event_id, subscription FROM devices JOIN subs ON p[1] IN ('*', t1) AND p[2] IN ('*', t2) AND p[3] IN ('*', t3) AND p[4] IN ('*', t4)""")
+def wildcard_index_join(spark, sf_dir):
+    """Events meet a pattern for every user and event type through the index of filters; topics are made distinct first, as beyond the bound for a broadcast."""
+    raw = adapter.events(spark, sf_dir)
+    return fan_out(adapter.device_events(raw), adapter.device_subscriptions(raw), broadcast=False).select("event_id", "subscription")
+
+
 @query(with_envelopes(f"SELECT topic LIKE 'events/%' AS in_lane, count(*) AS n FROM (SELECT {TOPICS_SQL} AS topic FROM envelopes) GROUP BY 1"))
 def lane_exclusion(spark, sf_dir):
     rows = _envelopes(spark, sf_dir).select(F.expr(TOPICS_SQL).alias("topic"))
@@ -182,7 +195,7 @@ def append_dedupe_seq(spark, sf_dir):
 def append_idempotent(spark, sf_dir):
     """The same deliveries appended a second time add nothing."""
     once = adapter.stored(spark, sf_dir)
-    again = sequencing.appended(adapter.matched(spark, sf_dir), once)
+    again = sequencing.unseen(adapter.matched(spark, sf_dir).select("subscription", "id", F.lit(0).cast("bigint").alias("seq")), adapter.stored_ledger(spark, sf_dir).backend.seen())
     return once.select("subscription", "seq").unionByName(again.select("subscription", "seq")).groupBy("subscription").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
 
 
@@ -202,7 +215,17 @@ def same_ms_append_order(spark, sf_dir):
 def append_returns_seq(spark, sf_dir):
     """Redelivered events give the numbers under which they are stored."""
     again = adapter.matched(spark, sf_dir).where("delivery_attempt = 2").select("subscription", "id").distinct()
-    return sequencing.stored_at(again, adapter.stored(spark, sf_dir)).select("subscription", "id", "seq")
+    return adapter.stored_ledger(spark, sf_dir).stored_at(again).select("subscription", "id", "seq")
+
+
+@query(with_ledger("SELECT subscription, seq, id FROM ledger"))
+def append_in_batches(spark, sf_dir):
+    """Three appends through the ledger, each looking its ids up in the bucketed index: redelivered events find their first copies in earlier batches."""
+    ledger, rows = Ledger(spark, scratch(spark, "appends")), adapter.matched(spark, sf_dir)
+    third = (rows.agg(F.max("arrival")).first()[0] or 0) // 3 + 1
+    for k in range(3):
+        ledger.append(rows.where(F.floor(F.col("arrival") / third) == k), f"b{k}")
+    return ledger.rows().select("subscription", "seq", "id")
 
 
 @query(with_ledger("SELECT seq, id FROM ledger WHERE subscription = 'clicks' AND seq > 40 ORDER BY seq LIMIT 100"))
@@ -255,6 +278,64 @@ def list_distinct_events(spark, sf_dir):
     return rows.join(rows.groupBy("id").agg(F.count("*").alias("copies")), "id").select("id", "copies")
 
 
+@query(with_ledger(LIST_SQL.format(src="ledger", n=50)))
+def ledger_list(spark, sf_dir):
+    """Newest first by the ledger itself: from the ends of the logs, verified."""
+    return adapter.stored_ledger(spark, sf_dir).list(max=50).select("id", "type", "subscription", "seq")
+
+
+@query(with_ledger(", typed AS (SELECT * FROM ledger WHERE type = (SELECT min(type) FROM ledger))" + LIST_SQL.format(src="typed", n=30)))
+def ledger_list_type(spark, sf_dir):
+    """A type may be rare: it is looked for further and further back."""
+    ledger = adapter.stored_ledger(spark, sf_dir)
+    kind = ledger.rows().agg(F.min("type")).first()[0]
+    return ledger.list(kind or "none", 30).select("id", "type", "subscription", "seq")
+
+
+@query(with_ledger("SELECT seq, id FROM ledger WHERE subscription = 'retries' AND seq > 20 ORDER BY seq LIMIT 60"))
+def ledger_read(spark, sf_dir):
+    return adapter.stored_ledger(spark, sf_dir).read("retries", 20, 60).select("seq", "id")
+
+
+@query(with_ledger("SELECT id, subscription, seq FROM ledger WHERE id = (SELECT max(id) FROM ledger) ORDER BY subscription LIMIT 1"))
+def ledger_get(spark, sf_dir):
+    """A lookup that skips the row groups whose bloom filters rule the id out."""
+    ledger = adapter.stored_ledger(spark, sf_dir)
+    last = ledger.rows().agg(F.max("id")).first()[0]
+    return ledger.get(last or "").select("id", "subscription", "seq")
+
+
+@query(with_ledger("SELECT subscription, max(seq) AS seq FROM ledger GROUP BY subscription"))
+def ledger_heads(spark, sf_dir):
+    """The last number of each subscription, from the footers of the files."""
+    return spark.createDataFrame([tuple(r) for r in adapter.stored_ledger(spark, sf_dir).backend.last()], "subscription string, seq bigint")
+
+
+#: Ledger rows that are broken by their numbers.
+BROKEN_SQL = "CASE WHEN seq % 50 = 3 THEN 'unknown store format' WHEN seq % 50 = 7 THEN 'number below 1' WHEN seq % 50 IN (11, 12) THEN 'invalid envelope' END"
+
+
+@query(with_ledger(f"SELECT subscription, why, count(*) AS n FROM (SELECT subscription, {BROKEN_SQL} AS why FROM ledger) WHERE why IS NOT NULL GROUP BY ALL"))
+def corrupt_records(spark, sf_dir):
+    """What is wrong with each broken record of a ledger."""
+    rows, bad = adapter.stored(spark, sf_dir), F.col("seq") % 50
+    broken = rows.select("*", bad.alias("bad")).withColumns({"store_format_version": F.when(bad == 3, "9").otherwise(F.col("store_format_version")), "type": F.when(bad == 11, F.upper("type")).otherwise(F.col("type")), "source": F.when(bad != 12, F.col("source"))})
+    broken = broken.withColumn("seq", F.when(F.col("bad") == 7, -F.col("seq")).otherwise(F.col("seq")))
+    return broken.withColumn("why", record_problem()).where("why is not null").groupBy("subscription", "why").agg(F.count("*").alias("n"))
+
+
+@query(with_ledger("SELECT subscription, seq, id FROM ledger"))
+def import_torn_tail(spark, sf_dir):
+    """Exported records are imported again; a torn last line in every file is dropped, and nothing else."""
+    root = scratch(spark, "lines")
+    lines = stored_lines(adapter.stored(spark, sf_dir)).withColumn("piece", F.floor(F.col("seq") / (1 << 16)))
+    torn = lines.groupBy("subscription", "piece").agg(F.max("seq").alias("seq")).withColumn("value", F.lit('{"storeFormatVersion":"1","se'))
+    files = lines.withColumn("torn", F.lit(0)).unionByName(torn.withColumn("torn", F.lit(1)))
+    files = files.repartition("subscription", "piece").sortWithinPartitions("subscription", "piece", "seq", "torn")
+    files.select("subscription", "piece", "value").write.partitionBy("subscription", "piece").text(root)
+    return import_lines(spark, root).select("subscription", "seq", "id")
+
+
 @query(with_ledger("SELECT DISTINCT subscription FROM ledger ORDER BY subscription"))
 def subscriptions_sorted(spark, sf_dir):
     return pages.subscriptions(adapter.ledger(spark, sf_dir))
@@ -361,20 +442,146 @@ def record_projection(spark, sf_dir):
     return stored_lines(adapter.ledger(spark, sf_dir).withColumn("store_format_version", F.lit("1")))
 
 
+#: Causes made of the events: a user's event follows the user's event before, but for every fifth, which begins a chain; the first of each eleventh user follows the user's last, in a circle.
+CAUSES_SQL = """, caused AS (SELECT id, correlation_id, arrival, CASE WHEN arrival % 5 = 0 THEN NULL
+  WHEN lag(id) OVER w IS NULL AND split_part(correlation_id, '_', 2)::INT % 11 = 0 THEN last_value(id) OVER (PARTITION BY correlation_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+  ELSE lag(id) OVER w END AS cause FROM envelopes WINDOW w AS (PARTITION BY correlation_id ORDER BY arrival))"""
+
+
+@query("WITH RECURSIVE" + with_envelopes(f"""{CAUSES_SQL},
+walk AS (SELECT id, id AS root, 0::BIGINT AS depth FROM caused WHERE cause IS NULL UNION ALL SELECT c.id, w.root, w.depth + 1 FROM walk w JOIN caused c ON c.cause = w.id)
+SELECT c.id, root, depth FROM caused c LEFT JOIN walk USING (id)""").removeprefix("WITH"))
+def causation_chains(spark, sf_dir):
+    """An extension: the root of each event's chain of causes, and how far away it is; null in circles."""
+    own = Window.partitionBy("correlation_id")
+    before = F.lag("id").over(own.orderBy("arrival"))
+    last = F.max_by("id", "arrival").over(own)
+    circle = F.split_part("correlation_id", F.lit("_"), F.lit(2)).cast("int") % 11 == 0
+    cause = F.when(F.col("arrival") % 5 == 0, None).when(before.isNull() & circle, last).otherwise(before)
+    return chains.chains(_envelopes(spark, sf_dir).withColumn("causation_id", cause))
+
+
+@query(with_envelopes("SELECT event_type AS name, event_type || '.*' AS pattern, 'events/' || event_type || '/+' AS filter, 'streamledger-' || event_type AS \"clientId\", CASE WHEN event_type = 'click' THEN 'ops' ELSE 'streamledger-' || event_type END AS owner FROM (SELECT DISTINCT event_type FROM events) WHERE event_type <> 'view' ORDER BY 1"))
+def registry_scan(spark, sf_dir):
+    """A subscription for each type of event, put once, one of them removed; the rest by name."""
+    registry = Registry(spark, scratch(spark, "registry"))
+    for r in adapter.events(spark, sf_dir).select("event_type").distinct().collect():  # types of events: few
+        registry.add(r[0], f"{r[0]}.*", "ops" if r[0] == "click" else None)
+    if registry.get("view"):
+        registry.remove("view")
+    return registry.frame().select("name", "pattern", "filter", "clientId", "owner")
+
+
+#: Payloads whose data is broken inside, and whose keys are misspelt.
+DEEP_SQL = """CASE arrival % 6 WHEN 1 THEN '{"a":[1,{"b":NaN}]}' WHEN 2 THEN '{"x":' || repeat('[', 32) || '1' || repeat(']', 32) || '}' WHEN 3 THEN '{"x":' || repeat('[', 31) || '1' || repeat(']', 31) || '}' WHEN 4 THEN '{"n":-Infinity,"m":[NaN,NaN]}' ELSE data END"""
+
+
+@query(with_envelopes("SELECT id, CASE arrival % 6 WHEN 1 THEN 'data.a[1].b:malformed' WHEN 2 THEN 'data.x' || repeat('[0]', 31) || ':too_deep' WHEN 4 THEN 'data.n:malformed,data.m[0]:malformed,data.m[1]:malformed' ELSE '' END AS found FROM envelopes"))
+def deep_data_check(spark, sf_dir):
+    """Problems inside data with their paths."""
+    rows = _envelopes(spark, sf_dir).withColumn("data", F.expr(DEEP_SQL))
+    parsed = wire.parse_payloads(rows.select(F.col("id").alias("event"), wire.to_wire_json().alias("payload")).withColumnRenamed("event", "key"))
+    return parsed.select(F.col("key").alias("id"), F.array_join(F.transform("errors", lambda e: F.concat(e["field"], F.lit(":"), e["code"])), ",").alias("found"))
+
+
+@query(with_envelopes("SELECT id, CASE arrival % 4 WHEN 1 THEN 'run_id: is not part of an envelope; did you mean runId?' WHEN 2 THEN 'SCHEMA-VERSION: is not part of an envelope; did you mean schemaVersion?' WHEN 3 THEN left('k' || repeat('x', 300) || ': is not part of an envelope; producers'' own values belong in data', 200) ELSE '' END AS reason FROM envelopes"))
+def skip_reason_texts(spark, sf_dir):
+    """Misspelt keys are told with the name that was meant; reasons have at most 200 characters."""
+    extra = F.when(F.col("arrival") % 4 == 1, '"run_id":1').when(F.col("arrival") % 4 == 2, '"SCHEMA-VERSION":1').when(F.col("arrival") % 4 == 3, F.concat(F.lit('"k'), F.repeat(F.lit("x"), 300), F.lit('":1')))
+    payload = wire.to_wire_json()
+    rows = _envelopes(spark, sf_dir).select(F.col("id").alias("key"), F.when(extra.isNull(), payload).otherwise(F.concat(F.lit("{"), extra, F.lit(","), F.substring(payload, 2, 1 << 30))).alias("payload"))
+    return wire.parse_payloads(rows).select(F.col("key").alias("id"), drains.reason().alias("reason"))
+
+
+@query(with_envelopes("SELECT count(*) AS n, count(*) AS distinct_ids, 30 AS chars FROM envelopes"))
+def minted_ids(spark, sf_dir):
+    """A fresh id for each event: all differ, and have the form of one."""
+    root = scratch(spark, "minted")
+    _envelopes(spark, sf_dir).select(ids.new_ids().alias("id")).write.parquet(root)
+    rows = spark.read.parquet(root).where(fields.identifier_problem(F.col("id")).isNull())
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("distinct_ids"), F.max(F.length("id")).alias("chars"))
+
+
 # Streams
 
 
+def _in_order(rows: DataFrame, root: str, by: str, parts: int, run: Callable[[str], None]) -> None:
+    """Writes rows in pieces by a number or time, each of which a stream takes before the next is there."""
+    edges = rows.agg(F.min(by).cast("double").alias("low"), F.max(by).cast("double").alias("high")).first()
+    if edges["low"] is None:
+        rows.write.parquet(root)
+        run(root)
+        return
+    piece = F.least(F.floor((F.col(by).cast("double") - edges["low"]) * parts / max(edges["high"] - edges["low"], 1e-9)), F.lit(parts - 1))
+    for k in range(parts):
+        rows.where(piece == k).write.mode("append").parquet(root)
+        run(root)
+
+
 @query(with_ledger("SELECT subscription, seq, id FROM ledger"))
 def stream_seq_state(spark, sf_dir):
-    """Numbers from keyed state equal those of the batch form."""
+    """Numbers from keyed state, over several triggers, equal those of the batch form."""
     root = scratch(spark, "sequencer")
     rows = adapter.matched(spark, sf_dir).select("subscription", "arrival", "id")
-    rows.coalesce(1).write.parquet(f"{root}/in")
-    stateful.use_rocksdb(spark)
-    stream = stateful.sequenced(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
-    run = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+    def run(path: str) -> None:
+        stateful.run_once(stateful.sequenced(spark.readStream.schema(rows.schema).parquet(path)), f"{root}/out", f"{root}/state")
+
+    _in_order(rows, f"{root}/in", "arrival", 3, run)
+    return spark.read.schema("subscription string, seq bigint, id string").parquet(f"{root}/out")
+
+
+QUEUED = "subscription string, arrival bigint, id string, kind string, n bigint"
+
+
+def _kept(spark: SparkSession, rows: DataFrame, parts: int) -> DataFrame:
+    root = scratch(spark, "queue")
+
+    def run(path: str) -> None:
+        stateful.run_once(stateful.queued(spark.readStream.schema(QUEUED).parquet(path), backlog.MAX_QUEUED), f"{root}/out", f"{root}/state")
+
+    _in_order(rows, f"{root}/in", "arrival", parts, run)
+    return spark.read.schema("subscription string, arrival bigint, id string, kept boolean").parquet(f"{root}/out").where("kept")
+
+
+def _to_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapter.matched(spark, sf_dir).select("subscription", "arrival", "id", F.lit("message").alias("kind"), F.lit(0).cast("bigint").alias("n"))
+
+
+@query(with_envelopes("SELECT subscription, count(*) AS kept, max(arrival) AS last FROM (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY subscription ORDER BY arrival) <= 1000) GROUP BY subscription"))
+def stream_backlog_overflow(spark, sf_dir):
+    """A queue in keyed state keeps its oldest messages over several triggers."""
+    kept = _kept(spark, _to_queue(spark, sf_dir), 4)
+    return kept.groupBy("subscription").agg(F.count("*").alias("kept"), F.max("arrival").alias("last"))
+
+
+@query(with_envelopes("SELECT subscription, count(*) AS kept, max(arrival) AS last FROM (SELECT *, arrival // 8000 AS turn FROM matched QUALIFY row_number() OVER (PARTITION BY subscription, arrival // 8000 ORDER BY arrival) <= 1000) GROUP BY subscription"))
+def stream_backlog_drained(spark, sf_dir):
+    """The same with drains between: every 8000 arrivals the queue is emptied, and has room again."""
+    rows = _to_queue(spark, sf_dir)
+    turns = rows.select("subscription", F.floor(F.col("arrival") / 8000).alias("turn")).distinct()
+    taken = turns.select("subscription", (F.col("turn") * 8000).alias("arrival"), F.lit("").alias("id"), F.lit("taken").alias("kind"), F.lit(backlog.MAX_QUEUED).cast("bigint").alias("n"))
+    kept = _kept(spark, rows.unionByName(taken), 3)
+    return kept.groupBy("subscription").agg(F.count("*").alias("kept"), F.max("arrival").alias("last"))
+
+
+DAY_MS = 86_400_000
+
+
+@query(f"""WITH heard AS (SELECT 'u' || user_id AS producer, epoch_us(ts) // 1000 AS at FROM events),
+gaps AS (SELECT *, lag(at) OVER w AS before, lead(at) OVER w AS next FROM heard WINDOW w AS (PARTITION BY producer ORDER BY at))
+SELECT producer, 'online' AS state, at FROM gaps WHERE before IS NULL OR at - before > {DAY_MS}
+UNION ALL SELECT producer, 'lost' AS state, at + {DAY_MS} AS at FROM gaps WHERE coalesce(next, (SELECT max(at) FROM heard)) - at > {DAY_MS}""")
+def availability_changes(spark, sf_dir):
+    """Producers come online with a message and are lost a day after their last, by timers on event time over several triggers."""
+    root = scratch(spark, "availability")
+    rows = adapter.events(spark, sf_dir).select(F.concat(F.lit("u"), "user_id").alias("producer"), F.col("ts").cast("timestamp").alias("ts"))
+
+    def run(path: str) -> None:
+        stateful.run_once(stateful.availability(spark.readStream.schema(rows.schema).parquet(path), DAY_MS), f"{root}/out", f"{root}/state")
+
+    _in_order(rows, f"{root}/in", "ts", 3, run)
+    return spark.read.schema(stateful.CHANGES).parquet(f"{root}/out")
 
 
 def _published(spark: SparkSession, events: DataFrame) -> str:
@@ -389,7 +596,10 @@ def _ledger_ids(spark: SparkSession, root: str) -> DataFrame:
     return Ledger(spark, root).rows().select("subscription", "seq", "id")
 
 
-@query(with_envelopes("SELECT 'clicks' AS subscription, row_number() OVER (ORDER BY arrival) AS seq, id FROM envelopes WHERE regexp_full_match(type, 'click\\.[^.]+')"))
+CLICKS_SQL = "SELECT 'clicks' AS subscription, row_number() OVER (ORDER BY arrival) AS seq, id FROM envelopes WHERE regexp_full_match(type, 'click\\.[^.]+')"
+
+
+@query(with_envelopes(CLICKS_SQL))
 def stream_drain_whole(spark, sf_dir):
     """The whole table is emitted, and bounded drains run until the backlog is empty."""
     root = _published(spark, _envelopes(spark, sf_dir))
@@ -397,13 +607,10 @@ def stream_drain_whole(spark, sf_dir):
     return _ledger_ids(spark, root)
 
 
-CLICKS_SQL = "SELECT 'clicks' AS subscription, row_number() OVER (ORDER BY arrival) AS seq, id FROM envelopes WHERE arrival <= 300 AND regexp_full_match(type, 'click\\.[^.]+')"
-
-
-@query(with_envelopes(CLICKS_SQL))
+@query(with_envelopes(f"SELECT * FROM ({CLICKS_SQL}) WHERE seq <= 1000"))
 def stream_drain_available_now(spark, sf_dir):
-    """One drain. Its SQL asks for the first 300 arrivals only; stream_drain_whole takes all."""
-    root = _published(spark, _envelopes(spark, sf_dir).where("arrival <= 300"))
+    """The whole table is emitted; one bounded drain takes the oldest messages of the backlog."""
+    root = _published(spark, _envelopes(spark, sf_dir))
     streams.drain_subscription(spark, root, "clicks", max=1000, timeout=600)
     return _ledger_ids(spark, root)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,11 +104,11 @@ class CommittedTable:
         """Batches that were begun and do not count: few, unlike those that do."""
         return sorted({f.removeprefix("batch=") for f in self.files.folders("data")} - set(self.batches()))
 
-    def write(self, rows: DataFrame, batch: str, sort: tuple[str, ...] = ()) -> DataFrame:
-        """Writes a batch without making it count, and reads it back."""
+    def write(self, rows: DataFrame, batch: str, sort: tuple[str, ...] = (), spread: tuple[Column, ...] = ()) -> DataFrame:
+        """Writes a batch without making it count, and reads it back. Files are sorted, and hold ranges of the sort columns or, with spread, what these expressions put together."""
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields if f.name != "batch"])
         if sort:
-            rows = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
+            rows = (rows.repartition(*spread) if spread else rows.repartitionByRange(*sort)).sortWithinPartitions(*sort)
         out = rows.write.mode("overwrite").partitionBy(*self.partitions)
         if self.look_up:
             out = out.option(f"parquet.bloom.filter.enabled#{self.look_up}", "true")
@@ -133,10 +133,12 @@ class CommittedTable:
         rows, gone = self.spark.read.schema(self.schema).parquet(f"{self.root}/data"), self.unfinished()
         return rows.where(~F.col("batch").isin(gone)) if gone else rows
 
-    def largest(self, column: str) -> list[Row]:
-        """The largest value of a column for each value of the partition columns, from the statistics in the files' footers: no rows are read."""
+    def largest(self, column: str, where: Column | None = None, by_batch: bool = False) -> list[Row]:
+        """The largest value of a column for each value of the partition columns (and each batch), from the statistics in the files' footers: no rows are read. where: of these, which."""
         if not self.batches():
             return []
         with set_for(self.spark, spark__sql__sources__useV1SourceList="", spark__sql__parquet__aggregatePushdown="true"):
-            each = self.read().groupBy("batch", *self.partitions).agg(F.max(column).alias(column))
-            return each.groupBy(*self.partitions).agg(F.max(column).alias(column)).collect()
+            found = self.read().groupBy("batch", *self.partitions).agg(F.max(column).alias(column))
+            if not by_batch:
+                found = found.groupBy(*self.partitions).agg(F.max(column).alias(column))
+            return (found if where is None else found.where(where)).collect()

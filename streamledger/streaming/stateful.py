@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,7 @@ class Sequencer(StatefulProcessor):
         self.last = handle.getValueState("last", "seq bigint")
         self.ids = handle.getMapState("ids", "id string", "seq bigint")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else 0
         new = []
         for row in pd.concat(rows).sort_values(["arrival", "id"]).itertuples():
@@ -43,40 +44,110 @@ def sequenced(rows: DataFrame) -> DataFrame:
     return rows.groupBy("subscription").transformWithStateInPandas(statefulProcessor=Sequencer(), outputStructType="subscription string, seq bigint, id string", outputMode="Append", timeMode="None")
 
 
+class BoundedQueue(StatefulProcessor):
+    """A queue that holds at most `bound` messages: while it is full, later ones are dropped as they come. Rows with kind `taken` say that so many (n) of the oldest were drained, which makes room.
+
+    The state is the queue itself, oldest first, over any number of triggers; rows of a trigger are taken in order of arrival. Each message is told once, with whether it was kept.
+    """
+
+    def __init__(self, bound: int):
+        self.bound = bound
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.queue = handle.getListState("queue", "arrival bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        queue = deque(x[0] for x in self.queue.get()) if self.queue.exists() else deque()
+        told = []
+        for row in pd.concat(rows).sort_values(["arrival", "id"]).itertuples():
+            if row.kind == "taken":
+                for _ in range(min(int(row.n), len(queue))):
+                    queue.popleft()
+                continue
+            kept = len(queue) < self.bound
+            if kept:
+                queue.append(row.arrival)
+            told.append((key[0], row.arrival, row.id, kept))
+        if queue:
+            self.queue.put([(x,) for x in queue])
+        else:
+            self.queue.clear()
+        yield pd.DataFrame(told, columns=["subscription", "arrival", "id", "kept"])
+
+    def close(self) -> None:
+        pass
+
+
+def queued(rows: DataFrame, bound: int) -> DataFrame:
+    """A stream of (subscription, arrival, id, kind, n) to its messages (subscription, arrival, id, kept)."""
+    return rows.groupBy("subscription").transformWithStateInPandas(statefulProcessor=BoundedQueue(bound), outputStructType="subscription string, arrival bigint, id string, kept boolean", outputMode="Append", timeMode="None")
+
+
 class Liveness(StatefulProcessor):
-    """A producer is online from its first message on and lost when none came for a while; each change is told once."""
+    """A producer is online from its first message on and lost when none came for a while; each change is told once, with the millisecond at which it happened.
 
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
+    By event time a producer is lost `timeout_ms` after its last message, once the watermark has passed that; by processing time, once the clock has.
+    """
+
+    def __init__(self, timeout_ms: int, event_time: bool = False):
+        self.timeout_ms, self.event_time = timeout_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.online = handle.getValueState("online", "timer bigint")
-
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        for _ in rows:
-            pass
-        was = self.online.exists()
-        if was:
-            self.handle.deleteTimer(self.online.get()[0])
-        due = timers.getCurrentProcessingTimeInMs() + self.timeout_ms
+        self.due = handle.getValueState("due", "timer bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due = self.due.get()[0] if self.due.exists() else None
+        if due is not None:
+            self.handle.deleteTimer(due)
+        told = []
+        if self.event_time:
+            heard = [x for part in rows for x in part["at"].astype("int64")]
+        else:
+            for _ in rows:
+                pass
+            heard = [timerValues.getCurrentProcessingTimeInMs()]
+        for at in sorted(heard):
+            if due is not None and at > due:
+                told.append((key[0], "lost", due))
+                due = None
+            if due is None:
+                told.append((key[0], "online", at))
+                due = at
+            due = max(due, at + self.timeout_ms)
         self.handle.registerTimer(due)
-        self.online.update((due,))
-        yield pd.DataFrame([] if was else [(key[0], "online")], columns=["producer", "state"])
+        self.due.update((due,))
+        yield pd.DataFrame(told, columns=["producer", "state", "at"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        self.online.clear()
-        yield pd.DataFrame([(key[0], "lost")], columns=["producer", "state"])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self.due.get()[0]
+        self.due.clear()
+        yield pd.DataFrame([(key[0], "lost", due)], columns=["producer", "state", "at"])
 
     def close(self) -> None:
         pass
 
 
+CHANGES = "producer string, state string, at bigint"
+
+
 def liveness(messages: DataFrame, timeout_ms: int) -> DataFrame:
     """A stream with a `producer` column to its changes of state, by processing time."""
-    return messages.groupBy("producer").transformWithStateInPandas(statefulProcessor=Liveness(timeout_ms), outputStructType="producer string, state string", outputMode="Append", timeMode="ProcessingTime")
+    return messages.groupBy("producer").transformWithStateInPandas(statefulProcessor=Liveness(timeout_ms), outputStructType=CHANGES, outputMode="Append", timeMode="ProcessingTime")
+
+
+def availability(messages: DataFrame, timeout_ms: int, delay: str = "0 seconds") -> DataFrame:
+    """A stream of (producer, ts) to its changes of state by event time; messages later than the delay behind the newest are not counted."""
+    rows = messages.select("producer", "ts", F.unix_millis("ts").alias("at")).withWatermark("ts", delay)
+    return rows.groupBy("producer").transformWithStateInPandas(statefulProcessor=Liveness(timeout_ms, True), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
 
 
 def last_seen(messages: DataFrame, now: int, timeout: int) -> DataFrame:
     """The batch form over (producer, at): when each was last heard and whether that is within the timeout."""
     return messages.groupBy("producer").agg(F.max("at").alias("at")).withColumn("online", F.lit(now) - F.col("at") <= timeout)
+
+
+def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """One run over what has come in, appended to Parquet files."""
+    use_rocksdb(stream.sparkSession)
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -1,14 +1,12 @@
 """A single event without a job: made, read, checked and written by the rules that the columns have.
 
-Grammars and limits come from `fields.TEXTS`, payloads are taken apart by the function
-that the Arrow step uses, so a payload has the same problems, in the same order, here and
-in a DataFrame.
+Payloads are judged by the functions that the Arrow step uses, so one has the same
+problems, in the same order, here and in a DataFrame.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import secrets
 import time as clock
 from collections.abc import Mapping
@@ -16,76 +14,11 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from streamledger.errors import FieldProblem, InvalidEnvelope
-from streamledger.functions import wire
-from streamledger.functions.fields import MESSAGES, TEXTS
+from streamledger.functions import rules
 from streamledger.functions.ids import DIGITS, ENTROPY_DIGITS, TIME_DIGITS
-from streamledger.functions.times import SHAPE
 from streamledger.schema import FIELDS
 
 COLUMN_OF = {w: n for n, w, _ in FIELDS}
-KINDS = {"data": ("object", "not_an_object"), "delivery_attempt": ("integer", "not_an_integer")}
-
-
-def full(grammar: str) -> re.Pattern[str]:
-    """A grammar as Python writes the end of a text."""
-    return re.compile(grammar.replace(r"\z", r"\Z"), re.ASCII)
-
-
-GRAMMARS = {name: full(grammar) for name, (_, grammar) in TEXTS.items()}
-TIME = full(SHAPE)
-
-
-def text_code(name: str, value: str) -> str | None:
-    """What is wrong with the text of a field, None if nothing."""
-    if value == "":
-        return "empty"
-    if name == "time":
-        return time_code(value)
-    limit = TEXTS[name][0]
-    if limit is not None and len(value) > limit:
-        return "too_long"
-    if not GRAMMARS[name].match(value) or name == "source" and any(map(str.isspace, value)):
-        return "malformed"
-    return None
-
-
-def time_code(value: str) -> str | None:
-    if not TIME.match(value):
-        return "malformed"
-    offset = value[-6:] if value[-1] not in "Zz" else "+00:00"
-    try:
-        datetime.strptime(value[:19].upper(), "%Y-%m-%dT%H:%M:%S")  # noqa: DTZ007
-    except ValueError:
-        return "malformed"
-    if int(offset[1:3]) > 23 or int(offset[4:]) > 59:
-        return "malformed"
-    return None if offset[1:] == "00:00" else "not_utc"
-
-
-def unknown_message(key: str) -> str:
-    near = wire.FOLDED.get(re.sub("[_-]", "", key).lower())
-    return f"is not part of an envelope; did you mean {near}?" if near else MESSAGES["unknown_field"]
-
-
-def problems_of(apart: dict) -> list[FieldProblem]:
-    """Problems of a payload taken apart: unknown keys in its order, missing fields, the others in wire order, those inside data."""
-    if apart["problem"]:
-        return [FieldProblem("envelope", apart["problem"], MESSAGES[apart["problem"]])]
-    gone, wrong = [], []
-    for name, key, required in FIELDS:
-        kind = apart["kinds"].get(key)
-        want, code = KINDS.get(name, ("string", "not_a_string"))
-        if kind is None or kind == "null" and not required:
-            if required:
-                gone.append(FieldProblem(key, "missing", MESSAGES["missing"]))
-            continue
-        if kind == want:
-            value = apart["texts"].get(key)
-            code = None if name == "data" else ("out_of_range" if int(value) < 1 else None) if name == "delivery_attempt" else text_code(name, value)
-        if code:
-            wrong.append(FieldProblem(key, code, MESSAGES[code]))
-    unknown = [FieldProblem(k, "unknown_field", unknown_message(k)) for k in apart["unknown"]]
-    return [*unknown, *gone, *wrong, *(FieldProblem(p["field"], p["code"], MESSAGES[p["code"]]) for p in apart["inside"])]
 
 
 def new_id(prefix: str = "evt") -> str:
@@ -124,21 +57,21 @@ class Envelope:
 
     @classmethod
     def from_dict(cls, payload: object) -> Envelope:
-        found = problems_of(wire.fields_apart(payload))
+        found = rules.problems_of(rules.fields_apart(payload))
         if found:
             raise InvalidEnvelope(found)
         return cls(**{COLUMN_OF[k]: v for k, v in payload.items() if v is not None})
 
     @classmethod
     def from_json(cls, text: str) -> Envelope:
-        apart = wire.take_apart(text)
+        apart = rules.take_apart(text)
         if apart["problem"]:
-            raise InvalidEnvelope(problems_of(apart))
+            raise InvalidEnvelope(rules.problems_of(apart))
         return cls.from_dict(json.loads(text))
 
     def problems(self) -> list[FieldProblem]:
         """Everything wrong with this event, in one pass."""
-        return problems_of(wire.fields_apart({w: getattr(self, n) for n, w, required in FIELDS if required or getattr(self, n) is not None}))
+        return rules.problems_of(rules.fields_apart({w: getattr(self, n) for n, w, required in FIELDS if required or getattr(self, n) is not None}))
 
     def validate(self) -> None:
         found = self.problems()

@@ -1,183 +1,67 @@
 """The wire form: payloads to typed fields with every problem in one pass, and envelopes to JSON.
 
-Reading JSON to the letter (NaN, duplicate keys, integers of any length, nesting)
-needs Python's parser, in an Arrow UDF that only takes payloads apart: which
-fields they have, of what JSON kind, and which values inside data are no JSON.
-All rules on fields stay columns of `fields`, the same for typed rows.
+One Arrow step reads and judges payloads (see `rules`) and gives typed fields; all rules
+on fields are columns of `fields` too, for typed rows.
 """
 
 from __future__ import annotations
 
-import json
-import math
-from collections.abc import Mapping
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamledger.functions.fields import MESSAGES, RULES
-from streamledger.schema import FIELDS, STORE_FORMAT_VERSION, WIRE_NAMES
-
-MAX_DEPTH = 32
-TAKEN_APART = "problem string, unknown array<string>, kinds map<string,string>, texts map<string,string>, inside array<struct<field:string,code:string>>"
-RECORD = f"problem string, seq bigint, subscription string, recorded_at string, event struct<{TAKEN_APART}>"
-#: The one problem of a stored line that a crash in the middle of a write can make.
-NOT_JSON = "not JSON"
-FOLDED = {w.lower(): w for w in WIRE_NAMES}
-
-
-class Key:
-    """Stands for a key that is no text."""
-
-
-def kind_of(value: object) -> str:
-    """The JSON kind of a parsed value; a whole number written with a point or an exponent is a number, not an integer."""
-    match value:
-        case None:
-            return "null"
-        case bool():
-            return "boolean"
-        case int():
-            return "integer"
-        case float():
-            return "number"
-        case str():
-            return "string"
-        case list() | tuple():
-            return "array"
-        case Mapping():
-            return "object"
-        case _:
-            return "unsupported"
-
-
-def inside(path: str, value: object) -> list[dict]:
-    """Problems within data, with their paths, in document order; a stack, so that depth costs no recursion. Values and keys that no JSON text gives occur in events made in Python."""
-    found, todo = [], [(path, value, 0)]
-    while todo:
-        at, v, depth = todo.pop()
-        match kind_of(v):
-            case "number" if not math.isfinite(v):
-                found.append({"field": at, "code": "malformed"})
-            case "unsupported":
-                found.append({"field": at, "code": "unsupported_type"})
-            case "object" | "array" if depth >= MAX_DEPTH:
-                found.append({"field": at, "code": "too_deep"})
-            case "object":
-                below = [(f"{at}.{k}", x) if isinstance(k, str) else (at, Key) for k, x in v.items()]
-                todo.extend((p, x, depth + 1) for p, x in reversed(below))
-            case "array":
-                todo.extend((f"{at}[{k}]", x, depth + 1) for k, x in reversed(list(enumerate(v))))
-    return found
-
-
-def take_apart(payload: str | None) -> dict:
-    try:
-        whole = json.loads(payload if payload is not None else "")
-    except (ValueError, RecursionError):
-        return {"problem": "not_json"}
-    return fields_apart(whole)
-
-
-def fields_apart(whole: object) -> dict:
-    if not isinstance(whole, Mapping):
-        return {"problem": "not_an_object"}
-    known = {k: v for k, v in whole.items() if k in WIRE_NAMES}
-    plain = lambda v: v if isinstance(v, str) else str(v) if kind_of(v) == "integer" else None
-    texts = {k: plain(v) for k, v in known.items() if k != "data"}
-    data = known.get("data")
-    found = inside("data", data) if isinstance(data, Mapping) else []
-    if isinstance(data, Mapping) and not found:
-        texts["data"] = json.dumps(data, ensure_ascii=False, separators=(",", ":"))
-    return {"problem": None, "unknown": [str(k) for k in whole if k not in known], "kinds": {k: kind_of(v) for k, v in known.items()}, "texts": texts, "inside": found}
-
-
-def record_apart(line: str | None) -> dict:
-    """A stored record taken apart: what is wrong with it as a record, its own fields, and its event as `fields_apart` has it."""
-    try:
-        whole = json.loads(line if line is not None else "")
-    except ValueError:
-        return {"problem": NOT_JSON}
-    except RecursionError:
-        return {"problem": "nested too deeply"}
-    if not isinstance(whole, dict):
-        return {"problem": "not an object"}
-    if whole.get("storeFormatVersion") != STORE_FORMAT_VERSION:
-        return {"problem": "unknown store format"}
-    gone = [k for k in ("seq", "subscription", "recordedAt", "event") if whole.get(k) is None]
-    if gone:
-        return {"problem": f"no {gone[0]}"}
-    seq = whole["seq"]
-    if kind_of(seq) != "integer" or not 1 <= seq < 1 << 63:
-        return {"problem": "no number of 1 or more"}
-    text = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-    return {"problem": None, "seq": seq, "subscription": text(whole["subscription"]), "recorded_at": text(whole["recordedAt"]), "event": fields_apart(whole["event"])}
-
-
-_TEXTS = pa.map_(pa.string(), pa.string())
-_APART = pa.struct([("problem", pa.string()), ("unknown", pa.list_(pa.string())), ("kinds", _TEXTS), ("texts", _TEXTS), ("inside", pa.list_(pa.struct([("field", pa.string()), ("code", pa.string())])))])
-_RECORD = pa.struct([("problem", pa.string()), ("seq", pa.int64()), ("subscription", pa.string()), ("recorded_at", pa.string()), ("event", _APART)])
-
-
-def _taken_apart(payloads: pa.Array) -> pa.Array:
-    return pa.array([take_apart(p) for p in payloads.to_pylist()], _APART)
-
-
-def _records_apart(lines: pa.Array) -> pa.Array:
-    return pa.array([record_apart(x) for x in lines.to_pylist()], _RECORD)
-
-
-def problem(field: Column, code: Column, message: Column | None = None) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
-    return F.when(code.isNotNull(), F.struct(field.alias("field"), code.alias("code"), (message if message is not None else table[code]).alias("message")))
+from streamledger.functions.rules import fields_apart, problems_of, record_apart, take_apart
+from streamledger.schema import ENVELOPE, ERRORS, FIELDS
+
+EVENT = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in ENVELOPE.fields) + ">"
+JUDGED = f"event {EVENT}, errors {ERRORS}"
+RECORD = f"problem string, seq bigint, subscription string, recorded_at string, {JUDGED}"
 
+_EVENT = pa.struct([(n, pa.int64() if n == "delivery_attempt" else pa.string()) for n, _, _ in FIELDS])
+_ERRORS = pa.list_(pa.struct([("field", pa.string()), ("code", pa.string()), ("message", pa.string())]))
+_JUDGED = pa.struct([("event", _EVENT), ("errors", _ERRORS)])
+_RECORD = pa.struct([("problem", pa.string()), ("seq", pa.int64()), ("subscription", pa.string()), ("recorded_at", pa.string()), ("event", _EVENT), ("errors", _ERRORS)])
+#: The largest whole number that a column holds.
+LARGEST = (1 << 63) - 1
 
-def did_you_mean(key: Column) -> Column:
-    """The wire name that differs from a key in case, dashes and underscores only."""
-    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
-    near = table[F.lower(F.regexp_replace(key, "[_-]", ""))]
-    return F.when(near.isNotNull(), F.concat(F.lit("is not part of an envelope; did you mean "), near, F.lit("?"))).otherwise(MESSAGES["unknown_field"])
 
+def judged(apart: dict) -> dict:
+    """A payload taken apart as its typed fields, none if it is invalid, and its problems. A delivery attempt beyond a column's range is left out."""
+    errors = [vars(p) for p in problems_of(apart)]
+    if errors:
+        return {"event": None, "errors": errors}
+    texts = apart["texts"]
+    event = {n: texts.get(w) for n, w, _ in FIELDS}
+    attempt = event["delivery_attempt"]
+    event["delivery_attempt"] = int(attempt) if attempt is not None and int(attempt) <= LARGEST else None
+    return {"event": event, "errors": []}
 
-def _field_problem(apart: Column, name: str, wire: str, required: bool) -> Column:
-    kind, text = apart["kinds"][wire], apart["texts"][wire]
-    wanted, code = {"data": ("object", "not_an_object"), "delivery_attempt": ("integer", "not_an_integer")}.get(name, ("string", "not_a_string"))
-    rule = F.lit(None).cast("string") if name == "data" else RULES[name](text.try_cast("decimal(38,0)") if name == "delivery_attempt" else text)
-    absent = kind.isNull() if required else kind.isNull() | (kind == "null")
-    missing = F.lit("missing") if required else F.lit(None)
-    return problem(F.lit(wire), F.when(absent, missing).when(kind != wanted, code).otherwise(rule).cast("string"))
 
+def _payloads(payloads: pa.Array) -> pa.Array:
+    return pa.array([judged(take_apart(p)) for p in payloads.to_pylist()], _JUDGED)
 
-def payload_problems(apart: Column) -> Column:
-    """All problems of a payload taken apart: unknown keys in its order, then missing fields, then the rest in wire order."""
-    each = [(required, _field_problem(apart, name, wire, required)) for name, wire, required in FIELDS]
-    none = F.array().cast("array<struct<field:string,code:string,message:string>>")
-    unknown = F.transform(apart["unknown"], lambda k: F.struct(k.alias("field"), F.lit("unknown_field").alias("code"), did_you_mean(k).alias("message")))
-    within = F.transform(apart["inside"], lambda x: problem(x["field"], x["code"]))
-    own = F.array(*[p for _, p in each])
-    gone = F.filter(own, lambda p: p["code"] == "missing")
-    wrong = F.filter(own, lambda p: p["code"] != "missing")
-    listed = F.concat(F.coalesce(unknown, none), gone, wrong, F.coalesce(within, none))
-    return F.when(apart["problem"].isNotNull(), F.array(problem(F.lit("envelope"), apart["problem"]))).otherwise(listed)
+
+def _records(lines: pa.Array) -> pa.Array:
+    found = (record_apart(x) for x in lines.to_pylist())
+    return pa.array([r if r["problem"] else r | judged(r["event"]) for r in found], _RECORD)
+
+
+def problem(field: Column, code: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    return F.when(code.isNotNull(), F.struct(field.alias("field"), code.alias("code"), table[code].alias("message")))
 
 
 def parse_payloads(messages: DataFrame, payload_col: str = "payload") -> DataFrame:
     """messages with `event` (the envelope's fields as a struct, null if invalid) and `errors`."""
-    return _judged(messages.withColumn("apart", F.arrow_udf(_taken_apart, TAKEN_APART)(F.col(payload_col))))
+    out = messages.withColumn("judged", F.arrow_udf(_payloads, JUDGED)(F.col(payload_col)))
+    return out.withColumns({"event": F.col("judged.event"), "errors": F.col("judged.errors")}).drop("judged")
 
 
 def parse_records(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """Stored lines with `record` (problem, seq, subscription, recorded_at), and `event` and `errors` of the event inside, read from the line itself."""
-    taken = lines.withColumn("record", F.arrow_udf(_records_apart, RECORD)(F.col(line_col)))
-    return _judged(taken.withColumn("apart", F.col("record.event"))).withColumn("record", F.col("record").dropFields("event"))
-
-
-def _judged(apart: DataFrame) -> DataFrame:
-    text = lambda name, wire: F.col("apart")["texts"][wire].try_cast("bigint") if name == "delivery_attempt" else F.col("apart")["texts"][wire]
-    event = F.struct(*[text(name, wire).alias(name) for name, wire, _ in FIELDS])
-    out = apart.withColumn("errors", payload_problems(F.col("apart")))
-    return out.withColumn("event", F.when(F.size("errors") == 0, event)).drop("apart")
+    out = lines.withColumn("record", F.arrow_udf(_records, RECORD)(F.col(line_col)))
+    return out.withColumns({"event": F.col("record.event"), "errors": F.col("record.errors"), "record": F.col("record").dropFields("event", "errors")})
 
 
 def typed_problems(columns: dict[str, Column] | None = None) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from streamledger.errors import CorruptLedger, InvalidName
 from streamledger.functions.times import now
-from streamledger.functions.wire import NOT_JSON, parse_records, to_wire_json, typed_problems
+from streamledger.functions.rules import NOT_JSON
+from streamledger.functions.wire import parse_records, to_wire_json, typed_problems
 from streamledger.operators import pages, sequencing
 from streamledger.schema import FIELDS, STORE_FORMAT_VERSION
 from streamledger.sources.ledger_table import LedgerTable

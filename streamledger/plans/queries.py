@@ -568,10 +568,10 @@ def stream_backlog_drained(spark, sf_dir):
 DAY_MS = 86_400_000
 
 
-@query(f"""WITH heard AS (SELECT 'u' || user_id AS producer, epoch_us(ts) // 1000 AS at FROM events),
-gaps AS (SELECT *, lag(at) OVER w AS before, lead(at) OVER w AS next FROM heard WINDOW w AS (PARTITION BY producer ORDER BY at))
-SELECT producer, 'online' AS state, at FROM gaps WHERE before IS NULL OR at - before > {DAY_MS}
-UNION ALL SELECT producer, 'lost' AS state, at + {DAY_MS} AS at FROM gaps WHERE coalesce(next, (SELECT max(at) FROM heard)) - at > {DAY_MS}""")
+@query(f"""WITH heard AS (SELECT 'u' || user_id AS producer, epoch_us(ts) // 1000 AS "at" FROM events),
+gaps AS (SELECT *, lag("at") OVER w AS before, lead("at") OVER w AS next FROM heard WINDOW w AS (PARTITION BY producer ORDER BY "at"))
+SELECT producer, 'online' AS state, "at" FROM gaps WHERE before IS NULL OR "at" - before > {DAY_MS}
+UNION ALL SELECT producer, 'lost' AS state, "at" + {DAY_MS} AS "at" FROM gaps WHERE coalesce(next, (SELECT max("at") FROM heard)) - "at" > {DAY_MS}""")
 def availability_changes(spark, sf_dir):
     """Producers come online with a message and are lost a day after their last, by timers on event time over several triggers."""
     root = scratch(spark, "availability")

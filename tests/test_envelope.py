@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from streamledger.errors import ERROR_CODES, InvalidEnvelope
 from streamledger.functions import topics
-from streamledger.functions.envelope import Envelope, new_id, problems_of
-from streamledger.functions.wire import parse_payloads, take_apart
+from streamledger.functions.envelope import Envelope, new_id
+from streamledger.functions.fields import RULES
+from streamledger.functions.rules import problems_of, take_apart, text_code
+from streamledger.functions.wire import parse_payloads
 
 GOOD = {"id": "e1", "type": "a.b", "source": "x:y", "time": "2026-01-01T00:00:00Z", "schemaVersion": "1", "data": {"n": 1}}
 VALUES = {
@@ -62,6 +64,22 @@ def test_columns_and_single_events_agree(spark):
             assert back == Envelope.from_json(t) and back.problems() == []
 
 
+def test_column_rules_are_the_plain_ones(spark):
+    """Each rule over typed columns gives the code that the plain one gives."""
+    draw = random.Random(3)
+    names = {"schema_version": "schemaVersion", "correlation_id": "id", "causation_id": "id", "run_id": "id", "producer": "id"}
+    for name in RULES:
+        if name == "delivery_attempt":
+            continue
+        values = [v for v in VALUES[names.get(name, name)] if isinstance(v, str)]
+        for v in values[:]:
+            for _ in range(15):
+                at = draw.randint(0, len(v))
+                values.append(v[:at] + draw.choice(["", "a", "0", ".", "..", "-", " ", "\n", "\r", "Z", "é", "\u00a0", "\u2028", "\u0085", "\x1c", "+", "/", "#"]) + v[at + draw.randint(0, 2) :])
+        rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", RULES[name](F.col("v")).alias("code")).collect()
+        assert [(r["v"], r["code"]) for r in rows if r["code"] != text_code(name, r["v"])] == [], name
+
+
 def test_made_events():
     one = Envelope.new("task.done", "app://x", {"a": [1]}, producer="p")
     assert one.to_dict() == {"id": one.id, "type": "task.done", "source": "app://x", "time": one.time, "schemaVersion": "1", "producer": "p", "data": {"a": [1]}}

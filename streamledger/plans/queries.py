@@ -615,6 +615,14 @@ def stream_drain_available_now(spark, sf_dir):
     return _ledger_ids(spark, root)
 
 
+@query(with_envelopes(f"SELECT * FROM ({CLICKS_SQL}) WHERE seq <= {backlog.MAX_QUEUED}"))
+def stream_drain_bounded(spark, sf_dir):
+    """The whole table is emitted while nobody drains: the bounded queue has the oldest messages, and drains find no others."""
+    root = _published(spark, _envelopes(spark, sf_dir))
+    streams.drain_all(spark, root, "clicks", max=600, timeout=600, max_queued=backlog.MAX_QUEUED)
+    return _ledger_ids(spark, root)
+
+
 @query(with_envelopes(f"SELECT * FROM ({CLICKS_SQL}) WHERE seq <= 25"))
 def stream_resume(spark, sf_dir):
     """The whole table is emitted; a second drain goes on where the first stopped."""

@@ -4,7 +4,8 @@ The source `event_backlog` hands a subscription's messages to Structured
 Streaming: one read takes at most `max` of them, after the offset that the
 checkpoint holds, and a commit notes how far the subscription was drained. With
 `availableNow` one run is one bounded drain. Where a broker is remote, its client
-takes the place of `BacklogReader.captured`; the rest stays.
+takes the place of `BacklogReader.captured`; the rest stays. With `max_queued` a
+subscription's queue is bounded: what came while it was full is dropped for good.
 
 Any number of publishers may write at once. A batch is written under a name of its own and
 is published by its claim of the next number, which only one publisher can create;
@@ -15,6 +16,7 @@ arrivals, so that a drain which has passed an arrival has seen all before it.
 from __future__ import annotations
 
 import bisect
+import json
 import posixpath
 import re
 import time
@@ -152,6 +154,8 @@ class BacklogReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root, self.filter = options["path"].rstrip("/"), options["filter"]
         self.created, self.max = whole_option(options, "created", 0, 0), whole_option(options, "max", 100, 1)
+        self.bound = whole_option(options, "max_queued", 0, 1) if "max_queued" in options else None
+        self.name = options.get("name", "")
         if not self.filter or "#" in self.filter:
             raise InvalidBound(f"filter: no filter of a subscription: {self.filter!r}")
         self.after: int | None = None
@@ -208,11 +212,47 @@ class BacklogReader(DataSourceStreamReader):
                 if group.upto >= 0:
                     keep = pc.and_(keep, pc.less_equal(rows["arrival"], group.upto))
                 rows = rows.filter(keep)
+                for low, high in self.dropped():
+                    rows = rows.filter(pc.or_(pc.less_equal(rows["arrival"], low), pc.greater(rows["arrival"], high)))
                 topics = [t for t in pc.unique(rows["topic"]).to_pylist() if t is not None and matches(self.filter, t)]
                 yield rows.filter(pc.is_in(rows["topic"], pa.array(topics, pa.string()))).select(columns)
 
+    def dropped(self) -> list[tuple[int, int]]:
+        """Ranges of arrivals (from, upto] that the full queue of this subscription did not take."""
+        if self.bound is None:
+            return []
+        fs, root = self.files()
+        if fs.get_file_info(place := posixpath.join(root, "dropped", self.name)).type == pafs.FileType.NotFound:
+            return []
+        with fs.open_input_file(place) as f:
+            return [tuple(r) for r in json.loads(f.read())]
+
+    def drop(self, low: int, high: int) -> None:
+        """Notes one more range, by a file that takes the old one's place as a whole."""
+        ranges = [*self.dropped(), (low, high)]
+        fs, root = self.files()
+        place = posixpath.join(root, "dropped", self.name)
+        fs.create_dir(posixpath.dirname(place), recursive=True)
+        with fs.open_output_stream(f"{place}.new") as f:
+            f.write(json.dumps(ranges).encode())
+        fs.move(f"{place}.new", place)
+
+    def overflow(self, after: int) -> None:
+        """Drops what came while the queue was full: of the messages after an arrival the oldest `bound` are in it, all others that are there by now were dropped as they came."""
+        left, last = self.bound, after
+        for group in self.groups(after):
+            for rows in self.captured(group, ["arrival"]):
+                if rows.num_rows > left:
+                    edge = rows["arrival"][left - 1].as_py() if left else last
+                    self.drop(edge, [c.last for c in self.claims(after)][-1])
+                    return
+                if rows.num_rows:
+                    left, last = left - rows.num_rows, rows["arrival"][-1].as_py()
+
     def latestOffset(self) -> dict:
         after = self.created if self.after is None else self.after
+        if self.bound is not None:
+            self.overflow(after)
         last, left = after, self.max
         for group in self.groups(after):
             for rows in self.captured(group, ["arrival"]):

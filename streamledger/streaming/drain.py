@@ -150,9 +150,11 @@ def store_batch(ledger: Ledger, subscription: str, own: str, result: DrainResult
     return store
 
 
-def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0, max: int = 100, timeout: float = DEFAULT_TIMEOUT) -> DrainResult:
-    """Moves at most max messages of a subscription's backlog into the ledger. The cursor is the largest seq of its records, or since."""
+def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0, max: int = 100, timeout: float = DEFAULT_TIMEOUT, max_queued: int | None = None) -> DrainResult:
+    """Moves at most max messages of a subscription's backlog into the ledger. The cursor is the largest seq of its records, or since. max_queued: so many messages the queue holds; those that came while it was full are dropped."""
     check_bound(max)
+    if max_queued is not None:
+        check_bound(max_queued, "max_queued")
     check_bound(since, "since", 0)
     sub = Registry(spark, root).require(name)
     ledger, files = Ledger(spark, root), Files(spark, root)
@@ -160,9 +162,11 @@ def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0
     result = DrainResult(name, session_present=files.exists(f"checkpoints/{name}"))
     created = int(files.read(f"created/{name}")) if files.exists(f"created/{name}") else 0
     broker.register(spark)
-    source = f"{root.rstrip('/')}/broker"
+    options = {"path": f"{root.rstrip('/')}/broker", "filter": sub.filter, "created": created, "max": max, "name": name}
+    if max_queued is not None:
+        options["max_queued"] = max_queued
     with only_drainer(files, name) as fence:
-        stream = spark.readStream.format("event_backlog").options(path=source, filter=sub.filter, created=created, max=max).load()
+        stream = spark.readStream.format("event_backlog").options(**options).load()
         store = store_batch(ledger, name, incarnation(files, name), result, fence)
         run = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         try:
@@ -180,11 +184,11 @@ def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0
     return result
 
 
-def drain_all(spark: SparkSession, root: str, name: str, max: int = 1000, timeout: float = DEFAULT_TIMEOUT) -> DrainResult:
+def drain_all(spark: SparkSession, root: str, name: str, max: int = 1000, timeout: float = DEFAULT_TIMEOUT, max_queued: int | None = None) -> DrainResult:
     """Bounded drains one after the other until the backlog is empty; what they did together."""
     total = DrainResult(name)
     while True:
-        result = drain_subscription(spark, root, name, max=max, timeout=timeout)
+        result = drain_subscription(spark, root, name, max=max, timeout=timeout, max_queued=max_queued)
         total.consumed, total.stored, total.skipped = total.consumed + result.consumed, total.stored + result.stored, total.skipped + result.skipped
         total.cursor, total.stopped = builtins.max(total.cursor, result.cursor), result.stopped
         if result.emptied:
@@ -211,7 +215,7 @@ def remove_subscription(spark: SparkSession, root: str, name: str, force: bool =
         files.delete(f"locks/{name}")
     with only_drainer(files, name):
         try:
-            for place in ("checkpoints", "created"):
+            for place in ("checkpoints", "created", "broker/dropped"):
                 files.delete(f"{place}/{name}")
         except Exception:
             if not force:

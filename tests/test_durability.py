@@ -226,6 +226,23 @@ def test_no_removal_while_a_drain_runs(spark, tmp_path):
             held.check()
 
 
+def test_a_full_queue_drops_what_comes(spark, tmp_path):
+    """Ten fit; room comes with a drain, for what is emitted after it."""
+    root, rows = str(tmp_path), adapter.envelopes(adapter.events(spark, SF)).where("type rlike '^click[.][^.]+$'").orderBy("arrival")
+    ids = [r["id"] for r in rows.limit(40).collect()]
+    some = lambda a, b: rows.where(F.col("id").isin(ids[a:b]))
+    run = lambda n: [r["id"] for r in drain.drain_subscription(spark, root, "clicks", max=n, timeout=120, max_queued=10).records]
+    drain.add_subscription(spark, root, "clicks", "click.*")
+    drain.emit(spark, root, some(0, 8), "arrival")
+    drain.emit(spark, root, some(8, 16), "arrival")
+    assert run(4) == ids[:4]  # ten were in, six were dropped, six are left
+    drain.emit(spark, root, some(16, 30), "arrival")
+    assert run(8) == ids[4:10] + ids[16:18]  # four more had room
+    assert run(50) == ids[18:20] and run(50) == []
+    drain.emit(spark, root, some(30, 33), "arrival")
+    assert run(50) == ids[30:33]
+
+
 # State
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -74,12 +77,30 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def given_back() -> None:
+    """Workers are used again for other tasks, so what a task's allocators still hold goes back to the system: Arrow's pool, and glibc's heap where there is one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(function):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            given_back()
+
+    return run
+
+
 def mapped(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """mapInArrow with batches of few megabytes: rows go to and fro several times over, so that large ones fill an executor."""
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES) == BATCH_DEFAULT:
         conf.set(BATCH_BYTES, "4m")
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(frugal(function), schema)
 
 
 def bucket_of(id_col: Column, modulus: int) -> Column:

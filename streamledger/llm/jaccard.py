@@ -60,11 +60,11 @@ from streamledger.llm.common import discard, mapped, materialise, named, slices,
 
 WIDTH, THRESHOLD = 4, (85, 100)
 #: Coordinates of a point, entries of a tree node, words kept with their hash in a task.
-DIMS, FANOUT, WORD_CACHE = 32, 16, 200_000
+DIMS, FANOUT, WORD_CACHE = 32, 16, 100_000
 #: Points in a block of a large bucket or cell; and characters of the texts whose signatures or sets go out together.
 BLOCK, SIGNED_CHARS = 1024, 500_000
 #: Sets that a task remembers so as not to sign them again; forgetting costs repeats, not results.
-SEEN = 200_000
+SEEN = 50_000
 #: Up to so many ids of candidate documents, pairs of sets, or sets in components are counted and broadcast to the rows they ask for; beyond, the joins shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -48,6 +48,25 @@ SENTENCES = {
     "bsd-licensed": "Licensed under the BSD License",
     "bsd-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
     "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "lgpl-see": "See the GNU Lesser General Public License for more details",
+    "lgpl-received": "You should have received a copy of the GNU Lesser General Public License along with this program",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-see": "See the GNU Affero General Public License for more details",
+    "agpl-received": "You should have received a copy of the GNU Affero General Public License along with this program",
+    "epl2-program": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "boost-distributed": "Distributed under the Boost Software License, Version 1.0",
+    "boost-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following',
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-event": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
     "mpl2-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "mpl2-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
     "mpl2-obtain-s": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
@@ -57,20 +76,35 @@ SENTENCES = {
     "cc-by-sa": "Licensed under CC BY-SA 4.0",
     "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "cc-by-sa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nd-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc-by-nc-sa-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
     "cc0-waived": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "all-rights": "All rights reserved",
 }
 #: Short licence identifiers that a tag line can name.
-TAGS = ["Apache-2.0", "MIT", "ISC", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense"]
+TAGS = ["Apache-2.0", "MIT", "ISC", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "EPL-2.0", "BSL-1.0", "Zlib", "Artistic-2.0", "0BSD", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0"]
 #: Rules in their order: a licence, and the sentences that name it in a row.
 RULES = [
     ("Apache-2.0", ["asf-contributor", "asf-notice", "asf-you", "apache-copy", "apache-as-is", "apache-see"]),
     ("Apache-2.0", ["apache-you", "apache-copy", "apache-as-is", "apache-see"]),
     ("Apache-2.0", ["apache-you", "apache-copy-s", "apache-as-is", "apache-see"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is", "bsd-liability"]),
+    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope", "agpl-see", "agpl-received"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope", "lgpl-see", "lgpl-received"]),
     ("MIT", ["mit-title", "mit-grant", "mit-as-is", "mit-liability"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-see", "gpl-received"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-see", "gpl-received"]),
     ("MIT", ["mit-grant", "mit-as-is", "mit-liability"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope", "lgpl-see"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope", "agpl-see"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope", "lgpl-see"]),
+    ("Zlib", ["zlib-as-is", "zlib-event", "zlib-grant"]),
+    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
+    ("Unlicense", ["unlicense-free", "unlicense-anyone"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-see"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-see"]),
     ("BSD", ["all-rights", "bsd-style"]),
@@ -97,6 +131,16 @@ RULES = [
     ("CC-BY-SA-4.0", ["cc-by-sa"]),
     ("CC-BY-4.0", ["cc-by-work"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-work"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-work"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-work"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-work"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("EPL-2.0", ["epl2-program"]),
+    ("BSL-1.0", ["boost-distributed"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("Zlib", ["zlib-grant"]),
     ("CC0-1.0", ["cc0-waived"]),
     *((tag, [f"spdx-{tag.lower()}"]) for tag in TAGS),
 ]

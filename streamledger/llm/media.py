@@ -8,7 +8,8 @@ that stand above the frame's mean, strongest first, `PEAKS` a frame (equal
 magnitudes: the lower frequency first). Every peak is paired with the weaker peaks
 of its own frame and with the peaks of the next `REACH` frames; a pair is the code
 f1 | f2 | dt, stored with the number of its first frame. That array of (time, code)
-is the fingerprint; pairs within a frame give one to inputs of a single frame too.
+is the fingerprint; pairs within a frame give one to inputs of a single frame too, and a
+peak that meets no other stands as a pair with itself.
 
 Null and empty inputs give one frame of padding; silence has no peaks and an
 empty fingerprint. Equal inputs give equal files and fingerprints; rows that repeat
@@ -84,12 +85,16 @@ def fingerprint(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int32), np.empty(0, np.int32)
     frame = np.concatenate([f + k * BLOCK for k, (f, _) in enumerate(found)])
     freq = np.concatenate([q for _, q in found])
-    times, codes = [], []
+    times, codes, paired = [], [], np.zeros(len(frame), bool)
     for step in range(1, REACH * PEAKS + PEAKS):  # peaks are in order of frames, so partners stand at most that far on
         near = frame[step:] - frame[:-step]
         ok = near <= REACH
         times.append(frame[:-step][ok])
         codes.append(freq[:-step][ok] << 13 | freq[step:][ok] << 3 | near[ok])
+        paired[:-step] |= ok
+        paired[step:] |= ok
+    times.append(frame[~paired])
+    codes.append(freq[~paired] << 13 | freq[~paired] << 3)
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order].astype(np.int32), c[order].astype(np.int32)

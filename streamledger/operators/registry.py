@@ -7,7 +7,7 @@ import re
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamledger.errors import CorruptRegistry, FieldProblem, InvalidName, InvalidTopic, SubscriptionExists, UnknownSubscription
@@ -27,6 +27,11 @@ def check_registered_name(name: object) -> str:
     return name
 
 
+def named_well(name: Column, grammar: re.Pattern[str] = NAME) -> Column:
+    """The same check for many names."""
+    return F.coalesce(name.rlike(rf"\A(?:{grammar.pattern})\z"), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Subscription:
     name: str

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from streamledger.functions import fields, ids, times, topics, wire
 from streamledger.operators import backlog, chains, drains, pages, sequencing
+from streamledger.operators.ledger import NAME as STORED
 from streamledger.operators.ledger import Ledger, import_lines, record_problem, stored_lines
 from streamledger.operators.matching import fan_out
-from streamledger.operators.registry import Registry
+from streamledger.operators.registry import NAME as REGISTERED
+from streamledger.operators.registry import Registry, named_well
 from streamledger.plans import adapter
 from streamledger.plans.adapter import with_envelopes, with_ledger
 from streamledger.session import scratch
+from streamledger.sources.committed import Files
 from streamledger.streaming import drain as streams
 from streamledger.streaming import stateful
 
@@ -400,7 +403,9 @@ records AS (SELECT t.arrival, t.id, k.seq FROM taken t JOIN (SELECT * FROM befor
 
 
 def _drained(spark: SparkSession, sf_dir: str) -> tuple[drains.Drained, DataFrame]:
-    queue = _messages(spark, sf_dir).where("subscription = 'retries'")
+    queue = _messages(spark, sf_dir).where("subscription = 'retries'").select("subscription", "arrival", "topic", "payload")
+    head = queue.orderBy("arrival", "subscription", "topic", "payload").limit(150)  # both drains begin with the oldest, so the backlog is read once
+    queue = spark.createDataFrame(head.collect(), head.schema)
     none = spark.createDataFrame([], "subscription string, id string, seq bigint")
     before = drains.drain(queue, none, 40).stored
     return drains.drain(queue, before, 150), before
@@ -461,6 +466,17 @@ def causation_chains(spark, sf_dir):
     return chains.chains(_envelopes(spark, sf_dir).withColumn("causation_id", cause))
 
 
+#: Names made of the events' types, and by the arrival such as no subscription may have.
+NAME_SQL = "CASE arrival % 8 WHEN 1 THEN upper(type) WHEN 2 THEN replace(type, '.', '..') WHEN 3 THEN '-' || type WHEN 4 THEN type || '/x' WHEN 5 THEN '' WHEN 6 THEN type || repeat('x', 64) WHEN 7 THEN type || chr(10) ELSE type || '_1-2' END"
+
+
+@query(with_envelopes("SELECT id, arrival % 8 = 0 AS registered, arrival % 8 IN (0, 2) AS stored FROM envelopes"))
+def name_check(spark, sf_dir):
+    """Names that the registry takes, and those that the ledger takes, which may have two dots in a row."""
+    rows = _envelopes(spark, sf_dir).withColumn("name", F.expr(NAME_SQL))
+    return rows.select("id", named_well(F.col("name"), REGISTERED).alias("registered"), named_well(F.col("name"), STORED).alias("stored"))
+
+
 @query(with_envelopes("SELECT event_type AS name, event_type || '.*' AS pattern, 'events/' || event_type || '/+' AS filter, 'streamledger-' || event_type AS \"clientId\", CASE WHEN event_type = 'click' THEN 'ops' ELSE 'streamledger-' || event_type END AS owner FROM (SELECT DISTINCT event_type FROM events) WHERE event_type <> 'view' ORDER BY 1"))
 def registry_scan(spark, sf_dir):
     """A subscription for each type of event, put once, one of them removed; the rest by name."""
@@ -623,6 +639,25 @@ def stream_drain_bounded(spark, sf_dir):
     return _ledger_ids(spark, root)
 
 
+@query(with_envelopes(f"SELECT * FROM ({CLICKS_SQL}) WHERE seq BETWEEN 11 AND 70"))
+def stream_watch(spark, sf_dir):
+    """The whole table is emitted and 30 messages are drained; a watch gives the history after 10, and the rest of its 60 rows by a drain."""
+    root = _published(spark, _envelopes(spark, sf_dir))
+    streams.drain_subscription(spark, root, "clicks", max=30, timeout=600)
+    rows, _ = streams.watch(spark, root, "clicks", since=10, max=60, timeout=600)
+    return spark.createDataFrame([(r["subscription"], r["seq"], r["id"]) for r in rows], "subscription string, seq bigint, id string")
+
+
+@query(with_envelopes(f"SELECT * FROM ({CLICKS_SQL}) WHERE seq <= 60"))
+def stream_resubscribed(spark, sf_dir):
+    """A checkpoint is lost between two drains: messages come again, and nothing is stored twice."""
+    root = _published(spark, _envelopes(spark, sf_dir))
+    for bound in (40, 60):
+        Files(spark, root).delete("checkpoints/clicks")
+        streams.drain_subscription(spark, root, "clicks", max=bound, timeout=600)
+    return _ledger_ids(spark, root)
+
+
 @query(with_envelopes(f"SELECT * FROM ({CLICKS_SQL}) WHERE seq <= 25"))
 def stream_resume(spark, sf_dir):
     """The whole table is emitted; a second drain goes on where the first stopped."""

@@ -3,13 +3,13 @@
 Texts are normalised byte-wise: A-Z become lower case, ASCII other than digits
 and letters separates words, everything above ASCII belongs to words. A window
 is `width` consecutive words of an item; an item of fewer words is one window.
-All windows form one automaton over " word word ... ", and one scan of a
-document's normalised text reports every window that occurs in it. Matches are
-word ranges, and word ranges map back to character spans of the original.
+Every word of the items gets a letter, and all windows form one automaton over letters;
+one scan of a document's words, spelt in these letters, reports every window that occurs
+in it. Matches are word ranges, and word ranges map back to character spans of the original.
 
 Benchmarks are small next to a corpus, but their size is checked: items of about
 `shard_chars` characters go into one automaton (and one broadcast), which takes
-some 500 bytes a character and is built once in a worker. A larger benchmark is
+some 110 bytes a character and is built once in a worker. A larger benchmark is
 dealt into that many shards, each brought to the driver by itself and scanned in its
 own pass, and the shards' word ranges are merged by document.
 
@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from streamledger.llm.common import mapped, materialise, table, with_id
 
 WIDTH = 10
-SHARD_CHARS = 400_000
+SHARD_CHARS = 2_000_000
 #: Byte to byte: A-Z to a-z; digits, a-z and all bytes of non-ASCII characters stay; the rest separates.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -47,40 +47,58 @@ def windows_of(words: list[bytes], width: int) -> list[bytes]:
     return [b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))]
 
 
-def automaton_of(items: list[tuple[object, str | None]], width: int = WIDTH) -> ahocorasick.Automaton | None:
-    """Windows, with a space on either side, to (number of words, ids of the items that hold it). None without windows."""
-    held: dict[bytes, dict] = {}
-    for item, text in items:
-        for w in windows_of(words_of(text), width):
-            held.setdefault(w, {})[item] = None
-    if not held:
-        return None
-    auto = ahocorasick.Automaton()
-    for w, ids in held.items():
-        auto.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(ids)))
-    auto.make_automaton()
-    return auto
+def letter(k: int) -> str:
+    """A character for each number from 0 on; surrogates are left out, and the first character stands for words that no item has."""
+    return chr(k + 1 if k + 1 < 0xD800 else k + 1 + 0x800)
 
 
-def scan(words: list[bytes], auto: ahocorasick.Automaton | None) -> tuple[list[tuple[int, int]], list]:
+class Windows:
+    """The automaton of all windows, with a letter for each word of the items: what it takes grows with words, not characters."""
+
+    def __init__(self, items: list[tuple[object, str | None]], width: int):
+        self.letters: dict[bytes, str] = {}
+        held: dict[str, dict] = {}
+        for item, text in items:
+            words = words_of(text)
+            for w in words:
+                if w not in self.letters:
+                    self.letters[w] = letter(len(self.letters))
+            whole = self.spelt(words)
+            for k in range(max(1, len(words) - width + 1) if words else 0):
+                held.setdefault(whole[k : k + width], {})[item] = None
+        self.sizes, self.ids = [len(w) for w in held], [tuple(x) for x in held.values()]
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, w in enumerate(held):
+            self.auto.add_word(w, k)
+        self.auto.make_automaton()
+
+    def spelt(self, words: list[bytes]) -> str:
+        """Words as letters, one each."""
+        find = self.letters.get
+        return "".join([find(w, "\0") for w in words])
+
+
+def automaton_of(items: list[tuple[object, str | None]], width: int = WIDTH) -> Windows | None:
+    """The windows of items; None without any."""
+    windows = Windows(items, width)
+    return windows if windows.sizes else None
+
+
+def scan(words: list[bytes], windows: Windows | None) -> tuple[list[tuple[int, int]], list]:
     """Merged ranges [from, to) of hit words, and the ids of the items with occurring windows."""
-    if auto is None or not words:
+    if windows is None or not words:
         return [], []
-    text = f" {b' '.join(words).decode('latin-1')} "
     ranges: list[list[int]] = []
     items: dict = {}
-    at = word = 0  # the number of spaces before `at` is `word`
-    for end, (n, ids) in auto.iter(text):
-        word += text.count(" ", at, end)
-        at = end
-        items.update(dict.fromkeys(ids))
-        start = word - n
+    for last, k in windows.auto.iter(windows.spelt(words)):
+        items.update(dict.fromkeys(windows.ids[k]))
+        end, start = last + 1, last + 1 - windows.sizes[k]
         while ranges and ranges[-1][0] >= start:
             ranges.pop()
         if ranges and ranges[-1][1] >= start:
-            ranges[-1][1] = word
+            ranges[-1][1] = end
         else:
-            ranges.append([start, word])
+            ranges.append([start, end])
     return [(a, b) for a, b in ranges], list(items)
 
 
@@ -145,7 +163,7 @@ def _merge(parts: DataFrame) -> DataFrame:
 BUILT: list = []
 
 
-def built(items: list, width: int) -> ahocorasick.Automaton | None:
+def built(items: list, width: int) -> Windows | None:
     """The automaton of broadcast items, built once in a worker."""
     if not BUILT or BUILT[0] is not items or BUILT[1] != width:
         BUILT[:] = [items, width, automaton_of(items, width)]

@@ -42,3 +42,22 @@ def test_end_tags_without_an_end_are_linear():
         took.append(time.perf_counter() - began)
     assert took[1] < 8 * took[0] + 0.5
     assert [b.text for b in html_extraction.leaf_blocks("<p>a</p><script>x</script junk>y<p>b</p>")] == ["a", "y", "b"]
+
+
+def test_benchmark_of_megabytes_is_one_automaton(spark):
+    """Two million characters of items: one pass, about a hundred bytes a character, hits where they are."""
+    import random
+
+    from streamledger.llm import decontamination
+
+    draw = random.Random(4)
+    vocabulary = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 9))) for _ in range(20_000)]
+    items = [(k, " ".join(draw.choices(vocabulary, k=120))) for k in range(2500)]
+    frame = spark.createDataFrame(items, "item_id int, text string")
+    assert len(list(decontamination.shards_of(frame, "item_id", "text", decontamination.SHARD_CHARS))) == 1
+    windows = decontamination.automaton_of(items)
+    assert len(windows.letters) < 20_001 and all(n == 10 for n in windows.sizes)
+    words = items[7][1].encode().split()
+    text = [b"before", *words[5:17], b"after", *words[40:49], b"no", *words[100:120]]
+    assert decontamination.scan(text, windows) == ([(1, 13), (24, 44)], [7])
+    assert decontamination.letter(0xD7FE) == "퟿" and decontamination.letter(0xD7FF) == ""

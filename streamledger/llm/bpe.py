@@ -32,8 +32,8 @@ from streamledger.llm.common import mapped, slices, table
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-PIECE_CACHE = 150_000
-PAIR_CACHE = 300_000
+PIECE_CACHE = 75_000
+PAIR_CACHE = 100_000
 #: Longer pieces are not kept.
 CACHED_CHARS = 64
 

@@ -41,6 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows that a writer holds until they make a row group of an intermediate table.
+ROW_GROUP_BYTES = 16 << 20
+
 #: Spark's own setting: how much text one Arrow batch may hold; and its default, which stands for not set.
 BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
@@ -52,7 +55,7 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -99,7 +102,7 @@ def mapped(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """mapInArrow with batches of few megabytes: rows go to and fro several times over, so that large ones fill an executor."""
     conf = df.sparkSession.conf
     if conf.get(BATCH_BYTES) == BATCH_DEFAULT:
-        conf.set(BATCH_BYTES, "4m")
+        conf.set(BATCH_BYTES, "1m")
     return df.mapInArrow(frugal(function), schema)
 
 

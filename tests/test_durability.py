@@ -2,6 +2,7 @@
 
 import json
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +267,22 @@ def test_producers_come_and_go(spark, tmp_path):
     assert got == [(0, "a", "online"), (1, "b", "online"), (21, "b", "lost"), (25, "a", "lost"), (100, "a", "online"), (103, "c", "online"), (104, "b", "online")]
 
 
+def test_liveness_by_the_clock(spark, tmp_path):
+    """A producer comes online with its message and is lost a second later, although nothing more comes in."""
+    stateful.use_rocksdb(spark)
+    spark.createDataFrame([("a",), ("a",)], "producer string").write.parquet(f"{tmp_path}/in")
+    stream = stateful.liveness(spark.readStream.schema("producer string").parquet(f"{tmp_path}/in"), 1000)
+    run = stream.writeStream.format("memory").queryName("heard").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        until = time.monotonic() + 120
+        while spark.table("heard").count() < 2 and time.monotonic() < until:
+            time.sleep(1)
+    finally:
+        run.stop()
+    (first, second) = spark.table("heard").orderBy("at").collect()
+    assert (first["state"], second["state"]) == ("online", "lost") and second["at"] - first["at"] == 1000
+
+
 def test_chains_of_causes(spark):
     rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "z"), ("z", "x"), ("in", "x"), ("self", "self"), ("lost", "no such"), ("e", "lost"), ("d", "c"), (None, "a"), ("two", None), ("two", "b")]
     rows += [(f"n{k}", f"n{k - 1}" if k else None) for k in range(300)]

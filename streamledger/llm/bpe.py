@@ -32,8 +32,8 @@ from streamledger.llm.common import mapped, slices, table
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-PIECE_CACHE = 75_000
-PAIR_CACHE = 100_000
+PIECE_CACHE = 150_000
+PAIR_CACHE = 200_000
 #: Longer pieces are not kept.
 CACHED_CHARS = 64
 
@@ -45,6 +45,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Recent:
+    """Answers in two halves: when the new one is full it takes the place of the old one, so what is asked for again and again stays."""
+
+    __slots__ = ("half", "new", "old")
+
+    def __init__(self, limit: int):
+        self.half, self.new, self.old = limit // 2, {}, {}
+
+    def older(self, key):
+        """The answer in the old half, which is new again by that; None if there is none."""
+        found = self.old.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, answer) -> None:
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = answer
+
+
 class Vocabulary:
     """Tokens are numbered by their merges: bytes first, then merge k makes token 256 + k. `ids` has the file's id of each."""
 
@@ -82,8 +103,7 @@ class Vocabulary:
                 self.suffixes.add_word(b.decode("latin-1"), token)
         self.suffixes.make_automaton()
         self.lengths = [len(b) for b in self.bytes]
-        self.kept: dict[str, bytes] = {}
-        self.borders: dict[int, bool] = {}
+        self.kept, self.borders = Recent(PIECE_CACHE), Recent(PAIR_CACHE)
 
     def compatible(self, a: int, b: int, made: int | None = None) -> bool:
         """Whether a and b stay apart when their bytes are encoded together (made: whether nothing earlier than that merge crosses)."""
@@ -106,16 +126,17 @@ class Vocabulary:
         s = piece.encode("utf-8", "surrogatepass").decode("latin-1")
         last = [-1] * (len(s) + 1)
         lengths, borders = self.lengths, self.borders
-        if len(borders) > PAIR_CACHE:
-            borders.clear()
         for end, token in self.suffixes.iter(s):
             if last[end + 1] < 0:
                 start = end + 1 - lengths[token]
                 if start:
                     key = last[start] << 32 | token
-                    fits = borders.get(key)
+                    fits = borders.new.get(key)
                     if fits is None:
-                        fits = borders[key] = self.compatible(last[start], token)
+                        fits = borders.older(key)
+                        if fits is None:
+                            fits = self.compatible(last[start], token)
+                            borders.keep(key, fits)
                     if not fits:
                         continue
                 last[end + 1] = token
@@ -136,13 +157,13 @@ class Vocabulary:
     def _plain(self, text: str) -> bytes:
         kept, out = self.kept, []
         for piece in PIECES.findall(text):
-            ids = kept.get(piece)
+            ids = kept.new.get(piece)
             if ids is None:
-                ids = self.encode_piece(piece)
-                if len(piece) <= CACHED_CHARS:
-                    if len(kept) >= PIECE_CACHE:
-                        kept.clear()
-                    kept[piece] = ids
+                ids = kept.older(piece)
+                if ids is None:
+                    ids = self.encode_piece(piece)
+                    if len(piece) <= CACHED_CHARS:
+                        kept.keep(piece, ids)
             out.append(ids)
         return b"".join(out)
 

@@ -20,7 +20,7 @@ words has no windows; repeated items and repeated documents are each reported.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -74,8 +74,7 @@ class Windows:
 
     def spelt(self, words: list[bytes]) -> str:
         """Words as letters, one each."""
-        find = self.letters.get
-        return "".join([find(w, "\0") for w in words])
+        return "".join(map(self.letters.get, words, repeat("\0")))
 
 
 def automaton_of(items: list[tuple[object, str | None]], width: int = WIDTH) -> Windows | None:

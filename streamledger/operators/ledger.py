@@ -140,7 +140,7 @@ def import_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     rows = parse_records(lines)
     last = lines.groupBy("file").agg(F.max("line").alias("last"))
-    rows = rows.join(last, "file").where(~F.col("record.problem").eqNullSafe(F.lit(NOT_JSON)) | (F.col("line") != F.col("last")))
+    rows = rows.join(F.broadcast(last), "file").where(~F.col("record.problem").eqNullSafe(F.lit(NOT_JSON)) | (F.col("line") != F.col("last")))
     why = F.coalesce(F.col("record.problem"), F.when(F.size("errors") > 0, "invalid envelope"))
     stop = F.when(why.isNotNull(), F.raise_error(F.concat(F.lit("corrupt record in "), F.col("file"), F.lit(": "), why)))
     return rows.select(F.coalesce(stop, F.col("record.seq")).alias("seq"), "record.recorded_at", F.lit(STORE_FORMAT_VERSION).alias("store_format_version"), *[F.col(f"event.{n}").alias(n) for n, _, _ in FIELDS], "record.subscription")

@@ -330,11 +330,12 @@ def corrupt_records(spark, sf_dir):
 @query(with_ledger("SELECT subscription, seq, id FROM ledger"))
 def import_torn_tail(spark, sf_dir):
     """Exported records are imported again; a torn last line in every file is dropped, and nothing else."""
-    root = scratch(spark, "lines")
-    lines = stored_lines(adapter.stored(spark, sf_dir)).withColumn("piece", F.floor(F.col("seq") / (1 << 16)))
+    root, ledger = scratch(spark, "lines"), adapter.stored_ledger(spark, sf_dir)
+    lines = stored_lines(ledger.rows()).withColumn("piece", F.floor(F.col("seq") / (1 << 16)))
+    pieces = sum(r["seq"] // (1 << 16) + 1 for r in ledger.backend.last())  # a task a piece or so, however many there are
     torn = lines.groupBy("subscription", "piece").agg(F.max("seq").alias("seq")).withColumn("value", F.lit('{"storeFormatVersion":"1","se'))
     files = lines.withColumn("torn", F.lit(0)).unionByName(torn.withColumn("torn", F.lit(1)))
-    files = files.repartition("subscription", "piece").sortWithinPartitions("subscription", "piece", "seq", "torn")
+    files = files.repartition(max(1, pieces), "subscription", "piece").sortWithinPartitions("subscription", "piece", "seq", "torn")
     files.select("subscription", "piece", "value").write.partitionBy("subscription", "piece").text(root)
     return import_lines(spark, root).select("subscription", "seq", "id")
 

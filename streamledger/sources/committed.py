@@ -67,6 +67,12 @@ class Files:
         finally:
             f.close()
 
+    def move(self, name: str, to: str) -> None:
+        """Gives a file another place under the root."""
+        self.fs.mkdirs(self.at(to).getParent())
+        if not self.fs.rename(self.at(name), self.at(to)):
+            raise OSError(f"{self.root}: {name} could not be moved to {to}")
+
     def delete(self, name: str) -> bool:
         return self.fs.delete(self.at(name), True)
 
@@ -108,7 +114,10 @@ class CommittedTable:
         """Writes a batch without making it count, and reads it back. Files are sorted, and hold ranges of the sort columns or, with spread, what these expressions put together."""
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields if f.name != "batch"])
         if sort:
-            rows = (rows.repartition(*spread) if spread else rows.repartitionByRange(*sort)).sortWithinPartitions(*sort)
+            names = [f"spread_{k}" for k in range(len(spread))]
+            # rebalanced: adaptive execution cuts what would be a large task, as of several ranges that fall together
+            rows = rows.withColumns(dict(zip(names, spread, strict=True))).hint("rebalance", *names) if spread else rows.repartitionByRange(*sort)
+            rows = rows.sortWithinPartitions(*sort).drop(*names)
         out = rows.write.mode("overwrite").partitionBy(*self.partitions)
         if self.look_up:
             out = out.option(f"parquet.bloom.filter.enabled#{self.look_up}", "true")

@@ -248,3 +248,29 @@ def test_import_keeps_what_the_line_says(spark, tmp_path):
 def test_liveness_batch_form(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 9), ("b", 2)], "producer string, at bigint")
     assert {r["producer"]: r["online"] for r in stateful.last_seen(rows, 10, 3).collect()} == {"a": True, "b": False}
+
+
+def test_a_range_of_numbers_is_no_single_task(spark, tmp_path):
+    """Rows of one subscription that a task would hold are dealt to several once they are more than adaptive execution's advised size."""
+    from streamledger.sources.committed import set_for
+    from streamledger.sources.ledger_table import LedgerTable
+
+    k = F.col("id")
+    event = {n: F.lit(None).cast("string") for n in LedgerTable(spark, f"file://{tmp_path}/none").schema.names}
+    rows = spark.range(0, 40_000, 1, 8).select(*[(F.lit("s") if n == "subscription" else (k + 1) if n == "seq" else F.sha2(k.cast("string"), 256) if n in ("id", "data") else c).alias(n) for n, c in event.items()])
+    with set_for(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes="256k"):
+        LedgerTable(spark, f"file://{tmp_path}/l").append(rows, "b")
+    got = LedgerTable(spark, f"file://{tmp_path}/l").read()
+    assert got.select(F.input_file_name()).distinct().count() > 2
+    assert got.agg(F.count("*"), F.countDistinct("seq"), F.max("seq")).first()[:] == (40_000, 40_000, 40_000)
+
+
+def test_imported_lines_are_not_shuffled(spark, tmp_path):
+    """Lines meet the ends of their files, a row each, by a broadcast, whatever the threshold: parsed records of all files are not sorted."""
+    from streamledger.operators.ledger import import_lines
+    from streamledger.sources.committed import set_for
+
+    spark.createDataFrame([('{"storeFormatVersion":"1","se',)], "value string").write.text(f"{tmp_path}/lines")
+    with set_for(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        rows = import_lines(spark, f"{tmp_path}/lines")
+        assert rows.count() == 0 and "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -283,6 +283,15 @@ def test_liveness_by_the_clock(spark, tmp_path):
     assert (first["state"], second["state"]) == ("online", "lost") and second["at"] - first["at"] == 1000
 
 
+def test_finished_chains_are_not_joined(spark, monkeypatch):
+    """Events that stand at their root have no next: none of a round's joins takes nulls, which would all fall to one task."""
+    seen = []
+    monkeypatch.setattr(chains, "_stored", lambda rows, path, f=chains._stored: (seen.append(rows._jdf.queryExecution().optimizedPlan().toString()), f(rows, path))[1])
+    rows = [(f"n{k}", f"n{k - 1}" if k % 5 else None) for k in range(50)]
+    assert chains.chains(spark.createDataFrame(rows, "id string, causation_id string")).where("depth = 4").count() == 10
+    assert len(seen) > 2 and not any("Join LeftOuter" in plan for plan in seen[2:])
+
+
 def test_chains_of_causes(spark):
     rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "z"), ("z", "x"), ("in", "x"), ("self", "self"), ("lost", "no such"), ("e", "lost"), ("d", "c"), (None, "a"), ("two", None), ("two", "b")]
     rows += [(f"n{k}", f"n{k - 1}" if k else None) for k in range(300)]

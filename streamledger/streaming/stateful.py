@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -44,6 +44,10 @@ def sequenced(rows: DataFrame) -> DataFrame:
     return rows.groupBy("subscription").transformWithStateInPandas(statefulProcessor=Sequencer(), outputStructType="subscription string, seq bigint, id string", outputMode="Append", timeMode="None")
 
 
+#: Rows that a keyed state hands on at once.
+TOLD_ROWS = 10_000
+
+
 class BoundedQueue(StatefulProcessor):
     """A queue that holds at most `bound` messages: while it is full, later ones are dropped as they come. Rows with kind `taken` say that so many (n) of the oldest were drained, which makes room.
 
@@ -57,22 +61,24 @@ class BoundedQueue(StatefulProcessor):
         self.queue = handle.getListState("queue", "arrival bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        queue = deque(x[0] for x in self.queue.get()) if self.queue.exists() else deque()
-        told = []
-        for row in pd.concat(rows).sort_values(["arrival", "id"]).itertuples():
-            if row.kind == "taken":
-                for _ in range(min(int(row.n), len(queue))):
-                    queue.popleft()
-                continue
-            kept = len(queue) < self.bound
-            if kept:
-                queue.append(row.arrival)
-            told.append((key[0], row.arrival, row.id, kept))
+        queue = [x[0] for x in self.queue.get()] if self.queue.exists() else []
+        came = pd.concat([part[["arrival", "id", "kind", "n"]] for part in rows]).sort_values(["arrival", "id"], ignore_index=True)
+        arrivals, taken, kept = came["arrival"].to_numpy(), (came["kind"] == "taken").to_numpy(), np.zeros(len(came), bool)
+        start = 0
+        for end in [*np.flatnonzero(taken), len(came)]:  # messages between two drains: the first have room
+            full = min(end, start + max(0, self.bound - len(queue)))
+            kept[start:full] = True
+            queue += arrivals[start:full].tolist()
+            if end < len(came):
+                del queue[: max(0, int(came["n"][end]))]
+            start = end + 1
         if queue:
             self.queue.put([(x,) for x in queue])
         else:
             self.queue.clear()
-        yield pd.DataFrame(told, columns=["subscription", "arrival", "id", "kept"])
+        told = came.assign(subscription=key[0], kept=kept).loc[~taken, ["subscription", "arrival", "id", "kept"]]
+        for at in range(0, len(told), TOLD_ROWS):
+            yield told.iloc[at : at + TOLD_ROWS]
 
     def close(self) -> None:
         pass
@@ -87,6 +93,8 @@ class Liveness(StatefulProcessor):
     """A producer is online from its first message on and lost when none came for a while; each change is told once, with the millisecond at which it happened.
 
     By event time a producer is lost `timeout_ms` after its last message, once the watermark has passed that; by processing time, once the clock has.
+
+    A key is a bucket of producers, as calls for a key cost milliseconds, whatever it holds: its state is when each of its producers that are online is due, and it has one timer, at the first of these.
     """
 
     def __init__(self, timeout_ms: int, event_time: bool = False):
@@ -94,52 +102,75 @@ class Liveness(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.due = handle.getValueState("due", "timer bigint")
+        self.due = handle.getListState("due", "producer string, timer bigint")
+
+    def _keep(self, due: dict[str | None, int], timer: int | None) -> None:
+        """The state from now on; timer: the one that is set."""
+        first = min(due.values(), default=None)
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is not None and timer != first:
+            self.handle.registerTimer(first)
+        if due:
+            self.due.put(list(due.items()))
+        else:
+            self.due.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        due = self.due.get()[0] if self.due.exists() else None
-        if due is not None:
-            self.handle.deleteTimer(due)
-        told = []
-        if self.event_time:
-            heard = [x for part in rows for x in part["at"].astype("int64")]
-        else:
-            for _ in rows:
-                pass
-            heard = [timerValues.getCurrentProcessingTimeInMs()]
-        for at in sorted(heard):
-            if due is not None and at > due:
-                told.append((key[0], "lost", due))
-                due = None
-            if due is None:
-                told.append((key[0], "online", at))
-                due = at
-            due = max(due, at + self.timeout_ms)
-        self.handle.registerTimer(due)
-        self.due.update((due,))
+        due = dict(self.due.get()) if self.due.exists() else {}
+        timer, heard, told = min(due.values(), default=None), {}, []
+        for part in rows:
+            if self.event_time:
+                for producer, at in zip(part["producer"].tolist(), part["at"].astype("int64").tolist(), strict=True):
+                    heard.setdefault(producer, []).append(at)
+            else:
+                heard |= dict.fromkeys(part["producer"].unique().tolist(), ())
+        for producer, times in heard.items():
+            end = due.get(producer)
+            for at in sorted(times or [timerValues.getCurrentProcessingTimeInMs()]):
+                if end is not None and at > end:
+                    told.append((producer, "lost", end))
+                    end = None
+                if end is None:
+                    told.append((producer, "online", at))
+                    end = at
+                end = max(end, at + self.timeout_ms)
+            due[producer] = end
+        self._keep(due, timer)
         yield pd.DataFrame(told, columns=["producer", "state", "at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self.due.get()[0]
-        self.due.clear()
-        yield pd.DataFrame([(key[0], "lost", due)], columns=["producer", "state", "at"])
+        """All of the bucket that are due by now; Spark takes the timer that expired away."""
+        due = dict(self.due.get()) if self.due.exists() else {}
+        now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        told = [(producer, "lost", end) for producer, end in due.items() if end < now or end <= expiredTimerInfo.getExpiryTimeInMs()]
+        for producer, _, _ in told:
+            del due[producer]
+        self._keep(due, None)
+        yield pd.DataFrame(told, columns=["producer", "state", "at"])
 
     def close(self) -> None:
         pass
 
 
 CHANGES = "producer string, state string, at bigint"
+#: Buckets that producers are dealt to; fixed for a checkpoint.
+BUCKETS = 256
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("producer"), F.lit(BUCKETS)).alias("bucket")
 
 
 def liveness(messages: DataFrame, timeout_ms: int) -> DataFrame:
     """A stream with a `producer` column to its changes of state, by processing time."""
-    return messages.groupBy("producer").transformWithStateInPandas(statefulProcessor=Liveness(timeout_ms), outputStructType=CHANGES, outputMode="Append", timeMode="ProcessingTime")
+    return messages.select("producer", _bucket()).groupBy("bucket").transformWithStateInPandas(statefulProcessor=Liveness(timeout_ms), outputStructType=CHANGES, outputMode="Append", timeMode="ProcessingTime")
 
 
 def availability(messages: DataFrame, timeout_ms: int, delay: str = "0 seconds") -> DataFrame:
     """A stream of (producer, ts) to its changes of state by event time; messages later than the delay behind the newest are not counted."""
-    rows = messages.select("producer", "ts", F.unix_millis("ts").alias("at")).withWatermark("ts", delay)
-    return rows.groupBy("producer").transformWithStateInPandas(statefulProcessor=Liveness(timeout_ms, True), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
+    rows = messages.select(_bucket(), "producer", "ts", F.unix_millis("ts").alias("at")).withWatermark("ts", delay)
+    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=Liveness(timeout_ms, True), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
 
 
 def last_seen(messages: DataFrame, now: int, timeout: int) -> DataFrame:

@@ -283,6 +283,18 @@ def test_liveness_by_the_clock(spark, tmp_path):
     assert (first["state"], second["state"]) == ("online", "lost") and second["at"] - first["at"] == 1000
 
 
+def test_state_is_kept_by_buckets_of_producers(spark, tmp_path):
+    """Calls for a key cost milliseconds whatever it holds, so keys must not grow with producers: 3,000 of them have BUCKETS rows of state at most."""
+    for second in (0, 100):
+        rows = spark.range(3000).where("id % 2 = 0" if second else "true").select(F.concat(F.lit("p"), "id").alias("producer"), F.timestamp_seconds(F.lit(second) + 1000).alias("ts"))
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+        stateful.run_once(stateful.availability(spark.readStream.schema("producer string, ts timestamp").parquet(f"{tmp_path}/in"), 20_000), f"{tmp_path}/out", f"{tmp_path}/state")
+    counts = {(r["state"], r["at"]): r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("state", "at").count().collect()}
+    assert counts == {("online", 1_000_000): 3000, ("lost", 1_020_000): 3000, ("online", 1_100_000): 1500}
+    keys = spark.read.format("statestore").option("stateVarName", "due").option("flattenCollectionTypes", "true").load(f"{tmp_path}/state").select("key").distinct().count()
+    assert 0 < keys <= 256
+
+
 def test_finished_chains_are_not_joined(spark, monkeypatch):
     """Events that stand at their root have no next: none of a round's joins takes nulls, which would all fall to one task."""
     seen = []

@@ -522,16 +522,25 @@ def minted_ids(spark, sf_dir):
 # Streams
 
 
-def _in_order(rows: DataFrame, root: str, by: str, parts: int, run: Callable[[str], None]) -> None:
-    """Writes rows in pieces by a number or time, each of which a stream takes before the next is there."""
-    edges = rows.agg(F.min(by).cast("double").alias("low"), F.max(by).cast("double").alias("high")).first()
+#: A trigger's rows, where one key may have them all.
+TRIGGER_ROWS = 1 << 20
+
+
+def _in_order(rows: DataFrame, root: str, by: str, parts: int, run: Callable[[str], None], most: int | None = None) -> None:
+    """Writes rows in pieces by a number or time, each of which a stream takes before the next is there. most: about so many rows in a piece, of which there are more then."""
+    edges = rows.agg(F.min(by).cast("double").alias("low"), F.max(by).cast("double").alias("high"), F.count("*").alias("n")).first()
     if edges["low"] is None:
         rows.write.parquet(root)
         run(root)
         return
+    parts = max(parts, -(-edges["n"] // most)) if most else parts
     piece = F.least(F.floor((F.col(by).cast("double") - edges["low"]) * parts / max(edges["high"] - edges["low"], 1e-9)), F.lit(parts - 1))
+    rows.withColumn("piece", piece).write.partitionBy("piece").parquet(f"{root}-pieces")
+    files = Files(rows.sparkSession, root.rpartition("/")[0])
+    whole = root.rpartition("/")[2]
     for k in range(parts):
-        rows.where(piece == k).write.mode("append").parquet(root)
+        for name in files.names(f"{whole}-pieces/piece={k}"):
+            files.move(f"{whole}-pieces/piece={k}/{name}", f"{whole}/{k}-{name}")
         run(root)
 
 
@@ -544,7 +553,7 @@ def stream_seq_state(spark, sf_dir):
     def run(path: str) -> None:
         stateful.run_once(stateful.sequenced(spark.readStream.schema(rows.schema).parquet(path)), f"{root}/out", f"{root}/state")
 
-    _in_order(rows, f"{root}/in", "arrival", 3, run)
+    _in_order(rows, f"{root}/in", "arrival", 3, run, TRIGGER_ROWS)
     return spark.read.schema("subscription string, seq bigint, id string").parquet(f"{root}/out")
 
 
@@ -557,7 +566,7 @@ def _kept(spark: SparkSession, rows: DataFrame, parts: int) -> DataFrame:
     def run(path: str) -> None:
         stateful.run_once(stateful.queued(spark.readStream.schema(QUEUED).parquet(path), backlog.MAX_QUEUED), f"{root}/out", f"{root}/state")
 
-    _in_order(rows, f"{root}/in", "arrival", parts, run)
+    _in_order(rows, f"{root}/in", "arrival", parts, run, TRIGGER_ROWS)
     return spark.read.schema("subscription string, arrival bigint, id string, kept boolean").parquet(f"{root}/out").where("kept")
 
 

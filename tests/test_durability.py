@@ -14,6 +14,7 @@ from streamledger.operators.ledger import Ledger
 from streamledger.plans import adapter
 from streamledger.sources import broker
 from streamledger.sources.broker import BacklogReader, Broker
+from streamledger.plans.queries import _in_order
 from streamledger.streaming import drain, stateful
 
 from .conftest import SF
@@ -295,6 +296,13 @@ def test_state_is_kept_by_buckets_of_producers(spark, tmp_path):
     assert 0 < keys <= 256
 
 
+def test_more_triggers_for_more_rows(spark, tmp_path, monkeypatch):
+    """A trigger holds about so many rows, however many there are; together the triggers have them all, in order."""
+    sizes, rows = [], spark.range(1000).select((F.col("id") * 3).alias("arrival"))
+    _in_order(rows, f"file://{tmp_path}/q/in", "arrival", 2, lambda path: sizes.append(spark.read.parquet(path).agg(F.count("*"), F.max("arrival")).first()), 100)
+    assert [n for n, _ in sizes] == [100 * k for k in range(1, 11)] and [last for _, last in sizes] == [300 * k - 3 for k in range(1, 11)]
+
+
 def test_finished_chains_are_not_joined(spark, monkeypatch):
     """Events that stand at their root have no next: none of a round's joins takes nulls, which would all fall to one task."""
     seen = []

@@ -14,13 +14,15 @@ subscription that repeats gives its events again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from streamledger.functions.topics import levels, pattern_to_filter
 
 #: Up to so many subscriptions, and thus shapes, are broadcast; beyond, both sides shuffle.
 BROADCAST_SUBSCRIPTIONS = 100_000
+#: Up to so many shapes are columns of their own, which compile; more are joined.
+SHAPE_COLUMNS = 64
 
 
 def compiled(subscriptions: DataFrame) -> DataFrame:
@@ -60,6 +62,19 @@ def probes(rows: DataFrame, shapes: DataFrame, any_open: bool, topic_col: str =
     return met.withColumn("filter", filter_for(levels(F.col(topic_col)), F.col("shape"))).drop("probe_open", "probe_n")
 
 
+def probed(rows: DataFrame, shapes: list[Row], topic_col: str = "topic") -> DataFrame:
+    """What `probes` gives, for shapes that the driver has: each is a column."""
+    path = F.col("probe_path")
+
+    def probe(s: Row) -> Column:
+        at = [F.lit("+") if c == "*" else F.get(path, F.lit(k)) for k, c in enumerate(s["shape"][: s["probe_n"]])]
+        fits = F.size(path) >= s["probe_n"] if s["probe_open"] else F.size(path) == s["probe_n"]
+        return F.when(fits, F.struct(F.lit(s["shape"]).alias("shape"), F.concat_ws("/", *at, *([F.lit("#")] if s["probe_open"] else [])).alias("filter")))
+
+    met = rows.withColumn("probe_path", levels(F.col(topic_col))).withColumn("probe", F.explode(F.array(*map(probe, shapes))))
+    return met.where(F.col("probe").isNotNull()).select(*rows.columns, "probe.*")
+
+
 def fan_out(events: DataFrame, subscriptions: DataFrame, topic_col: str = "topic", broadcast: bool | None = None) -> DataFrame:
     """A row for every (event, subscription: name, filter) with a matching filter; any filter, also with #.
 
@@ -69,8 +84,11 @@ def fan_out(events: DataFrame, subscriptions: DataFrame, topic_col: str = "topic
     shapes = shapes_of(subscriptions)
     if broadcast is None:
         broadcast = indexed.limit(BROADCAST_SUBSCRIPTIONS + 1).count() <= BROADCAST_SUBSCRIPTIONS
-    any_open = not shapes.where("probe_open").isEmpty()
+    used = shapes.limit(SHAPE_COLUMNS + 1).collect()
     known = events.where(F.col(topic_col).isNotNull())
+    if broadcast and 0 < len(used) <= SHAPE_COLUMNS:
+        return probed(known, used, topic_col).join(F.broadcast(indexed), ["filter", "shape"]).drop("filter", "shape")
+    any_open = not shapes.where("probe_open").isEmpty()
     if broadcast:
         return probes(known, F.broadcast(shapes), any_open, topic_col).join(F.broadcast(indexed), ["filter", "shape"]).drop("filter", "shape")
     pairs = probes(known.select(topic_col).distinct(), shapes, any_open, topic_col).join(indexed, ["filter", "shape"]).select(topic_col, "subscription")

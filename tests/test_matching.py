@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamledger.functions.topics import topic_matches
-from streamledger.operators.matching import compiled, fan_out, probes, shapes_of
+from streamledger.operators.matching import compiled, fan_out, probed, probes, shapes_of
 
 TOPICS = ["events/a", "events/a/b", "events/a/b/c", "events/b/a", "events//b", "events", "", "/", "a+b/c", "events/+/b", "events/#", "x/y/z/w", None]
 FILTERS = ["#", "events/#", "events/+/+", "events/+", "+/a/+", "events/#/b", "events/a/b", "events/a/#", "+", "+/+", "", "events//b", "events/+/b", "events/a/b/#", "+/#", None]
@@ -39,3 +39,13 @@ def test_a_hundred_thousand_patterns(spark, broadcast):
 def test_no_pattern_is_dropped_silently(spark):
     with pytest.raises(Exception, match="invalid pattern: A.b"):
         compiled(spark.createDataFrame([("s", "A.b")], "name string, pattern string")).collect()
+
+
+def test_shapes_as_columns_or_joined(spark, monkeypatch):
+    """A handful of shapes are columns, without interpreted lambdas; more are joined. Both give the same."""
+    events = spark.createDataFrame([(k, t) for k, t in enumerate(TOPICS)], "n int, topic string")
+    subs = spark.createDataFrame([(f"s{k}", f) for k, f in enumerate(FILTERS)], "name string, filter string")
+    assert "lambda" not in probed(events, shapes_of(subs).collect())._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["n"], r["subscription"]) for r in fan_out(events, subs).collect())
+    monkeypatch.setattr("streamledger.operators.matching.SHAPE_COLUMNS", 2)
+    assert got == sorted((r["n"], r["subscription"]) for r in fan_out(events, subs).collect())

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamledger.llm.common import mapped, slices, table
+from streamledger.llm.common import FORGET, mapped, slices, table
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -176,6 +176,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+FORGET[__name__] = vocabulary.cache_clear
+
+
 def encode_decode(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
     """One row per document: its id, ids (binary: little-endian unsigned 32-bit integers), n_tokens, and decoded, the text that these ids give."""
     schema = pa.schema([("id", pa.null()), ("ids", pa.binary()), ("decoded", pa.string())])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from streamledger.llm.common import mapped, materialise, table, with_id
+from streamledger.llm.common import FORGET, mapped, materialise, table, with_id
 
 WIDTH = 10
 SHARD_CHARS = 2_000_000
@@ -160,6 +160,7 @@ def _merge(parts: DataFrame) -> DataFrame:
 
 #: The items of which a worker built an automaton last, and that automaton.
 BUILT: list = []
+FORGET[__name__] = BUILT.clear
 
 
 def built(items: list, width: int) -> Windows | None:

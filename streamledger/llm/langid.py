@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamledger.llm import crf
-from streamledger.llm.common import bucket_of, discard, mapped, materialise, slices, table, unit_hash, with_id
+from streamledger.llm.common import FORGET, bucket_of, discard, mapped, materialise, slices, table, unit_hash, with_id
 
 PER_LANGUAGE, PIECES, PIECE_WORDS, RUN = 400, 6, 12, 40
 #: Parts of words and scores of words (numbers, not rows) that a task keeps.
@@ -71,6 +71,14 @@ class Slots(dict):
 PREFIX, SUFFIX, GRAM, LEXICON = Slots("p"), Slots("s"), Slots("g"), Slots("l")
 
 
+def _forget() -> None:
+    for kept in (PREFIX, SUFFIX, GRAM, LEXICON):
+        kept.clear()
+
+
+FORGET[__name__] = _forget
+
+
 def features(word: str, lexicon: dict[str, str]) -> list[int]:
     """Slots of a word: bias, itself, prefixes and suffixes of 1 to 4 letters, letter trigrams, and the language that its lexicon entry names."""
     edged = f"<{word}>"

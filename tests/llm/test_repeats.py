@@ -61,3 +61,16 @@ def test_benchmark_of_megabytes_is_one_automaton(spark):
     text = [b"before", *words[5:17], b"after", *words[40:49], b"no", *words[100:120]]
     assert decontamination.scan(text, windows) == ([(1, 13), (24, 44)], [7])
     assert decontamination.letter(0xD7FE) == "퟿" and decontamination.letter(0xD7FF) == ""
+
+
+def test_workers_forget_what_other_operators_keep(spark):
+    """A worker that turns to another operator holds no vocabulary, automaton or parts of words of the one before."""
+    from streamledger.llm import bpe, common, decontamination, langid
+
+    decontamination.BUILT[:] = [[], 10, None]
+    langid.PREFIX["a"]
+    common.turned_to(langid.__name__)
+    assert decontamination.BUILT == [] and langid.PREFIX
+    decontamination.BUILT[:] = [[], 10, None]
+    common.turned_to(bpe.__name__)
+    assert decontamination.BUILT == [] and not langid.PREFIX

@@ -15,6 +15,7 @@ from streamledger.functions.rules import NOT_JSON
 from streamledger.functions.wire import parse_records, to_wire_json, typed_problems
 from streamledger.operators import pages, sequencing
 from streamledger.schema import FIELDS, STORE_FORMAT_VERSION
+from streamledger.sources.committed import set_for
 from streamledger.sources.ledger_table import LedgerTable
 
 NAME = re.compile(r"[a-z0-9][a-z0-9._-]{0,63}")
@@ -77,12 +78,14 @@ class Ledger:
         """Stores valid envelopes (subscription, arrival and the envelope's columns); known ids stay as they are. False if the batch was stored before. within: the least and the largest id among the events, if they are known; guard is called before the batch counts."""
         if self.backend.holds(batch):
             return False
-        bad = F.size(typed_problems()) > 0
-        checked = events.withColumn("id", F.when(bad, F.raise_error(F.concat(F.lit("invalid envelope "), F.coalesce("id", F.lit("without id"))))).otherwise(F.col("id")))
+        stop = F.raise_error(F.concat(F.lit("invalid envelope "), F.coalesce("id", F.lit("without id")))).cast("boolean")
+        checked = events.where(F.when(F.size(typed_problems()) > 0, stop).otherwise(True))
         last = self.spark.createDataFrame([(r["subscription"], r["seq"]) for r in self.backend.last()], "subscription string, seq bigint")
         new = sequencing.numbered(sequencing.unseen(sequencing.first_copies(checked), self.backend.seen(within)), last)
         new = new.withColumns({"recorded_at": now(), "store_format_version": F.lit(STORE_FORMAT_VERSION)})
-        return self.backend.append(new, batch, ("subscription", "seq"), guard)
+        # Else Spark writes out a filter on n columns that were renamed in 2^n forms, which took half a minute for each append.
+        with set_for(events.sparkSession, spark__sql__constraintPropagation__enabled="false"):
+            return self.backend.append(new, batch, ("subscription", "seq"), guard)
 
     def read(self, subscription: str, since: int = 0, max: int = pages.DEFAULT_MAX) -> DataFrame:
         return verified(pages.page_after(self.rows(), check_name(subscription), since, max), since)
@@ -113,9 +116,9 @@ class Ledger:
     def subscriptions(self) -> DataFrame:
         return pages.subscriptions(self.rows())
 
-    def stored_at(self, events: DataFrame) -> DataFrame:
-        """The seq of each (subscription, id), null if it is not stored."""
-        return sequencing.stored_at(events, self.backend.seen())
+    def stored_at(self, events: DataFrame, within: tuple[str, str] | None = None) -> DataFrame:
+        """The seq of each (subscription, id), null if it is not stored. within: the least and the largest id among them, if they are known."""
+        return sequencing.stored_at(events, self.backend.seen(within))
 
     def problems(self) -> DataFrame:
         """Records that can't be right: unknown format, number below 1, invalid fields, or a hole in the numbers."""

@@ -6,7 +6,8 @@ number before its offset is committed; a crash in between replays the batch, and
 ledger leaves a batch or an id that it holds as it is. Numbers begin anew with a
 checkpoint that was lost or removed, and so does the incarnation, which lies in it.
 A drain ends when it has taken `max` messages, when the backlog is empty, or when
-its time is up. Its lock is a lease that it renews: one that a crashed drain left behind
+its time is up. Drains that nobody looks at in between go together in one run, as a
+message's number is that of its place among all, whichever drain takes it. Its lock is a lease that it renews: one that a crashed drain left behind
 is taken over when it has run out. Who takes it gets the next number of the fence, and
 a drain whose number is not the last can't make a batch count.
 """
@@ -52,6 +53,9 @@ class DrainResult:
     skipped: list[dict] = field(default_factory=list)
 
 
+#: Messages of drains that go together in one run.
+TOGETHER = 1 << 20
+
 #: Seconds that a drain's lock holds unless it is renewed, which a drain does several times within.
 LEASE = 60.0
 
@@ -124,8 +128,16 @@ def incarnation(files: Files, name: str) -> str:
     return files.read(place)
 
 
-def store_batch(ledger: Ledger, subscription: str, own: str, result: DrainResult, fence: Fence):
-    """A foreachBatch function: valid messages go to the ledger, malformed ones are told and count as consumed. It fails before anything counts once another drain has taken over."""
+def summed(ledger: Ledger, subscription: str, good: DataFrame, within: tuple[str, str], name: str) -> tuple[int, int]:
+    """How many rows a batch has in the ledger, and the largest seq of the records of its messages, redelivered ones too."""
+    new = ledger.rows().where((F.col("subscription") == subscription) & (F.col("batch") == name)).agg(F.count("*").alias("n"), F.max("seq").alias("last")).first()
+    if new["n"]:  # numbered after all that were there
+        return new["n"], new["last"]
+    return 0, ledger.stored_at(good.select("subscription", "id"), within).agg(F.max("seq")).first()[0] or 0
+
+
+def store_batch(ledger: Ledger, subscription: str, own: str, result: DrainResult, fence: Fence, keep: bool = True):
+    """A foreachBatch function: valid messages go to the ledger, malformed ones are told and count as consumed. It fails before anything counts once another drain has taken over. keep: whether the result gets the records; else only their numbers."""
 
     def store(batch: DataFrame, number: int) -> None:
         parsed = parse_payloads(batch).persist()  # at most max rows, as all that is collected here
@@ -134,13 +146,18 @@ def store_batch(ledger: Ledger, subscription: str, own: str, result: DrainResult
             good = parsed.where(F.size("errors") == 0).select(F.lit(subscription).alias("subscription"), "arrival", "event.*")
             name = f"{subscription}-{own}-{number:012d}"
             ids = good.agg(F.min("id"), F.max("id")).first()
-            records = []
+            records, stored = [], 0
             if ids[0] is not None:
                 ledger.append(good, name, (ids[0], ids[1]), fence.check)
+            if ids[0] is not None and not keep:
+                stored, last = summed(ledger, subscription, good, (ids[0], ids[1]), name)
+                result.cursor = builtins.max(result.cursor, last)
+            elif ids[0] is not None:
                 held = ledger.rows().where((F.col("subscription") == subscription) & F.col("id").between(ids[0], ids[1]))
                 records = held.join(F.broadcast(good.select("id", "arrival")), "id").orderBy("arrival").collect()
+                stored = len({r["seq"] for r in records if r["batch"] == name})
             fence.check()
-            result.stored += len({r["seq"] for r in records if r["batch"] == name})
+            result.stored += stored
             result.consumed += parsed.count()
             result.records += records
             result.skipped += [r.asDict() for r in told]
@@ -152,6 +169,10 @@ def store_batch(ledger: Ledger, subscription: str, own: str, result: DrainResult
 
 def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0, max: int = 100, timeout: float = DEFAULT_TIMEOUT, max_queued: int | None = None) -> DrainResult:
     """Moves at most max messages of a subscription's backlog into the ledger. The cursor is the largest seq of its records, or since. max_queued: so many messages the queue holds; those that came while it was full are dropped."""
+    return _drain(spark, root, name, since, max, timeout, max_queued)
+
+
+def _drain(spark: SparkSession, root: str, name: str, since: int, max: int, timeout: float, max_queued: int | None, keep: bool = True) -> DrainResult:
     check_bound(max)
     if max_queued is not None:
         check_bound(max_queued, "max_queued")
@@ -167,7 +188,7 @@ def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0
         options["max_queued"] = max_queued
     with only_drainer(files, name) as fence:
         stream = spark.readStream.format("event_backlog").options(**options).load()
-        store = store_batch(ledger, name, incarnation(files, name), result, fence)
+        store = store_batch(ledger, name, incarnation(files, name), result, fence, keep)
         run = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         try:
             if not run.awaitTermination(timeout):
@@ -177,7 +198,7 @@ def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0
                 run.stop()
         except Exception as e:
             raise BrokerUnavailable(f"the drain of {name} failed: {e}") from e
-    result.cursor = builtins.max([since, *(r["seq"] for r in result.records)])
+    result.cursor = builtins.max([since, result.cursor, *(r["seq"] for r in result.records)])
     result.has_more = result.consumed >= max
     if result.has_more:
         result.stopped, result.emptied = "max", False
@@ -185,10 +206,11 @@ def drain_subscription(spark: SparkSession, root: str, name: str, since: int = 0
 
 
 def drain_all(spark: SparkSession, root: str, name: str, max: int = 1000, timeout: float = DEFAULT_TIMEOUT, max_queued: int | None = None) -> DrainResult:
-    """Bounded drains one after the other until the backlog is empty; what they did together."""
-    total = DrainResult(name)
+    """Bounded drains until the backlog is empty; what they did together. One run takes what as many whole drains would that have TOGETHER messages, one drain at least."""
+    check_bound(max)
+    total, drains = DrainResult(name), builtins.max(1, TOGETHER // max)
     while True:
-        result = drain_subscription(spark, root, name, max=max, timeout=timeout, max_queued=max_queued)
+        result = _drain(spark, root, name, 0, drains * max, timeout, max_queued, keep=False)
         total.consumed, total.stored, total.skipped = total.consumed + result.consumed, total.stored + result.stored, total.skipped + result.skipped
         total.cursor, total.stopped = builtins.max(total.cursor, result.cursor), result.stopped
         if result.emptied:

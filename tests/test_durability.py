@@ -12,8 +12,10 @@ from streamledger.cli import main
 from streamledger.operators import chains, sequencing
 from streamledger.operators.ledger import Ledger
 from streamledger.plans import adapter
+from streamledger.schema import ENVELOPE
 from streamledger.sources import broker
 from streamledger.sources.broker import BacklogReader, Broker
+from streamledger.sources.ledger_table import LedgerTable
 from streamledger.plans.queries import _in_order
 from streamledger.streaming import drain, stateful
 
@@ -171,6 +173,36 @@ def test_publishers_at_the_same_time_lose_nothing(spark, tmp_path, monkeypatch):
     assert first.stored + rest.stored == 12 and Ledger(spark, root).rows().select("id").distinct().count() == 12
 
 
+def test_drains_without_a_caller_between_go_together(spark, tmp_path, monkeypatch):
+    """A run takes as many whole drains as it may, one at least; what they did together is as before, also where all of it comes again."""
+    root, rows = str(tmp_path), adapter.envelopes(adapter.events(spark, SF)).where("type rlike '^click[.][^.]+$'").orderBy("arrival").limit(50)
+    ids = [r["id"] for r in rows.collect()]
+    monkeypatch.setattr(drain, "TOGETHER", 25)
+    drain.add_subscription(spark, root, "clicks", "click.*")
+    drain.emit(spark, root, rows, "arrival")
+    total, ledger = drain.drain_all(spark, root, "clicks", max=10, timeout=120), Ledger(spark, root)
+    assert (total.consumed, total.stored, total.cursor, total.has_more, total.records) == (50, 50, 50, False, [])
+    assert len(ledger.backend.batches()) == 3 and [(r["seq"], r["id"]) for r in ledger.rows().orderBy("seq").collect()] == list(enumerate(ids, 1))
+    drain.Files(spark, root).delete("checkpoints/clicks")
+    again = drain.drain_all(spark, root, "clicks", max=30, timeout=120)
+    assert (again.consumed, again.stored, again.cursor) == (50, 0, 50) and ledger.rows().count() == 50
+
+
+def test_an_append_plans_no_renamed_forms_of_its_check(spark, tmp_path):
+    """A filter on columns that a struct gives has a form for each subset of them, if Spark is let."""
+    seen = []
+
+    class Watching(LedgerTable):
+        def append(self, rows, *args):
+            seen.append(rows._jdf.queryExecution().optimizedPlan().constraints().size())
+            return super().append(rows, *args)
+
+    rows = adapter.envelopes(adapter.events(spark, SF)).limit(5)
+    events = rows.select(F.lit("s").alias("subscription"), "arrival", F.struct(*ENVELOPE.names).alias("event")).select("subscription", "arrival", "event.*")
+    ledger = Ledger(spark, str(tmp_path), Watching(spark, f"{tmp_path}/ledger"))
+    assert ledger.append(events, "b") and ledger.rows().count() == 5 and seen[0] < 100
+
+
 def test_claims_that_stay_empty_are_told(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(broker, "PATIENCE", 0.2)
     b = Broker(spark, str(tmp_path))

@@ -526,9 +526,10 @@ def minted_ids(spark, sf_dir):
 TRIGGER_ROWS = 1 << 20
 
 
-def _in_order(rows: DataFrame, root: str, by: str, parts: int, run: Callable[[str], None], most: int | None = None) -> None:
-    """Writes rows in pieces by a number or time, each of which a stream takes before the next is there. most: about so many rows in a piece, of which there are more then."""
-    edges = rows.agg(F.min(by).cast("double").alias("low"), F.max(by).cast("double").alias("high"), F.count("*").alias("n")).first()
+def _in_order(rows: DataFrame, root: str, by: str, parts: int, run: Callable[[str], None], most: int | None = None, key: str | None = None) -> None:
+    """Writes rows in pieces by a number or time, each of which a stream takes before the next is there. most: about so many rows in a piece, of which there are more then; with key, so many of any one key."""
+    each = rows.groupBy(*[key] if key else []).agg(F.min(by).cast("double").alias("low"), F.max(by).cast("double").alias("high"), F.count("*").alias("n"))
+    edges = each.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("n").alias("n")).first()
     if edges["low"] is None:
         rows.write.parquet(root)
         run(root)
@@ -553,7 +554,7 @@ def stream_seq_state(spark, sf_dir):
     def run(path: str) -> None:
         stateful.run_once(stateful.sequenced(spark.readStream.schema(rows.schema).parquet(path)), f"{root}/out", f"{root}/state")
 
-    _in_order(rows, f"{root}/in", "arrival", 3, run, TRIGGER_ROWS)
+    _in_order(rows, f"{root}/in", "arrival", 3, run, TRIGGER_ROWS, "subscription")
     return spark.read.schema("subscription string, seq bigint, id string").parquet(f"{root}/out")
 
 

@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from streamledger.operators.sequencing import placed_in_time
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -17,35 +21,77 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+#: Rows that a keyed state hands on at once.
+TOLD_ROWS = 10_000
+#: Buckets that ids or producers are dealt to; fixed for a checkpoint.
+BUCKETS = 256
+
+
+def _packed(keys: pa.Array) -> bytes:
+    """Texts as one value of a state."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, pa.schema([("key", pa.string())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(pa.record_batch([keys], ["key"]))
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> pa.ChunkedArray:
+    return pa.ipc.open_stream(value).read_all()["key"]
+
+
+class FirstCopies(StatefulProcessor):
+    """Lets the first copy of each id of a subscription through; ids are kept for good, as a repeat may come at any time.
+
+    A key is a bucket of ids, so that a subscription is never one task. Its state has a value for each trigger, all new ids in one, as a call for each id would go to the JVM and back. What is let through is a row for each subscription, as arrays.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getListState("seen", "keys binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(rows).sort_values(["arrival"], kind="stable").drop_duplicates("key")
+        keys, known = pa.array(came["key"], pa.string()), np.zeros(len(came), bool)
+        for (value,) in self.seen.get() if self.seen.exists() else ():
+            known |= pc.is_in(keys, value_set=_unpacked(value)).to_numpy(zero_copy_only=False)
+        new = came[~known]
+        if len(new):
+            self.seen.appendValue((_packed(pa.array(new["key"], pa.string())),))
+            told = [(subscription, part["arrival"].to_numpy(), part["id"].to_numpy()) for subscription, part in new.groupby("subscription", sort=False)]
+            yield pd.DataFrame(told, columns=["subscription", "arrivals", "ids"])
+
+    def close(self) -> None:
+        pass
+
+
 class Sequencer(StatefulProcessor):
-    """Numbers first copies of ids 1, 2, ... in order of arrival; ids are kept for good, as a repeat may come at any time."""
+    """Numbers a subscription's ids 1, 2, ... in order of arrival (ties by id), over any number of triggers. Of a trigger's ids it takes arrays, which are sorted as a whole; its state is the last number."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "seq bigint")
-        self.ids = handle.getMapState("ids", "id string", "seq bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else 0
-        new = []
-        for row in pd.concat(rows).sort_values(["arrival", "id"]).itertuples():
-            if not self.ids.containsKey((row.id,)):
-                last += 1
-                self.ids.updateValue((row.id,), (last,))
-                new.append((key[0], last, row.id))
-        self.last.update((last,))
-        yield pd.DataFrame(new, columns=["subscription", "seq", "id"])
+        parts = [part[["arrivals", "ids"]] for part in rows]
+        arrivals, ids = (np.concatenate([x for part in parts for x in part[name]]) for name in ("arrivals", "ids"))
+        order = np.argsort(arrivals, kind="stable")
+        if (np.diff(arrivals[order]) == 0).any():
+            order = pd.DataFrame({"arrival": arrivals, "id": ids}).sort_values(["arrival", "id"]).index.to_numpy()
+        for at in range(0, len(order), TOLD_ROWS):
+            some = order[at : at + TOLD_ROWS]
+            yield pd.DataFrame({"subscription": key[0], "seq": last + 1 + at + np.arange(len(some)), "id": ids[some]})
+        self.last.update((last + len(order),))
 
     def close(self) -> None:
         pass
 
 
 def sequenced(rows: DataFrame) -> DataFrame:
-    """A stream of (subscription, arrival, id) to (subscription, seq, id)."""
-    return rows.groupBy("subscription").transformWithStateInPandas(statefulProcessor=Sequencer(), outputStructType="subscription string, seq bigint, id string", outputMode="Append", timeMode="None")
-
-
-#: Rows that a keyed state hands on at once.
-TOLD_ROWS = 10_000
+    """A stream of (subscription, arrival, id) to (subscription, seq, id), ids once each. A row without subscription or arrival is an error."""
+    # no name has a space, and no id is not the empty one
+    whole = placed_in_time(rows).select("subscription", "arrival", "id", F.concat("subscription", F.coalesce(F.concat(F.lit(" "), "id"), F.lit(""))).alias("key"))
+    buckets = whole.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS))).groupBy("bucket")
+    firsts = buckets.transformWithStateInPandas(statefulProcessor=FirstCopies(), outputStructType="subscription string, arrivals array<bigint>, ids array<string>", outputMode="Append", timeMode="None")
+    return firsts.groupBy("subscription").transformWithStateInPandas(statefulProcessor=Sequencer(), outputStructType="subscription string, seq bigint, id string", outputMode="Append", timeMode="None")
 
 
 class BoundedQueue(StatefulProcessor):
@@ -154,8 +200,6 @@ class Liveness(StatefulProcessor):
 
 
 CHANGES = "producer string, state string, at bigint"
-#: Buckets that producers are dealt to; fixed for a checkpoint.
-BUCKETS = 256
 
 
 def _bucket() -> Column:

@@ -328,6 +328,37 @@ def test_state_is_kept_by_buckets_of_producers(spark, tmp_path):
     assert 0 < keys <= 256
 
 
+def numbered_over_triggers(spark, tmp_path, steps):
+    """What the sequencer tells of rows (subscription, arrival, id) that come in steps."""
+    for rows in steps:
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("subscription string, arrival bigint, id string").parquet(f"{tmp_path}/in")
+        stateful.run_once(stateful.sequenced(stream), f"{tmp_path}/out", f"{tmp_path}/state")
+    return [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("subscription", "seq", "id").orderBy("subscription", "seq").collect()]
+
+
+def test_numbers_over_triggers(spark, tmp_path):
+    """Repeats within a trigger and in later ones, equal arrivals, ids that are null, empty or hold a space, and an id of two subscriptions; rows are in no order."""
+    steps = [[("s", 9, "z"), ("s", 3, "b"), ("s", 3, "a"), ("t", 1, "a"), ("s", 4, "a"), ("s", 5, None), ("s", 6, "")], [("s", 12, "b c"), ("s", 11, "b"), ("s", 10, None), ("t", 20, "z"), ("s", 7, "late")], [("s", 30, "z"), ("s", 31, ""), ("u", 1, "a"), ("s", 29, "end")]]
+    got = numbered_over_triggers(spark, tmp_path, [spark.createDataFrame(rows, "subscription string, arrival bigint, id string") for rows in steps])
+    want = {"s": ["a", "b", None, "", "z", "late", "b c", "end"], "t": ["a", "z"], "u": ["a"]}
+    assert got == [(s, k, x) for s, ids in want.items() for k, x in enumerate(ids, 1)]
+
+
+def test_ids_are_kept_by_buckets(spark, tmp_path):
+    """A call for each id goes to the JVM and back, and a subscription may have all rows: ids are dealt to buckets, and a bucket's state has a value for each trigger that brought new ones."""
+    ids = spark.range(6000).select(F.lit("s").alias("subscription"), F.col("id").alias("arrival"), F.concat(F.lit("e"), F.col("id") % 4000).alias("id"))
+    got = numbered_over_triggers(spark, tmp_path, [ids.where("arrival < 3000"), ids.where("arrival >= 3000")])
+    assert got == [("s", k, f"e{k - 1}") for k in range(1, 4001)]
+    held = spark.read.format("statestore").option("operatorId", 1).option("stateVarName", "seen").option("flattenCollectionTypes", "true").load(f"{tmp_path}/state")
+    assert 100 < held.select("key").distinct().count() <= 256 and held.count() <= 512
+
+
+def test_rows_without_a_place_stop_the_sequencer(spark, tmp_path):
+    with pytest.raises(Exception, match="a row has no arrival"):
+        numbered_over_triggers(spark, tmp_path, [spark.createDataFrame([("s", None, "a")], "subscription string, arrival bigint, id string")])
+
+
 def test_more_triggers_for_more_rows(spark, tmp_path, monkeypatch):
     """A trigger holds about so many rows, however many there are; together the triggers have them all, in order."""
     sizes, rows = [], spark.range(1000).select((F.col("id") * 3).alias("arrival"))
@@ -335,6 +366,13 @@ def test_more_triggers_for_more_rows(spark, tmp_path, monkeypatch):
     assert [n for n, _ in sizes] == [100 * k for k in range(1, 11)] and [last for _, last in sizes] == [300 * k - 3 for k in range(1, 11)]
 
 
+def test_triggers_by_the_rows_of_one_key(spark, tmp_path):
+    """Where a trigger must be small for the sake of each key's rows, the others' do not count."""
+    sizes, rows = [], spark.range(1000).select(F.col("id").alias("arrival"), F.when(F.col("id") % 5 < 2, "a").otherwise("b").alias("key"))
+    _in_order(rows, f"file://{tmp_path}/q/in", "arrival", 2, lambda path: sizes.append(spark.read.parquet(path).count()), 100, "key")
+    assert len(sizes) == 6 and sizes[-1] == 1000 and max(b - a for a, b in zip([0, *sizes], sizes)) <= 170
+
+
 def test_finished_chains_are_not_joined(spark, monkeypatch):
     """Events that stand at their root have no next: none of a round's joins takes nulls, which would all fall to one task."""
     seen = []

@@ -526,17 +526,22 @@ def minted_ids(spark, sf_dir):
 TRIGGER_ROWS = 1 << 20
 
 
-def _in_order(rows: DataFrame, root: str, by: str, parts: int, run: Callable[[str], None], most: int | None = None, key: str | None = None) -> None:
-    """Writes rows in pieces by a number or time, each of which a stream takes before the next is there. most: about so many rows in a piece, of which there are more then; with key, so many of any one key."""
+def _pieces(rows: DataFrame, root: str, by: str, parts: int, most: int | None = None, key: str | None = None) -> int:
+    """Writes rows in pieces by a number or time, a folder each; returns how many. most: about so many rows in a piece, of which there are more then; with key, so many of any one key."""
     each = rows.groupBy(*[key] if key else []).agg(F.min(by).cast("double").alias("low"), F.max(by).cast("double").alias("high"), F.count("*").alias("n"))
     edges = each.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("n").alias("n")).first()
     if edges["low"] is None:
-        rows.write.parquet(root)
-        run(root)
-        return
+        rows.write.parquet(f"{root}-pieces/piece=0")
+        return 1
     parts = max(parts, -(-edges["n"] // most)) if most else parts
     piece = F.least(F.floor((F.col(by).cast("double") - edges["low"]) * parts / max(edges["high"] - edges["low"], 1e-9)), F.lit(parts - 1))
     rows.withColumn("piece", piece).write.partitionBy("piece").parquet(f"{root}-pieces")
+    return parts
+
+
+def _in_order(rows: DataFrame, root: str, by: str, parts: int, run: Callable[[str], None], most: int | None = None) -> None:
+    """Each piece of the rows is run over before the next is there."""
+    parts = _pieces(rows, root, by, parts, most)
     files = Files(rows.sparkSession, root.rpartition("/")[0])
     whole = root.rpartition("/")[2]
     for k in range(parts):
@@ -550,11 +555,10 @@ def stream_seq_state(spark, sf_dir):
     """Numbers from keyed state, over several triggers, equal those of the batch form."""
     root = scratch(spark, "sequencer")
     rows = adapter.matched(spark, sf_dir).select("subscription", "arrival", "id")
-
-    def run(path: str) -> None:
-        stateful.run_once(stateful.sequenced(spark.readStream.schema(rows.schema).parquet(path)), f"{root}/out", f"{root}/state")
-
-    _in_order(rows, f"{root}/in", "arrival", 3, run, TRIGGER_ROWS, "subscription")
+    parts, files = _pieces(rows, f"{root}/in", "arrival", 3, TRIGGER_ROWS, "subscription"), Files(spark, root)
+    # a piece comes as a folder that gets its name at once, so that no trigger has a part of it
+    steps = [lambda k=k: files.move(f"in-pieces/piece={k}", f"in/{k}") for k in range(parts) if files.exists(f"in-pieces/piece={k}")]
+    stateful.run_through(stateful.sequenced(spark.readStream.schema(rows.schema).parquet(f"{root}/in/*")), f"{root}/out", f"{root}/state", steps)
     return spark.read.schema("subscription string, seq bigint, id string").parquet(f"{root}/out")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -226,3 +226,15 @@ def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """One run over what has come in, appended to Parquet files."""
     use_rocksdb(stream.sparkSession)
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def run_through(stream: DataFrame, path: str, checkpoint: str, steps: Iterable[Callable[[], object]]) -> None:
+    """One run that takes what each step brings before the next step, appended to Parquet files. Its query is planned and its states are opened once, which cost seconds and 4 MB of disk for each state of a partition."""
+    use_rocksdb(stream.sparkSession)
+    run = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+    try:
+        for step in steps:
+            step()
+            run.processAllAvailable()
+    finally:
+        run.stop()

@@ -16,7 +16,7 @@ from streamledger.schema import ENVELOPE
 from streamledger.sources import broker
 from streamledger.sources.broker import BacklogReader, Broker
 from streamledger.sources.ledger_table import LedgerTable
-from streamledger.plans.queries import _in_order
+from streamledger.plans.queries import _in_order, _pieces
 from streamledger.streaming import drain, stateful
 
 from .conftest import SF
@@ -345,6 +345,18 @@ def test_numbers_over_triggers(spark, tmp_path):
     assert got == [(s, k, x) for s, ids in want.items() for k, x in enumerate(ids, 1)]
 
 
+def test_one_run_takes_step_after_step(spark, tmp_path):
+    """Each step's rows are a trigger of their own, in one run of the query."""
+    rows = [spark.createDataFrame([("s", 10 * k + n, f"e{(10 * k + n) % 15}") for n in range(10)], "subscription string, arrival bigint, id string") for k in range(3)]
+    stream = stateful.sequenced(spark.readStream.schema(rows[0].schema).parquet(f"{tmp_path}/in/*"))
+    for k in range(3):
+        rows[k].write.parquet(f"{tmp_path}/pieces/{k}")
+    (tmp_path / "in").mkdir()
+    stateful.run_through(stream, f"{tmp_path}/out", f"{tmp_path}/state", [lambda k=k: (tmp_path / f"pieces/{k}").rename(tmp_path / f"in/{k}") for k in range(3)])
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()] == [("s", k + 1, f"e{k}") for k in range(15)]
+    assert len([p for p in (tmp_path / "state/commits").iterdir() if p.name.isdigit()]) == 3
+
+
 def test_ids_are_kept_by_buckets(spark, tmp_path):
     """A call for each id goes to the JVM and back, and a subscription may have all rows: ids are dealt to buckets, and a bucket's state has a value for each trigger that brought new ones."""
     ids = spark.range(6000).select(F.lit("s").alias("subscription"), F.col("id").alias("arrival"), F.concat(F.lit("e"), F.col("id") % 4000).alias("id"))
@@ -368,9 +380,10 @@ def test_more_triggers_for_more_rows(spark, tmp_path, monkeypatch):
 
 def test_triggers_by_the_rows_of_one_key(spark, tmp_path):
     """Where a trigger must be small for the sake of each key's rows, the others' do not count."""
-    sizes, rows = [], spark.range(1000).select(F.col("id").alias("arrival"), F.when(F.col("id") % 5 < 2, "a").otherwise("b").alias("key"))
-    _in_order(rows, f"file://{tmp_path}/q/in", "arrival", 2, lambda path: sizes.append(spark.read.parquet(path).count()), 100, "key")
-    assert len(sizes) == 6 and sizes[-1] == 1000 and max(b - a for a, b in zip([0, *sizes], sizes)) <= 170
+    rows = spark.range(1000).select(F.col("id").alias("arrival"), F.when(F.col("id") % 5 < 2, "a").otherwise("b").alias("key"))
+    assert _pieces(rows, f"file://{tmp_path}/q/in", "arrival", 2, 100, "key") == 6
+    counts = [spark.read.parquet(f"file://{tmp_path}/q/in-pieces/piece={k}").count() for k in range(6)]
+    assert sum(counts) == 1000 and max(counts) <= 170
 
 
 def test_finished_chains_are_not_joined(spark, monkeypatch):
